@@ -7,14 +7,8 @@ import importlib
 MODULES = (
     "chat_format",
     "quality",
-    "decontaminate",
-    "suffix_dedup",
     "toxicity",
-    "media",
     "mixing",
-    "near_dedup",
-    "substring_dedup",
-    "class_lm",
 )
 
 QUERIES: dict = {}
