@@ -9,6 +9,7 @@ MODULES = (
     "quality",
     "toxicity",
     "mixing",
+    "near_dedup",
 )
 
 QUERIES: dict = {}
