@@ -10,6 +10,7 @@ MODULES = (
     "toxicity",
     "mixing",
     "near_dedup",
+    "substring_dedup",
 )
 
 QUERIES: dict = {}
