@@ -8,6 +8,7 @@ MODULES = (
     "chat_format",
     "quality",
     "toxicity",
+    "media",
     "mixing",
     "near_dedup",
     "substring_dedup",
