@@ -12,6 +12,7 @@ MODULES = (
     "mixing",
     "near_dedup",
     "substring_dedup",
+    "suffix_dedup",
 )
 
 QUERIES: dict = {}
