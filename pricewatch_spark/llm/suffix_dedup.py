@@ -234,7 +234,7 @@ def _constructed(fragments: DataFrame, length: int) -> DataFrame:
 def repeated_strings(docs: DataFrame, length: int, scratch: Scratch, size: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """text_hash, starts: the repeated windows, by first byte, of texts without a copy."""
     texts_ = anchored(docs, "bytes", length, size, scratch)
-    every = scratch.write(_fragments(with_text(docs, surviving(texts_), texts_), length, size), "fragments")
+    every = scratch.write(_fragments(with_text(docs, surviving(texts_, scratch, "0"), texts_), length, size), "fragments")
     distinct = every.groupBy("fp", "digest").agg(F.sum("copies").alias("weight"), F.first("body").alias("body"), F.first("windows").alias("windows"))
     distinct = scratch.write(distinct, "distinct")
     counts = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
@@ -249,6 +249,7 @@ def repeated_strings(docs: DataFrame, length: int, scratch: Scratch, size: int =
     salted = built.where("classes is not null").join(several.select("fp", "digest", "salt"), ["fp", "digest"])
     pairs = salted.select("fp", "digest", "salt", F.posexplode(F.arrays_zip("classes", "weights")).alias("start", "c")).select("fp", "digest", "salt", "start", "c.classes", "c.weights")
     by_class = pairs.groupBy("fp", "classes", "salt").agg(F.max("weights").alias("w")).groupBy("fp", "classes").agg(F.sum("w").alias("w")).where("w >= 2")
+    by_class = scratch.write(by_class, "salted-classes")
     again = pairs.join(by_class, ["fp", "classes"], "left_semi").groupBy("fp", "digest").agg(F.collect_list("start").alias("starts"))
     flags = flags.unionByName(again)
 
