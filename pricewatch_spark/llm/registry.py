@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "chat_format",
     "quality",
+    "decontaminate",
     "toxicity",
     "media",
     "mixing",
