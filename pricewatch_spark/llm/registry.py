@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "chat_format",
+    "class_lm",
     "quality",
     "decontaminate",
     "toxicity",
