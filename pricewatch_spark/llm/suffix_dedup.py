@@ -3,15 +3,17 @@
 The texts are cut into fragments: the windows of ``length`` bytes that share an anchor (see
 repeats), with the bytes they reach over.  Only fragments whose anchor occurs at least twice
 matter.  Equal fragments are counted as one with a weight.  All distinct fragments of an anchor
-come together (salted if there are many), and a task builds the Burrows-Wheeler transform and the
-array of longest common prefixes of its fragments column by column: every round inserts one
-symbol of each fragment, from the last to the first, and rewrites the transform and the prefixes
-from one sequential external file to the next.  Runs of suffixes with common prefixes of at least
+come together and are trimmed to what at least one other of them continues on either side; equal
+pieces become one with a weight.  A task then builds the Burrows-Wheeler transform and the array
+of longest common prefixes of its pieces column by column: every round inserts one symbol of each
+piece, from the last to the first, and rewrites the transform and the prefixes from one
+sequential external file to the next.  Runs of suffixes with common prefixes of at least
 ``length`` are the classes of equal windows; a class of weight two or more repeats.
 
-A fragment that is alone with its anchor needs no construction: two equal windows of one fragment
-would have one anchor at unequal places, so its windows repeat if and only if its weight is two
-or more.  Classes of a salted anchor are counted over its salts by a 128-bit digest.
+A piece that is alone with its anchor needs no construction: two equal windows of one piece would
+have one anchor at unequal places, so its windows repeat if and only if its weight is two or
+more.  If an anchor has more than ``group`` distinct fragments they are salted and not trimmed;
+their classes are counted over the salts by a 128-bit digest.
 
 Defined results: null texts are empty; texts shorter than ``length`` lose nothing; a text with a
 copy is removed whole if it is that long; repeated rows are documents of their own; null doc_ids
@@ -35,7 +37,7 @@ NAME = "op4_suffix_dedup"
 LENGTH = 200
 ANCHOR = 64
 GROUP = 1024  # distinct fragments of an anchor that go into one construction
-CHUNK = 1 << 17  # bytes of fragments in one construction, from which on it is closed
+CHUNK = 1 << 18  # bytes of fragments before trimming in one construction, from which on it is closed
 ORACLE_SQL = None
 
 
@@ -166,11 +168,12 @@ def window_classes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.nd
 
 
 def _fragments(rows: DataFrame, length: int, size: int) -> DataFrame:
-    """id, copies, start (of the first window), windows, fp, digest and the fragment's bytes."""
+    """id, copies, start (of the first window), windows, left (bytes before the anchor), fp, digest and
+    the fragment's bytes."""
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for i, n, text, at in zip(*(batch.column(c).to_pylist() for c in ("id", "copies", "text", "at")), strict=True):
                 data = raw_bytes(text).tobytes()
                 hashes, found = anchors(units(text, "bytes"), length, size)
@@ -178,55 +181,122 @@ def _fragments(rows: DataFrame, length: int, size: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
                 last = np.append(first[1:], len(found))
                 use = good[first]
-                for s, e, fp in zip(first[use].tolist(), last[use].tolist(), hashes[found[first[use]]].view(np.int64).tolist(), strict=True):
+                at_anchor = found[first[use]]
+                for s, e, a, fp in zip(first[use].tolist(), last[use].tolist(), at_anchor.tolist(), hashes[at_anchor].view(np.int64).tolist(), strict=True):
                     body = data[s : e - 1 + length]
-                    for column, x in zip(out, (i, n, s, e - s, fp, hashlib.blake2b(body, digest_size=16).digest(), body), strict=True):
+                    for column, x in zip(out, (i, n, s, e - s, a - s, fp, hashlib.blake2b(body, digest_size=16).digest(), body), strict=True):
                         column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["id", "copies", "start", "windows", "fp", "digest", "body"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["id", "copies", "start", "windows", "left", "fp", "digest", "body"])
 
-    return rows.mapInArrow(run, "id long, copies long, start int, windows int, fp long, digest binary, body binary")
+    return rows.mapInArrow(run, "id long, copies long, start int, windows int, left int, fp long, digest binary, body binary")
 
 
-def _constructed(fragments: DataFrame, length: int) -> DataFrame:
-    """fragments (fp, salt, salts, digest, weight, body), sorted by (fp, salt) within partitions ->
-    fp, digest, starts (of repeated windows) and, where there are salts, classes (a digest for each window)."""
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    differing = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differing.bit_length() + 7) // 8
 
-    def solve(rows: list[tuple]):
-        strings = [r[5] for r in rows]
-        who, start, of = window_classes(strings, length)
-        weight = np.array([r[4] for r in rows], np.int64)
-        # fragments of unlike anchors never share a window, so one construction serves many anchors
-        total = np.bincount(of, weights=weight[who]) if len(of) else np.zeros(1)
-        repeated = total[of] >= 2
+
+def _longest_shared(parts: list[bytes]) -> list[int]:
+    """For each part the longest prefix that another part has too."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:]):
+        n = _common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def trimmed(rows: list[tuple[bytes, int]], size: int, length: int) -> dict[bytes, list[tuple[int, int]]]:
+    """rows (body, place of the anchor in it), distinct, of one anchor -> piece: (row, where it begins in the row)."""
+    right = _longest_shared([body[left + size :] for body, left in rows])
+    before = _longest_shared([body[:left][::-1] for body, left in rows])
+    pieces: dict[bytes, list[tuple[int, int]]] = {}
+    for k, (body, left) in enumerate(rows):
+        low, high = left - before[k], left + size + right[k]
+        if high - low >= length:
+            pieces.setdefault(body[low:high], []).append((k, low))
+    return pieces
+
+
+def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
+    """fragments (fp, salt, salts, digest, weight, left, body), sorted by (fp, salt) within partitions ->
+    fp, digest, starts (of repeated windows); where there are salts, classes (a digest for each window) and weights."""
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()))
+
+    def batch_of(found: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=["fp", "digest", "starts", "classes", "weights"])
+
+    def salted(rows: list[tuple]):
+        who, start, of = window_classes([r[6] for r in rows], length)
+        total = np.bincount(of, weights=np.array([r[4] for r in rows], np.int64)[who]).astype(np.int64)
         order = np.lexsort((start, who))
-        who, start, of, repeated = who[order], start[order], of[order], repeated[order]
+        who, start, of = who[order], start[order], of[order]
         bounds = np.searchsorted(who, np.arange(len(rows) + 1))
-        for k, (fp, _, salts, digest, _, body) in enumerate(rows):
+        for k, (fp, _, _, digest, _, _, body) in enumerate(rows):
             own = slice(bounds[k], bounds[k + 1])
-            classes = None
-            if salts > 1:
-                classes = [hashlib.blake2b(body[s : s + length], digest_size=16).digest() for s in start[own].tolist()]
-            yield fp, digest, start[own][repeated[own]].astype(np.int32), classes, [int(x) for x in total[of[own]]] if salts > 1 else None
-
-    def emit(rows: list[tuple]):
-        found = list(solve(rows))
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=["fp", "digest", "starts", "classes", "weights"])
+            yield fp, digest, [], [hashlib.blake2b(body[x : x + length], digest_size=16).digest() for x in start[own].tolist()], total[of[own]].tolist()
+
+    def solved(groups: list[tuple[list[tuple], dict]]):
+        """groups: (rows, pieces) of anchors; one construction over the pieces of all that have several."""
+        strings, weights, owner = [], [], []
+        flags: dict[tuple[int, int], list[np.ndarray]] = {}
+        for g, (rows, pieces) in enumerate(groups):
+            for piece, members in pieces.items():
+                weight = sum(rows[k][4] for k, _ in members)
+                if len(pieces) > 1:
+                    strings.append(piece)
+                    weights.append(weight)
+                    owner.append((g, members))
+                elif weight >= 2:
+                    for k, low in members:
+                        flags.setdefault((g, k), []).append(np.arange(low, low + len(piece) - length + 1))
+        if strings:
+            # pieces of unlike anchors never share a window, so one construction serves many anchors
+            who, start, of = window_classes(strings, length)
+            repeated = np.bincount(of, weights=np.array(weights, np.int64)[who])[of] >= 2
+            order = np.argsort(who[repeated], kind="stable")
+            who, start = who[repeated][order], start[repeated][order]
+            bounds = np.searchsorted(who, np.arange(len(strings) + 1))
+            for k, (g, members) in enumerate(owner):
+                own = start[bounds[k] : bounds[k + 1]]
+                if len(own):
+                    for row, low in members:
+                        flags.setdefault((g, row), []).append(own + low)
+        for g, (rows, _) in enumerate(groups):
+            for k, (fp, _, _, digest, weight, _, body) in enumerate(rows):
+                if weight >= 2:
+                    yield fp, digest, np.arange(len(body) - length + 1, dtype=np.int32), None, None
+                elif (g, k) in flags:
+                    yield fp, digest, np.concatenate(flags[g, k]).astype(np.int32), None, None
 
     def run(batches):
-        chunk, size, last = [], 0, None
+        group: list[tuple] = []
+        waiting: list[tuple[list[tuple], dict]] = []
+        held = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("fp", "salt", "salts", "digest", "weight", "body")), strict=True):
-                # a salted group has a construction of its own, so that its weights are its salt's
-                if chunk and row[:2] != last and (size >= CHUNK or row[2] > 1 or chunk[-1][2] > 1):
-                    yield emit(chunk)
-                    chunk, size = [], 0
-                chunk.append(row)
-                size += len(row[5])
-                last = row[:2]
-        if chunk:
-            yield emit(chunk)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("fp", "salt", "salts", "digest", "weight", "left", "body")), strict=True):
+                if group and row[:2] != group[0][:2]:
+                    if group[0][2] > 1:
+                        yield batch_of(list(salted(group)))
+                    else:
+                        waiting.append((group, trimmed([(r[6], r[5]) for r in group], size, length)))
+                        held += sum(len(r[6]) for r in group)
+                        if held >= CHUNK:
+                            yield batch_of(list(solved(waiting)))
+                            waiting, held = [], 0
+                    group = []
+                group.append(row)
+        if group and group[0][2] > 1:
+            yield batch_of(list(salted(group)))
+        elif group:
+            waiting.append((group, trimmed([(r[6], r[5]) for r in group], size, length)))
+        if waiting:
+            yield batch_of(list(solved(waiting)))
 
     return fragments.mapInArrow(run, "fp long, digest binary, starts array<int>, classes array<binary>, weights array<long>")
 
@@ -235,12 +305,12 @@ def repeated_strings(docs: DataFrame, length: int, scratch: Scratch, size: int =
     """text_hash, starts: the repeated windows, by first byte, of texts without a copy."""
     texts_ = anchored(docs, "bytes", length, size, scratch)
     every = scratch.write(_fragments(with_text(docs, surviving(texts_, scratch, "0"), texts_), length, size), "fragments")
-    distinct = every.groupBy("fp", "digest").agg(F.sum("copies").alias("weight"), F.first("body").alias("body"), F.first("windows").alias("windows"))
+    distinct = every.groupBy("fp", "digest").agg(F.sum("copies").alias("weight"), F.first("body").alias("body"), F.first("left").alias("left"), F.first("windows").alias("windows"))
     distinct = scratch.write(distinct, "distinct")
     counts = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     several = distinct.join(counts.where("n > 1"), "fp").withColumn("salts", F.ceil(F.col("n") / group))
-    several = several.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts"))).select("fp", "salt", "salts", "digest", "weight", "body")
-    built = scratch.write(_constructed(several.repartition("fp", "salt").sortWithinPartitions("fp", "salt"), length), "built")
+    several = several.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts"))).select("fp", "salt", "salts", "digest", "weight", "left", "body")
+    built = scratch.write(_constructed(several.repartition("fp", "salt").sortWithinPartitions("fp", "salt"), length, size), "built")
 
     alone = distinct.where("weight >= 2").join(counts.where("n = 1"), "fp", "left_semi")
     flags = alone.select("fp", "digest", F.sequence(F.lit(0), F.col("windows") - 1).alias("starts"))
