@@ -1,6 +1,783 @@
-"""Every registered query of the library with its SQL twin."""
+"""Every registered query of the library, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricewatch_spark.functions import text, titles
+from pricewatch_spark.operators import compare, delta, history, products, rules, scoring
+from pricewatch_spark.plans.testmap import Model, ctes
+from pricewatch_spark.sources import cards, listings, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+AS_OF = "TIMESTAMP '1998-06-01 00:00:00'"
+
+
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
+    """Register f(model) under a name; sql follows the WITH text of the tables it uses."""
+
+    def put(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = (ctes(*uses) + "\n" if uses else "") + sql
+        return f
+
+    return put
+
+
+def longs(*names: str) -> list[str]:
+    return [f"CAST({n} AS BIGINT) AS {n}" for n in names]
+
+
+def doubles(*names: str) -> list[str]:
+    return [f"CAST({n} AS DOUBLE) AS {n}" for n in names]
+
+
+# --- comparison -------------------------------------------------------------------------------
+
+_GRID = """, numbered AS (SELECT source_id, name AS source_name, row_number() OVER (ORDER BY name) AS src_num FROM sources WHERE is_active),
+grid AS (SELECT product_id, current_price AS price, CASE availability WHEN 'AVAILABLE_IN_STOCK' THEN 'Sí' WHEN 'UNKNOWN' THEN '?' ELSE 'No' END AS flag, source_name, src_num
+  FROM listings JOIN numbered USING (source_id)),
+minima AS (SELECT product_id, min(price) AS min_price, min(CASE WHEN flag = 'Sí' THEN price END) AS min_price_in_stock FROM grid GROUP BY 1),
+names AS (SELECT product_id, string_agg(DISTINCT CASE WHEN price = min_price THEN source_name END, ', ' ORDER BY CASE WHEN price = min_price THEN source_name END) AS cheapest,
+  string_agg(DISTINCT CASE WHEN price = min_price_in_stock AND flag = 'Sí' THEN source_name END, ', ' ORDER BY CASE WHEN price = min_price_in_stock AND flag = 'Sí' THEN source_name END) AS cheapest_in_stock
+  FROM grid JOIN minima USING (product_id) GROUP BY 1)"""
+_PIVOT = ", ".join(f"CAST(max(CASE WHEN src_num = {k} THEN price END) AS DOUBLE) AS price_{k}, max(CASE WHEN src_num = {k} THEN flag END) AS stock_{k}" for k in range(1, 11))
+_PIVOT_COLUMNS = [x for k in range(1, 11) for x in (*doubles(f"price_{k}"), f"stock_{k}")]
+
+
+@query(
+    "price_comparison",
+    _GRID
+    + f", piv AS (SELECT product_id, {_PIVOT} FROM grid GROUP BY 1)"
+    + """
+SELECT product_id, product_code, ean_13, concat(brand, ' ', product_name, ' ', CASE WHEN variant IS NULL THEN '' ELSE variant || ' ' END, CASE WHEN volume_ml IS NULL THEN '' ELSE volume_ml || 'ml ' END) AS display_name,
+  CAST(min_price AS DOUBLE) AS min_price, CAST(min_price_in_stock AS DOUBLE) AS min_price_in_stock, cheapest, cheapest_in_stock, piv.* EXCLUDE (product_id)
+FROM products JOIN minima USING (product_id) JOIN names USING (product_id) JOIN piv USING (product_id)""",
+    ("sources", "products", "listings"),
+)
+def _(m):
+    out = compare.price_comparison(m.products, m.listings, m.sources)
+    return out.selectExpr("product_id", "product_code", "ean_13", "display_name", *doubles("min_price", "min_price_in_stock"), "cheapest", "cheapest_in_stock", *_PIVOT_COLUMNS)
+
+
+@query("min_prices", _GRID + "\nSELECT product_id, CAST(min_price AS DOUBLE) AS min_price, CAST(min_price_in_stock AS DOUBLE) AS min_price_in_stock FROM minima", ("sources", "listings"))
+def _(m):
+    return compare.min_prices(compare.listings_grid(m.listings, m.sources)).selectExpr("product_id", *doubles("min_price", "min_price_in_stock"))
+
+
+@query("cheapest_sources", _GRID + "\nSELECT product_id, cheapest, cheapest_in_stock FROM names", ("sources", "listings"))
+def _(m):
+    return compare.cheapest_sources(compare.listings_grid(m.listings, m.sources))
+
+
+@query("pivot_sources", _GRID + f"\nSELECT product_id, {_PIVOT} FROM grid GROUP BY 1", ("sources", "listings"))
+def _(m):
+    return compare.pivot_sources(compare.listings_grid(m.listings, m.sources)).selectExpr("product_id", *_PIVOT_COLUMNS)
+
+
+@query("number_sources", "SELECT source_id, name, CAST(row_number() OVER (ORDER BY name) AS BIGINT) AS src_num FROM sources WHERE is_active", ("sources",))
+def _(m):
+    return compare.number_sources(m.sources).selectExpr("source_id", "name", *longs("src_num"))
+
+
+@query("listings_grid", _GRID + "\nSELECT product_id, CAST(price AS DOUBLE) AS price, flag, source_name, CAST(src_num AS BIGINT) AS src_num FROM grid", ("sources", "listings"))
+def _(m):
+    return compare.listings_grid(m.listings, m.sources).selectExpr("product_id", *doubles("price"), "flag", "source_name", *longs("src_num"))
+
+
+@query(
+    "own_price_gap",
+    _GRID
+    + """, own AS (SELECT p_partkey AS product_id, CAST(p_retailprice AS DECIMAL(12,2)) AS own_price FROM part WHERE p_partkey % 2 = 0)
+SELECT product_id, CAST(own_price AS DOUBLE) AS own_price, CAST(min_price AS DOUBLE) AS min_price, CAST(own_price > min_price AS BOOLEAN) AS dearer, own_price IS NULL AS no_own
+FROM minima LEFT JOIN own USING (product_id)""",
+    ("sources", "listings"),
+)
+def _(m):
+    own = m.raw("part").where("p_partkey % 2 = 0").selectExpr("p_partkey AS product_id", "CAST(p_retailprice AS DECIMAL(12,2)) AS own_price")
+    out = compare.own_price_gap(compare.min_prices(compare.listings_grid(m.listings, m.sources)), own)
+    return out.selectExpr("product_id", *doubles("own_price", "min_price"), "own_price > min_price AS dearer", "gap_pct IS NULL AS no_own")
+
+
+@query(
+    "side_by_side",
+    """, s AS (SELECT source_id, name AS source_name FROM sources WHERE is_active)
+SELECT product_code, source_name, CAST(current_price AS DOUBLE) AS current_price, availability,
+  CAST(row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN availability = 'AVAILABLE_IN_STOCK' THEN 0 ELSE 1 END, current_price ASC NULLS LAST, source_name) AS BIGINT) AS place
+FROM listings JOIN s USING (source_id) JOIN products USING (product_id)""",
+    ("sources", "products", "listings"),
+)
+def _(m):
+    return compare.side_by_side(m.products, m.listings, m.sources).selectExpr("product_code", "source_name", *doubles("current_price"), "availability", *longs("place"))
+
+
+@query(
+    "best_in_stock",
+    """, o AS (SELECT product_id, current_price, name, row_number() OVER (PARTITION BY product_id ORDER BY current_price, name) AS r
+  FROM listings JOIN sources USING (source_id) WHERE is_active AND availability = 'AVAILABLE_IN_STOCK' AND current_price > 0)
+SELECT product_id, CAST(current_price AS DOUBLE) AS best_price, name AS best_source FROM o WHERE r = 1""",
+    ("sources", "listings"),
+)
+def _(m):
+    return compare.best_in_stock(m.listings, m.sources).selectExpr("product_id", *doubles("best_price"), "best_source")
+
+
+@query(
+    "price_range",
+    "SELECT product_id, CAST(min(nullif(current_price, 0)) AS DOUBLE) AS min_price, CAST(max(nullif(current_price, 0)) AS DOUBLE) AS max_price, CAST(count(nullif(current_price, 0)) AS BIGINT) AS offers FROM listings GROUP BY 1",
+    ("listings",),
+)
+def _(m):
+    return compare.price_range(m.listings).selectExpr("product_id", *doubles("min_price", "max_price"), "offers")
+
+
+@query(
+    "search_products",
+    """SELECT product_id, product_code, brand, product_name FROM products p WHERE brand ILIKE '%brand#1%' AND gender = 'F'
+AND EXISTS (SELECT 1 FROM listings l WHERE l.product_id = p.product_id AND availability = 'AVAILABLE_IN_STOCK')
+ORDER BY brand NULLS LAST, product_name NULLS LAST, product_code LIMIT 40 OFFSET 5""",
+    ("products", "listings"),
+)
+def _(m):
+    return compare.search_products(m.products, m.listings, brand="brand#1", gender="F", in_stock=True, skip=5, limit=40).select("product_id", "product_code", "brand", "product_name")
+
+
+@query(
+    "products_with_listings",
+    """SELECT product_id, product_code, string_agg(source_id || ':' || availability, ',' ORDER BY source_id) AS offers, CAST(count(source_id) AS BIGINT) AS n
+FROM products LEFT JOIN listings USING (product_id) GROUP BY 1, 2""",
+    ("products", "listings"),
+)
+def _(m):
+    out = compare.products_with_listings(m.products, m.listings)
+    joined = F.when(F.col("listings").isNotNull(), F.array_join(F.transform("listings", lambda x: F.concat(x["source_id"].cast("string"), F.lit(":"), x["availability"])), ","))
+    return out.select("product_id", "product_code", joined.alias("offers"), F.coalesce(F.size("listings"), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0).cast("long")))
+
+
+# --- history ------------------------------------------------------------------------------------
+
+_ORDER = "seen_at, l_orderkey, l_linenumber"
+_AT = ["seen_at", "l_orderkey", "l_linenumber"]
+_LISTING = ["source_id", "product_id"]
+
+
+@query(
+    "latest_history",
+    f""", b AS (SELECT *, row_number() OVER (PARTITION BY source_id, product_id ORDER BY seen_at DESC, l_orderkey DESC, l_linenumber DESC) AS back FROM history)
+SELECT source_id, product_id, seen_at, l_orderkey, CAST(price AS DOUBLE) AS price, CAST(row_number() OVER (PARTITION BY source_id, product_id ORDER BY {_ORDER}) AS BIGINT) AS point FROM b WHERE back <= 3""",
+    ("history",),
+)
+def _(m):
+    return history.latest_history(m.history, _LISTING, _AT, 3).selectExpr("source_id", "product_id", "seen_at", "l_orderkey", *doubles("price"), *longs("point"))
+
+
+@query(
+    "price_series",
+    f"""SELECT source_id, product_id, seen_at, l_orderkey, l_linenumber, CAST(lag(price) OVER w AS DOUBLE) AS prev_price, CAST(price - lag(price) OVER w AS DOUBLE) AS change_abs,
+  CAST(min(price) OVER (PARTITION BY source_id, product_id ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS low_so_far,
+  CAST(max(price) OVER (PARTITION BY source_id, product_id ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS high_so_far,
+  CAST(date_diff('day', CAST(seen_at AS DATE), CAST(lead(seen_at) OVER w AS DATE)) AS BIGINT) AS days_at_price
+FROM history WINDOW w AS (PARTITION BY source_id, product_id ORDER BY {_ORDER})""",
+    ("history",),
+)
+def _(m):
+    out = history.price_series(m.history, _LISTING, _AT)
+    return out.selectExpr("source_id", "product_id", "seen_at", "l_orderkey", "l_linenumber", *doubles("prev_price", "change_abs", "low_so_far", "high_so_far"), *longs("days_at_price"))
+
+
+@query(
+    "state_as_of",
+    f"""SELECT source_id, product_id, CAST(price AS DOUBLE) AS price, availability FROM (SELECT *, row_number() OVER (PARTITION BY source_id, product_id ORDER BY seen_at DESC, l_orderkey DESC, l_linenumber DESC) AS r
+FROM history WHERE seen_at <= {AS_OF}) WHERE r = 1""",
+    ("history",),
+)
+def _(m):
+    return history.state_as_of(m.history, _LISTING, _AT, F.expr(AS_OF), ["price", "availability"]).selectExpr("source_id", "product_id", *doubles("price"), "availability")
+
+
+@query(
+    "states_as_of",
+    """, pts AS (SELECT DISTINCT source_id, product_id, date_trunc('month', seen_at) + INTERVAL 15 DAY AS at FROM history)
+SELECT pts.source_id, pts.product_id, pts.at AS seen_at, CAST((SELECT max({'k': (h.seen_at, h.l_orderkey), 'p': h.price}).p FROM history h WHERE h.source_id = pts.source_id AND h.product_id = pts.product_id AND h.seen_at <= pts.at) AS DOUBLE) AS as_of_value FROM pts""",
+    ("history",),
+)
+def _(m):
+    points = m.history.select(*_LISTING, (F.date_trunc("month", "seen_at") + F.expr("INTERVAL 15 DAYS")).alias("seen_at")).distinct()
+    return history.states_as_of(m.history, points, _LISTING, "seen_at", "l_orderkey", "price").selectExpr("source_id", "product_id", "seen_at", *doubles("as_of_value"))
+
+
+@query(
+    "tiers_as_of",
+    """SELECT e.event_id, t.tier_name, CAST(t.price AS DOUBLE) AS price, t.valid_from FROM (SELECT event_id, user_id, TIMESTAMP '1996-01-01' + to_days(CAST(event_id % 900 AS INT)) AS at FROM events) e
+JOIN tiers t ON t.customer = e.user_id AND t.valid_from <= e.at AND (t.valid_to IS NULL OR e.at < t.valid_to)""",
+    ("tiers",),
+)
+def _(m):
+    points = m.raw("events").selectExpr("event_id", "user_id AS customer", "TIMESTAMP '1996-01-01' + make_dt_interval(CAST(event_id % 900 AS INT)) AS at")
+    return history.tiers_as_of(m.tiers, points, "customer").selectExpr("event_id", "tier_name", *doubles("price"), "valid_from")
+
+
+@query(
+    "bulk_price",
+    """SELECT source_id, product_id, CAST(CASE WHEN product_id % 4 > 0 AND product_id % 4 * 10 > 25 THEN NULL WHEN product_id % 3 = 0 THEN current_price
+  WHEN product_id % 3 = 1 THEN current_price - 1 ELSE current_price - 2 END AS DOUBLE) AS unit_price FROM listings""",
+    ("listings",),
+)
+def _(m):
+    # two tiers from 10 and 20 pieces, one from 10 and one from 50, or none below 100; MOQ 0, 10, 20 or 30
+    pair = "named_struct('qty', {}, 'price', CAST(current_price - {} AS DECIMAL(12,2)))"
+    tiers = f"CASE product_id % 3 WHEN 0 THEN array({pair.format(100, 9)}) WHEN 1 THEN array({pair.format(10, 1)}, {pair.format(50, 5)}) ELSE array({pair.format(10, 1)}, {pair.format(20, 2)}) END AS bulk_tiers"
+    rows = m.listings.selectExpr("*", tiers, "CAST(product_id % 4 * 10 AS INT) AS moq")
+    return history.bulk_price(rows, 25).selectExpr("source_id", "product_id", *doubles("unit_price"))
+
+
+# --- change detection ---------------------------------------------------------------------------
+
+_CHAIN = """WITH r AS (SELECT l_suppkey AS source_id, CAST(l_partkey % 20 AS VARCHAR) AS ext, l_shipdate AS seen, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_extendedprice AS x,
+  CAST(floor(l_extendedprice / 20000) * 1000 AS BIGINT) AS price, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL WHEN l_returnflag = 'R' THEN 0 ELSE 7 END AS stock FROM lineitem),
+s AS (SELECT *, CASE WHEN stock IS NULL THEN 'UNKNOWN' WHEN stock > 0 THEN 'AVAILABLE_IN_STOCK' ELSE 'OUT_OF_STOCK' END AS availability FROM r),
+w AS (SELECT *, row_number() OVER v AS k, lag(price) OVER v AS pp, lag(availability) OVER v AS pa, lag(stock) OVER v AS ps FROM s WINDOW v AS (PARTITION BY source_id, ext ORDER BY seen, o, n, p, x)),
+c AS (SELECT *, CASE WHEN k = 1 THEN 'created' WHEN price = pp AND availability = pa AND stock IS NOT DISTINCT FROM ps THEN 'unchanged' ELSE 'changed' END AS change FROM w)
+"""
+
+
+def _changes(m):
+    empty = m.spark.createDataFrame([], "source_id long, source_external_id string, current_hash string, current_price decimal(12,2), availability string")
+    return delta.classify_changes(delta.observe(m.chains, m.sources), empty)
+
+
+@query("classify_changes", _CHAIN + "SELECT source_id, ext AS source_external_id, change, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY ALL")
+def _(m):
+    return _changes(m).groupBy("source_id", "source_external_id", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "history_rows",
+    _CHAIN + "SELECT source_id, ext AS source_external_id, seen AS recorded_at, CAST(price AS DOUBLE) AS price, availability FROM c WHERE change = 'created' OR (change = 'changed' AND (price <> pp OR availability <> pa))",
+)
+def _(m):
+    return delta.history_rows(_changes(m)).selectExpr("source_id", "source_external_id", "recorded_at", *doubles("price"), "availability")
+
+
+@query(
+    "run_counters",
+    _CHAIN
+    + """SELECT 'run' AS run_id, CAST(count(*) AS BIGINT) AS extracted, CAST(count(*) FILTER (change <> 'unchanged') AS BIGINT) AS updated, CAST(count(*) FILTER (change = 'unchanged') AS BIGINT) AS skipped,
+  CAST(0 AS BIGINT) AS failed, CAST(count(stock) AS BIGINT) AS items_with_stock, 'SUCCESS' AS status FROM c""",
+)
+def _(m):
+    return delta.run_counters(_changes(m))
+
+
+_BASE = """, last AS (SELECT source_id, ext, price, stock, availability, seen FROM (SELECT *, row_number() OVER (PARTITION BY source_id, ext ORDER BY seen DESC, o DESC, n DESC, p DESC, x DESC) AS back FROM c) WHERE back = 1)
+"""
+
+
+def _empty_snapshot(m):
+    kinds = "source_id long, source_external_id string, current_hash string, current_price decimal(12,2), current_stock int, availability string, stock_confidence string, url string, image_url string, currency string, last_confirmed_stock_at timestamp, last_seen_at timestamp"
+    return m.spark.createDataFrame([], kinds)
+
+
+@query("next_snapshot", _CHAIN.rstrip() + _BASE + "SELECT source_id, ext AS source_external_id, CAST(price AS DOUBLE) AS current_price, CAST(stock AS BIGINT) AS current_stock, availability, seen AS last_seen_at, 'CLP' AS currency FROM last")
+def _(m):
+    out = delta.next_snapshot(_changes(m), _empty_snapshot(m))
+    return out.selectExpr("source_id", "source_external_id", *doubles("current_price"), *longs("current_stock"), "availability", "last_seen_at", "currency")
+
+
+@query(
+    "delist_stale",
+    _CHAIN.rstrip() + _BASE + f"SELECT source_id, ext AS source_external_id, CASE WHEN seen < {AS_OF} - INTERVAL 1 DAY THEN 'DELISTED' ELSE availability END AS availability FROM last",
+)
+def _(m):
+    return delta.delist_stale(delta.next_snapshot(_changes(m), _empty_snapshot(m)), F.expr(AS_OF)).select("source_id", "source_external_id", "availability")
+
+
+@query(
+    "delta_two_batches",
+    _CHAIN + "SELECT source_id, CAST(count(*) FILTER (change = 'created') AS BIGINT) AS created, CAST(count(*) FILTER (change = 'changed') AS BIGINT) AS changed, CAST(count(*) FILTER (change = 'unchanged') AS BIGINT) AS unchanged FROM c GROUP BY 1",
+)
+def _(m):
+    """The same rows in two batches around a moment give the same counts as in one."""
+    observed = delta.observe(m.chains, m.sources)
+    early, late = observed.where(f"scraped_at < {AS_OF}"), observed.where(f"scraped_at >= {AS_OF}")
+    first = delta.classify_changes(early, _empty_snapshot(m))
+    second = delta.classify_changes(late, delta.next_snapshot(first, _empty_snapshot(m)))
+    counts = [F.count_if(F.col("change") == c).alias(c) for c in ("created", "changed", "unchanged")]
+    return first.select("source_id", "change").unionByName(second.select("source_id", "change")).groupBy("source_id").agg(*counts)
+
+
+@query(
+    "state_periods",
+    f""", a AS (SELECT *, CASE WHEN lag(availability) OVER (PARTITION BY source_id, product_id ORDER BY {_ORDER}) = availability THEN 0 ELSE 1 END AS fresh FROM history),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id, product_id ORDER BY {_ORDER}) AS period FROM a),
+q AS (SELECT source_id, product_id, period, availability, min(seen_at) AS valid_from, count(*) AS points FROM g GROUP BY 1, 2, 3, 4)
+SELECT source_id, product_id, CAST(period AS BIGINT) AS period, availability, valid_from, lead(valid_from) OVER (PARTITION BY source_id, product_id ORDER BY period) AS valid_to, CAST(points AS BIGINT) AS points FROM q""",
+    ("history",),
+)
+def _(m):
+    out = delta.state_periods(m.history, _LISTING, ["availability"], *_AT)
+    return out.selectExpr("source_id", "product_id", *longs("period"), "availability", "valid_from", "valid_to", "points")
+
+
+@query(
+    "merge_by_signature",
+    """, k AS (SELECT source_id * 1000000 + product_id AS listing_id, source_id, product_id % 50 AS grp, CASE WHEN product_id % 4 > 0 THEN concat(CAST(product_id % 3 * 50 + 50 AS VARCHAR), 'ml-EDP') END AS sig, last_seen_at FROM listings)
+SELECT listing_id, CASE WHEN sig IS NULL THEN listing_id ELSE first_value(listing_id) OVER (PARTITION BY grp, source_id, sig ORDER BY last_seen_at, listing_id) END AS merged_listing_id FROM k""",
+    ("listings",),
+)
+def _(m):
+    signature = text.variant_signature(F.when(F.col("product_id") % 4 > 0, F.col("product_id") % 3 * 50 + 50), F.when(F.col("product_id") % 4 > 0, F.lit("edp")))
+    rows = m.listings.select((F.col("source_id") * 1000000 + F.col("product_id")).alias("listing_id"), "source_id", (F.col("product_id") % 50).alias("product_id"), signature.alias("variant_signature"), F.col("last_seen_at").alias("first_seen_at"))
+    return delta.merge_by_signature(rows).select("listing_id", "merged_listing_id")
+
+
+# --- titles and text ----------------------------------------------------------------------------
+
+
+def _raw_titles(m):
+    raw = F.regexp_replace(F.concat_ws(" ", "t_brand", "t_name", "t_variant", "t_type", "t_volume", "t_gender"), " +", " ")
+    return m.titles.select("row_id", "t_brand", F.trim(raw).alias("raw_title"), "vendor", F.array().cast("array<string>").alias("tags"), F.col("row_id").cast("string").alias("barcode"), F.lit("A long text").alias("description"), "p_size")
+
+
+_BRAND = "CASE WHEN vendor IS NOT NULL THEN 'Creed' WHEN t_brand = 'Zzyzx' THEN 'Unknown' ELSE t_brand END"
+_TYPE = "CASE t_type WHEN 'Eau de Parfum' THEN 'EDP' WHEN 'EDT' THEN 'EDT' WHEN 'Extrait de Parfum' THEN 'PARFUM' WHEN 'Cologne' THEN 'COLOGNE' WHEN 'body mist' THEN 'BODY_MIST' END"
+_ML = "CASE WHEN t_volume <> '' AND p_size >= 1 THEN CAST(p_size AS BIGINT) END"
+_NAME = "concat(CASE WHEN vendor IS NOT NULL OR t_brand = 'Zzyzx' THEN concat(t_brand, ' ') ELSE '' END, t_name, CASE WHEN t_variant <> '' THEN ' Intense' ELSE '' END)"
+_CONF = f"(CASE WHEN {_BRAND} <> 'Unknown' THEN 1 ELSE 0 END + 1 + CASE WHEN t_type <> '' THEN 1 ELSE 0 END + CASE WHEN {_ML} IS NOT NULL THEN 1 ELSE 0 END) / 4.0"
+
+
+@query(
+    "normalize_titles",
+    f"""SELECT row_id, {_BRAND} AS brand, {_TYPE} AS fragrance_type, {_ML} AS volume_ml, CASE t_gender WHEN 'Men' THEN 'M' WHEN 'Mujer' THEN 'F' WHEN 'Unisex' THEN 'UNISEX' END AS gender,
+  {_NAME} AS product_name, CASE WHEN t_variant <> '' THEN 'Intense' END AS variant, CAST({_CONF} AS DOUBLE) AS confidence_score FROM titles""",
+    ("titles",),
+)
+def _(m):
+    return titles.normalize_titles(_raw_titles(m)).selectExpr("row_id", "brand", "fragrance_type", *longs("volume_ml"), "gender", "product_name", "variant", *doubles("confidence_score"))
+
+
+@query("route_llm", f"SELECT row_id, {_CONF} < 0.85 AS needs_llm, CAST(length({_BRAND}) > 0 AND {_BRAND} <> 'Unknown' AS BOOLEAN) AS brand_hint FROM titles", ("titles",))
+def _(m):
+    out = titles.route_llm(titles.normalize_titles(_raw_titles(m)))
+    return out.select("row_id", "needs_llm", F.map_contains_key("hints", "brand").alias("brand_hint"))
+
+
+@query(
+    "merge_llm",
+    f"""SELECT row_id, CASE WHEN {_BRAND} <> 'Unknown' THEN {_BRAND} WHEN row_id % 2 = 0 THEN 'Unknown' ELSE 'Nova' END AS brand, CASE WHEN row_id % 2 = 1 THEN concat('Line ', row_id) ELSE {_NAME} END AS product_name,
+  CASE WHEN row_id % 2 = 1 THEN 'HYBRID' ELSE 'REGEX' END AS normalization_method, CAST(CASE WHEN row_id % 2 = 1 THEN greatest(0.9, {_CONF}) ELSE {_CONF} END AS DOUBLE) AS confidence_score FROM titles""",
+    ("titles",),
+)
+def _(m):
+    norm = titles.normalize_titles(_raw_titles(m))
+    reply = F.concat(F.lit('```json\n{"brand": "Nova", "product_name": "Line '), F.col("row_id").cast("string"), F.lit('", "ml": 30}\n```'))
+    answers = m.titles.where("row_id % 2 = 1").select("row_id", titles.parse_llm_response(reply).alias("answer"))
+    return titles.merge_llm(norm, answers).selectExpr("row_id", "brand", "product_name", "normalization_method", *doubles("confidence_score"))
+
+
+@query(
+    "split_non_perfume",
+    f"SELECT CAST(count(*) FILTER ({_TYPE} IS NOT NULL AND {_ML} IS NOT NULL) AS BIGINT) AS kept, CAST(count(*) FILTER ({_TYPE} IS NULL OR {_ML} IS NULL) AS BIGINT) AS rejected FROM titles",
+    ("titles",),
+)
+def _(m):
+    kept, rejected = titles.split_non_perfume(titles.normalize_titles(_raw_titles(m)))
+    both = kept.select(F.lit(1).alias("k")).unionByName(rejected.select(F.lit(0).alias("k")))
+    return both.agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("rejected"))
+
+
+@query(
+    "infer_category",
+    f"""SELECT row_id, CASE lower({_BRAND}) WHEN 'creed' THEN 'niche' WHEN 'tom ford' THEN 'niche' WHEN 'xerjoff' THEN 'niche' WHEN 'dior' THEN 'designer' WHEN 'dolce & gabbana' THEN 'designer' WHEN 'paco rabanne' THEN 'designer'
+  ELSE CASE row_id % 4 WHEN 0 THEN 'niche' WHEN 1 THEN 'arabic' WHEN 2 THEN 'celebrity' ELSE 'designer' END END AS category FROM titles""",
+    ("titles",),
+)
+def _(m):
+    tags = F.expr("CASE row_id % 4 WHEN 0 THEN array('Prestige') WHEN 1 THEN array('x', 'Oriental') WHEN 2 THEN array('celebrity') ELSE array('sale') END")
+    norm = titles.normalize_titles(_raw_titles(m))
+    return norm.select("row_id", titles.infer_category(F.col("brand"), tags).alias("category"))
+
+
+@query("normalization_accuracy", "SELECT CAST(count(*) AS BIGINT) AS titles, CAST(count(*) AS BIGINT) AS right_rows FROM titles", ("titles",))
+def _(m):
+    truth = m.titles.selectExpr("row_id", f"{_BRAND} AS expected_brand", f"{_TYPE} AS expected_type", f"CAST({_ML} AS INT) AS expected_ml")
+    return titles.normalization_accuracy(titles.normalize_titles(_raw_titles(m)), truth).select("titles", F.col("right").alias("right_rows"))
+
+
+@query(
+    "text_functions",
+    r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS stripped, CAST(coalesce(try_cast(regexp_replace(url, '[^0-9]', '', 'g') AS DECIMAL(12,2)), 0) AS DOUBLE) AS price,
+  contains(lower(html), 'unavailable') OR contains(lower(html), 'agotado') OR contains(lower(html), 'sin stock') OR contains(lower(html), 'out of stock') OR contains(lower(html), 'no disponible') OR contains(lower(html), 'sold out') OR contains(lower(html), 'no stock') OR contains(lower(html), 'stock: 0') AS sold_out,
+  substring(sha256(concat(page_id, '-', url)), 1, 32) AS title_id, CASE WHEN url LIKE 'http%' THEN url ELSE concat('https://x', url) END AS full_url FROM pages""",
+)
+def _(m):
+    return m.raw("pages").select(
+        "page_id",
+        text.strip_html(F.col("html")).alias("stripped"),
+        text.parse_price(F.col("url")).cast("double").alias("price"),
+        text.detect_out_of_stock(F.col("html")).alias("sold_out"),
+        text.title_id(F.col("page_id").cast("string"), F.col("url")).alias("title_id"),
+        text.absolute_url(F.lit("https://x/"), F.col("url")).alias("full_url"),
+    )
+
+
+@query(
+    "state_hash",
+    """SELECT source_id, product_id, sha256(concat(CAST(current_price AS VARCHAR), '|', coalesce(CAST(current_stock AS VARCHAR), 'None'), '|', availability)) AS hash,
+  CASE WHEN product_id % 3 = 0 THEN concat(product_id, 'ml-EDP') ELSE 'EDP' END AS signature FROM listings WHERE product_id > 0""",
+    ("listings",),
+)
+def _(m):
+    rows = m.listings.where("product_id > 0")
+    signature = text.variant_signature(F.when(F.col("product_id") % 3 == 0, F.col("product_id")), F.lit("edp"))
+    return rows.select("source_id", "product_id", text.state_hash(F.col("current_price"), F.col("current_stock"), F.col("availability")).alias("hash"), signature.alias("signature"))
+
+
+@query(
+    "barcode_functions",
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 13, '7') END AS ean, CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 13, '7') END AS barcode,
+  CASE WHEN p_partkey % 3 = 0 THEN 'SKU' || p_size ELSE 'SKU' || p_size END AS sku, p_name AS name, CAST(CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_partkey END AS BIGINT) AS price FROM part""",
+)
+def _(m):
+    part = m.raw("part")
+    ean = F.when(F.col("p_partkey") % 3 == 0, F.lpad(F.col("p_partkey").cast("string"), 13, "7"))
+    code = text.split_ean_sku(F.concat(F.coalesce(ean, F.lit("")), F.lit("SKU"), F.col("p_size").cast("string")))
+    return part.select(
+        "p_partkey",
+        text.validate_ean(F.coalesce(F.concat(F.lit(" "), ean, F.lit(" ")), F.lit("12x"))).alias("ean"),
+        code["barcode"].alias("barcode"),
+        code["sku"].alias("sku"),
+        text.strip_box_note(F.concat("p_name", F.lit(" 12 por caja "))).alias("name"),
+        text.net_or_gross_price(F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(0), F.col("p_partkey")).cast("long").alias("price"),
+    )
+
+
+# --- products -----------------------------------------------------------------------------------
+
+
+def _rows(m):
+    """Rows to be matched: half of the products again, some by barcode alone, some unknown."""
+    return m.products.selectExpr(
+        "product_id AS pos",
+        "CASE WHEN product_id % 2 = 0 THEN upper(brand) ELSE 'New brand' END AS brand",
+        "product_name",
+        "variant",
+        "volume_ml",
+        "CASE WHEN product_id % 7 = 0 THEN ean_13 END AS ean_13",
+    )
+
+
+_MATCH = """, e AS (SELECT ean_13, min(product_code) AS code FROM products WHERE ean_13 IS NOT NULL GROUP BY 1),
+i AS (SELECT lower(brand) AS b, lower(product_name) AS n, lower(variant) AS v, volume_ml AS ml, min(product_code) AS code FROM products GROUP BY 1, 2, 3, 4),
+r AS (SELECT product_id AS pos, CASE WHEN product_id % 2 = 0 THEN upper(brand) ELSE 'New brand' END AS brand, product_name, variant, volume_ml, CASE WHEN product_id % 7 = 0 THEN ean_13 END AS ean_13 FROM products)
+"""
+
+
+@query(
+    "match_products",
+    _MATCH
+    + """SELECT pos, coalesce(e.code, i.code) AS product_code, CASE WHEN e.code IS NOT NULL THEN 'EAN' WHEN i.code IS NOT NULL THEN 'IDENTITY' ELSE 'NEW' END AS matched_by
+FROM r LEFT JOIN e USING (ean_13) LEFT JOIN i ON lower(r.brand) = b AND lower(r.product_name) = n AND lower(r.variant) IS NOT DISTINCT FROM v AND r.volume_ml IS NOT DISTINCT FROM ml""",
+    ("products",),
+)
+def _(m):
+    return products.match_products(_rows(m), m.products).select("pos", "product_code", "matched_by")
+
+
+@query(
+    "group_new_products",
+    """, k AS (SELECT product_id AS pos, concat_ws('|', lower(brand), coalesce(CAST(volume_ml AS VARCHAR), '-'), coalesce(lower(variant), '-')) AS identity, CASE WHEN product_id % 7 = 0 THEN CAST(product_id % 21 AS VARCHAR) END AS ean FROM products),
+l AS (SELECT ean, arg_min(identity, pos) AS leader FROM k WHERE ean IS NOT NULL GROUP BY 1),
+g AS (SELECT pos, coalesce(leader, identity) AS key FROM k LEFT JOIN l USING (ean))
+SELECT pos, min(pos) OVER (PARTITION BY key) AS first_pos FROM g""",
+    ("products",),
+)
+def _(m):
+    from pyspark.sql import Window
+
+    rows = m.products.selectExpr("product_id AS pos", "brand", "CAST('x' AS STRING) AS product_name", "variant", "volume_ml", "CASE WHEN product_id % 7 = 0 THEN CAST(product_id % 21 AS STRING) END AS ean_13")
+    grouped = products.group_new_products(rows)
+    return grouped.select("pos", F.min("pos").over(Window.partitionBy("group_key")).alias("first_pos"))
+
+
+@query(
+    "enrich_products",
+    """, r AS (SELECT product_id AS pos, concat('a', lpad(CAST(product_id % 100 + 1 AS VARCHAR), 8, '0')) AS product_code, fragrance_type, gender FROM products),
+f AS (SELECT product_code, arg_min(fragrance_type, pos) FILTER (fragrance_type IS NOT NULL) AS nt, arg_min(gender, pos) FILTER (gender IS NOT NULL) AS ng FROM r GROUP BY 1)
+SELECT product_code, coalesce(p.fragrance_type, nt) AS fragrance_type, coalesce(p.gender, ng) AS gender FROM products p LEFT JOIN f USING (product_code)""",
+    ("products",),
+)
+def _(m):
+    rows = m.products.selectExpr("product_id AS pos", "concat('a', lpad(CAST(product_id % 100 + 1 AS STRING), 8, '0')) AS product_code", "fragrance_type", "volume_ml", "gender", "ean_13", "product_name AS normalized_name")
+    known = m.products.withColumn("normalized_name", F.lit(None).cast("string"))
+    return products.enrich_products(known, rows).select("product_code", "fragrance_type", "gender")
+
+
+@query(
+    "assign_codes",
+    """, top AS (SELECT max(CAST(substring(product_code, 2) AS BIGINT)) AS base FROM products)
+SELECT c_custkey, concat('a', lpad(CAST(base + row_number() OVER (ORDER BY c_name, c_custkey) AS VARCHAR), 8, '0')) AS product_code FROM customer, top""",
+    ("products",),
+)
+def _(m):
+    return products.assign_codes(m.raw("customer"), m.products, "c_name", "c_custkey").select("c_custkey", "product_code")
+
+
+@query(
+    "parse_codes",
+    """SELECT product_id, 'a' AS prefix, CAST(product_id + 1 AS BIGINT) AS number, CAST(26 * CAST(99999999 AS BIGINT) + product_id + 1 AS BIGINT) AS moved, concat('aa', lpad(CAST(product_id + 1 AS VARCHAR), 8, '0')) AS moved_code FROM products""",
+    ("products",),
+)
+def _(m):
+    rows = m.products.select("product_id", products.parse_code(F.col("product_code")).alias("p"))
+    moved = F.col("p.ordinal") + 26 * products.CODES_A_PREFIX
+    return rows.select("product_id", "p.prefix", "p.number", moved.alias("moved"), products.code_of(moved).alias("moved_code"))
+
+
+_INDEX = r""", f AS (SELECT product_code, brand AS t, 1.0 AS w FROM products UNION ALL SELECT product_code, product_name, 1.0 FROM products UNION ALL SELECT product_code, variant, 0.4 FROM products
+  UNION ALL SELECT product_code, fragrance_type, 0.2 FROM products UNION ALL SELECT product_code, CAST(volume_ml AS VARCHAR), 0.2 FROM products),
+idx AS (SELECT product_code, token, CAST(max(w) AS DOUBLE) AS weight FROM (SELECT product_code, w, unnest(string_split_regex(lower(t), '[^a-z0-9]+')) AS token FROM f WHERE t IS NOT NULL) WHERE token <> '' AND token NOT IN ('de','la','el','los','las','y','para','con','en','un','una','por','del','al') GROUP BY 1, 2)
+"""
+
+
+@query("search_index", _INDEX + "SELECT product_code, token, weight FROM idx", ("products",))
+def _(m):
+    return products.search_index(m.products)
+
+
+@query("search", _INDEX + "SELECT product_code, CAST(sum(weight) AS DOUBLE) AS score FROM idx WHERE token IN ('brand', 'intense') GROUP BY 1 HAVING count(*) = 2 ORDER BY score DESC, product_code LIMIT 20", ("products",))
+def _(m):
+    return products.search(products.search_index(m.products), "Brand intense", 20)
+
+
+@query(
+    "purge",
+    """, k AS (SELECT product_id FROM products WHERE volume_ml IS NOT NULL AND fragrance_type IS NOT NULL), l AS (SELECT source_id, product_id FROM listings WHERE product_id IN (SELECT product_id FROM k) AND source_id NOT IN (SELECT source_id FROM sources WHERE name LIKE '%5'))
+SELECT source_id, product_id, CAST(count(*) AS BIGINT) AS points FROM history JOIN l USING (source_id, product_id) GROUP BY 1, 2""",
+    ("sources", "products", "listings"),
+)
+def _(m):
+    key = F.concat_ws("-", F.col("source_id").cast("string"), F.col("product_id").cast("string")).alias("listing_id")
+    _, _, left = products.purge(m.products, m.listings.select("source_id", "product_id", key), m.history.select("source_id", "product_id", key), m.sources, "%5")
+    return left.groupBy("source_id", "product_id").agg(F.count(F.lit(1)).alias("points"))
+
+
+# --- scoring, audit, scheduling -----------------------------------------------------------------
+
+
+@query(
+    "source_reliability",
+    """SELECT s.source_id, CAST(CASE WHEN s.is_active AND count(l.source_id) > 0 THEN 50 + (50 * count(*) FILTER (l.stock_confidence = 'HIGH')) // count(l.source_id) ELSE 50 END AS BIGINT) AS reliability_score
+FROM sources s LEFT JOIN listings l USING (source_id) GROUP BY s.source_id, s.is_active""",
+    ("sources", "listings"),
+)
+def _(m):
+    return scoring.source_reliability(m.sources, m.listings).selectExpr("source_id", *longs("reliability_score"))
+
+
+@query(
+    "upsert_monthly_scores",
+    """, cur AS (SELECT source_id, '2024-01' AS month, 1 AS accuracy, 2 AS rate, 3 AS other FROM sources WHERE source_id % 2 = 0), new AS (SELECT source_id, '2024-01' AS month, 10 AS a, 20 AS r FROM sources WHERE source_id % 3 = 0)
+SELECT source_id, month, CAST(coalesce(a, accuracy) AS BIGINT) AS accuracy, CAST(coalesce(r, rate) AS BIGINT) AS rate, CAST(other AS BIGINT) AS other FROM cur FULL JOIN new USING (source_id, month)""",
+    ("sources",),
+)
+def _(m):
+    current = m.sources.where("source_id % 2 = 0").selectExpr("source_id", "'2024-01' AS month", "1 AS accuracy", "2 AS rate", "3 AS other")
+    new = m.sources.where("source_id % 3 = 0").selectExpr("source_id", "10 AS accuracy", "20 AS rate")
+    return scoring.upsert_monthly_scores(current, new, "2024-01").selectExpr("source_id", "month", *longs("accuracy", "rate", "other"))
+
+
+@query(
+    "catalog_summary",
+    "SELECT source_id, CAST(count(*) AS BIGINT) AS items, CAST(count(DISTINCT brand) AS BIGINT) AS brands, CAST(count(*) FILTER (current_price > 0) AS BIGINT) AS with_price, CAST(count(image_url) AS BIGINT) AS with_image FROM listings JOIN products USING (product_id) GROUP BY ROLLUP (source_id)",
+    ("products", "listings"),
+)
+def _(m):
+    raw = m.listings.join(m.products.select("product_id", F.col("brand").alias("vendor")), "product_id").withColumn("price", F.col("current_price"))
+    return scoring.catalog_summary(raw, ["source_id"])
+
+
+@query(
+    "quality_report",
+    """, h AS (SELECT source_id, count(*) AS history_points FROM history GROUP BY 1)
+SELECT source_id, CAST(count(*) AS BIGINT) AS listings, CAST(count(DISTINCT product_id) AS BIGINT) AS products, CAST(count(*) - count(url) AS BIGINT) AS no_url, CAST(count(*) - count(image_url) AS BIGINT) AS no_image,
+  CAST(count(*) - count(fragrance_type) AS BIGINT) AS no_type, CAST(count(*) - count(volume_ml) AS BIGINT) AS no_volume, CAST(any_value(history_points) AS BIGINT) AS history_points
+FROM listings LEFT JOIN products USING (product_id) LEFT JOIN h USING (source_id) GROUP BY 1""",
+    ("products", "listings"),
+)
+def _(m):
+    return scoring.quality_report(m.listings, m.products, m.history).select("source_id", "listings", "products", "no_url", "no_image", "no_type", "no_volume", "history_points")
+
+
+@query("items_with_stock", "SELECT source_id, CAST(count(stock) AS BIGINT) AS items_with_stock FROM observations GROUP BY 1", ("observations",))
+def _(m):
+    return scoring.items_with_stock(m.observations, "source_id")
+
+
+@query("list_sources", "SELECT source_id, name, is_active, engine_type FROM sources ORDER BY name", ("sources",))
+def _(m):
+    return scoring.list_sources(m.sources).select("source_id", "name", "is_active", "engine_type")
+
+
+@query("recent_logs", "SELECT log_id, source_id, started_at, status FROM logs ORDER BY started_at DESC, log_id DESC LIMIT 50", ("logs",))
+def _(m):
+    return scoring.recent_logs(m.logs, limit=50).select("log_id", "source_id", "started_at", "status")
+
+
+@query(
+    "sources_due",
+    """, last AS (SELECT source_id, max(started_at) AS last_run FROM logs WHERE status IN ('SUCCESS', 'PARTIAL') GROUP BY 1)
+SELECT source_id, name, last_run FROM sources LEFT JOIN last USING (source_id) WHERE is_active AND source_id NOT IN (SELECT source_id FROM queue WHERE status IN ('PENDING', 'RUNNING')) AND (last_run IS NULL OR last_run <= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 4 HOUR)""",
+    ("sources", "logs", "queue"),
+)
+def _(m):
+    return scoring.sources_due(m.sources, m.queue, m.logs, F.expr("TIMESTAMP '2024-01-30 00:00:00'")).select("source_id", "name", "last_run")
+
+
+@query("enqueue_all", "SELECT source_id, 'PENDING' AS status, CAST(5 AS BIGINT) AS priority FROM sources WHERE is_active AND source_id NOT IN (SELECT source_id FROM queue WHERE status = 'PENDING') AND name NOT LIKE '%7'", ("sources", "queue"))
+def _(m):
+    return scoring.enqueue_all(m.sources, m.queue, 5, "%7").selectExpr("source_id", "status", *longs("priority"))
+
+
+@query("next_jobs", f"SELECT job_id, source_id, CAST(priority AS BIGINT) AS priority FROM queue WHERE status = 'PENDING' AND scheduled_at <= {AS_OF} ORDER BY priority DESC, scheduled_at, job_id LIMIT 10", ("queue",))
+def _(m):
+    return scoring.next_jobs(m.queue, F.expr(AS_OF), 10).selectExpr("job_id", "source_id", *longs("priority"))
+
+
+@query(
+    "run_stats",
+    """SELECT source_id, CAST(started_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS runs, CAST(count(*) FILTER (status = 'SUCCESS') AS BIGINT) AS n_success, CAST(count(*) FILTER (status = 'FAILED') AS BIGINT) AS n_failed,
+  CAST((1000 * count(*) FILTER (status = 'FAILED')) // count(*) AS BIGINT) AS failed_permille, max(CASE WHEN status = 'SUCCESS' THEN started_at END) AS last_success FROM logs GROUP BY 1, 2""",
+    ("logs",),
+)
+def _(m):
+    return scoring.run_stats(m.logs, ("SUCCESS", "FAILED"))
+
+
+# --- rules --------------------------------------------------------------------------------------
+
+
+@query(
+    "violation_counts",
+    """, v AS (SELECT unnest([CASE WHEN current_price < 0 THEN 'price_negative' END, CASE WHEN current_stock < 0 THEN 'stock_negative' END, CASE WHEN current_price > 50000 THEN 'too_dear' END, CASE WHEN url IS NULL THEN 'no_url' END]) AS rule FROM listings)
+SELECT rule, CAST(count(*) AS BIGINT) AS "rows" FROM v WHERE rule IS NOT NULL GROUP BY 1""",
+    ("listings",),
+)
+def _(m):
+    more = {"too_dear": "current_price > 50000", "no_url": "url IS NULL"}
+    return rules.violation_counts(m.listings.withColumn("source_external_id", F.lit("x")), {**rules.LISTING_RULES, **more})
+
+
+@query("duplicate_keys", 'SELECT volume_ml, variant, CAST(count(*) AS BIGINT) AS "rows" FROM products GROUP BY 1, 2 HAVING count(*) > 1', ("products",))
+def _(m):
+    return rules.duplicate_keys(m.products, ["volume_ml", "variant"]).selectExpr("CAST(volume_ml AS INT) AS volume_ml", "variant", "rows")
+
+
+@query("orphans", "SELECT log_id, source_id FROM logs WHERE source_id NOT IN (SELECT source_id FROM sources WHERE is_active)", ("logs", "sources"))
+def _(m):
+    return rules.orphans(m.logs, m.sources.where("is_active"), "source_id").select("log_id", "source_id")
+
+
+@query("low_confidence", "SELECT product_code, CAST(confidence AS DOUBLE) AS confidence FROM products WHERE confidence < 0.8 ORDER BY confidence, product_code", ("products",))
+def _(m):
+    return rules.low_confidence(m.products).selectExpr("product_code", *doubles("confidence"))
+
+
+@query(
+    "illegal_transitions",
+    f""", d AS (SELECT *, CASE WHEN l_linenumber = 3 THEN 'DELISTED' ELSE availability END AS st FROM history), w AS (SELECT *, lag(st) OVER (PARTITION BY source_id, product_id ORDER BY {_ORDER}) AS prev_state FROM d)
+SELECT source_id, product_id, seen_at, l_orderkey, prev_state, st FROM w WHERE prev_state = 'DELISTED' AND st <> 'DELISTED'""",
+    ("history",),
+)
+def _(m):
+    rows = m.history.withColumn("st", F.expr("CASE WHEN l_linenumber = 3 THEN 'DELISTED' ELSE availability END"))
+    return rules.illegal_transitions(rows, _LISTING, _AT, "st").select("source_id", "product_id", "seen_at", "l_orderkey", "prev_state", "st")
+
+
+# --- sources and tables -------------------------------------------------------------------------
+
+
+@query(
+    "read_feed_json",
+    """SELECT 'shop' AS source_id, CASE WHEN k = 0 THEN p_name ELSE concat(p_name, ' - V', k) END AS raw_title, CAST(CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END AS DOUBLE) AS price, concat('https://x/products/h', p_partkey) AS url,
+  p_brand AS vendor, concat('s', p_partkey, '-', k) AS sku, CAST(p_size AS BIGINT) AS inventory_quantity FROM part, (VALUES (0), (1)) v(k) WHERE p_partkey % 5 > 0""",
+)
+def _(m):
+    variant = lambda k: f"""named_struct('title', '{"Default Title" if k == 0 else f"V{k}"}', 'price', CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS STRING) END, 'sku', concat('s', p_partkey, '-{k}'), 'inventory_quantity', p_size)"""
+    body = f"""to_json(named_struct('products', array(named_struct('title', p_name, 'vendor', concat(' ', p_brand, ' '), 'handle', concat('h', p_partkey),
+      'variants', CASE WHEN p_partkey % 5 > 0 THEN array({variant(0)}, {variant(1)}) ELSE array() END)))) AS body"""
+    feeds = m.raw("part").selectExpr("'shop' AS source_id", "'https://x/' AS base_url", body)
+    return listings.read_feed_json(feeds).selectExpr("source_id", "raw_title", *doubles("price"), "url", "vendor", "sku", *longs("inventory_quantity"))
+
+
+@query(
+    "extract_table_rows",
+    """SELECT p_partkey AS page_id, concat(p_brand, ' ', p_name) AS raw_title, concat('S', p_size) AS sku, CASE WHEN p_partkey % 2 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 13, '5') END AS barcode, CAST(CASE WHEN p_size % 3 = 0 THEN p_size * 10 ELSE p_size END AS DOUBLE) AS price,
+  CAST(CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS BIGINT) AS stock, p_size % 4 <> 0 AND p_size <> 0 AS available FROM part""",
+)
+def _(m):
+    row = """concat('<table><tr><th>x</th></tr><tr><td>too</td><td>few</td></tr><tr class="r"><td> ', p_brand, ' </td><td>', CASE WHEN p_partkey % 2 = 0 THEN lpad(CAST(p_partkey AS STRING), 13, '5') ELSE '' END, 'S', p_size,
+      '</td><td><img class="a" src="/i.png"></td><td><b>', p_name, '</b> 12 por caja</td><td>$', p_size * 10, '</td><td>', CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END, '</td><td>', CASE WHEN p_size % 4 = 0 THEN 'Agotado' ELSE concat(p_size, ' u.') END, '</td></tr></table>') AS html"""
+    pages = m.raw("part").selectExpr("p_partkey AS page_id", "'b2b' AS source_id", row)
+    return listings.extract_table_rows(pages).selectExpr("page_id", "raw_title", "sku", "barcode", *doubles("price"), *longs("stock"), "available")
+
+
+@query(
+    "extract_cards",
+    """SELECT p_partkey AS page_id, p_name AS raw_title, CAST(p_size * 100 AS DOUBLE) AS price, concat('https://x/p/', p_partkey) AS url, p_brand AS vendor, CAST(CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS BIGINT) AS stock, p_size % 4 <> 0 AS available, concat('k', p_size) AS sku FROM part""",
+)
+def _(m):
+    card = """concat('<div class="list"><div class="product-item big"><a href="/p/', p_partkey, '"><img data-src="/a.png" src="/b.png"></a><h4 class="product-title"> ', p_name, ' </h4><span class="brand">', p_brand, '</span><p class="price">$', p_size, '.00</p>',
+      '<form data-sku="k', p_size, '"></form><i class="stock">', CASE WHEN p_size % 4 = 0 THEN 'Sold out' ELSE concat(p_size, ' left') END, '</i></div><div class="product-item"><p class="price">1</p></div></div>') AS html"""
+    pages = m.raw("part").selectExpr("p_partkey AS page_id", "'shop' AS source_id", "'https://x/' AS base_url", card)
+    return cards.extract_cards(pages, "jumpseller").selectExpr("page_id", "raw_title", *doubles("price"), "url", "vendor", *longs("stock"), "available", "sku")
+
+
+@query(
+    "upsert_listings",
+    """, c AS (SELECT source_id, product_id, CAST(current_price + 1 AS DECIMAL(12,2)) AS p, 'OUT_OF_STOCK' AS a FROM listings WHERE product_id % 3 = 0 UNION ALL SELECT source_id + 100000, product_id, current_price, availability FROM listings WHERE product_id % 50 = 0)
+SELECT source_id, product_id, CAST(coalesce(p, current_price) AS DOUBLE) AS current_price, coalesce(a, availability) AS availability FROM listings FULL JOIN c USING (source_id, product_id)""",
+    ("listings",),
+)
+def _(m):
+    current = m.listings.selectExpr("source_id", "CAST(product_id AS STRING) AS source_external_id", "current_price", "availability")
+    changed = m.listings.where("product_id % 3 = 0").selectExpr("source_id", "CAST(product_id AS STRING) AS source_external_id", "CAST(current_price + 1 AS DECIMAL(12,2)) AS current_price", "'OUT_OF_STOCK' AS availability")
+    added = m.listings.where("product_id % 50 = 0").selectExpr("source_id + 100000 AS source_id", "CAST(product_id AS STRING) AS source_external_id", "current_price", "availability")
+    out = tables.upsert_listings(current, changed.unionByName(added))
+    return out.selectExpr("source_id", "CAST(source_external_id AS BIGINT) AS product_id", *doubles("current_price"), "availability")
+
+
+@query(
+    "upsert_sources",
+    """, c AS (SELECT name, 'u' AS base_url, engine_type, is_active FROM sources), n AS (SELECT name, 'new' AS u, 'shopify' AS e FROM sources WHERE source_id % 4 = 0 UNION ALL SELECT 'Fresh', 'new', 'shopify')
+SELECT name, coalesce(u, base_url) AS base_url, coalesce(e, engine_type) AS engine_type, CASE WHEN u IS NOT NULL THEN true ELSE is_active END AS is_active FROM c FULL JOIN n USING (name)""",
+    ("sources",),
+)
+def _(m):
+    current = m.sources.selectExpr("name", "'u' AS base_url", "engine_type", "is_active")
+    fresh = m.spark.range(1).selectExpr("'Fresh' AS name", "'new' AS base_url", "'shopify' AS engine_type")
+    new = m.sources.where("source_id % 4 = 0").selectExpr("name", "'new' AS base_url", "'shopify' AS engine_type").unionByName(fresh)
+    return tables.upsert_sources(current, new)
+
+
+@query("new_sources", "SELECT r_name AS name FROM region WHERE r_name NOT IN (SELECT name FROM sources)", ("sources",))
+def _(m):
+    return tables.new_sources(m.sources, m.raw("region").selectExpr("r_name AS name"))
+
+
+# --- streams (as batch queries over the tables the streams read) ----------------------------------
+
+
+@query(
+    "window_counters",
+    "SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, CAST(count(*) AS BIGINT) AS \"rows\" FROM events GROUP BY 1, 2",
+)
+def _(m):
+    from pricewatch_spark.streaming import changes
+
+    return changes.run_counters_stream(m.raw("events"), "ts", ["event_type"]).select("window_start", "event_type", "rows")
