@@ -8,7 +8,8 @@ TITLES = [
     ("DOLCE & GABBANA Light Blue Eau de Toilette 100 ML Mujer", None, [], "Dolce & Gabbana", "EDT", 100, "F"),
     ("Perfume Lancôme La Vie Est Belle 50ml", None, ["EDP"], "Lancôme", "EDP", 50, None),
     ("Lancome Idole 50 ml eau de parfum", None, [], "Lancôme", "EDP", 50, None),
-    ("Hermès Terre EDT 100ml", None, [], "Hermes", "EDT", 100, None),
+    ("Hermès Terre EDT 100ml", None, [], "Hermès", "EDT", 100, None),
+    ("Terre de HERMES EDT 100ml", None, [], "Hermes", "EDT", 100, None),
     ("Paco Rabanne 1 Million Parfum 100ml", None, [], "Paco Rabanne", None, 100, None),
     ("Chloé Nomade 75ml edp mujer", None, [], "Chloé", "EDP", 75, "F"),
     ("Body Splash Vainilla 250 ml", None, [], "Unknown", "BODY_MIST", 250, None),
