@@ -10,8 +10,8 @@ bigrams, and each unit in turn moves to the class that raises the class bigram l
 
 Class transitions are interpolated with class frequencies; units and words are smoothed by adding
 0.1, with one unseen word a unit, so the model is a distribution over known words and one unseen
-word an ending.  Counts are over all training texts.  The LISTED most frequent words are
-sent to the tasks; the counts of all other words meet the texts in a join.
+word an ending.  Counts are over all training texts.  The most frequent words, at most
+LISTED, are sent to the tasks; the counts of all other words meet the texts in a join.
 
 Defined results: null and empty texts are one end; rows with a null doc_id are scored but not
 learned from (held_out is false); repeated rows count and are scored row by row; without training
@@ -74,6 +74,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, ending int, c long").groupBy("word", "ending").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """(word, count) of the words above a count, at most ``most`` of them, by count and word.
+
+    The count comes from the table of counts of counts, so no task sends more than its share.
+    """
+    low, held = None, 0
+    for r in sorted(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["c"]):  # a row a distinct count
+        held += r["n"]
+        if held > most:
+            break
+        low = r["c"]
+    if low is None:
+        return []
+    return sorted(((r["word"], r["c"]) for r in counts.where(F.col("c") >= low).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 class Units:
     """Numbers of units: frequent words, then endings, then the end of a text."""
 
@@ -195,7 +211,7 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch, n_classes: int
     counts = scratch.write(word_counts(docs), "words")
     n_docs = docs.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(LISTED).collect()]
+    top = most_frequent(counts, LISTED)
     frequent = [w for w, _ in top[:FREQUENT]]
     units = Units(frequent)
     inside, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
