@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewatch_spark.llm.common import Scratch, raw_bytes, table
-from pricewatch_spark.llm.repeats import alive, anchored, anchors, copied, covered, hashed, runs, surviving, units, with_text
+from pricewatch_spark.llm.repeats import alive, anchored, anchors, arrays, copied, covered_runs, hashed, runs, surviving, units, with_text
 
 NAME = "op4_suffix_dedup"
 LENGTH = 200
 ANCHOR = 64
-GROUP = 1024  # distinct fragments of an anchor that go into one construction
+GROUP = 4096  # distinct fragments of an anchor that go into one construction
 CHUNK = 1 << 18  # bytes of fragments before trimming in one construction, from which on it is closed
 ORACLE_SQL = None
 
@@ -225,11 +225,12 @@ def trimmed(rows: list[tuple[bytes, int]], size: int, length: int) -> dict[bytes
 
 def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
     """fragments (fp, salt, salts, digest, weight, left, body), sorted by (fp, salt) within partitions ->
-    fp, digest, starts (of repeated windows); where there are salts, classes (a digest for each window) and weights."""
-    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()))
+    fp, digest, lows and highs (runs of starts of repeated windows); where there are salts, classes (a digest for
+    each window) and weights."""
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()))
 
     def batch_of(found: list[tuple]):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=["fp", "digest", "starts", "classes", "weights"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=["fp", "digest", "lows", "highs", "classes", "weights"])
 
     def salted(rows: list[tuple]):
         who, start, of = window_classes([r[6] for r in rows], length)
@@ -239,7 +240,7 @@ def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
         bounds = np.searchsorted(who, np.arange(len(rows) + 1))
         for k, (fp, _, _, digest, _, _, body) in enumerate(rows):
             own = slice(bounds[k], bounds[k + 1])
-            yield fp, digest, [], [hashlib.blake2b(body[x : x + length], digest_size=16).digest() for x in start[own].tolist()], total[of[own]].tolist()
+            yield fp, digest, [], [], [hashlib.blake2b(body[x : x + length], digest_size=16).digest() for x in start[own].tolist()], total[of[own]].tolist()
 
     def solved(groups: list[tuple[list[tuple], dict]]):
         """groups: (rows, pieces) of anchors; one construction over the pieces of all that have several."""
@@ -270,9 +271,11 @@ def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
         for g, (rows, _) in enumerate(groups):
             for k, (fp, _, _, digest, weight, _, body) in enumerate(rows):
                 if weight >= 2:
-                    yield fp, digest, np.arange(len(body) - length + 1, dtype=np.int32), None, None
+                    yield fp, digest, [0], [len(body) - length + 1], None, None
                 elif (g, k) in flags:
-                    yield fp, digest, np.concatenate(flags[g, k]).astype(np.int32), None, None
+                    good = np.zeros(len(body) - length + 1, bool)
+                    good[np.concatenate(flags[g, k])] = True
+                    yield fp, digest, *runs(good), None, None
 
     def run(batches):
         group: list[tuple] = []
@@ -298,11 +301,11 @@ def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
         if waiting:
             yield batch_of(list(solved(waiting)))
 
-    return fragments.mapInArrow(run, "fp long, digest binary, starts array<int>, classes array<binary>, weights array<long>")
+    return fragments.mapInArrow(run, "fp long, digest binary, lows array<int>, highs array<int>, classes array<binary>, weights array<long>")
 
 
 def repeated_strings(docs: DataFrame, length: int, scratch: Scratch, size: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """text_hash, starts: the repeated windows, by first byte, of texts without a copy."""
+    """text_hash, lows, highs: runs of starts of repeated windows, of texts without a copy."""
     texts_ = anchored(docs, "bytes", length, size, scratch)
     every = scratch.write(_fragments(with_text(docs, surviving(texts_, scratch, "0"), texts_), length, size), "fragments")
     distinct = every.groupBy("fp", "digest").agg(F.sum("copies").alias("weight"), F.first("body").alias("body"), F.first("left").alias("left"), F.first("windows").alias("windows"))
@@ -313,39 +316,43 @@ def repeated_strings(docs: DataFrame, length: int, scratch: Scratch, size: int =
     built = scratch.write(_constructed(several.repartition("fp", "salt").sortWithinPartitions("fp", "salt"), length, size), "built")
 
     alone = distinct.where("weight >= 2").join(counts.where("n = 1"), "fp", "left_semi")
-    flags = alone.select("fp", "digest", F.sequence(F.lit(0), F.col("windows") - 1).alias("starts"))
-    flags = flags.unionByName(built.where("classes is null and size(starts) > 0").select("fp", "digest", "starts"))
+    flags = alone.select("fp", "digest", F.array(F.lit(0)).alias("lows"), F.array("windows").alias("highs"))
+    flags = flags.unionByName(built.where("classes is null").select("fp", "digest", "lows", "highs"))
     # a class of a salted anchor has its weight once in each salt
     salted = built.where("classes is not null").join(several.select("fp", "digest", "salt"), ["fp", "digest"])
     pairs = salted.select("fp", "digest", "salt", F.posexplode(F.arrays_zip("classes", "weights")).alias("start", "c")).select("fp", "digest", "salt", "start", "c.classes", "c.weights")
     by_class = pairs.groupBy("fp", "classes", "salt").agg(F.max("weights").alias("w")).groupBy("fp", "classes").agg(F.sum("w").alias("w")).where("w >= 2")
     by_class = scratch.write(by_class, "salted-classes")
-    again = pairs.join(by_class, ["fp", "classes"], "left_semi").groupBy("fp", "digest").agg(F.collect_list("start").alias("starts"))
+    again = pairs.join(by_class, ["fp", "classes"], "left_semi").groupBy("fp", "digest").agg(F.collect_list("start").alias("lows"))
+    again = again.withColumn("highs", F.transform("lows", lambda x: x + 1))
     flags = flags.unionByName(again)
 
     single = every.where("copies = 1").select("id", "fp", "digest", "start").join(flags, ["fp", "digest"])
-    starts = single.groupBy("id").agg(F.flatten(F.collect_list(F.transform("starts", lambda x: x + F.col("start")))).alias("starts"))
-    return texts_.select("id", "text_hash").join(starts, "id").select("text_hash", "starts")
+    moved = lambda c: F.flatten(F.collect_list(F.transform(c, lambda x: x + F.col("start")))).alias(c)
+    found = single.groupBy("id").agg(moved("lows"), moved("highs"))
+    return texts_.select("id", "text_hash").join(found, "id").select("text_hash", "lows", "highs")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, size: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     scratch = Scratch(spark, "suffix-dedup")
-    once = repeated_strings(docs, length, scratch, size, group).select("text_hash", F.lit(False).alias("whole"), "starts")
-    marks = once.unionByName(copied(scratch).select("text_hash", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts")))
+    once = repeated_strings(docs, length, scratch, size, group).select("text_hash", F.lit(False).alias("whole"), "lows", "highs")
+    none = F.array().cast("array<int>")
+    marks = once.unionByName(copied(scratch).select("text_hash", F.lit(True).alias("whole"), none.alias("lows"), none.alias("highs")))
     marks = scratch.write(marks, "marks")
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for batch in batches:
             n, removed, spans, kept = [], [], [], []
-            for text, whole, starts in zip(*(batch.column(c).to_pylist() for c in ("text", "whole", "starts")), strict=True):
+            rows = zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist(), arrays(batch.column("lows")), arrays(batch.column("highs")), strict=True)
+            for text, whole, lows, highs in rows:
                 data = raw_bytes(text)
                 gone = np.zeros(len(data), bool)
                 if whole and len(data) >= length:
                     gone[:] = True
-                elif starts:
-                    gone = covered(starts, length, len(data))
+                elif len(lows):
+                    gone = covered_runs(lows, highs, length, len(data))
                 n.append(len(data))
                 removed.append(int(gone.sum()))
                 spans.append(len(runs(gone)[0]))
@@ -355,7 +362,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, siz
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    joined = hashed(docs).join(marks, "text_hash", "left").select("doc_id", "text", "whole", "starts")
+    joined = hashed(docs).join(marks, "text_hash", "left").select("doc_id", "text", "whole", "lows", "highs")
     return joined.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
