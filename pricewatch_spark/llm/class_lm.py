@@ -1,10 +1,11 @@
 """LM scoring with a Brown class-based bigram model.
 
-Tokens are words (A-Z in lower case) and one end a text.  Units are what is clustered: the
-FREQUENT most frequent words, the end, and one unit for each of ENDINGS hashes of a word's last
-three bytes, which takes all other words.  Exchange clustering assigns units to CLASSES classes:
-in every round Spark counts, for each unit, the classes before and after it over all training
-bigrams, and each unit in turn moves to the class that raises the class bigram likelihood most.
+Tokens are words (A-Z in lower case) and one end a text.  Units are what is clustered: every word
+seen LEAST times or more, the end, and one unit for each of ENDINGS hashes of a word's last three
+bytes, which takes the words seen less often.  Exchange clustering assigns units to CLASSES
+classes: in every round the FREQUENT most frequent words and the endings move one after another on
+the driver, then all other words at once in Spark, each to the class that raises the class bigram
+likelihood most, until no unit moves.  Tasks get 8 bytes of hash and 1 of class for each unit.
 
     p(word | before) = p(class | class before) * p(unit | class) * p(word | unit)
 
@@ -29,18 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch_spark.llm.common import Scratch, remainder, table, texts
+from pricewatch_spark.llm.common import BASE, Scratch, as_long, fold_ascii, mix, raw_bytes, remainder, table, texts, word_hashes
 
 NAME = "op10_class_lm"
 ORACLE_SQL = None
 FREQUENT = 2000
 ENDINGS = 500
-LISTED = 50_000
+LEAST = 5  # a word seen so often is a unit of its own
 CLASSES = 96
-ROUNDS = 7
+ROUNDS = None  # until no unit moves
 ADD = 0.1
 BACK_OFF = 0.03  # share of the class frequencies in a transition
 FLUSH = 400_000
+HELD = 2_000_000
+BLOCK = 100_000
+TOGETHER = 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -53,14 +57,14 @@ def ending(word: bytes) -> int:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, unit (its ending), c: over all texts."""
+    """word, h (its hash), ending, c: over all texts."""
 
     def run(batches):
         def flush(counts):
             kept = [w.decode("utf-8", "surrogatepass") for w in counts]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(kept, pa.string()), pa.array([ending(w) for w in counts], pa.int32()), pa.array([*counts.values()], pa.int64())], names=["word", "ending", "c"]
-            )
+            hashes = as_long(word_hashes(raw_bytes(b" ".join(counts)))[0])
+            columns = [pa.array(kept, pa.string()), pa.array(hashes, pa.int64()), pa.array([ending(w) for w in counts], pa.int32()), pa.array([*counts.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "h", "ending", "c"])
 
         counts: Counter = Counter()
         for batch in batches:
@@ -71,96 +75,251 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     counts = Counter()
         yield flush(counts)
 
-    return docs.select("text").mapInArrow(run, "word string, ending int, c long").groupBy("word", "ending").agg(F.sum("c").alias("c"))
-
-
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
-    """(word, count) of the words above a count, at most ``most`` of them, by count and word.
-
-    The count comes from the table of counts of counts, so no task sends more than its share.
-    """
-    low, held = None, 0
-    for r in sorted(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["c"]):  # a row a distinct count
-        held += r["n"]
-        if held > most:
-            break
-        low = r["c"]
-    if low is None:
-        return []
-    return sorted(((r["word"], r["c"]) for r in counts.where(F.col("c") >= low).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+    return docs.select("text").mapInArrow(run, "word string, h long, ending int, c long").groupBy("word", "h", "ending").agg(F.sum("c").alias("c"))
 
 
 class Units:
-    """Numbers of units: frequent words, then endings, then the end of a text."""
+    """Numbers of units: words by hash, then endings, then the end of a text."""
 
-    def __init__(self, frequent: list[str]):
-        self.of = {w.encode("utf-8", "surrogatepass"): k for k, w in enumerate(frequent)}
-        self.first_ending = len(frequent)
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes  # in order
+        self.first_ending = len(hashes)
         self.end = self.first_ending + ENDINGS
         self.size = self.end + 1
+        self.of = self
+
+    def __contains__(self, word: bytes) -> bool:
+        return self.find(word_hashes(raw_bytes(word))[0])[0] >= 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those without a unit of their own."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def sequence(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a text's words: numbers (an ending's if rare), the rare ones' places, hashes and endings."""
+        data = fold_ascii(raw_bytes(text))
+        hashes, starts, ends = word_hashes(data)
+        ids = self.find(hashes)
+        rare = np.flatnonzero(ids < 0)
+        whole = data.tobytes()
+        tails = np.array([zlib.crc32(whole[max(i, j - 3) : j]) % ENDINGS for i, j in zip(starts[rare].tolist(), ends[rare].tolist(), strict=True)], np.int64)
+        ids[rare] = self.first_ending + tails
+        return ids, rare, hashes[rare], tails
 
 
 def bigram_counts(docs: DataFrame, units: Units) -> DataFrame:
     """u, v, n: how often unit v follows unit u (a text begins after an end)."""
 
     def run(batches):
-        counts = np.zeros(units.size * units.size, np.uint32)
-        get, first = units.of.get, units.first_ending
-        seen: dict[bytes, int] = {}
+        def flush(keys):
+            at, n = np.unique(np.concatenate(keys), return_counts=True)
+            for k in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000], pa.int64()), pa.array(n[k : k + 100_000], pa.int64())], names=["key", "n"])
+
+        keys, held = [], 0
         for batch in batches:
-            keys = []
-            for text in batch.column("text").to_pylist():
-                ids = []
-                for w in tokens(text):
-                    k = get(w)
-                    if k is None:
-                        tail = w[-3:]
-                        k = seen.get(tail)
-                        if k is None:
-                            k = seen[tail] = first + zlib.crc32(tail) % ENDINGS
-                    ids.append(k)
-                line = np.array([units.end, *ids, units.end], np.int64)
+            for text in batch.column("text"):
+                line = np.concatenate([[units.end], units.sequence(text.as_py())[0], [units.end]])
                 keys.append(line[:-1] * units.size + line[1:])
-                if len(seen) > FLUSH:
-                    seen.clear()
-            if keys:
-                at, n = np.unique(np.concatenate(keys), return_counts=True)
-                counts[at] += n.astype(np.uint32)
-        at = np.flatnonzero(counts)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=["key", "n"])
+                held += len(keys[-1])
+                if held > HELD:
+                    yield from flush(keys)
+                    keys, held = [], 0
+        if keys:
+            yield from flush(keys)
 
     pairs = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return pairs.select((F.col("key") / units.size).cast("int").alias("u"), (F.col("key") % units.size).cast("int").alias("v"), "n")
+    return pairs.select(F.expr(f"cast(key div {units.size} as int)").alias("u"), F.expr(f"cast(key % {units.size} as int)").alias("v"), "n")
+
+
+def blocks(bigrams: DataFrame) -> DataFrame:
+    """The neighbours of each unit, whole units packed to blocks: units, entries of each, side (1: after it), other, n."""
+    side = lambda w, k, o: F.struct(F.col(w).alias("w"), F.lit(k).cast("byte").alias("side"), F.col(o).alias("other"), F.col("n").alias("n"))
+    rows = bigrams.select(F.explode(F.array(side("v", 0, "u"), side("u", 1, "v"))).alias("x")).select("x.*")
+    names = ["w", "side", "other", "n"]
+
+    def run(batches):
+        def pack(parts):
+            own, sizes = np.unique(parts[0], return_counts=True)
+            columns = (own.astype(np.int32), sizes.astype(np.int64), parts[1].astype(np.int8), parts[2].astype(np.int32), parts[3].astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["units", "sizes", "side", "other", "n"])
+
+        held, count = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            count += batch.num_rows
+            if count > BLOCK:
+                parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(parts[0], parts[0][-1]))  # the last unit may go on
+                if cut:
+                    yield pack([x[:cut] for x in parts])
+                held = [[x[cut:] for x in parts]]
+                count = len(held[0][0])
+        if count:
+            yield pack([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return rows.repartition("w").sortWithinPartitions("w").mapInArrow(run, "units binary, sizes binary, side binary, other binary, n binary")
+
+
+def unpack(row: dict, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's units and the counts of the classes before and after each (units x 2 x classes)."""
+    own, sizes = np.frombuffer(row["units"], np.int32), np.frombuffer(row["sizes"], np.int64)
+    side, other, n = np.frombuffer(row["side"], np.int8), np.frombuffer(row["other"], np.int32), np.frombuffer(row["n"], np.int64)
+    key = (np.repeat(np.arange(len(own)) * 2, sizes) + side) * n_classes + classes[other]
+    return own, np.bincount(key, weights=n, minlength=len(own) * 2 * n_classes).reshape(len(own), 2, n_classes)
 
 
 def _entropy(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def contexts(spark: SparkSession, bigrams: DataFrame, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit the counts of the classes before it and after it (units x classes)."""
-    of = spark.createDataFrame([(k, int(c)) for k, c in enumerate(classes)], "unit int, class int")  # a row a unit
-    before = bigrams.join(F.broadcast(of), F.col("u") == F.col("unit")).groupBy(F.col("v").alias("k"), "class").agg(F.sum("n").alias("n"))
-    after = bigrams.join(F.broadcast(of), F.col("v") == F.col("unit")).groupBy(F.col("u").alias("k"), "class").agg(F.sum("n").alias("n"))
-    out = []
-    for side in (before, after):
-        got = side.toArrow()  # at most units x classes rows
-        counts = np.zeros((len(classes), n_classes))
-        counts[got.column("k").to_numpy(), got.column("class").to_numpy()] = got.column("n").to_numpy()
-        out.append(counts)
-    return out[0], out[1]
+def likelihood(pairs: np.ndarray) -> float:
+    return float(_entropy(pairs).sum() - _entropy(pairs.sum(0)).sum() - _entropy(pairs.sum(1)).sum())
 
 
-def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, n_classes: int, fixed: int) -> int:
+def contexts(packed: DataFrame, classes: np.ndarray, n_classes: int, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class bigrams, left, right): left and right are the classes before and after each unit in head."""
+    is_head = np.zeros(len(classes), bool)
+    is_head[head] = True
+
+    def run(batches):
+        pairs = np.zeros((n_classes, n_classes))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, counts = unpack(batch.slice(k, 1).to_pylist()[0], classes, n_classes)
+                np.add.at(pairs, classes[own], counts[:, 1])
+                kept = np.flatnonzero(is_head[own])
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[kept], pa.int32()), pa.array([counts[j].tobytes() for j in kept.tolist()], pa.binary())], names=["unit", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["unit", "counts"])
+
+    got = packed.mapInArrow(run, "unit int, counts binary").toArrow()  # a row a unit in head, one a task
+    pairs = np.zeros((n_classes, n_classes))
+    at = {int(u): k for k, u in enumerate(head)}
+    sides = np.zeros((len(head), 2, n_classes))
+    for u, data in zip(got.column("unit").to_pylist(), got.column("counts").to_pylist(), strict=True):
+        if u < 0:
+            pairs += np.frombuffer(data).reshape(n_classes, n_classes)
+        else:
+            sides[at[u]] = np.frombuffer(data).reshape(2, n_classes)
+    return pairs, sides[:, 0], sides[:, 1]
+
+
+def gains(counts: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The likelihood of each unit in each class (units x classes), itself taken out of its class ``own``."""
+    left, right = counts[:, 0], counts[:, 1]
+    units = np.arange(len(own))
+    n = right.sum(1)
+    out = np.zeros((len(own), len(pairs)))
+    for mine, other, table in ((left, right, pairs), (right, left, pairs.T)):
+        w, c = np.nonzero(mine)
+        for k in range(0, len(w), 20_000):
+            u, x = w[k : k + 20_000], c[k : k + 20_000]
+            m = mine[u, x]
+            base = table[x]
+            inside = np.flatnonzero(x == own[u])
+            base[inside] -= other[u[inside]]
+            base[np.arange(len(u)), own[u]] -= m
+            np.maximum(base, 0, out=base)
+            first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+            out[u[first]] += np.add.reduceat(_entropy(base + m[:, None]) - _entropy(base), first)
+    for mine, total in ((left, pairs.sum(1)), (right, pairs.sum(0))):
+        rest = total[None, :] - mine
+        rest[units, own] -= n
+        np.maximum(rest, 0, out=rest)
+        out -= _entropy(rest + n[:, None]) - _entropy(rest)
+    return out
+
+
+def proposals(packed: DataFrame, classes: np.ndarray, pairs: np.ndarray, head: np.ndarray, fixed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, class, gain) of the units outside head that would gain by a move to their best class.
+
+    A task's class bigrams follow its own moves, so later units see earlier ones of the task.
+    """
+    n_classes = len(pairs)
+    is_head = np.zeros(len(classes), bool)
+    is_head[head] = True
+
+    def run(batches):
+        table = pairs.copy()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, counts = unpack(batch.slice(k, 1).to_pylist()[0], classes, n_classes)
+                kept = np.flatnonzero(~is_head[own] & counts[:, 1].any(1))
+                for j in range(0, len(kept), TOGETHER):
+                    part = kept[j : j + TOGETHER]
+                    now = classes[own[part]].astype(np.int64)
+                    gain = gains(counts[part], now, table)
+                    gain[:, classes[fixed]] = -np.inf
+                    best = gain.argmax(1)
+                    at = np.arange(len(part))
+                    more = gain[at, best] - gain[at, now]
+                    moved = np.flatnonzero((best != now) & (more > 1e-9))
+                    for sign, to in ((-1, now[moved]), (1, best[moved])):
+                        np.add.at(table.T, to, sign * counts[part[moved], 0])
+                        np.add.at(table, to, sign * counts[part[moved], 1])
+                    np.maximum(table, 0, out=table)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[part[moved]], pa.int32()), pa.array(best[moved].astype(np.int16), pa.int16()), pa.array(more[moved], pa.float64())], names=["unit", "class", "gain"])
+
+    got = packed.mapInArrow(run, "unit int, class short, gain double").toArrow()  # 14 bytes a unit that moves
+    return tuple(got.column(c).to_numpy() for c in ("unit", "class", "gain"))
+
+
+def cluster(packed: DataFrame, classes: np.ndarray, n_classes: int, head: np.ndarray, fixed: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(classes, class bigrams, rounds): exchange until no unit moves.
+
+    A round moves the units of head one after another, then a share of all others at once, each to
+    its best class.  Moves made together disturb each other: the share falls where they bring less
+    than half of their gains and rises where they bring most of them, and if they don't raise the
+    likelihood, half of them stay where they were, and so on.  So every round raises the
+    likelihood, and the last one is that in which no unit can move.
+    """
+    share = 1.0
+    done = 0
+    pairs, left, right = contexts(packed, classes, n_classes, head)
+    while rounds is None or done < rounds:
+        done += 1
+        mine = classes[head].copy()
+        moved = exchange(left, right, mine, n_classes, int(np.flatnonzero(head == fixed)[0]), pairs)
+        if moved:
+            tried = classes.copy()
+            tried[head] = mine
+            fresh = contexts(packed, tried, n_classes, head)
+            if likelihood(fresh[0]) > likelihood(pairs):
+                classes, (pairs, left, right) = tried, fresh
+            else:  # counts of a unit beside itself are not exact in a move
+                moved = 0
+        unit, best, gain = proposals(packed, classes, pairs, head, fixed)
+        order = np.argsort(mix(unit.astype(np.uint64) * BASE + np.uint64(done)), kind="stable")  # another share each round
+        order = order[: int(np.ceil(share * len(order)))]
+        while len(order):
+            tried = classes.copy()
+            tried[unit[order]] = best[order]
+            fresh = contexts(packed, tried, n_classes, head)
+            raised = likelihood(fresh[0]) - likelihood(pairs)
+            share = max(share / 2, 1 / 64) if raised < 0.5 * gain[order].sum() else min(1.0, 1.5 * share) if raised > 0.75 * gain[order].sum() else share
+            if raised > 0:
+                classes, (pairs, left, right) = tried, fresh
+                break
+            order = order[: len(order) // 2]
+        if not moved and not len(order):
+            break
+    return classes, pairs, done
+
+
+def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, n_classes: int, fixed: int, pairs: np.ndarray | None = None) -> int:
     """One round: each unit moves to the class of the greatest likelihood; the moves made.
 
     left, right: the classes before and after each unit at the round's begin.  Class bigrams are
     kept up to date, so later units see earlier moves; the unit ``fixed`` stays in its own class.
+    pairs: the class bigrams, those of the given units alone if None.
     """
-    pairs = np.zeros((n_classes, n_classes))
-    np.add.at(pairs, classes, right)
+    if pairs is None:
+        pairs = np.zeros((n_classes, n_classes))
+        np.add.at(pairs, classes, right)
     moves = 0
     for k in np.argsort(-right.sum(1), kind="stable"):
         own = classes[k]
@@ -188,8 +347,8 @@ def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, n_classes
 class Model:
     """The counts that tasks need, and the score of a token sequence."""
 
-    def __init__(self, units: Units, classes: np.ndarray, pairs: np.ndarray, unit_counts: np.ndarray, listed: dict[bytes, int], inside: np.ndarray, kinds: np.ndarray, total: int, distinct: int, docs: int):
-        self.units, self.classes, self.listed = units, classes, listed
+    def __init__(self, units: Units, classes: np.ndarray, pairs: np.ndarray, unit_counts: np.ndarray, inside: np.ndarray, kinds: np.ndarray, total: int, distinct: int, docs: int):
+        self.units, self.classes, self.counts = units, classes, unit_counts
         self.total, self.distinct, self.docs = total, distinct, docs
         n_classes = len(pairs)
         of_class = np.bincount(classes, weights=unit_counts, minlength=n_classes)
@@ -206,91 +365,63 @@ class Model:
         return np.log10((np.asarray(c, float) + ADD) / (self.total + ADD * (self.distinct + 1)))
 
 
-def train(spark: SparkSession, docs: DataFrame, scratch: Scratch, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+def train(spark: SparkSession, docs: DataFrame, scratch: Scratch, n_classes: int = CLASSES, rounds: int | None = ROUNDS) -> tuple[Model, DataFrame]:
     """(model, word counts of all training words)."""
     counts = scratch.write(word_counts(docs), "words")
     n_docs = docs.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = most_frequent(counts, LISTED)
-    frequent = [w for w, _ in top[:FREQUENT]]
-    units = Units(frequent)
+    own = counts.where(F.col("c") >= LEAST).select("h", "c").toArrow()  # 16 bytes a word with a unit
+    hashes, times = own.column("h").to_numpy().view(np.uint64), own.column("c").to_numpy()
+    order = np.argsort(hashes)
+    units = Units(hashes[order])
     inside, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    by_ending = counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()  # a row an ending
+    by_ending = counts.where(F.col("c") < LEAST).groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()  # a row an ending
     for r in by_ending:
         inside[r["ending"]], kinds[r["ending"]] = r["c"], r["n"]
-    unit_counts = np.zeros(units.size)
-    for k, (w, c) in enumerate(top[:FREQUENT]):
-        e = ending(w.encode("utf-8", "surrogatepass"))
-        unit_counts[k] = c
-        inside[e] -= c
-        kinds[e] -= 1
-    unit_counts[units.first_ending : units.end] = inside
-    unit_counts[units.end] = n_docs
-    bigrams = scratch.write(bigram_counts(docs, units), "bigrams")
+    unit_counts = np.concatenate([times[order], inside, [n_docs]]).astype(float)
+    packed = scratch.write(blocks(bigram_counts(docs, units)), "bigrams")
     # the end has class 0 for itself; the others begin by rank
-    classes = 1 + np.arange(units.size) % (n_classes - 1)
+    rank = np.empty(units.size, np.int64)
+    rank[np.argsort(-unit_counts, kind="stable")] = np.arange(units.size)
+    classes = (1 + rank % (n_classes - 1)).astype(np.uint8 if n_classes <= 256 else np.int32)
     classes[units.end] = 0
-    for _ in range(rounds):
-        left, right = contexts(spark, bigrams, classes, n_classes)
-        if not exchange(left, right, classes, n_classes, units.end):
-            break
-    _, right = contexts(spark, bigrams, classes, n_classes)
-    pairs = np.zeros((n_classes, n_classes))
-    np.add.at(pairs, classes, right)
-    listed = {w.encode("utf-8", "surrogatepass"): c for w, c in top}
+    head = np.flatnonzero((rank < FREQUENT) | (np.arange(units.size) >= units.first_ending))
+    classes, pairs, done = cluster(packed, classes, n_classes, head, units.end, rounds)
     total, distinct = int(total) + n_docs, distinct + (1 if n_docs else 0)
-    return Model(units, classes, pairs, unit_counts, listed, inside, kinds, total, distinct, n_docs), counts
+    model = Model(units, classes, pairs, unit_counts, inside, kinds, total, distinct, n_docs)
+    model.rounds = done
+    return model, counts
 
 
 def _local(docs: DataFrame, model: Model) -> DataFrame:
-    """What a task knows of a text by itself: row, doc_id, n_tokens, n_known, base, score, and its other words."""
+    """What a task knows of a text by itself: row, doc_id, n_tokens, n_known, base, score, and its rare words."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        units, listed = model.units, model.listed
-        end = units.end
-        first = units.first_ending
-        words = list(listed)
-        index = {w: k for k, w in enumerate(words)}
-        unit = np.array([units.of.get(w, -1) for w in words] + [end], np.int64)
-        tail = np.array([ending(w) for w in words] + [0], np.int64)
-        c = np.array([listed[w] for w in words] + [model.docs], float)
-        unit = np.where(unit < 0, first + tail, unit)
-        base = model.base(c)
-        # p(word | unit): 1 for frequent words and the end
-        word = np.where((unit >= first) & (unit < end), np.log10((c + ADD) / model.inside[tail]), 0.0)
-        known = c > 0
-        last = len(words)  # the index of the end
+        units, end = model.units, model.units.end
+        base = model.base(model.counts)
+        known = model.counts > 0
         for batch in batches:
             out = [[] for _ in range(7)]
             for text in batch.column("text").to_pylist():
-                own = tokens(text)
-                ids = np.fromiter(map(index.get, own, (-1,) * len(own)), np.int64, len(own))
-                other = np.flatnonzero(ids < 0)
-                ids = np.append(ids, last)
-                rare = [own[j] for j in other.tolist()]
-                tails = np.fromiter(map(ending, rare), np.int64, len(rare))
-                chosen = unit[ids]
-                chosen[other] = first + tails
-                of = model.classes[chosen]
-                score = model.transition[np.concatenate([[model.classes[end]], of[:-1]]), of].sum() + model.unit[chosen].sum()
-                here = ids >= 0
-                score += word[ids[here]].sum()
-                counts = Counter(rare)
-                for column, x in zip(
-                    out,
-                    (len(ids), int(known[ids[here]].sum()), float(base[ids[here]].sum()), float(score), [w.decode("utf-8", "surrogatepass") for w in counts], list(counts.values()), [ending(w) for w in counts]),
-                    strict=True,
-                ):
+                ids, rare, hashes, tails = units.sequence(text)
+                own = np.ones(len(ids) + 1, bool)
+                own[rare] = False
+                ids = np.append(ids, end)
+                of = model.classes[ids]
+                score = model.transition[np.concatenate([[model.classes[end]], of[:-1]]), of].sum() + model.unit[ids].sum()
+                words, first, times = np.unique(hashes, return_index=True, return_counts=True)
+                row = (len(ids), int(known[ids[own]].sum()), float(base[ids[own]].sum()), float(score), as_long(words), times, tails[first])
+                for column, x in zip(out, row, strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
             names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times", "endings"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<string>, times array<int>, endings array<int>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>, endings array<int>")
 
 
-def scores(spark: SparkSession, docs: DataFrame, keep=None, n_classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def scores(spark: SparkSession, docs: DataFrame, keep=None, n_classes: int = CLASSES, rounds: int | None = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     keep: the condition on doc_id for texts to learn from; held_out is its opposite.
@@ -300,11 +431,11 @@ def scores(spark: SparkSession, docs: DataFrame, keep=None, n_classes: int = CLA
     all_docs = texts(docs).withColumn("held_out", F.coalesce(~keep, F.lit(False)))
     model, counts = train(spark, all_docs.where(keep), scratch, n_classes, rounds)
     local = scratch.write(_local(all_docs, model).withColumn("row", F.monotonically_increasing_id()), "local")
-    # the other words of the texts meet their counts; a word that was never seen finds none
+    # the rare words of the texts meet their counts; a word that was never seen finds none
     others = local.select("row", F.explode(F.arrays_zip("words", "times", "endings")).alias("x"))
-    others = others.select("row", "x.words", "x.times", "x.endings").withColumn("h", F.xxhash64("words"))
-    own = counts.select(F.xxhash64("word").alias("h"), "c")
-    met = others.select("row", "h", "times", "endings").join(own, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    others = others.select("row", F.col("x.words").alias("h"), "x.times", "x.endings")
+    own = counts.where(F.col("c") < LEAST).select("h", "c")
+    met = others.join(own, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     inside = F.element_at(F.array(*(F.lit(float(x)) for x in model.inside)), F.col("endings") + 1)
     sums = met.groupBy("row").agg(
         F.sum(F.expr("if(c > 0, times, 0)")).alias("more_known"),

@@ -195,6 +195,27 @@ def test_class_lm_is_a_distribution(spark, docs):
     assert sum(after[model.classes[u]] * 10 ** model.unit[u] for u in range(units.size)) == pytest.approx(1)
 
 
+def test_class_lm_moves_less_frequent_words_until_nothing_moves(spark, monkeypatch):
+    """Words after the most frequent ones, of one ending, go to the classes of their own neighbours."""
+    monkeypatch.setattr(class_lm, "FREQUENT", 4)
+    r = random.Random(3)
+    sides = [[f"{x}{k}end" for k in range(12)] for x in "pq"]
+    rows = []
+    for i in range(400):
+        x = i % 2
+        rows.append((i, " ".join(w for _ in range(8) for w in (f"before{x}", r.choice(sides[x]), f"after{x}"))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _ = class_lm.train(spark, docs, Scratch(spark, "test-lm"), n_classes=7)
+    units = model.units
+    found = [{int(model.classes[k]) for k in units.sequence(" ".join(side))[0]} for side in sides]
+    assert all(w.encode() in units.of for side in sides for w in side)
+    assert [len(f) for f in found] == [1, 1] and found[0] != found[1]
+    packed = class_lm.blocks(class_lm.bigram_counts(docs, units)).cache()
+    nobody = np.array([units.end])
+    pairs, _, _ = class_lm.contexts(packed, model.classes, 7, nobody)
+    assert len(class_lm.proposals(packed, model.classes, pairs, nobody, units.end)[0]) == 0
+
+
 def test_exchange_raises_likelihood():
     r = np.random.default_rng(4)
     n, k = 30, 4
