@@ -34,6 +34,13 @@ HIDDEN = 24
 STEPS = 400
 
 
+def compressed(data: np.ndarray, piece: int = 1 << 16) -> float:
+    """The compressed size of all bytes over their number; a piece is held at a time."""
+    packer = zlib.compressobj(1)
+    size = sum(len(packer.compress(data[k : k + piece].tobytes())) for k in range(0, len(data), piece))
+    return (size + len(packer.flush())) / max(1, len(data))
+
+
 def features(text: str | None) -> list[float]:
     """Of a whole text: character classes, words, repetition, lines."""
     data = raw_bytes(text)
@@ -54,7 +61,6 @@ def features(text: str | None) -> list[float]:
     last = data[ends - 1]
     odd = ~(((last >= 97) & (last <= 122)) | ((last >= 65) & (last <= 90)) | ((last >= 48) & (last <= 57)) | (last >= 128) | (last == 44) | (last == 46))
     lines = [x for x in (text or "").split("\n") if x.strip()] or [""]
-    head = data[: 1 << 16].tobytes()
     alone = (sizes == 1) & odd
     return [
         np.log1p(m),
@@ -78,7 +84,7 @@ def features(text: str | None) -> list[float]:
         float(alone.mean()),
         len(set(lines)) / len(lines),
         np.log1p(m / len(lines)),
-        len(zlib.compress(head, 1)) / max(1, len(head)),
+        compressed(data),
     ]
 
 

@@ -371,6 +371,15 @@ def test_classifiers(spark):
     assert {r["score"] for r in toxicity.score(docs, toxicity.Lexicon({})).collect()} == {0.0}
 
 
+def test_compression_covers_whole_texts():
+    r = random.Random(8)
+    varied = " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(12_000))  # over 64 KiB
+    mixed = varied + " same words again" * 20_000
+    assert len(varied) > 1 << 16
+    assert quality.features(mixed)[-1] < 0.4 * quality.features(varied)[-1]
+    assert quality.features(mixed)[-1] == pytest.approx(len(zlib.compress(mixed.encode(), 1)) / len(mixed), rel=1e-3)
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Id1ot, IDIОT! i​diot 2024") == " idiot idiot idiot 2024 "
     lexicon = toxicity.Lexicon({" trash ": 4.0, " tra": 2.0}, ("trash can",))
