@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pricewatch_spark.functions.text import MONEY, external_id, state_hash
 
 KEY = ["source_id", "source_external_id"]
+TIERS = "array<struct<qty int, price decimal(12,2)>>"
 
 
 def extract_stock(source_type: Column, inventory_quantity: Column, stock_text: Column, stock: Column) -> Column:
@@ -48,11 +49,17 @@ def observed_price(c: Column) -> Column:
     return c.try_cast(MONEY)
 
 
+def with_quantities(df: DataFrame) -> DataFrame:
+    """df with moq and bulk_tiers in the types of the snapshot, null where df has none or they can't be read."""
+    own = lambda c, kind: F.col(c).cast("string").try_cast(kind) if c == "moq" else F.col(c).cast(kind)
+    return df.withColumns({c: own(c, kind) if c in df.columns else F.lit(None).cast(kind) for c, kind in (("moq", "int"), ("bulk_tiers", TIERS))})
+
+
 def observe(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """raw with the facts that change detection needs; sources is a dimension of a row a shop."""
     facts = sources.select("source_id", "engine_type", "business_type", F.col("currency").alias("source_currency"))
     text = lambda c: F.col(c).cast("string")
-    rows = raw.join(facts, "source_id", "left").withColumns(
+    rows = with_quantities(raw).join(facts, "source_id", "left").withColumns(
         {
             "price": observed_price(F.coalesce(text("price"), F.lit(None))),
             "observed_stock": extract_stock(F.col("engine_type"), text("inventory_quantity"), text("stock_text"), text("stock")),
@@ -105,8 +112,11 @@ def classify_changes(observed: DataFrame, snapshot: DataFrame) -> DataFrame:
 def next_snapshot(changes: DataFrame, snapshot: DataFrame, reference_mode: bool = True) -> DataFrame:
     """The snapshot after a batch: the last row wins; empty values keep what was known.
 
+    So do an MOQ of 0 and tiers without an entry.
+
     reference_mode: a delisted listing seen again with its old state stays delisted.
     """
+    changes, snapshot = with_quantities(changes), with_quantities(snapshot)
     good = changes.where("change <> 'failed'")
     order = F.struct("scraped_at", "pos")
     last = lambda value, when=None: F.max_by(value, F.when(when, order) if when is not None else order)
@@ -120,6 +130,8 @@ def next_snapshot(changes: DataFrame, snapshot: DataFrame, reference_mode: bool
         last(F.col("stock_confidence")).alias("n_confidence"),
         filled("url").alias("n_url"),
         filled("image_url").alias("n_image_url"),
+        last(F.col("moq"), F.col("moq") != 0).alias("n_moq"),
+        last(F.col("bulk_tiers"), F.size("bulk_tiers") > 0).alias("n_bulk_tiers"),
         F.max("scraped_at").alias("n_seen"),
         F.max(F.when(sure, F.col("scraped_at"))).alias("n_confirmed"),
         F.max(F.col("source_currency")).alias("n_currency"),
@@ -142,6 +154,8 @@ def next_snapshot(changes: DataFrame, snapshot: DataFrame, reference_mode: bool
         F.coalesce("currency", "n_currency", F.lit("CLP")).alias("currency"),
         F.coalesce("n_confirmed", "last_confirmed_stock_at").alias("last_confirmed_stock_at"),
         F.greatest("n_seen", "last_seen_at").alias("last_seen_at"),
+        F.coalesce("n_moq", "moq").alias("moq"),
+        F.coalesce("n_bulk_tiers", "bulk_tiers").alias("bulk_tiers"),
     )
 
 

@@ -14,13 +14,14 @@ def latest_history(history: DataFrame, key: list[str], at: list[str], n: int = 1
 
 
 def price_series(history: DataFrame, key: list[str], at: list[str], price: str = "price") -> DataFrame:
-    """Previous price, change, lowest and highest so far, days until the next point."""
+    """Previous price, change, change in per cent (null after a price of 0), lowest and highest so far, days until the next point."""
     order = Window.partitionBy(*key).orderBy(*at)
     sofar = order.rowsBetween(Window.unboundedPreceding, 0)
     return history.withColumns(
         {
             "prev_price": F.lag(price).over(order),
             "change_abs": F.col(price) - F.lag(price).over(order),
+            "change_pct": F.try_divide(100 * (F.col(price) - F.lag(price).over(order)).cast("double"), F.lag(price).over(order).cast("double")),
             "low_so_far": F.min(price).over(sofar),
             "high_so_far": F.max(price).over(sofar),
             "days_at_price": F.date_diff(F.lead(at[0]).over(order), F.col(at[0])),

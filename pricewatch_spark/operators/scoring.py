@@ -87,10 +87,17 @@ def next_jobs(queue: DataFrame, as_of: Column, k: int = 1) -> DataFrame:
 
 
 def run_stats(logs: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
-    """By source and day: runs, runs of each status, failed share in permille, mean records, last good run."""
+    """By source and day: runs, runs of each status, failed share in permille, last good run, mean records and seconds.
+
+    Seconds are of the runs that have ended_at; null without any, or if logs has no such column.
+    """
+    ended = F.col("ended_at") if "ended_at" in logs.columns else F.lit(None).cast("timestamp")
+    micros = F.unix_micros(ended.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
     return logs.groupBy("source_id", F.to_date("started_at").alias("day")).agg(
         F.count(F.lit(1)).alias("runs"),
         *(F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in statuses),
         F.expr("(1000 * count_if(status = 'FAILED')) div count(1)").alias("failed_permille"),
         F.max(F.when(F.col("status") == "SUCCESS", F.col("started_at"))).alias("last_success"),
+        F.avg("records").alias("mean_records"),
+        (F.avg(micros) / 1e6).alias("mean_seconds"),
     )

@@ -656,7 +656,21 @@ def _(m):
     ("logs",),
 )
 def _(m):
-    return scoring.run_stats(m.logs, ("SUCCESS", "FAILED"))
+    return scoring.run_stats(m.logs, ("SUCCESS", "FAILED")).drop("mean_records", "mean_seconds")
+
+
+_STATUSES = ("SUCCESS", "PARTIAL", "FAILED", "EMPTY", "RUNNING")
+
+
+@query(
+    "run_stats_all",
+    "SELECT source_id, CAST(started_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS runs, "
+    + ", ".join(f"CAST(count(*) FILTER (status = '{s}') AS BIGINT) AS n_{s.lower()}" for s in _STATUSES)
+    + ", CAST(avg(records) AS DOUBLE) AS mean_records FROM logs GROUP BY 1, 2",
+    ("logs",),
+)
+def _(m):
+    return scoring.run_stats(m.logs, _STATUSES).select("source_id", "day", "runs", *(f"n_{s.lower()}" for s in _STATUSES), "mean_records")
 
 
 # --- rules --------------------------------------------------------------------------------------

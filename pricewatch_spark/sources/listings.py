@@ -12,7 +12,10 @@ FEED = f"products array<struct<title: string, body_html: string, vendor: string,
 
 
 def read_feed_json(feeds: DataFrame, body: str = "body", base_url: str = "base_url") -> DataFrame:
-    """feeds (source_id, base_url, body) -> one row a variant; products without variants give none."""
+    """feeds (source_id, base_url, body) -> one row a variant; products without variants give none.
+
+    The feed tells no MOQ and no tiers: they are null and empty, as the columns of a raw listing.
+    """
     parsed = feeds.select("source_id", F.col(base_url).alias("base_url"), F.from_json(F.col(body), FEED).alias("feed"))
     products = parsed.select("source_id", "base_url", F.explode("feed.products").alias("p"))
     rows = products.select("source_id", "base_url", "p", F.explode("p.variants").alias("v"))
@@ -30,6 +33,9 @@ def read_feed_json(feeds: DataFrame, body: str = "body", base_url: str = "base_u
         F.filter(F.transform(F.coalesce("p.tags", F.array().cast("array<string>")), F.trim), lambda t: t != "").alias("tags"),
         F.col("v.inventory_quantity").alias("inventory_quantity"),
         F.col("v.available").alias("available"),
+        F.col("v.inventory_quantity").alias("stock"),
+        F.lit(None).cast("int").alias("moq"),
+        F.array().cast("array<struct<qty int, price decimal(12,2)>>").alias("bulk_tiers"),
     )
 
 

@@ -1,10 +1,11 @@
 import datetime as dt
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from pricewatch_spark.operators import compare, delta, history, products, rules, scoring
-from pricewatch_spark.sources import cards, tables
+from pricewatch_spark.sources import cards, listings, tables
 from pricewatch_spark.streaming import changes as stream
 
 RAW = "run_id string, source_id string, pos long, scraped_at timestamp, raw_title string, price string, stock string, inventory_quantity string, stock_text string, available boolean, sku string, url string, image_url string"
@@ -49,6 +50,38 @@ def test_delta_life(spark, sources, empty):
     assert {r["source_external_id"]: r["availability"] for r in revived.collect()}["k1"] == "AVAILABLE_IN_STOCK"
 
 
+def test_quantities_through_the_snapshot(spark, sources, empty):
+    tiers = [[(10, 9.0), (50, 7.0)], [], None, [(20, 8.0)], []]
+    moq = ["12", "0", None, "x", None]
+    schema = RAW + ", moq string, bulk_tiers array<struct<qty int, price decimal(12,2)>>"
+
+    def batch(ks, hour):
+        rows = [("r", "a", k, T0 + dt.timedelta(hours=hour + k), "X", "10", "5", None, None, True, "k1", "u", "", moq[k], [(q, decimal.Decimal(p)) for q, p in tiers[k]] if tiers[k] is not None else None) for k in ks]
+        return delta.observe(spark.createDataFrame(rows, schema), sources)
+
+    state = lambda s: [(r["moq"], [(t["qty"], float(t["price"])) for t in r["bulk_tiers"]]) for r in s.collect()]
+    first = delta.next_snapshot(delta.classify_changes(batch([0, 1, 2], 0), empty), empty)
+    assert state(first) == [(12, [(10, 9.0), (50, 7.0)])]
+    second = delta.next_snapshot(delta.classify_changes(batch([3, 4], 9), first), first)
+    assert state(second) == [(12, [(20, 8.0)])] and set(second.columns) == set(empty.columns)
+    plain = delta.observe(raw_rows(spark, [("a", 40, "X", "10", "5", "k1", "")]), sources)
+    assert state(delta.next_snapshot(delta.classify_changes(plain, second), second)) == [(12, [(20, 8.0)])]
+    prices = [history.bulk_price(second, q).first()["unit_price"] for q in (11, 12, 25)]
+    assert [None if p is None else float(p) for p in prices] == [None, 10.0, 8.0]
+
+
+def test_measures_of_runs_prices_and_feeds(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    logs = spark.createDataFrame([(1, at(0), at(2), 10, "SUCCESS"), (1, at(5), at(6), 20, "EMPTY"), (1, at(9), None, 0, "RUNNING")], "source_id int, started_at timestamp, ended_at timestamp, records int, status string")
+    r = scoring.run_stats(logs, ("SUCCESS", "EMPTY", "RUNNING")).first()
+    assert (r["n_empty"], r["n_running"], r["mean_records"], r["mean_seconds"]) == (1, 1, 10.0, 90.0)
+    points = spark.createDataFrame([(1, at(k), p) for k, p in enumerate([8.0, 10.0, 0.0, 5.0])], "source_id int, seen_at timestamp, price double")
+    assert [x["change_pct"] for x in history.price_series(points, ["source_id"], ["seen_at"]).orderBy("seen_at").collect()] == [None, 25.0, -100.0, None]
+    feed = spark.createDataFrame([("s", "https://x", '{"products":[{"title":"T","variants":[{"title":"50ml","inventory_quantity":3}]}]}')], "source_id string, base_url string, body string")
+    r = listings.read_feed_json(feed).first()
+    assert (r["moq"], r["bulk_tiers"], r["stock"], r["inventory_quantity"]) == (None, [], 3, 3)
+
+
 def test_stock_and_confidence(spark):
     rows = [
         ("shopify", None, "12", None, None, True, 12, "HIGH"),
