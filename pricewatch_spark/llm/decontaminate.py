@@ -3,16 +3,17 @@
 Texts are compared as words: lower-case runs of letters and digits.  Of each test item the rare
 n-grams are seeds: those that a document of mean length is expected to hold with a chance of at
 most RARE, from the frequencies of their words over all documents; an item always keeps its
-LEAST_SEEDS rarest, and an item shorter than n words is one seed.  Seeds join documents to items;
-the stretch of the document around the seeds is aligned locally with the item (match 2, mismatch
--1, gap -1), and a pair is reported if the score reaches THRESHOLD of a full match.
-
-Items are taken in blocks of ITEM_BLOCK, so the seeds that every task holds are bounded; each
-block is compared with all documents.
+LEAST_SEEDS rarest, and an item shorter than n words is one seed.  Seeds are a table; a join on
+their hashes brings documents and items together.  Tasks hold a bit filter of the seeds, of at
+most MOST_BITS bits however many items there are, which only keeps n-grams that no seed has out
+of the join.  The stretch of the document around the seeds is aligned locally with the item (match
+2, mismatch -1, gap -1), and a pair is reported if the score reaches THRESHOLD of a full match.
 
 Defined results: null and empty texts have no words and match nothing; items without words match
-nothing; repeated items are items of their own; repeated documents are compared row by row;
-rows with a null doc_id are left out; empty tables give no rows; further columns are ignored.
+nothing; repeated items are items of their own, and a null item_id is reported as null; every row
+of docs is compared, repeated rows and null doc_ids included; very long texts are compared whole
+(a text is held in one task); of equally good alignments the first is reported; empty tables give
+no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch_spark.llm.common import fold_ascii, mix, raw_bytes, table, windows, word_hashes
+from pricewatch_spark.llm.common import Scratch, as_long, fold_ascii, mix, raw_bytes, table, windows, word_hashes
+from pricewatch_spark.llm.repeats import arrays, hashed
 
 NAME = "op3_decontaminate"
 ORACLE_SQL = None
@@ -33,7 +35,9 @@ GRAM = 3
 RARE = 1e-4
 LEAST_SEEDS = 5
 THRESHOLD = 0.5
-ITEM_BLOCK = 20_000
+BITS_A_SEED = 128
+MOST_BITS = 1 << 28  # 32 MB a worker
+FLUSH = 1 << 20
 _MATCH, _MISMATCH, _GAP = 2, -1, -1
 #: Every ASCII byte that is no letter or digit separates words.
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -79,121 +83,158 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
     return best, span[0], span[1]
 
 
-class Seeds:
-    """A block of items and their rare n-grams, sorted by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, float], mean: float, gram: int = GRAM):
-        self.gram = gram
-        self.ids = [i for i, _ in items]
-        self.items = [words(t) for _, t in items]
-        hashes, owner, place = [], [], []
-        for k, of in enumerate(self.items):
-            if not len(of):
-                continue
-            size = min(gram, len(of))
-            found = mix(windows(of, size) + np.uint64(size))
-            rate = np.log([max(frequency.get(int(w), 0.0), 1e-12) for w in of])
-            chance = np.log(max(mean, 1.0)) + np.array([rate[j : j + size].sum() for j in range(len(found))])
-            order = np.argsort(chance, kind="stable")
-            keep = order[(chance[order] <= np.log(RARE)) | (np.arange(len(order)) < LEAST_SEEDS)]
-            hashes.append(found[keep])
-            owner.append(np.full(len(keep), k))
-            place.append(keep)
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.owner = np.concatenate(owner)[order] if hashes else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if hashes else np.empty(0, np.int64)
-        self.sizes = sorted({min(gram, len(x)) for x in self.items if len(x)})
-
-    def hits(self, of: np.ndarray) -> dict[int, list[int]]:
-        """item -> where in the document it would begin, one entry a seed found."""
-        found: dict[int, list[int]] = {}
-        for size in self.sizes:
-            if len(of) < size or not len(self.hashes):
-                continue
-            own = mix(windows(of, size) + np.uint64(size))
-            low, high = np.searchsorted(self.hashes, own), np.searchsorted(self.hashes, own, side="right")
-            for at in np.flatnonzero(high > low).tolist():
-                for k in range(low[at], high[at]):
-                    found.setdefault(int(self.owner[k]), []).append(at - int(self.place[k]))
-        return found
-
-    def compare(self, of: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
-        """(item id, score of a full match, first word, last word, seeds) of every match."""
-        out = []
-        for k, begins in self.hits(of).items():
-            item = self.items[k]
-            begins.sort()
-            best = None
-            # seeds that could belong to one occurrence make one stretch
-            cut = [0, *(j for j in range(1, len(begins)) if begins[j] - begins[j - 1] > len(item)), len(begins)]
-            for a, b in zip(cut, cut[1:]):
-                low = max(0, begins[a] - len(item))
-                high = min(len(of), begins[b - 1] + 2 * len(item))
-                score, first, last = align(item, of[low:high])
-                if best is None or score > best[0]:
-                    best = (score, low + first, low + last, b - a)
-            share = best[0] / (_MATCH * len(item))
-            if share >= threshold:
-                out.append((self.ids[k], share, best[1], best[2], best[3]))
-        return out
-
-
-def word_frequencies(docs: DataFrame, wanted: np.ndarray) -> tuple[dict[int, float], float]:
-    """(share of each wanted word among all words, mean words a document), over all documents."""
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """item_id, words (hashes) of the items that have any."""
+    kind = dict(benchmark.dtypes)["item_id"]
+
+    def run(batches):
+        for batch in batches:
+            found = [words(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([as_long(x) for x in found], pa.list_(pa.int64()))], names=["item_id", "words"])
+
+    return benchmark.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"item_id {kind}, words array<long>").where("size(words) > 0")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """w, c: over all documents."""
 
     def run(batches):
-        total, rows, counts = 0, 0, np.zeros(len(wanted) + 1, np.int64)
+        def flush(held):
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(as_long(found)), pa.array(n.astype(np.int64))], names=["w", "c"])
+
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                of = words(text)
-                total += len(of)
-                rows += 1
-                at = np.searchsorted(wanted, of)
-                hit = (at < len(wanted)) & (wanted[np.minimum(at, max(len(wanted) - 1, 0))] == of) if len(wanted) else np.zeros(len(of), bool)
-                counts += np.bincount(np.where(hit, at, len(wanted)), minlength=len(wanted) + 1)
-        seen = np.flatnonzero(counts[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array([*seen, -1, -2], pa.int64()), pa.array([*counts[seen], total, rows], pa.int64())], names=["k", "n"])
-
-    got = {r["k"]: r["n"] for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a row a wanted word
-    total = max(1, got.pop(-1, 0))
-    mean = total / max(1, got.pop(-2, 0))
-    return {int(wanted[k]): n / total for k, n in got.items()}, mean
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = ITEM_BLOCK) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word, seeds: every document that holds an item."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    id_type = dict(docs.dtypes)["doc_id"]
-    numbered = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
-    rows = numbered.orderBy("item_id", "text").toLocalIterator()  # block by block
-    out, items = None, []
-
-    def compare(items: list[tuple[int, str]]) -> DataFrame:
-        found = [words(t) for _, t in items]
-        wanted = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-        seeds = Seeds(items, *word_frequencies(docs, wanted))
-
-        def run(batches):
-            for batch in batches:
-                got = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in seeds.compare(words(t), threshold)]
-                kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                names = ["doc_id", "item_id", "score", "first_word", "last_word", "seeds"]
-                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)], names=names)
-
-        return docs.mapInArrow(run, f"doc_id {id_type}, item_id long, score double, first_word long, last_word long, seeds long")
-
-    for r in rows:
-        items.append((r["item_id"], r["text"]))
-        if len(items) == block:
-            part, items = compare(items), []
-            out = part if out is None else out.unionByName(part)
-    if items or out is None:
-        part = compare(items)
-        out = part if out is None else out.unionByName(part)
-    return out
+            for text in batch.column("text"):
+                held.append(words(text.as_py()))
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
+
+def grams(of: np.ndarray, size: int) -> np.ndarray:
+    return mix(windows(of, size) + np.uint64(size))
+
+
+def seeds_of(items: DataFrame, counts: DataFrame, mean: float, total: int) -> DataFrame:
+    """hash, key, place: the rare n-grams of each item (key, words)."""
+    flat = items.select("key", F.posexplode("words").alias("p", "w")).join(counts, "w", "left")
+    whole = flat.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", "w", F.coalesce("c", F.lit(0)).alias("c")))).alias("x"))  # an item's words
+
+    def run(batches):
+        for batch in batches:
+            hashes, keys, places = [], [], []
+            for key, own, c in zip(batch.column("key").to_pylist(), arrays(batch.column("w")), arrays(batch.column("c")), strict=True):
+                size = min(GRAM, len(own))
+                found = grams(own.view(np.uint64), size)
+                rate = np.concatenate([[0.0], np.cumsum(np.log(np.maximum(c / max(1, total), 1e-12)))])
+                chance = np.log(max(mean, 1.0)) + rate[size:] - rate[: len(found)]
+                order = np.argsort(chance, kind="stable")
+                keep = order[(chance[order] <= np.log(RARE)) | (np.arange(len(order)) < LEAST_SEEDS)]
+                hashes.append(as_long(found[keep]))
+                keys.append(np.full(len(keep), key))
+                places.append(keep.astype(np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, keys, places)], names=["hash", "key", "place"])
+
+    return whole.select("key", F.col("x.w").alias("w"), F.col("x.c").alias("c")).mapInArrow(run, "hash long, key long, place int")
+
+
+class Filter:
+    """Which hashes may be seeds: two bits a seed in an array of bounded size."""
+
+    def __init__(self, seeds: DataFrame, n_seeds: int):
+        bits = 1 << 16
+        while bits < min(MOST_BITS, BITS_A_SEED * n_seeds):
+            bits *= 2
+        self.mask = np.int64(bits - 1)
+        at = F.explode(F.array(F.col("hash").bitwiseAND(int(self.mask)), F.shiftright("hash", 32).bitwiseAND(int(self.mask))))
+        set_bits = seeds.select(at.alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+        rows = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
+        self.bits = np.zeros(bits >> 6, np.int64)
+        self.bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes.view(np.int64)
+        first, second = h & self.mask, (h >> np.int64(32)) & self.mask
+        good = (self.bits[first >> 6] >> (first & 63)) & 1
+        return (good & (self.bits[second >> 6] >> (second & 63))).astype(bool)
+
+
+def hits_of(docs: DataFrame, may: Filter, sizes: list[int]) -> DataFrame:
+    """doc_id, text_hash, words, hashes, at: of documents that may hold seeds, where."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, text in enumerate(batch.column("text")):
+                own = words(text.as_py())
+                hashes, at = [], []
+                for size in sizes:
+                    found = grams(own, size)
+                    good = np.flatnonzero(may.may_hold(found)) if len(found) else np.empty(0, np.int64)
+                    hashes.append(as_long(found[good]))
+                    at.append(good.astype(np.int32))
+                if any(map(len, at)):
+                    rows.append((k, as_long(own), np.concatenate(hashes), np.concatenate(at)))
+            chosen = batch.select(["doc_id", "text_hash"]).take(pa.array([r[0] for r in rows], pa.int64()))
+            lists = [pa.array([r[j] for r in rows], pa.list_(x)) for j, x in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*chosen.columns, *lists], names=["doc_id", "text_hash", "words", "hashes", "at"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash binary, words array<long>, hashes array<long>, at array<int>")
+
+
+def best_alignment(item: np.ndarray, of: np.ndarray, begins: np.ndarray) -> tuple[int, int, int, int]:
+    """(score, first word, last word, seeds) of the best alignment near where the item would begin."""
+    begins, best = np.sort(begins), None
+    # seeds that could belong to one occurrence make one stretch
+    cut = [0, *(np.flatnonzero(np.diff(begins) > len(item)) + 1).tolist(), len(begins)]
+    for a, b in zip(cut, cut[1:]):
+        low = max(0, int(begins[a]) - len(item))
+        high = min(len(of), int(begins[b - 1]) + 2 * len(item))
+        score, first, last = align(item, of[low:high])
+        if best is None or score > best[0]:
+            best = (score, low + first, low + last, b - a)
+    return best
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, item_id, score, first_word, last_word, seeds: every document that holds an item."""
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    docs = hashed(docs)
+    items = scratch.write(item_words(benchmark).withColumn("key", F.monotonically_increasing_id()), "items")
+    counts = scratch.write(word_counts(docs), "word-counts")
+    total, n_docs = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0], docs.count()
+    seeds = scratch.write(seeds_of(items, counts, total / max(1, n_docs), total), "seeds")
+    scratch.drop("word-counts")
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(GRAM))).distinct().collect())  # GRAM rows at most
+    hits = scratch.write(hits_of(docs, Filter(seeds, seeds.count()), sizes).withColumn("row", F.monotonically_increasing_id()), "hits")
+    flat = hits.select("row", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("row", F.col("x.hashes").alias("hash"), "x.at")
+    met = flat.join(seeds, "hash").groupBy("row", "key").agg(F.collect_list(F.col("at") - F.col("place")).alias("begins"))
+    met = scratch.write(met, "met")
+    pairs = met.join(hits.select("row", "doc_id", "text_hash", F.col("words").alias("of")), "row").join(items.select("key", "item_id", F.col("words").alias("item")), "key")
+    kinds = dict(pairs.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k, (item, of, begins) in enumerate(zip(*(arrays(batch.column(c)) for c in ("item", "of", "begins")), strict=True)):
+                score, first, last, n = best_alignment(item, of, begins)
+                if score / (_MATCH * len(item)) >= threshold:
+                    rows.append((k, score / (_MATCH * len(item)), first, last, n))
+            chosen = batch.select(["doc_id", "text_hash", "item_id"]).take(pa.array([r[0] for r in rows], pa.int64()))
+            columns = [pa.array([r[j] for r in rows], pa.float64() if j == 1 else pa.int64()) for j in range(1, 5)]
+            yield pa.RecordBatch.from_arrays([*chosen.columns, *columns], names=["doc_id", "text_hash", "item_id", "score", "first_word", "last_word", "seeds"])
+
+    columns = ["doc_id", "text_hash", "item_id", "item", "of", "begins"]
+    return pairs.select(columns).mapInArrow(run, f"doc_id {kinds['doc_id']}, text_hash binary, item_id {kinds['item_id']}, score double, first_word long, last_word long, seeds long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
