@@ -5,7 +5,8 @@ seen LEAST times or more, the end, and one unit for each of ENDINGS hashes of a
 bytes, which takes the words seen less often.  Exchange clustering assigns units to CLASSES
 classes: in every round the FREQUENT most frequent words and the endings move one after another on
 the driver, then all other words at once in Spark, each to the class that raises the class bigram
-likelihood most, until no unit moves.  Tasks get 8 bytes of hash and 1 of class for each unit.
+likelihood most.  Rounds end with the first that raises the log likelihood by at most TOLERANCE a
+token (0: when nothing moves).  Tasks get 8 bytes of hash and 1 of class for each unit.
 
     p(word | before) = p(class | class before) * p(unit | class) * p(word | unit)
 
@@ -16,8 +17,9 @@ LISTED, are sent to the tasks; the counts of all other words meet the texts in a
 
 Defined results: null and empty texts are one end; rows with a null doc_id are scored but not
 learned from (held_out is false); repeated rows count and are scored row by row; without training
-texts N and V are 0 and the scores are those of the smoothing alone; an empty table gives no
-rows; further columns are ignored.
+texts N and V are 0 and the scores are those of the smoothing alone; very long texts are scored
+whole in one task; ties between classes go to the first; an empty table gives no rows; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ FREQUENT = 2000
 ENDINGS = 500
 LEAST = 5  # a word seen so often is a unit of its own
 CLASSES = 96
-ROUNDS = None  # until no unit moves
+TOLERANCE = 1e-3  # rounds go on until one raises the log likelihood of the training texts by less, a token
 ADD = 0.1
 BACK_OFF = 0.03  # share of the class frequencies in a transition
 FLUSH = 400_000
@@ -268,46 +270,47 @@ def proposals(packed: DataFrame, classes: np.ndarray, pairs: np.ndarray, head: n
     return tuple(got.column(c).to_numpy() for c in ("unit", "class", "gain"))
 
 
-def cluster(packed: DataFrame, classes: np.ndarray, n_classes: int, head: np.ndarray, fixed: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(classes, class bigrams, rounds): exchange until no unit moves.
+def cluster(packed: DataFrame, classes: np.ndarray, n_classes: int, head: np.ndarray, fixed: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(classes, class bigrams, likelihood after each round): exchange until a round raises it by
+    less than tolerance a token.
 
     A round moves the units of head one after another, then a share of all others at once, each to
     its best class.  Moves made together disturb each other: the share falls where they bring less
-    than half of their gains and rises where they bring most of them, and if they don't raise the
-    likelihood, half of them stay where they were, and so on.  So every round raises the
-    likelihood, and the last one is that in which no unit can move.
+    than half of their gains and rises where they bring most of them, and if a round's moves don't
+    raise the likelihood, half of the others stay where they were, and so on, and at last the head.
+    So no round lowers the likelihood.
     """
-    share = 1.0
-    done = 0
+    share, tried_head = 1.0, True
     pairs, left, right = contexts(packed, classes, n_classes, head)
-    while rounds is None or done < rounds:
-        done += 1
-        mine = classes[head].copy()
-        moved = exchange(left, right, mine, n_classes, int(np.flatnonzero(head == fixed)[0]), pairs)
-        if moved:
-            tried = classes.copy()
-            tried[head] = mine
-            fresh = contexts(packed, tried, n_classes, head)
-            if likelihood(fresh[0]) > likelihood(pairs):
-                classes, (pairs, left, right) = tried, fresh
-            else:  # counts of a unit beside itself are not exact in a move
-                moved = 0
-        unit, best, gain = proposals(packed, classes, pairs, head, fixed)
-        order = np.argsort(mix(unit.astype(np.uint64) * BASE + np.uint64(done)), kind="stable")  # another share each round
+    tokens_ = max(1.0, pairs.sum())
+    reached = [likelihood(pairs)]
+    while True:
+        after_head, between = classes.copy(), pairs.copy()
+        if tried_head:
+            mine = classes[head].copy()
+            exchange(left, right, mine, n_classes, int(np.flatnonzero(head == fixed)[0]), between)
+            after_head[head] = mine
+        unit, best, gain = proposals(packed, after_head, between, head, fixed)
+        order = np.argsort(mix(unit.astype(np.uint64) * BASE + np.uint64(len(reached))), kind="stable")  # another share each round
         order = order[: int(np.ceil(share * len(order)))]
-        while len(order):
-            tried = classes.copy()
+        expected = likelihood(between) - reached[-1] + gain[order].sum()
+        while True:
+            tried = after_head.copy()
             tried[unit[order]] = best[order]
             fresh = contexts(packed, tried, n_classes, head)
-            raised = likelihood(fresh[0]) - likelihood(pairs)
-            share = max(share / 2, 1 / 64) if raised < 0.5 * gain[order].sum() else min(1.0, 1.5 * share) if raised > 0.75 * gain[order].sum() else share
-            if raised > 0:
-                classes, (pairs, left, right) = tried, fresh
+            now = likelihood(fresh[0])
+            if now > reached[-1] or not len(order):
                 break
             order = order[: len(order) // 2]
-        if not moved and not len(order):
-            break
-    return classes, pairs, done
+        share = max(share / 2, 1 / 64) if now - reached[-1] < 0.5 * expected else min(1.0, 1.5 * share)
+        if now > reached[-1]:
+            classes, (pairs, left, right) = tried, fresh
+        elif tried_head:  # counts of a unit beside itself are not exact in a move
+            tried_head = False
+            continue
+        reached.append(max(now, reached[-1]))
+        if reached[-1] - reached[-2] <= tolerance * tokens_:
+            return classes, pairs, reached
 
 
 def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, n_classes: int, fixed: int, pairs: np.ndarray | None = None) -> int:
@@ -315,7 +318,7 @@ def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, n_classes
 
     left, right: the classes before and after each unit at the round's begin.  Class bigrams are
     kept up to date, so later units see earlier moves; the unit ``fixed`` stays in its own class.
-    pairs: the class bigrams, those of the given units alone if None.
+    pairs: the class bigrams (changed in place), those of the given units alone if None.
     """
     if pairs is None:
         pairs = np.zeros((n_classes, n_classes))
@@ -340,7 +343,7 @@ def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, n_classes
             classes[k] = best
         base[:, classes[k]] += left[k]
         base[classes[k], :] += right[k]
-        pairs = base
+        pairs[:] = base
     return moves
 
 
@@ -365,7 +368,7 @@ class Model:
         return np.log10((np.asarray(c, float) + ADD) / (self.total + ADD * (self.distinct + 1)))
 
 
-def train(spark: SparkSession, docs: DataFrame, scratch: Scratch, n_classes: int = CLASSES, rounds: int | None = ROUNDS) -> tuple[Model, DataFrame]:
+def train(spark: SparkSession, docs: DataFrame, scratch: Scratch, n_classes: int = CLASSES, tolerance: float = TOLERANCE) -> tuple[Model, DataFrame]:
     """(model, word counts of all training words)."""
     counts = scratch.write(word_counts(docs), "words")
     n_docs = docs.count()
@@ -386,10 +389,10 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch, n_classes: int
     classes = (1 + rank % (n_classes - 1)).astype(np.uint8 if n_classes <= 256 else np.int32)
     classes[units.end] = 0
     head = np.flatnonzero((rank < FREQUENT) | (np.arange(units.size) >= units.first_ending))
-    classes, pairs, done = cluster(packed, classes, n_classes, head, units.end, rounds)
+    classes, pairs, reached = cluster(packed, classes, n_classes, head, units.end, tolerance)
     total, distinct = int(total) + n_docs, distinct + (1 if n_docs else 0)
     model = Model(units, classes, pairs, unit_counts, inside, kinds, total, distinct, n_docs)
-    model.rounds = done
+    model.reached = reached
     return model, counts
 
 
@@ -421,7 +424,7 @@ def _local(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>, endings array<int>")
 
 
-def scores(spark: SparkSession, docs: DataFrame, keep=None, n_classes: int = CLASSES, rounds: int | None = ROUNDS) -> DataFrame:
+def scores(spark: SparkSession, docs: DataFrame, keep=None, n_classes: int = CLASSES, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     keep: the condition on doc_id for texts to learn from; held_out is its opposite.
@@ -429,7 +432,7 @@ def scores(spark: SparkSession, docs: DataFrame, keep=None, n_classes: int = CLA
     scratch = Scratch(spark, "class-lm")
     keep = keep if keep is not None else (remainder(10) != 0)
     all_docs = texts(docs).withColumn("held_out", F.coalesce(~keep, F.lit(False)))
-    model, counts = train(spark, all_docs.where(keep), scratch, n_classes, rounds)
+    model, counts = train(spark, all_docs.where(keep), scratch, n_classes, tolerance)
     local = scratch.write(_local(all_docs, model).withColumn("row", F.monotonically_increasing_id()), "local")
     # the rare words of the texts meet their counts; a word that was never seen finds none
     others = local.select("row", F.explode(F.arrays_zip("words", "times", "endings")).alias("x"))
