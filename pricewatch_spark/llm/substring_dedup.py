@@ -8,8 +8,10 @@ target length by 128 bits; its windows that occur at least twice are removed.
 
 Defined results: null texts have no words; texts shorter than a window lose nothing; all windows
 of a text that has a copy repeat, so such a text is removed whole if it has a window; repeated
-rows are documents of their own; null doc_ids are kept; an empty table gives no rows; further
-columns of the input are ignored.  The kept words are joined by one space.
+rows are documents of their own; null doc_ids are kept; very long texts are taken whole; there are
+no ties, since every copy of a window goes; an empty table gives no rows; further columns of the
+input are ignored, whatever their names.  kept_sha256 is of the kept words joined by one space;
+kept_text is the text without the words that go and the blanks after them.
 """
 
 from __future__ import annotations
@@ -138,7 +140,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
 
     def run(batches):
         for batch in batches:
-            n, removed, kept = [], [], []
+            n, removed, kept, left = [], [], [], []
             for text, whole, starts in zip(*(batch.column(c).to_pylist() for c in ("_body", "_whole", "_starts")), strict=True):
                 data = raw_bytes(text)
                 _, begin, end = word_hashes(data)
@@ -151,9 +153,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
                 n.append(len(begin))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([raw[a:b] for a, b in zip(begin[~gone].tolist(), end[~gone].tolist(), strict=True)]))
+                if keep_text:
+                    first = begin[0] if len(begin) else len(data)
+                    stay = np.repeat(~gone, np.diff(begin, append=len(data)))  # a word that goes takes the blanks after it along
+                    left.append(raw[:first] + data[first:][stay].tobytes())
             columns = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
             if keep_text:
-                columns.append(pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()))
+                columns.append(pa.array([x.decode("utf-8", "replace") for x in left], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *names])
 
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_body")
