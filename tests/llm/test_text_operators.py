@@ -166,7 +166,7 @@ def test_registers_estimate():
 
 
 def test_class_lm(spark, docs, texts):
-    got = {r["doc_id"]: r for r in class_lm.scores(spark, docs, rounds=2).collect()}
+    got = {r["doc_id"]: r for r in class_lm.scores(spark, docs).collect()}
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
     counts = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
@@ -178,10 +178,48 @@ def test_class_lm(spark, docs, texts):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_class_lm_scores_against_brute_force(spark, monkeypatch):
+    """The score of every text, by counting class bigrams token by token."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choices("abcdeéñ", k=r.randint(2, 5))) for _ in range(90)]
+    texts = [None, "", "A a A"] + [" ".join(r.choice(vocabulary[: 30 if i % 2 else 90]) for _ in range(r.randint(1, 40))) for i in range(120)]
+    kept, train = [], class_lm.train
+    monkeypatch.setattr(class_lm, "train", lambda *a, **b: kept.append(train(*a, **b)) or kept[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in class_lm.scores(spark, docs, n_classes=9).collect()}
+    units, classes = kept[0][0].units, kept[0][0].classes
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    learned = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 10]
+    counts = collections.Counter(w for k in learned for w in tokens[k])
+    own = {w: int(units.find(np.asarray(class_lm.word_hashes(class_lm.raw_bytes(w))[0]))[0]) for ws in tokens for w in ws}
+    assert all((own[w] >= 0) == (counts[w] >= class_lm.LEAST) for w in own)
+    unit = lambda w: own[w] if own[w] >= 0 else units.first_ending + class_lm.ending(w)
+    lines = {k: [units.end, *(unit(w) for w in tokens[k]), units.end] for k in range(len(texts))}
+    times = collections.Counter(u for k in learned for u in lines[k][1:])
+    pairs = collections.Counter((classes[a], classes[b]) for k in learned for a, b in zip(lines[k], lines[k][1:]))
+    of_class, size, before = collections.Counter(), collections.Counter(classes.tolist()), collections.Counter()
+    for u, n in times.items():
+        of_class[classes[u]] += n
+    for (a, _), n in pairs.items():
+        before[a] += n
+    kinds, total = 9, sum(times.values())
+    for k, line in lines.items():
+        p = 0.0
+        for a, b, w in zip(line, line[1:], [*tokens[k], None]):
+            ca, cb = classes[a], classes[b]
+            free = class_lm.BACK_OFF if before[ca] else 1.0
+            p += math.log10((1 - free) * pairs[ca, cb] / max(1, before[ca]) + free * (of_class[cb] + 0.1) / (total + 0.1 * kinds))
+            p += math.log10((times[b] + 0.1) / (of_class[cb] + 0.1 * size[cb]))
+            if w is not None and own[w] < 0:
+                same = [x for x in counts if counts[x] < class_lm.LEAST and class_lm.ending(x) == class_lm.ending(w)]
+                p += math.log10((counts[w] + 0.1) / (sum(counts[x] for x in same) + 0.1 * (len(same) + 1)))
+        assert got[k]["score"] == pytest.approx(p, rel=1e-9)
+
+
 def test_class_lm_is_a_distribution(spark, docs):
     """After any unit the known words and one unseen word an ending share all probability."""
     scratch = Scratch(spark, "test-lm")
-    model, counts = class_lm.train(spark, class_lm.texts(docs), scratch, n_classes=8, rounds=2)
+    model, counts = class_lm.train(spark, class_lm.texts(docs), scratch, n_classes=8)
     units = model.units
     within = {e: 0.0 for e in range(class_lm.ENDINGS)}
     for r in counts.collect():
@@ -205,7 +243,7 @@ def test_class_lm_moves_less_frequent_words_until_nothing_moves(spark, monkeypat
         x = i % 2
         rows.append((i, " ".join(w for _ in range(8) for w in (f"before{x}", r.choice(sides[x]), f"after{x}"))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model, _ = class_lm.train(spark, docs, Scratch(spark, "test-lm"), n_classes=7)
+    model, _ = class_lm.train(spark, docs, Scratch(spark, "test-lm"), n_classes=7, tolerance=0)
     units = model.units
     found = [{int(model.classes[k]) for k in units.sequence(" ".join(side))[0]} for side in sides]
     assert all(w.encode() in units.of for side in sides for w in side)
@@ -268,16 +306,52 @@ def test_mixing(spark, docs, texts):
     by = collections.defaultdict(list)
     for r in rows.values():
         by[r["source"]].append(r)
-        assert r["taken"] in (0, r["size"], 2 * r["size"]) and len(r["shards"]) * r["size"] == r["taken"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"]) and len(r["drawn"]) * r["size"] == r["taken"]
+        assert [x["copy"] for x in r["drawn"]] == list(range(len(r["drawn"]))) and all(0 <= x["shard"] < mixing.SHARDS for x in r["drawn"])
     total = {s: sum(r["size"] for r in rs) for s, rs in by.items()}
     assert sum(rs[0]["target"] for rs in by.values()) == pytest.approx(min(1.5 * sum(sizes), 2 * sum(total.values())))
     for s, rs in by.items():
         assert rs[0]["source_size"] == total[s] and rs[0]["target"] <= 2 * total[s] + 1e-6
-        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= max(r["size"] for r in rs)
-    again = {r["doc_id"]: (r["taken"], r["shards"]) for r in mixing.mix(spark, docs.repartition(3)).collect()}
-    assert again == {i: (r["taken"], r["shards"]) for i, r in rows.items()}
-    placed = mixing.shard_rows(mixing.mix(spark, docs))
-    assert placed.count() == sum(len(r["shards"]) for r in rows.values())
+        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= max(r["size"] for r in rs) / 2
+    again = {r["doc_id"]: (r["taken"], r["drawn"]) for r in mixing.mix(spark, docs.repartition(3)).collect()}
+    assert again == {i: (r["taken"], r["drawn"]) for i, r in rows.items()}
+    placed = mixing.shard_rows(mixing.mix(spark, docs)).collect()
+    assert sum(r["size"] for r in placed) == sum(r["taken"] for r in rows.values())
+
+
+def test_mixing_takes_what_the_tree_deals(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "DOCS_A_BLOCK", 4)
+    full = {r["doc_id"]: r for r in mixing.mix(spark, docs, shards=4).collect()}
+    tree = mixing.splitting_tree
+    # disjoint draws: shard k gets the lots that the tree deals to it, source by source
+    dealt = []
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, seed: dealt.append(tree(q, n, seed)) or dealt[-1])
+    again = mixing.mix(spark, docs, shards=4).collect()
+    assert {r["doc_id"]: r["drawn"] for r in again} == {i: r["drawn"] for i, r in full.items()}
+    shards = collections.Counter(x["shard"] for r in again for x in r["drawn"])
+    assert set(shards) == set(np.flatnonzero(dealt[0].sum(1)).tolist()) == set(range(4))
+    # a tree that loses lots loses their words, and one that deals all to a shard fills that shard
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, seed: tree(q // 2, n, seed))
+    fewer = mixing.mix(spark, docs, shards=4).collect()
+    assert sum(r["taken"] for r in fewer) < 0.75 * sum(r["taken"] for r in full.values())
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, seed: np.stack([q, *[q * 0] * (n - 1)]))
+    assert {x["shard"] for r in mixing.mix(spark, docs, shards=4).collect() for x in r["drawn"]} == {0}
+
+
+def test_mixing_of_rows_without_id_and_repeated_rows(spark):
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (1, "d " * 40, "s"), (1, "d " * 40, "s"), (2, None, None), (3, "", "t"), (4, "x " * 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS block", "2 AS pick", "'x' AS in_source")
+    got = [(r["doc_id"], r["source"], r["size"], r["source_size"], r["taken"]) for r in mixing.mix(spark, df).collect()]
+    assert sorted((r[0] or 0, r[2], r[3]) for r in got) == [(0, 3, 86), (0, 3, 86), (1, 40, 86), (1, 40, 86), (2, 0, 7), (3, 0, 0), (4, 7, 7)]
+    assert all(r[4] <= 2 * r[2] for r in got)
+
+
+def test_tree_follows_the_hypergeometric_law():
+    """Of 30 and 70 lots, a shard that takes 25 of them draws 7.5 of the first on average, with that law's variance."""
+    drawn = np.array([mixing.splitting_tree(np.array([30, 70]), 4, seed)[:, 0] for seed in range(2000)])
+    variance = 25 * 0.3 * 0.7 * 75 / 99
+    assert np.allclose(drawn.mean(0), 7.5, atol=0.2) and np.allclose(drawn.var(0), variance, rtol=0.12)
+    assert (drawn.sum(1) == 30).all()
 
 
 def test_targets_and_tree():
@@ -308,8 +382,8 @@ def test_decontaminate(spark):
     rows = [(i, "x, " * 5 + " ".join(w).upper() + ". y" * 5) for i, w in texts.items()] + [(4, None), (5, ""), (6, rows_of(items[0][1])), (6, rows_of(items[0][1])), (None, rows_of(items[0][1]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS item_id")
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(7, None), (8, ""), (9, " ".join(items[0][1]))], "item_id long, text string")
-    got = sorted((r["doc_id"], r["item_id"], r["score"] == 1) for r in decontaminate.matches(docs, benchmark, block=3).collect())
-    assert got == [(0, 0, True), (0, 9, True), (1, 1, False), (6, 0, True), (6, 0, True), (6, 9, True), (6, 9, True)]
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["item_id"], r["score"] == 1) for r in decontaminate.matches(docs, benchmark).collect())
+    assert got == [(-1, 0, True), (-1, 9, True), (0, 0, True), (0, 9, True), (1, 1, False), (6, 0, True), (6, 0, True), (6, 9, True), (6, 9, True)]
     assert decontaminate.matches(docs, benchmark.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), benchmark).count() == 0
 
 
@@ -317,6 +391,37 @@ def rows_of(words):
     return "-".join(words)
 
 
+def test_decontaminate_against_all_pairs(spark, monkeypatch):
+    """Every document aligned with every item, whole; also with a filter that lets nearly everything pass."""
+    r = random.Random(12)
+    common = [f"c{k}" for k in range(15)]
+    word = lambda: r.choice(common) if r.random() < 0.5 else "".join(r.choices("abcdefgh", k=4))
+    items = [[word() for _ in range(r.choice([2, 12, 30, 45]))] for _ in range(12)]
+    texts = []
+    for i in range(80):
+        inside = [w if r.random() > 0.06 * (i % 8) else word() for w in items[i % 12]]
+        if i % 5 == 0 and len(inside) > 4:
+            del inside[2]
+            inside.insert(7, word())
+        texts.append([word() for _ in range(r.randint(0, 60))] + (inside if i % 3 else []) + [word() for _ in range(r.randint(0, 2500 if i == 7 else 60))])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    expected = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            score = decontaminate.align(decontaminate.words(" ".join(item)), decontaminate.words(" ".join(t)))[0] / (2 * len(item))
+            if score >= 0.5:
+                expected[i, k] = score
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.matches(docs, benchmark).collect()}
+    # a long item keeps enough seeds; of the items of two words only whole copies are looked for
+    long = {key: v for key, v in expected.items() if len(items[key[1]]) > 2}
+    assert {key: v for key, v in got.items() if len(items[key[1]]) > 2} == long and len(long) > 20
+    assert {key for key in got if len(items[key[1]]) == 2} == {key for key, v in expected.items() if len(items[key[1]]) == 2 and v == 1}
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 16)
+    monkeypatch.setattr(decontaminate.Filter, "may_hold", lambda self, h: np.ones(len(h), bool))
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.matches(docs, benchmark).collect()} == got
+
+
 def test_alignment():
     item = np.arange(1, 11, dtype=np.uint64)
 
@@ -392,7 +497,7 @@ def test_empty_tables(spark, nothing):
     assert substring_dedup.substring_dedup(spark, nothing).count() == 0
     assert suffix_dedup.suffix_dedup(spark, nothing).count() == 0
     assert near_dedup.near_duplicates(spark, nothing).count() == 0
-    assert class_lm.scores(spark, nothing, rounds=1).count() == 0
+    assert class_lm.scores(spark, nothing).count() == 0
     assert mixing.mix(spark, nothing).count() == 0
     assert media.store(nothing).count() == 0
 
@@ -403,5 +508,7 @@ def test_repeated_ids_and_null_ids(spark):
     got = sorted((r["doc_id"] is None, r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(spark, df).collect())
     assert got == [(False, 0, 0), (False, 4, 0), (False, 50, 50), (False, 50, 50), (True, 50, 50)]
     assert sorted(r["n_removed"] for r in suffix_dedup.suffix_dedup(spark, df, length=100).collect()) == [0, 0, len(long), len(long), len(long)]
-    assert sorted(r["doc_id"] for r in near_dedup.near_duplicates(spark, df).collect()) == [1, 2]
-    assert class_lm.scores(spark, df, rounds=1).where(F.col("held_out").isNull()).count() == 0
+    near = near_dedup.near_duplicates(spark, df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"], r["first"]) for r in near) == [
+        (0, 46, 1, False, False), (1, 46, 1, True, True), (1, 46, 1, True, True), (2, 0, 2, True, True), (2, 1, 2, True, True)]
+    assert class_lm.scores(spark, df).where(F.col("held_out").isNull()).count() == 0
