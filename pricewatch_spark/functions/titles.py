@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pricewatch_spark import constants as K
 from pricewatch_spark.functions.text import validate_ean
+from pricewatch_spark.sources.tables import reliable
 
 UNKNOWN = "Unknown"
 ANSWER = "brand string, product_name string, variant string, fragrance_type string, ml int, gender string"
@@ -193,7 +194,8 @@ def enrich(df: DataFrame, functions: list[Callable[[str], str | None]], key: str
                 out.append(answer)
             yield pd.DataFrame({key: batch[key], "response": out})
 
-    asked = df.where("needs_llm").select(key, "prompt")
+    # kept first: a call costs more than a write, and the prompt's long expression stays out of the filter
+    asked = reliable(df.select(key, "needs_llm", "prompt")).where("needs_llm").select(key, "prompt")
     asked = asked.repartition(partitions) if partitions else asked
     return asked.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, response string")
 

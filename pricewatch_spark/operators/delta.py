@@ -110,52 +110,51 @@ def classify_changes(observed: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 
 def next_snapshot(changes: DataFrame, snapshot: DataFrame, reference_mode: bool = True) -> DataFrame:
-    """The snapshot after a batch: the last row wins; empty values keep what was known.
-
-    So do an MOQ of 0 and tiers without an entry.
+    """The snapshot after a batch: the last created or changed row wins; its empty values, an MOQ of 0
+    and tiers without an entry keep what was known.
 
+    A row with the state that was known moves last_seen_at, last_scraped_at and stock_confidence alone.
     reference_mode: a delisted listing seen again with its old state stays delisted.
     """
     changes, snapshot = with_quantities(changes), with_quantities(snapshot)
-    good = changes.where("change <> 'failed'")
+    snapshot = snapshot.withColumns({c: F.lit(None).cast(kind) for c, kind in (("title", "string"), ("last_scraped_at", "timestamp")) if c not in snapshot.columns})
     order = F.struct("scraped_at", "pos")
-    last = lambda value, when=None: F.max_by(value, F.when(when, order) if when is not None else order)
-    filled = lambda c: last(F.col(c), F.coalesce(F.col(c), F.lit("")) != "")
+    wrote = F.col("change").isin("created", "changed")
+    filled = lambda c, full: F.max_by(c, F.when(wrote & full, order))
+    text = lambda c: filled(c, F.coalesce(F.col(c), F.lit("")) != "")
     sure = F.col("stock_confidence").isin("HIGH", "MEDIUM")
-    batch = good.groupBy(*KEY).agg(
-        last(F.col("hash")).alias("n_hash"),
-        last(F.col("price")).alias("n_price"),
-        last(F.col("observed_stock")).alias("n_stock"),
-        last(F.col("availability")).alias("n_availability"),
-        last(F.col("stock_confidence")).alias("n_confidence"),
-        filled("url").alias("n_url"),
-        filled("image_url").alias("n_image_url"),
-        last(F.col("moq"), F.col("moq") != 0).alias("n_moq"),
-        last(F.col("bulk_tiers"), F.size("bulk_tiers") > 0).alias("n_bulk_tiers"),
+    batch = changes.where("change <> 'failed'").groupBy(*KEY).agg(
+        F.max_by(F.struct("hash", "price", "observed_stock", "availability", "raw_title", "source_currency"), F.when(wrote, order)).alias("n"),
+        F.max_by(F.struct("stock_confidence", "availability"), order).alias("s"),
+        text("url").alias("n_url"),
+        text("image_url").alias("n_image_url"),
+        filled("moq", F.col("moq") != 0).alias("n_moq"),
+        filled("bulk_tiers", F.size("bulk_tiers") > 0).alias("n_bulk_tiers"),
         F.max("scraped_at").alias("n_seen"),
-        F.max(F.when(sure, F.col("scraped_at"))).alias("n_confirmed"),
-        F.max(F.col("source_currency")).alias("n_currency"),
-        F.max(F.when(F.col("change") == "changed", True)).alias("moved"),
+        F.max(F.when(wrote & sure, F.col("scraped_at"))).alias("n_confirmed"),
     )
     joined = snapshot.join(batch, KEY, "full_outer")
-    state = F.coalesce("n_availability", "availability")
-    if reference_mode:
-        state = F.when((F.col("availability") == "DELISTED") & F.col("moved").isNull(), F.col("availability")).otherwise(state)
-    seen = F.col("n_hash").isNotNull()
+    moved = F.col("n").isNotNull()
+    put = lambda new, old: F.when(moved, F.col(new)).otherwise(F.col(old)).alias(old)
+    state = F.when(moved, F.col("n.availability")).otherwise(F.col("availability"))
+    if not reference_mode:
+        state = F.when((F.col("availability") == "DELISTED") & F.col("s").isNotNull(), F.col("s.availability")).otherwise(state)
     return joined.select(
         *KEY,
-        F.when(seen, F.col("n_hash")).otherwise(F.col("current_hash")).alias("current_hash"),
-        F.when(seen, F.col("n_price")).otherwise(F.col("current_price")).alias("current_price"),
-        F.when(seen, F.col("n_stock")).otherwise(F.col("current_stock")).alias("current_stock"),
+        put("n.hash", "current_hash"),
+        put("n.price", "current_price"),
+        put("n.observed_stock", "current_stock"),
         state.alias("availability"),
-        F.coalesce("n_confidence", "stock_confidence").alias("stock_confidence"),
+        F.when(F.col("s").isNotNull(), F.col("s.stock_confidence")).otherwise(F.col("stock_confidence")).alias("stock_confidence"),
         F.coalesce("n_url", "url").alias("url"),
         F.coalesce("n_image_url", "image_url").alias("image_url"),
-        F.coalesce("currency", "n_currency", F.lit("CLP")).alias("currency"),
+        F.coalesce("currency", "n.source_currency", F.lit("CLP")).alias("currency"),
         F.coalesce("n_confirmed", "last_confirmed_stock_at").alias("last_confirmed_stock_at"),
         F.greatest("n_seen", "last_seen_at").alias("last_seen_at"),
         F.coalesce("n_moq", "moq").alias("moq"),
         F.coalesce("n_bulk_tiers", "bulk_tiers").alias("bulk_tiers"),
+        put("n.raw_title", "title"),
+        F.greatest("n_seen", "last_scraped_at").alias("last_scraped_at"),
     )
 
 

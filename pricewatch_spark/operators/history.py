@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HEADER = ["title", "current_price", "current_stock", "current_availability"]
+
+
+def listing_history(listings: DataFrame, history: DataFrame, key: list[str], at: list[str], n: int = 100) -> DataFrame:
+    """latest_history below each listing's header (title and current state); a listing without points keeps one row.
+
+    listings: key, title, current_price, current_stock, availability.  A current price of 0 is shown as null.
+    """
+    header = listings.withColumns({"current_price": F.when(F.col("current_price") != 0, F.col("current_price")), "current_availability": F.col("availability")})
+    return header.select(*key, *HEADER).join(latest_history(history, key, at, n), key, "left")
+
+
 def latest_history(history: DataFrame, key: list[str], at: list[str], n: int = 100) -> DataFrame:
     """The last n (at most 1000) points of each listing, numbered from the oldest kept."""
     newest = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in at))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewatch_spark.functions.titles import UNKNOWN
+from pricewatch_spark.sources.tables import reliable
 
 CODES_A_PREFIX = 99_999_999
 #: Weights of the search fields, A to D.
@@ -60,14 +61,15 @@ def group_new_products(rows: DataFrame, mode: str = "leader") -> DataFrame:
     if mode == "leader":
         return led.drop("identity")
     nodes = keyed.select("identity", "ean_13").where("ean_13 is not null").distinct()
-    component = nodes.select("identity").union(keyed.select("identity")).distinct().withColumn("component", F.col("identity"))
-    while True:  # smallest label along shared barcodes, until nothing moves
+    component = keyed.select("identity").distinct().withColumn("component", F.col("identity"))
+    while True:  # the smallest label along shared barcodes, then that label's own, until nothing moves
         by_ean = nodes.join(component, "identity").groupBy("ean_13").agg(F.min("component").alias("low"))
         low = nodes.join(by_ean, "ean_13").groupBy("identity").agg(F.min("low").alias("low"))
-        moved = component.join(low, "identity", "left").select("identity", F.least("component", F.coalesce("low", "component")).alias("component"), (F.col("low") < F.col("component")).alias("moved"))
-        moved = moved.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else moved
-        component = moved.select("identity", "component")
-        if moved.where("moved").isEmpty():
+        hop = component.join(low, "identity", "left").select("identity", F.coalesce("low", "component").alias("to"), "component")
+        over = hop.select(F.col("identity").alias("to"), F.col("to").alias("next"))
+        moved = reliable(hop.join(over, "to", "left").select("identity", F.coalesce("next", "to").alias("to"), "component"))
+        component = moved.select("identity", F.col("to").alias("component"))
+        if moved.where("to < component").isEmpty():
             break
     schema = f"pos {dict(rows.dtypes)['pos']}, group_key string"
 
@@ -133,10 +135,10 @@ def largest_ordinal(products: DataFrame) -> int:
 def number_rows(df: DataFrame, *order: str) -> DataFrame:
     """df with ordinal 1, 2, ... in the given order, without one window over all rows.
 
-    Rows are ranged by the order, counted by partition, and numbered within partitions; only the
-    counts (one a partition) are summed up.
+    Rows are ranged by the order and kept in the checkpoint folder with their partition, so that the
+    counts and the numbers are of the same partitions; only the counts (one a partition) are summed up.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = reliable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

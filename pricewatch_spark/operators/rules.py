@@ -28,11 +28,20 @@ LISTING_RULES: dict[str, Column | str] = {
     "stock_negative": "current_stock < 0",
     "availability_enum": f"availability not in {K.AVAILABILITY}",
     "confidence_enum": f"stock_confidence not in {K.STOCK_CONFIDENCE}",
-    "external_id_length": "length(source_external_id) > 255",
 }
+HISTORY_RULES: dict[str, Column | str] = {"price_null": "price is null", "price_negative": "price < 0", "stock_negative": "stock < 0", "availability_enum": f"availability not in {K.AVAILABILITY}"}
+TIER_RULES: dict[str, Column | str] = {"price_negative": "price < 0", "tier_name_blank": "trim(coalesce(tier_name, '')) = ''"}
+LOG_RULES: dict[str, Column | str] = {f"{c}_negative": f"{c} < 0" for c in ("records_extracted", "records_updated", "records_skipped", "records_failed")}
+#: The lengths that columns of a listing may have.
+LENGTHS = {"source_external_id": 255, "title": 500, "url": 1024, "image_url": 1024, "current_hash": 64, "tier_name": 100}
 QUEUE_RULES: dict[str, Column | str] = {"priority_range": "priority < 1 or priority > 10", "status_enum": f"status not in {K.STATUSES}", "retries_negative": "retries < 0"}
 
 
+def length_rules(df: DataFrame) -> dict[str, str]:
+    """A rule for each column of df whose length is bounded."""
+    return {f"{c}_length": f"length({c}) > {most}" for c, most in LENGTHS.items() if c in df.columns}
+
+
 def row_violations(df: DataFrame, rules: dict[str, Column | str]) -> DataFrame:
     """df with violations: the names of the rules that a row breaks."""
     broken = [F.when(F.expr(c) if isinstance(c, str) else c, F.lit(name)) for name, c in rules.items()]

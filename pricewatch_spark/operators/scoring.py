@@ -52,6 +52,12 @@ def quality_report(listings: DataFrame, products: DataFrame, history: DataFrame)
     return report.join(points, "source_id", "left").withColumn("history_points", F.coalesce("history_points", F.lit(0)))
 
 
+def listing_report(listings: DataFrame, history: DataFrame, key: list[str]) -> DataFrame:
+    """listings with history_points, the number of points of each."""
+    points = history.groupBy(*key).agg(F.count(F.lit(1)).alias("history_points"))
+    return listings.join(points, key, "left").withColumn("history_points", F.coalesce("history_points", F.lit(0)))
+
+
 def items_with_stock(raw: DataFrame, by: str = "run_id") -> DataFrame:
     return raw.groupBy(by).agg(F.count_if(F.col("stock").isNotNull()).alias("items_with_stock"))
 

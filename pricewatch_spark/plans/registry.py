@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewatch_spark import constants as K
 from pricewatch_spark.functions import text, titles
 from pricewatch_spark.operators import compare, delta, history, products, rules, scoring
 from pricewatch_spark.plans.testmap import Model, ctes
 from pricewatch_spark.sources import cards, listings, tables
+from pricewatch_spark.streaming import changes as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,14 +98,14 @@ def _(m):
     "own_price_gap",
     _GRID
     + """, own AS (SELECT p_partkey AS product_id, CAST(p_retailprice AS DECIMAL(12,2)) AS own_price FROM part WHERE p_partkey % 2 = 0)
-SELECT product_id, CAST(own_price AS DOUBLE) AS own_price, CAST(min_price AS DOUBLE) AS min_price, CAST(own_price > min_price AS BOOLEAN) AS dearer, own_price IS NULL AS no_own
+SELECT product_id, CAST(own_price AS DOUBLE) AS own_price, CAST(min_price AS DOUBLE) AS min_price, CAST(own_price > min_price AS BOOLEAN) AS dearer, CAST(CASE WHEN min_price > 0 THEN round((own_price - min_price) * 100 / min_price, 2) END AS DOUBLE) AS gap_pct
 FROM minima LEFT JOIN own USING (product_id)""",
     ("sources", "listings"),
 )
 def _(m):
     own = m.raw("part").where("p_partkey % 2 = 0").selectExpr("p_partkey AS product_id", "CAST(p_retailprice AS DECIMAL(12,2)) AS own_price")
     out = compare.own_price_gap(compare.min_prices(compare.listings_grid(m.listings, m.sources)), own)
-    return out.selectExpr("product_id", *doubles("own_price", "min_price"), "own_price > min_price AS dearer", "gap_pct IS NULL AS no_own")
+    return out.selectExpr("product_id", *doubles("own_price", "min_price"), "own_price > min_price AS dearer", *doubles("gap_pct"))
 
 
 @query(
@@ -129,11 +133,11 @@ def _(m):
 
 @query(
     "price_range",
-    "SELECT product_id, CAST(min(nullif(current_price, 0)) AS DOUBLE) AS min_price, CAST(max(nullif(current_price, 0)) AS DOUBLE) AS max_price, CAST(count(nullif(current_price, 0)) AS BIGINT) AS offers FROM listings GROUP BY 1",
+    "SELECT product_id, CAST(min(nullif(current_price, 0)) AS DOUBLE) AS min_price, CAST(max(nullif(current_price, 0)) AS DOUBLE) AS max_price, CAST(sum(nullif(current_price, 0)) * 100 AS BIGINT) // count(nullif(current_price, 0)) AS avg_cents, CAST(count(nullif(current_price, 0)) AS BIGINT) AS offers FROM listings GROUP BY 1",
     ("listings",),
 )
 def _(m):
-    return compare.price_range(m.listings).selectExpr("product_id", *doubles("min_price", "max_price"), "offers")
+    return compare.price_range(m.listings).selectExpr("product_id", *doubles("min_price", "max_price"), "CAST(floor(avg_price * 100) AS BIGINT) AS avg_cents", "offers")
 
 
 @query(
@@ -176,6 +180,20 @@ def _(m):
     return history.latest_history(m.history, _LISTING, _AT, 3).selectExpr("source_id", "product_id", "seen_at", "l_orderkey", *doubles("price"), *longs("point"))
 
 
+@query(
+    "listing_history",
+    f""", b AS (SELECT *, row_number() OVER (PARTITION BY source_id, product_id ORDER BY seen_at DESC, l_orderkey DESC, l_linenumber DESC) AS back FROM history)
+SELECT source_id, product_id, concat('Item ', product_id) AS title, CAST(nullif(l.current_price, 0) AS DOUBLE) AS current_price, CAST(l.current_stock AS BIGINT) AS current_stock, l.availability AS current_availability,
+  b.seen_at, CAST(b.price AS DOUBLE) AS price, b.availability, CAST(row_number() OVER (PARTITION BY source_id, product_id ORDER BY {_ORDER}) AS BIGINT) AS point
+FROM listings l JOIN b USING (source_id, product_id) WHERE back <= 3""",
+    ("history", "listings"),
+)
+def _(m):
+    named = m.listings.withColumn("title", F.expr("concat('Item ', product_id)"))
+    out = history.listing_history(named, m.history, _LISTING, _AT, 3)
+    return out.selectExpr("source_id", "product_id", "title", *doubles("current_price", "price"), *longs("current_stock", "point"), "current_availability", "seen_at", "availability")
+
+
 @query(
     "price_series",
     f"""SELECT source_id, product_id, seen_at, l_orderkey, l_linenumber, CAST(lag(price) OVER w AS DOUBLE) AS prev_price, CAST(price - lag(price) OVER w AS DOUBLE) AS change_abs,
@@ -239,7 +257,9 @@ def _(m):
 # --- change detection ---------------------------------------------------------------------------
 
 _CHAIN = """WITH r AS (SELECT l_suppkey AS source_id, CAST(l_partkey % 20 AS VARCHAR) AS ext, l_shipdate AS seen, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_extendedprice AS x,
-  CAST(floor(l_extendedprice / 20000) * 1000 AS BIGINT) AS price, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL WHEN l_returnflag = 'R' THEN 0 ELSE 7 END AS stock FROM lineitem),
+  CAST(floor(l_extendedprice / 20000) * 1000 AS BIGINT) AS price, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL WHEN l_returnflag = 'R' THEN 0 ELSE 7 END AS stock,
+  concat('Item ', l_partkey % 20, ' no ', l_linenumber) AS title, CASE WHEN l_linenumber % 3 > 0 THEN concat('u', l_orderkey) END AS url, CASE WHEN l_linenumber % 4 > 1 THEN concat('i', l_orderkey) END AS image_url,
+  l_linenumber % 4 * 8 AS moq, CASE WHEN l_linenumber % 5 = 2 THEN l_linenumber * 10 END AS tier_qty, l_orderkey % 50 AS tier_price FROM lineitem),
 s AS (SELECT *, CASE WHEN stock IS NULL THEN 'UNKNOWN' WHEN stock > 0 THEN 'AVAILABLE_IN_STOCK' ELSE 'OUT_OF_STOCK' END AS availability FROM r),
 w AS (SELECT *, row_number() OVER v AS k, lag(price) OVER v AS pp, lag(availability) OVER v AS pa, lag(stock) OVER v AS ps FROM s WINDOW v AS (PARTITION BY source_id, ext ORDER BY seen, o, n, p, x)),
 c AS (SELECT *, CASE WHEN k = 1 THEN 'created' WHEN price = pp AND availability = pa AND stock IS NOT DISTINCT FROM ps THEN 'unchanged' ELSE 'changed' END AS change FROM w)
@@ -283,10 +303,48 @@ def _empty_snapshot(m):
     return m.spark.createDataFrame([], kinds)
 
 
-@query("next_snapshot", _CHAIN.rstrip() + _BASE + "SELECT source_id, ext AS source_external_id, CAST(price AS DOUBLE) AS current_price, CAST(stock AS BIGINT) AS current_stock, availability, seen AS last_seen_at, 'CLP' AS currency FROM last")
+#: Of each listing: what a created or changed row puts in, and what every row moves.
+_STATE = """, conf AS (SELECT c.*, CASE WHEN stock IS NULL THEN 'LOW' WHEN business_type = 'B2B_WHOLESALE' THEN 'HIGH' ELSE 'MEDIUM' END AS confidence
+  FROM c LEFT JOIN (SELECT s_suppkey AS source_id, CASE WHEN s_nationkey % 4 = 0 THEN 'B2B_WHOLESALE' END AS business_type FROM supplier) USING (source_id)),
+state AS (SELECT source_id, ext AS source_external_id, CAST(arg_max(price, k) AS DOUBLE) AS current_price, CAST(arg_max_null(stock, k) AS BIGINT) AS current_stock, arg_max(availability, k) AS availability,
+  arg_max(confidence, k) AS stock_confidence, arg_max(url, k) FILTER (change <> 'unchanged' AND url IS NOT NULL) AS url, arg_max(image_url, k) FILTER (change <> 'unchanged' AND image_url IS NOT NULL) AS image_url,
+  'CLP' AS currency, max(seen) FILTER (change <> 'unchanged' AND confidence <> 'LOW') AS last_confirmed_stock_at, max(seen) AS last_seen_at, max(seen) AS last_scraped_at,
+  CAST(arg_max(moq, k) FILTER (change <> 'unchanged' AND moq > 0) AS BIGINT) AS moq, CAST(arg_max(tier_qty, k) FILTER (change <> 'unchanged' AND tier_qty IS NOT NULL) AS BIGINT) AS tier_qty,
+  CAST(arg_max(tier_price, k) FILTER (change <> 'unchanged' AND tier_qty IS NOT NULL) AS DOUBLE) AS tier_price, arg_max(title, k) FILTER (change <> 'unchanged') AS title FROM conf GROUP BY 1, 2)
+"""
+
+
+def _snapshot(m):
+    return delta.next_snapshot(_changes(m), _empty_snapshot(m))
+
+
+def _whole_snapshot(snapshot):
+    tier = ("CAST(bulk_tiers[0].qty AS BIGINT) AS tier_qty", "CAST(bulk_tiers[0].price AS DOUBLE) AS tier_price")
+    return snapshot.drop("current_hash").selectExpr(
+        *(c for c in ("source_id", "source_external_id", "availability", "stock_confidence", "url", "image_url", "currency", "last_confirmed_stock_at", "last_seen_at", "last_scraped_at", "title")),
+        *doubles("current_price"), *longs("current_stock", "moq"), *tier,
+    )
+
+
+@query("next_snapshot", _CHAIN.rstrip() + _STATE + "SELECT * FROM state")
 def _(m):
-    out = delta.next_snapshot(_changes(m), _empty_snapshot(m))
-    return out.selectExpr("source_id", "source_external_id", *doubles("current_price"), *longs("current_stock"), "availability", "last_seen_at", "currency")
+    return _whole_snapshot(_snapshot(m))
+
+
+@query("next_snapshot_two_batches", _CHAIN.rstrip() + _STATE + "SELECT * FROM state")
+def _(m):
+    """Two batches around a moment, the second against the snapshot of the first, end as one batch does."""
+    observed = delta.observe(m.chains, m.sources)
+    first = delta.next_snapshot(delta.classify_changes(observed.where(f"scraped_at < {AS_OF}"), _empty_snapshot(m)), _empty_snapshot(m))
+    return _whole_snapshot(delta.next_snapshot(delta.classify_changes(observed.where(f"scraped_at >= {AS_OF}"), first), first))
+
+
+@query(
+    "bulk_price_of_snapshot",
+    _CHAIN.rstrip() + _STATE + "SELECT source_id, source_external_id, CASE WHEN moq > 20 THEN NULL WHEN tier_qty <= 20 THEN tier_price ELSE current_price END AS unit_price FROM state",
+)
+def _(m):
+    return history.bulk_price(_snapshot(m), 20).selectExpr("source_id", "source_external_id", *doubles("unit_price"))
 
 
 @query(
@@ -294,7 +352,7 @@ def _(m):
     _CHAIN.rstrip() + _BASE + f"SELECT source_id, ext AS source_external_id, CASE WHEN seen < {AS_OF} - INTERVAL 1 DAY THEN 'DELISTED' ELSE availability END AS availability FROM last",
 )
 def _(m):
-    return delta.delist_stale(delta.next_snapshot(_changes(m), _empty_snapshot(m)), F.expr(AS_OF)).select("source_id", "source_external_id", "availability")
+    return delta.delist_stale(_snapshot(m), F.expr(AS_OF)).select("source_id", "source_external_id", "availability")
 
 
 @query(
@@ -403,10 +461,10 @@ def _(m):
     return norm.select("row_id", titles.infer_category(F.col("brand"), tags).alias("category"))
 
 
-@query("normalization_accuracy", "SELECT CAST(count(*) AS BIGINT) AS titles, CAST(count(*) AS BIGINT) AS right_rows FROM titles", ("titles",))
+@query("normalization_accuracy", f"SELECT CAST(count(*) AS BIGINT) AS titles, CAST(count(*) AS BIGINT) AS right_rows, 1.0::DOUBLE AS accuracy, count(*) FILTER ({_CONF} < 0.85) / count(*) AS llm_share FROM titles", ("titles",))
 def _(m):
     truth = m.titles.selectExpr("row_id", f"{_BRAND} AS expected_brand", f"{_TYPE} AS expected_type", f"CAST({_ML} AS INT) AS expected_ml")
-    return titles.normalization_accuracy(titles.normalize_titles(_raw_titles(m)), truth).select("titles", F.col("right").alias("right_rows"))
+    return titles.normalization_accuracy(titles.normalize_titles(_raw_titles(m)), truth).select("titles", F.col("right").alias("right_rows"), "accuracy", "llm_share")
 
 
 @query(
@@ -429,11 +487,11 @@ def _(m):
 @query(
     "state_hash",
     """SELECT source_id, product_id, sha256(concat(CAST(current_price AS VARCHAR), '|', coalesce(CAST(current_stock AS VARCHAR), 'None'), '|', availability)) AS hash,
-  CASE WHEN product_id % 3 = 0 THEN concat(product_id, 'ml-EDP') ELSE 'EDP' END AS signature FROM listings WHERE product_id > 0""",
+  CASE WHEN product_id % 3 = 0 AND product_id <> 0 THEN concat(product_id, 'ml-EDP') ELSE 'EDP' END AS signature FROM listings""",
     ("listings",),
 )
 def _(m):
-    rows = m.listings.where("product_id > 0")
+    rows = m.listings
     signature = text.variant_signature(F.when(F.col("product_id") % 3 == 0, F.col("product_id")), F.lit("edp"))
     return rows.select("source_id", "product_id", text.state_hash(F.col("current_price"), F.col("current_stock"), F.col("availability")).alias("hash"), signature.alias("signature"))
 
@@ -614,6 +672,16 @@ def _(m):
     return scoring.quality_report(m.listings, m.products, m.history).select("source_id", "listings", "products", "no_url", "no_image", "no_type", "no_volume", "history_points")
 
 
+@query(
+    "listing_report",
+    """, h AS (SELECT source_id, product_id, count(*) AS n FROM history WHERE availability <> 'UNKNOWN' GROUP BY 1, 2)
+SELECT source_id, product_id, CAST(coalesce(n, 0) AS BIGINT) AS history_points FROM listings LEFT JOIN h USING (source_id, product_id)""",
+    ("listings", "history"),
+)
+def _(m):
+    return scoring.listing_report(m.listings, m.history.where("availability <> 'UNKNOWN'"), _LISTING).select("source_id", "product_id", "history_points")
+
+
 @query("items_with_stock", "SELECT source_id, CAST(count(stock) AS BIGINT) AS items_with_stock FROM observations GROUP BY 1", ("observations",))
 def _(m):
     return scoring.items_with_stock(m.observations, "source_id")
@@ -684,7 +752,29 @@ SELECT rule, CAST(count(*) AS BIGINT) AS "rows" FROM v WHERE rule IS NOT NULL GR
 )
 def _(m):
     more = {"too_dear": "current_price > 50000", "no_url": "url IS NULL"}
-    return rules.violation_counts(m.listings.withColumn("source_external_id", F.lit("x")), {**rules.LISTING_RULES, **more})
+    return rules.violation_counts(m.listings, {**rules.LISTING_RULES, **more})
+
+
+@query(
+    "violation_counts_of_all_tables",
+    """, v AS (SELECT unnest([CASE WHEN l_quantity > 25 THEN 'title_length' END, CASE WHEN l_linenumber = 7 THEN 'price_null' END, CASE WHEN l_linenumber <> 7 AND l_discount > 0.05 THEN 'price_negative' END]) AS rule FROM lineitem
+  UNION ALL SELECT unnest([CASE WHEN records < 500 THEN 'records_extracted_negative' END, CASE WHEN log_id % 5 = 0 THEN 'records_failed_negative' END]) FROM logs
+  UNION ALL SELECT unnest([CASE WHEN retries - priority < -5 THEN 'retries_negative' END, CASE WHEN priority * 2 > 10 THEN 'priority_range' END, CASE WHEN status = 'RUNNING' THEN 'status_enum' END]) FROM queue
+  UNION ALL SELECT CASE WHEN tier_name = '5-LOW' THEN 'tier_name_blank' END FROM tiers
+  UNION ALL SELECT unnest([CASE WHEN volume_ml <= 50 THEN 'volume_positive' END, CASE WHEN confidence > 0.5 THEN 'confidence_range' END, CASE WHEN ean_13 IS NOT NULL THEN 'ean_format' END]) FROM products)
+SELECT rule, CAST(count(*) AS BIGINT) AS "rows" FROM v WHERE rule IS NOT NULL GROUP BY 1""",
+    ("logs", "queue", "tiers", "products"),
+)
+def _(m):
+    """Rows made to break rules of every table: each table's own columns, moved out of their ranges."""
+    points = m.raw("lineitem").selectExpr("repeat('x', CAST(l_quantity AS INT) * 20) AS title", "CASE WHEN l_linenumber < 7 THEN CASE WHEN l_discount > 0.05 THEN -1 ELSE 1 END END AS price", "1 AS stock", "'UNKNOWN' AS availability")
+    logs = m.logs.selectExpr("records - 500 AS records_extracted", "0 AS records_updated", "0 AS records_skipped", "CASE WHEN log_id % 5 = 0 THEN -1 ELSE 0 END AS records_failed")
+    queue = m.queue.selectExpr("priority * 2 AS priority", "CASE WHEN status = 'RUNNING' THEN 'AWAY' ELSE status END AS status", "CASE WHEN retries - priority < -5 THEN -1 ELSE 0 END AS retries")
+    tiers = m.tiers.selectExpr("CASE WHEN tier_name = '5-LOW' THEN ' ' ELSE tier_name END AS tier_name", "abs(price) AS price")
+    known = m.products.selectExpr("brand", "product_name", "product_code", "concat(ean_13, 'x') AS ean_13", "confidence * 2 AS confidence", "volume_ml - 50 AS volume_ml", "fragrance_type")
+    checks = ((points, {**rules.HISTORY_RULES, **rules.length_rules(points)}), (logs, rules.LOG_RULES), (queue, rules.QUEUE_RULES), (tiers, {**rules.TIER_RULES, **rules.length_rules(tiers)}), (known, rules.PRODUCT_RULES))
+    counts = [rules.violation_counts(df, of) for df, of in checks]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query("duplicate_keys", 'SELECT volume_ml, variant, CAST(count(*) AS BIGINT) AS "rows" FROM products GROUP BY 1, 2 HAVING count(*) > 1', ("products",))
@@ -768,14 +858,15 @@ def _(m):
 
 @query(
     "upsert_sources",
-    """, c AS (SELECT name, 'u' AS base_url, engine_type, is_active FROM sources), n AS (SELECT name, 'new' AS u, 'shopify' AS e FROM sources WHERE source_id % 4 = 0 UNION ALL SELECT 'Fresh', 'new', 'shopify')
-SELECT name, coalesce(u, base_url) AS base_url, coalesce(e, engine_type) AS engine_type, CASE WHEN u IS NOT NULL THEN true ELSE is_active END AS is_active FROM c FULL JOIN n USING (name)""",
+    """, c AS (SELECT name, 'u' AS base_url, engine_type, is_active, concat('{"old":', source_id, '}') AS config FROM sources),
+n AS (SELECT name, 'new' AS u, 'shopify' AS e, concat('{"new":', source_id, '}') AS g FROM sources WHERE source_id % 4 = 0 UNION ALL SELECT 'Fresh', 'new', 'shopify', '{}')
+SELECT name, coalesce(u, base_url) AS base_url, coalesce(e, engine_type) AS engine_type, CASE WHEN u IS NOT NULL THEN true ELSE is_active END AS is_active, coalesce(g, config) AS config FROM c FULL JOIN n USING (name)""",
     ("sources",),
 )
 def _(m):
-    current = m.sources.selectExpr("name", "'u' AS base_url", "engine_type", "is_active")
-    fresh = m.spark.range(1).selectExpr("'Fresh' AS name", "'new' AS base_url", "'shopify' AS engine_type")
-    new = m.sources.where("source_id % 4 = 0").selectExpr("name", "'new' AS base_url", "'shopify' AS engine_type").unionByName(fresh)
+    current = m.sources.selectExpr("name", "'u' AS base_url", "engine_type", "is_active", """concat('{"old":', source_id, '}') AS config""")
+    fresh = m.spark.range(1).selectExpr("'Fresh' AS name", "'new' AS base_url", "'shopify' AS engine_type", "'{}' AS config")
+    new = m.sources.where("source_id % 4 = 0").selectExpr("name", "'new' AS base_url", "'shopify' AS engine_type", """concat('{"new":', source_id, '}') AS config""").unionByName(fresh)
     return tables.upsert_sources(current, new)
 
 
@@ -784,7 +875,124 @@ def _(m):
     return tables.new_sources(m.sources, m.raw("region").selectExpr("r_name AS name"))
 
 
-# --- streams (as batch queries over the tables the streams read) ----------------------------------
+def _folder(m, name: str) -> str:
+    return f"{tables.shared_folder(m.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "extract_cards_woocommerce",
+    """SELECT p_partkey AS page_id, concat(p_name, ' & co') AS raw_title, CAST(p_size * 1000 + 990 AS DOUBLE) AS price, concat('/p/', p_partkey) AS url, concat('l', p_partkey, '.jpg') AS image_url, p_brand AS vendor,
+  CAST(CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS BIGINT) AS stock, p_size % 4 <> 0 AS available, 'agua fresca' AS tag FROM part""",
+)
+def _(m):
+    card = """concat('<ul><li class="product product_cat-agua-fresca big"><a class="woocommerce-loop-product__link" href="/p/', p_partkey, '"><h2>', p_name, ' &amp; co</h2></a><img data-lazy-src="l', p_partkey, '.jpg" src="s.jpg">',
+      '<div class="woodmart-product-cats"><a>', p_brand, '</a></div><span class="price"><del>9</del><ins><bdi class="amount">$ ', p_size, '.990</bdi></ins></span><p class="stock">', CASE WHEN p_size % 4 = 0 THEN 'Agotado' ELSE concat(p_size, ' uds') END, '</p></li></ul>') AS html"""
+    pages = m.raw("part").selectExpr("p_partkey AS page_id", "'shop' AS source_id", "'https://x/' AS base_url", card)
+    return cards.extract_cards(pages, "woocommerce").selectExpr("page_id", "raw_title", *doubles("price"), "url", "image_url", "vendor", *longs("stock"), "available", "tags[0] AS tag")
+
+
+@query(
+    "extract_cards_generic",
+    """SELECT p_partkey AS page_id, p_name AS raw_title, CAST(p_size AS DOUBLE) AS price, concat('https://x/p/', p_partkey) AS url, concat('c', p_size) AS sku, lpad(CAST(p_partkey AS VARCHAR), 13, '4') AS barcode,
+  CAST(CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END AS BIGINT) AS stock, p_size % 4 <> 0 AS available FROM part""",
+)
+def _(m):
+    card = """concat('<div class="product-card" data-code="c', p_size, '" data-ean="', lpad(p_partkey, 13, '4'), '"><h3>', p_name, '</h3><a href="/p/', p_partkey, '">more</a><span class="price-value">$', p_size,
+      '</span><i class="availability">', CASE WHEN p_size % 4 = 0 THEN 'Sin stock' ELSE concat(p_size, ' left') END, '</i></div>') AS html"""
+    pages = m.raw("part").selectExpr("p_partkey AS page_id", "'shop' AS source_id", "'https://x/' AS base_url", card)
+    return cards.extract_cards(pages, "generic").selectExpr("page_id", "raw_title", *doubles("price"), "url", "sku", "barcode", *longs("stock"), "available")
+
+
+@query("load_table", "SELECT p_partkey, p_name, p_size FROM part")
+def _(m):
+    return tables.load_table(m.spark, "part", path=m.sf_dir).select("p_partkey", "p_name", "p_size")
+
+
+@query("archive_replay", "SELECT event_id, event_type AS source_id, ts AS scraped_at FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
+def _(m):
+    """All events archived by source and day, then one source's rows replayed."""
+    path = _folder(m, "archive")
+    raw = m.raw("events").selectExpr("event_id", "event_type AS source_id", "ts AS scraped_at")
+    tables.archive_raw(raw, path)
+    first = raw.agg(F.min("source_id")).first()[0]
+    return tables.replay_raw(m.spark, path, first).selectExpr("event_id", "source_id", "scraped_at")
+
+
+@query(
+    "export_catalog",
+    "SELECT p_name AS raw_title, p_brand AS vendor, CAST(p_size AS DOUBLE) AS price, concat('s', p_partkey) AS sku, concat(p_type, ', ', p_brand) AS tags, CAST(p_size AS BIGINT) AS stock FROM part",
+)
+def _(m):
+    """The catalog written as CSV and read back."""
+    path = _folder(m, "export")
+    columns = ("p_name AS raw_title", "p_brand AS vendor", "CAST(p_size AS DOUBLE) AS price", "concat('s', p_partkey) AS sku", "'' AS barcode", "'u' AS url", "'i' AS image_url", "array(p_type, p_brand) AS tags", "p_size AS stock", "true AS available", "'d' AS description")
+    tables.export_catalog(m.raw("part").selectExpr(*columns), path)
+    return m.spark.read.option("header", True).csv(path).selectExpr("raw_title", "vendor", *doubles("price"), "sku", "tags", *longs("stock"))
+
+
+@query("append_history", "SELECT source_id, product_id, seen_at AS recorded_at, l_orderkey, CAST(price AS DOUBLE) AS price FROM history", ("history",))
+def _(m):
+    """History appended in two batches and read back."""
+    path = _folder(m, "history")
+    rows = m.history.withColumnRenamed("seen_at", "recorded_at")
+    for part in (f"recorded_at < {AS_OF}", f"recorded_at >= {AS_OF}"):
+        tables.append_history(rows.where(part), path)
+    return m.spark.read.parquet(path).selectExpr("source_id", "product_id", "recorded_at", "l_orderkey", *doubles("price"))
+
+
+@query(
+    "stock_and_confidence",
+    """WITH r AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'shopify' WHEN 1 THEN 'woocommerce' ELSE 'generic' END AS engine, CASE s_nationkey % 3 WHEN 0 THEN 'B2B_WHOLESALE' WHEN 1 THEN 'B2C_RETAIL' END AS kind,
+  CASE WHEN s_suppkey % 5 < 2 THEN s_nationkey END AS quantity, CASE s_suppkey % 7 WHEN 0 THEN 'out' WHEN 1 THEN 'many' WHEN 2 THEN 'some' END AS said, CASE WHEN s_suppkey % 4 = 0 THEN 9 END AS stock, s_suppkey % 2 = 0 AS available FROM supplier)
+SELECT s_suppkey, CAST(CASE WHEN engine = 'woocommerce' AND said = 'out' THEN 0 WHEN engine = 'woocommerce' AND said = 'many' THEN 12 WHEN engine = 'woocommerce' AND said = 'some' THEN 1
+    WHEN engine = 'shopify' AND quantity IS NOT NULL THEN quantity ELSE coalesce(stock, quantity) END AS BIGINT) AS observed,
+  CASE WHEN (kind IS NULL OR kind = 'B2B_WHOLESALE') AND quantity IS NOT NULL THEN 'HIGH' WHEN said IN ('many', 'some') THEN 'MEDIUM' WHEN stock IS NOT NULL AND kind = 'B2B_WHOLESALE' THEN 'HIGH' WHEN stock IS NOT NULL THEN 'MEDIUM'
+    WHEN available THEN 'LOW' ELSE 'UNKNOWN' END AS confidence FROM r""",
+)
+def _(m):
+    said = F.expr("CASE s_suppkey % 7 WHEN 0 THEN 'Out of stock' WHEN 1 THEN '12 In stock' WHEN 2 THEN 'In stock' END")
+    engine = F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'shopify' WHEN 1 THEN 'woocommerce' ELSE 'generic' END")
+    kind = F.expr("CASE s_nationkey % 3 WHEN 0 THEN 'B2B_WHOLESALE' WHEN 1 THEN 'B2C_RETAIL' END")
+    quantity, stock = F.expr("CASE WHEN s_suppkey % 5 < 2 THEN CAST(s_nationkey AS STRING) END"), F.expr("CASE WHEN s_suppkey % 4 = 0 THEN '9' END")
+    return m.raw("supplier").select(
+        "s_suppkey",
+        delta.extract_stock(engine, quantity, said, stock).cast("long").alias("observed"),
+        delta.stock_confidence(kind, quantity, said, stock, F.expr("s_suppkey % 2 = 0")).alias("confidence"),
+    )
+
+
+@query(
+    "column_functions",
+    """SELECT p_partkey, concat('a b,', lower(p_brand)) AS tags, CASE WHEN p_size % 2 = 0 THEN concat('x', p_size) WHEN p_size % 3 = 0 THEN p_name ELSE '' END AS attr, CASE WHEN p_size % 3 = 0 THEN 'EDP' WHEN p_size % 3 = 1 THEN 'COLOGNE' ELSE 'none' END AS kind,
+  CASE p_size % 3 WHEN 0 THEN 'OUT_OF_STOCK' WHEN 1 THEN 'UNKNOWN' ELSE 'AVAILABLE_IN_STOCK' END AS availability,
+  concat('emrg', lpad(CAST(CAST(concat('0x', substring(sha256(CAST(p_partkey AS VARCHAR)), 1, 10)) AS BIGINT) % 99999999 AS VARCHAR), 8, '0')) AS fallback FROM part""",
+)
+def _(m):
+    return m.raw("part").select(
+        "p_partkey",
+        F.array_join(text.tags_from_classes(F.concat(F.lit("big product_cat-a-b  product_cat-"), F.lower("p_brand"))), ",").alias("tags"),
+        text.first_attr(F.expr("CASE WHEN p_size % 2 = 0 THEN concat('x', p_size) ELSE '' END"), F.expr("CASE WHEN p_size % 3 = 0 THEN p_name END")).alias("attr"),
+        text.to_enum(F.expr("CASE p_size % 3 WHEN 0 THEN 'edp' WHEN 1 THEN 'Cologne' ELSE 'water' END"), K.FRAGRANCE_TYPES, "none").alias("kind"),
+        text.recode_availability(F.expr("CASE p_size % 3 WHEN 0 THEN 'AVAILABLE_NO_STOCK' WHEN 1 THEN 'UNKNOWN' ELSE 'AVAILABLE_IN_STOCK' END")).alias("availability"),
+        products.fallback_code(F.col("p_partkey")).alias("fallback"),
+    )
+
+
+def _no_answer(prompt: str) -> str:
+    raise ConnectionError("this provider is away")
+
+
+def _answer(prompt: str) -> str:
+    return "asked" if prompt else ""
+
+
+@query("enrich", f"SELECT row_id, 'asked' AS response FROM titles WHERE {_CONF} < 0.85", ("titles",))
+def _(m):
+    """Rows that need a call, answered by the second of two functions."""
+    return titles.enrich(titles.route_llm(titles.normalize_titles(_raw_titles(m))), [_no_answer, _answer])
+
+
+# --- streams, run over files to their end ----------------------------------
 
 
 @query(
@@ -792,6 +1000,62 @@ def _(m):
     "SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, CAST(count(*) AS BIGINT) AS \"rows\" FROM events GROUP BY 1, 2",
 )
 def _(m):
-    from pricewatch_spark.streaming import changes
+    return stream.run_counters_stream(m.raw("events"), "ts", ["event_type"]).select("window_start", "event_type", "rows")
+
+
+def _slices(m) -> list[DataFrame]:
+    """The chains in three slices of time, with keys as the streams have them."""
+    pos = F.format_string("%012d%04d%012d%016.2f", *(F.col(f"pos.{c}") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")))
+    rows = m.chains.withColumns({"source_id": F.col("source_id").cast("string"), "pos": pos})
+    early, late = "scraped_at < TIMESTAMP '1997-01-01'", f"scraped_at >= {AS_OF}"
+    return [rows.where(early), rows.where(f"not ({early} or {late})"), rows.where(late)]
+
+
+@query("delta_stream", _CHAIN.rstrip() + _STATE + "SELECT * FROM state")
+def _(m):
+    """The snapshot that the stream has written when it has read three arrivals of files, one after another."""
+    root = _folder(m, "stream")
+    sources = m.sources.withColumn("source_id", F.col("source_id").cast("string"))
+    for k, part in enumerate(_slices(m)):
+        part.write.parquet(f"{root}/in/{k}")
+        files = m.spark.readStream.schema(part.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
+        stream.run_delta_stream(files, sources, f"{root}/out", f"{root}/check").awaitTermination()
+    last = m.spark.read.parquet(f"{root}/out/snapshot/v{k:09d}")
+    return _whole_snapshot(last.withColumn("source_id", F.col("source_id").cast("long")))
+
+
+def _stream_rows(m, rows: DataFrame, name: str, of) -> DataFrame:
+    """What a stream over the rows' files has written when it has read them all."""
+    root = _folder(m, name)
+    rows.write.parquet(f"{root}/in")
+    files = m.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    written = of(files).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/check")
+    written.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return m.spark.read.parquet(f"{root}/out")
 
-    return changes.run_counters_stream(m.raw("events"), "ts", ["event_type"]).select("window_start", "event_type", "rows")
+
+def _change_stream(m) -> DataFrame:
+    observed = delta.observe(reduce(lambda a, b: a.unionByName(b), _slices(m)), m.sources.withColumn("source_id", F.col("source_id").cast("string")))
+    rows = observed.select("source_id", "source_external_id", F.col("scraped_at").cast("timestamp").alias("scraped_at"), "pos", "hash", "price", "availability")
+    out = _stream_rows(m, rows, "changes", stream.change_stream)
+    return out.withColumns({"source_id": F.col("source_id").cast("long"), "scraped_at": F.col("scraped_at").cast("timestamp_ntz")})
+
+
+@query("change_stream", _CHAIN + "SELECT source_id, ext AS source_external_id, seen AS scraped_at, change, CAST(price AS DOUBLE) AS price, availability FROM c WHERE change <> 'unchanged'")
+def _(m):
+    return _change_stream(m).where("change <> 'delisted'").selectExpr("source_id", "source_external_id", "scraped_at", "change", *doubles("price"), "availability")
+
+
+@query(
+    "silence_stream",
+    _CHAIN + "SELECT source_id, ext AS source_external_id, max(seen) + INTERVAL 1 DAY AS scraped_at FROM c GROUP BY 1, 2 HAVING max(seen) + INTERVAL 1 DAY < (SELECT max(seen) - INTERVAL 1 HOUR FROM c)",
+)
+def _(m):
+    """Listings that were silent for a day when the stream's time had passed."""
+    return _change_stream(m).where("change = 'delisted'").select("source_id", "source_external_id", "scraped_at")
+
+
+@query("dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
+def _(m):
+    rows = m.raw("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return _stream_rows(m, rows, "dedup", lambda s: stream.dedup_stream(s, ["user_id", "event_type"], "ts")).select("user_id", "event_type")

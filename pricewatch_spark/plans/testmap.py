@@ -32,8 +32,10 @@ WITH = {
       FROM (SELECT *, row_number() OVER (PARTITION BY source_id, product_id ORDER BY seen_at DESC, l_orderkey DESC, l_linenumber DESC) AS back FROM history) WHERE back = 1""",
     "logs": """SELECT event_id AS log_id, user_id AS source_id, ts AS started_at, CAST(floor(value) AS INT) AS records,
       CASE event_id % 5 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'EMPTY' ELSE 'RUNNING' END AS status FROM events""",
-    "queue": """SELECT o_orderkey AS job_id, o_custkey % 200 AS source_id, CAST(1 + o_orderkey % 10 AS INT) AS priority, o_orderdate AS scheduled_at, 0 AS retries,
-      CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'RUNNING' ELSE 'SUCCESS' END AS status FROM orders WHERE o_orderkey % 50 = 0""",
+    "queue": """SELECT o_orderkey AS job_id, o_custkey % (SELECT count(*) FROM supplier) AS source_id, CAST(1 + o_orderkey % 10 AS INT) AS priority, o_orderdate AS scheduled_at, 0 AS retries,
+      CASE WHEN o_orderdate >= TIMESTAMP '1998-05-25' AND o_orderdate < TIMESTAMP '1998-06-08' AND o_orderstatus = 'O' THEN 'PENDING'
+        WHEN o_orderdate >= TIMESTAMP '1998-05-25' AND o_orderdate < TIMESTAMP '1998-06-08' AND o_orderstatus = 'P' THEN 'RUNNING'
+        WHEN o_orderstatus = 'O' THEN 'FAILED' WHEN o_orderstatus = 'P' THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM orders""",
     "tiers": """SELECT o_custkey AS customer, o_orderpriority AS tier_name, CAST(o_totalprice AS DECIMAL(12,2)) AS price, o_orderdate AS valid_from,
       lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders""",
     "titles": """SELECT p_partkey AS row_id,
@@ -46,7 +48,7 @@ WITH = {
       CASE WHEN p_partkey % 9 = 0 THEN 'creed boutique' END AS vendor, p_size FROM part""",
 }
 _NEEDS = {"history": ["observations"], "listings": ["observations", "history"]}
-_TABLES = {"sources": ["supplier"], "products": ["part"], "observations": ["lineitem"], "logs": ["events"], "queue": ["orders"], "tiers": ["orders"], "titles": ["part"]}
+_TABLES = {"sources": ["supplier"], "products": ["part"], "observations": ["lineitem"], "logs": ["events"], "queue": ["orders", "supplier"], "tiers": ["orders"], "titles": ["part"]}
 
 
 def needed(names: list[str]) -> list[str]:
@@ -93,13 +95,15 @@ class Model:
             F.col("l_suppkey").alias("source_id"),
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("pos"),
             F.col("l_shipdate").alias("scraped_at"),
-            F.concat(F.lit("Item "), (F.col("l_partkey") % 20).cast("string")).alias("raw_title"),
+            F.expr("concat('Item ', l_partkey % 20, ' no ', l_linenumber)").alias("raw_title"),
             (F.floor(F.col("l_extendedprice") / 20000) * 1000).cast("string").alias("price"),
             F.expr(state).alias("stock"),
             F.lit(None).cast("string").alias("inventory_quantity"),
             F.lit(None).cast("string").alias("stock_text"),
             F.lit(True).alias("available"),
             (F.col("l_partkey") % 20).cast("string").alias("sku"),
-            F.lit("").alias("url"),
-            F.lit("").alias("image_url"),
+            F.expr("CASE WHEN l_linenumber % 3 > 0 THEN concat('u', l_orderkey) ELSE '' END").alias("url"),
+            F.expr("CASE WHEN l_linenumber % 4 > 1 THEN concat('i', l_orderkey) END").alias("image_url"),
+            F.expr("CAST(l_linenumber % 4 * 8 AS STRING)").alias("moq"),
+            F.expr("CASE WHEN l_linenumber % 5 = 2 THEN array(named_struct('qty', l_linenumber * 10, 'price', CAST(l_orderkey % 50 AS DECIMAL(12,2)))) END").alias("bulk_tiers"),
         )

@@ -69,14 +69,23 @@ class Node:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
 
-    def descendants(self) -> Iterator[Node]:
-        for child in self.children:
+    def walk(self) -> Iterator[Node | str]:
+        """All that lies below, in the page's order; pages may nest deeper than calls can."""
+        stack = [iter(self.children)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+                continue
+            yield child
             if isinstance(child, Node):
-                yield child
-                yield from child.descendants()
+                stack.append(iter(child.children))
+
+    def descendants(self) -> Iterator[Node]:
+        return (x for x in self.walk() if isinstance(x, Node))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(x for x in self.walk() if isinstance(x, str))
 
     def fits(self, simple: str) -> bool:
         tag, _, name = simple.partition(".")

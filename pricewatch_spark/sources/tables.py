@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewatch_spark.constants import EXPORT_COLUMNS
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share; one of our own only in local mode."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df, evaluated once and kept in the checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def load_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None) -> DataFrame:
     """A table from parquet, or through JDBC; jdbc takes partitionColumn and its bounds."""
     if jdbc:
@@ -51,14 +72,18 @@ def upsert_listings(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def append_history(rows: DataFrame, path: str) -> None:
-    rows.withColumn("recorded_date", F.to_date("recorded_at")).write.mode("append").partitionBy("recorded_date").parquet(path)
+    """Appended by month."""
+    rows.withColumn("recorded_month", F.date_format("recorded_at", "yyyy-MM")).write.mode("append").partitionBy("recorded_month").parquet(path)
 
 
 def upsert_sources(current: DataFrame, new: DataFrame) -> DataFrame:
-    """By name: url, engine and config are taken over and the source is active again."""
-    fresh = new.select("name", F.col("base_url").alias("n_url"), F.col("engine_type").alias("n_engine"), F.lit(True).alias("n_active"))
+    """By name: url, engine and config (where both tables have one) are taken over and the source is active again."""
+    taken = ["base_url", "engine_type"] + [c for c in ("config",) if c in current.columns and c in new.columns]
+    fresh = new.select("name", *(F.col(c).alias(f"n_{c}") for c in taken), F.lit(True).alias("n_is_active"))
     both = current.join(fresh, "name", "full_outer")
-    return both.withColumns({"base_url": F.coalesce("n_url", "base_url"), "engine_type": F.coalesce("n_engine", "engine_type"), "is_active": F.coalesce("n_active", "is_active")}).drop("n_url", "n_engine", "n_active")
+    known = F.col("n_is_active").isNotNull()
+    put = lambda c: F.when(known, F.col(f"n_{c}")).otherwise(F.col(c))
+    return both.withColumns({c: put(c) for c in (*taken, "is_active")}).drop(*(f"n_{c}" for c in (*taken, "is_active")))
 
 
 def new_sources(current: DataFrame, new: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pricewatch_spark.operators import delta
 SNAPSHOT = (
     "source_id string, source_external_id string, current_hash string, current_price decimal(12,2), current_stock int, availability string, "
     "stock_confidence string, url string, image_url string, currency string, last_confirmed_stock_at timestamp, last_seen_at timestamp, "
-    "moq int, bulk_tiers array<struct<qty int, price decimal(12,2)>>"
+    "moq int, bulk_tiers array<struct<qty int, price decimal(12,2)>>, title string, last_scraped_at timestamp"
 )
 CHANGES = "source_id string, source_external_id string, scraped_at timestamp, change string, price decimal(12,2), availability string"
 STATE = "hash string, price string, availability string, seen timestamp"

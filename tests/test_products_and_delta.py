@@ -56,7 +56,7 @@ def test_quantities_through_the_snapshot(spark, sources, empty):
     schema = RAW + ", moq string, bulk_tiers array<struct<qty int, price decimal(12,2)>>"
 
     def batch(ks, hour):
-        rows = [("r", "a", k, T0 + dt.timedelta(hours=hour + k), "X", "10", "5", None, None, True, "k1", "u", "", moq[k], [(q, decimal.Decimal(p)) for q, p in tiers[k]] if tiers[k] is not None else None) for k in ks]
+        rows = [("r", "a", k, T0 + dt.timedelta(hours=hour + k), "X", str(10 + k), "5", None, None, True, "k1", "u", "", moq[k], [(q, decimal.Decimal(p)) for q, p in tiers[k]] if tiers[k] is not None else None) for k in ks]
         return delta.observe(spark.createDataFrame(rows, schema), sources)
 
     state = lambda s: [(r["moq"], [(t["qty"], float(t["price"])) for t in r["bulk_tiers"]]) for r in s.collect()]
@@ -67,7 +67,36 @@ def test_quantities_through_the_snapshot(spark, sources, empty):
     plain = delta.observe(raw_rows(spark, [("a", 40, "X", "10", "5", "k1", "")]), sources)
     assert state(delta.next_snapshot(delta.classify_changes(plain, second), second)) == [(12, [(20, 8.0)])]
     prices = [history.bulk_price(second, q).first()["unit_price"] for q in (11, 12, 25)]
-    assert [None if p is None else float(p) for p in prices] == [None, 10.0, 8.0]
+    assert [None if p is None else float(p) for p in prices] == [None, 14.0, 8.0]
+
+
+def test_a_known_state_moves_times_and_confidence_alone(spark, sources, empty):
+    schema = RAW + ", moq string"
+    row = lambda h, title, text, url, moq: spark.createDataFrame([("r", "a", 0, T0 + dt.timedelta(hours=h), title, "10", "5", None, text, True, "k1", url, "i", moq)], schema)
+    first = delta.next_snapshot(delta.classify_changes(delta.observe(row(0, "X", None, "u", "3"), sources), empty), empty)
+    again = delta.classify_changes(delta.observe(row(5, "other", "in stock", "v", "4"), sources), first)
+    old, new = first.first(), delta.next_snapshot(again, first).first()
+    assert again.first()["change"] == "unchanged"
+    assert (new["title"], new["url"], new["moq"], new["last_confirmed_stock_at"]) == ("X", "u", 3, old["last_confirmed_stock_at"])
+    assert new["last_seen_at"] == new["last_scraped_at"] == T0 + dt.timedelta(hours=5) and new["stock_confidence"] == "MEDIUM"
+    gone = first.withColumn("availability", F.lit("DELISTED"))
+    assert [delta.next_snapshot(again, gone, mode).first()["availability"] for mode in (True, False)] == ["DELISTED", "AVAILABLE_IN_STOCK"]
+
+
+def test_a_million_codes_without_gaps(spark, tmp_path):
+    """Written out whole: every ordinal once, in the order asked for."""
+    new = spark.range(1_200_000).selectExpr("id", "md5(CAST(id AS STRING)) AS name", "repeat('x', CAST(id % 50 AS INT)) AS more")
+    known = spark.createDataFrame([("a00000041",)], "product_code string")
+    products.assign_codes(new, known, "name").write.parquet(f"{tmp_path}/codes")
+    got = spark.read.parquet(f"{tmp_path}/codes").withColumn("n", products.parse_code(F.col("product_code"))["ordinal"])
+    r = got.agg(F.count_distinct("n").alias("distinct"), F.min("n").alias("low"), F.max("n").alias("high")).first()
+    assert (r["distinct"], r["low"], r["high"]) == (1_200_000, 42, 1_200_041)
+    assert got.orderBy("n").limit(1).first()["name"] == got.agg(F.min("name")).first()[0]
+
+
+def test_deeply_nested_page():
+    page = "<div>" * 5000 + '<div class="product"><h3>Deep</h3></div>' + "</div>" * 5000
+    assert [c["title"] for c in cards.cards_of(page, "generic")] == ["Deep"]
 
 
 def test_measures_of_runs_prices_and_feeds(spark):
