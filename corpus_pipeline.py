@@ -4,8 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
 documents; the last returns the mix.  ``run`` writes every stage as Parquet in the shared folder
 and reads it back as the next one's input.
 
-Every row of a stage's input is decided by itself: rows with null doc_id pass the filters, and
-repeated rows are decided alike (of a near-duplicate group the smallest doc_id stays, once).
+Every row of a stage's input is decided by itself, whatever its doc_id: rows with a null doc_id are
+scored, compared and cleaned like others.  Of a near-duplicate group the smallest doc_id stays,
+repeated rows of it once; the stage compares shingles of five words.  Null and empty texts have no
+copies, passages or leaks and stay unless the classifier rejects them; very long texts are taken
+whole; an empty table gives empty stages.  Further columns of documents go through unchanged,
+whatever their names: stages carry a row as one struct.
 """
 
 from __future__ import annotations
@@ -17,37 +21,46 @@ from pricewatch_spark.llm import decontaminate, mixing, near_dedup, quality, sub
 from pricewatch_spark.llm.common import Scratch, remainder, table
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash and all columns as one struct."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", "text", F.unhex(F.md5(text.cast("binary"))).alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     network = quality.learn(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
-    return quality.score(docs, network, keep=docs.columns).where("predicted = 1").select(docs.columns)
+    return quality.score(whole_rows(docs), network, keep=["row"]).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of the smallest doc_id."""
-    found = near_dedup.near_duplicates(spark, docs)
-    gone = found.where(~F.col("kept")).select("doc_id")
-    nameless = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(nameless)
+    found = near_dedup.near_duplicates(spark, docs).where("first")
+    marks = found.groupBy("doc_id", "text_hash").agg((F.max("n_shingles") == 0).alias("empty"), F.count(F.lit(1)).alias("times"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash"))
+    kept = whole_rows(docs).alias("d").join(marks.alias("m"), same).select("d.*", (F.col("m.empty") | (F.col("m.times") == 1)).alias("alone"))
+    repeated = kept.where("not alone").dropDuplicates(["doc_id", "text_hash"])
+    return kept.where("alone").unionByName(repeated).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by repeated windows go; texts that lose nothing stay as they are, others
-    whose words are all gone are left out."""
-    cut = substring_dedup.substring_dedup(spark, docs, keep_text=True, keep=docs.columns)
+    """Words covered by repeated windows go, with the blanks after them; texts that lose nothing
+    stay as they are, others whose words are all gone are left out."""
+    cut = substring_dedup.substring_dedup(spark, whole_rows(docs), keep_text=True, keep=["row"])
     lost = F.col("n_removed") > 0
-    out = cut.where(~lost | (F.col("n_removed") < F.col("n_words"))).withColumn("text", F.when(lost, F.col("kept_text")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    columns = [F.when(lost, changed[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return cut.where(~lost | (F.col("n_removed") < F.col("n_words"))).select(columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, also an edited one, go."""
-    leaks = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    leaks = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("text_hash").distinct()
+    return whole_rows(docs).join(leaks, "text_hash", "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, shards, taken."""
+    """The mix: doc_id, source, size, source_size, target, drawn, taken."""
     return mixing.mix(spark, docs)
 
 
