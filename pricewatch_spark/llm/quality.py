@@ -1,16 +1,19 @@
 """Quality classifier: positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are labelled rows of quality 1; the unlabelled set is a sample of all documents,
-whatever their label.  The class prior of the unlabelled set is estimated from the score
-distributions of shorter fits: the smallest ratio of unlabelled to positive mass above a
-threshold, chosen with a confidence margin.  A small network then minimises the non-negative unbiased risk
+Trusted positives are labelled rows of quality 1, at most POSITIVES of them, chosen by a hash of
+the id.  The unlabelled set is all documents, whatever their label: each goes to the nearest of
+CELLS documents in feature space, and a cell stands for its rows by their number and mean.  The
+class prior of the unlabelled set is estimated from the score distributions of earlier fits: the
+smallest ratio of unlabelled to positive mass above a threshold, chosen with a confidence margin.
+A small network then minimises the non-negative unbiased risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
-with the logistic loss, so its output is the probability of a good text.  Both samples are bounded
-(POSITIVES, UNLABELLED rows), chosen by a hash of the id; features cover whole texts.
+with the logistic loss, so its output is the probability of a good text.  Features cover whole texts.
 
-Defined results: null and empty texts are scored as texts of length 0; repeated doc_ids are scored
-row by row; without positives every score is 1 (nothing is rejected); an empty table gives no
-rows; further columns of the input are ignored.
+Defined results: null and empty texts are scored as texts of length 0; very long texts are scored
+whole in one task; repeated doc_ids are scored row by row, and of repeated labels each distinct
+doc_id counts once; ties in the choice of rows go to the smallest doc_id; without positives every
+score is 1 (nothing is rejected); an empty table gives no rows; further columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewatch_spark.llm.common import fold_ascii, raw_bytes, remainder, table, texts, windows, word_hashes
+from pricewatch_spark.llm.common import Scratch, fold_ascii, raw_bytes, remainder, table, texts, windows, word_hashes
 
 NAME = "op2_quality"
 ORACLE_SQL = None
 POSITIVES = 4000
-UNLABELLED = 8000
+CELLS = 2000
 THRESHOLD = 0.3
 HIDDEN = 24
 STEPS = 400
@@ -116,7 +119,8 @@ class Network:
         w, b, v, c = self.p
         return np.tanh(self.inputs(x) @ w + b) @ v + c[0]
 
-    def train(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.01, decay: float = 2e-2) -> None:
+    def train(self, positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.01, decay: float = 2e-2) -> None:
+        """weights: the shares of the unlabelled rows, 1 in all."""
         zp, zu = self.inputs(positive), self.inputs(unlabelled)
         first, second = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p]
         sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
@@ -124,11 +128,11 @@ class Network:
             w, b, v, c = self.p
             hp, hu = np.tanh(zp @ w + b), np.tanh(zu @ w + b)
             sp, su = hp @ v + c[0], hu @ v + c[0]
-            negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+            negative = weights @ np.logaddexp(0, su) - prior * np.logaddexp(0, sp).mean()
             if negative >= 0:  # d/ds of prior*l(s,+) - prior*l(s,-) is -prior
-                gp, gu = np.full(len(sp), -prior / len(sp)), sigmoid(su) / len(su)
+                gp, gu = np.full(len(sp), -prior / len(sp)), sigmoid(su) * weights
             else:  # undo the step that made the negative part overfit
-                gp, gu = prior * sigmoid(sp) / len(sp), -sigmoid(su) / len(su)
+                gp, gu = prior * sigmoid(sp) / len(sp), -sigmoid(su) * weights
             dp, du = np.outer(gp, v) * (1 - hp**2), np.outer(gu, v) * (1 - hu**2)
             grads = [zp.T @ dp + zu.T @ du + decay * w, dp.sum(0) + du.sum(0), hp.T @ gp + hu.T @ gu + decay * v, np.array([gp.sum() + gu.sum()])]
             for k, g in enumerate(grads):
@@ -140,42 +144,100 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from the scores of both.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, weights: np.ndarray, rows: int) -> float:
+    """The share of positives among the unlabelled (rows of them), from the scores of both.
 
     For each threshold the unlabelled mass at or above it is at least prior times the positive
     mass there, so each ratio bounds the prior from above; the smallest with its margin is taken.
     """
     cuts = np.quantile(positive, np.linspace(0.0, 0.5, 101))
     p = np.array([(positive >= c).mean() for c in cuts])
-    u = np.array([(unlabelled >= c).mean() for c in cuts])
-    margin = np.sqrt(np.log(20) / 2 / len(positive)) + np.sqrt(np.log(20) / 2 / len(unlabelled))
+    u = np.array([weights @ (unlabelled >= c) for c in cuts])
+    margin = np.sqrt(np.log(20) / 2 / len(positive)) + np.sqrt(np.log(20) / 2 / rows)
     best = np.argmin((u + margin) / p)  # the margin keeps the choice away from thin tails
     return float(np.clip(u[best] / p[best], 0.05, 0.98))
 
 
-def learn(docs: DataFrame, labels: DataFrame, keep, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | None:
-    """keep: the condition on doc_id for rows whose labels may be looked at."""
+def cells(rows: DataFrame, order, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(means, numbers of rows) of all rows (doc_id, x), each with the nearest of many of them; by scaled features."""
+    chosen = rows.where(F.col("doc_id").isNotNull()).orderBy(order, "doc_id").limit(many).select("x").toArrow()  # bounded
+    if not chosen.num_rows:
+        return np.empty((0, 0)), np.empty(0)
+    middle = np.stack([np.asarray(x) for x in chosen.column("x").to_pylist()])
+    scale = middle.std(axis=0) + 1e-3
+    scaled = middle / scale
+    squares = (scaled**2).sum(1)
+
+    def run(batches):
+        sums, n = np.zeros_like(middle), np.zeros(len(middle), np.int64)
+        for batch in batches:
+            x = batch.column("x").values.to_numpy().reshape(-1, middle.shape[1])
+            for k in range(0, len(x), 512):
+                part = x[k : k + 512]
+                near = (squares - 2 * (part / scale) @ scaled.T).argmin(1)
+                np.add.at(sums, near, part)
+                np.add.at(n, near, 1)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen]), pa.array([*sums[seen]], pa.list_(pa.float64()))], names=["cell", "n", "x"])
+
+    totals = rows.select("x").mapInArrow(run, "cell long, n long, x array<double>")
+    width = middle.shape[1]
+    got = totals.groupBy("cell").agg(F.sum("n").alias("n"), *(F.sum(F.col("x")[k]).alias(f"x{k}") for k in range(width))).collect()  # a row a cell
+    n = np.array([r["n"] for r in got], float)
+    return np.array([[r[f"x{k}"] for k in range(width)] for r in got]) / n[:, None], n
+
+
+def weighted_median(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    order = np.argsort(x, axis=0)
+    below = np.cumsum(weights[order], axis=0) >= weights.sum() / 2
+    return np.take_along_axis(np.take_along_axis(x, order, 0), below.argmax(0)[None], 0)[0]
+
+
+def fit(measured_rows: DataFrame, labels: DataFrame, keep, positives: int = POSITIVES, many: int = CELLS) -> Network | None:
+    """measured_rows: doc_id and x of all documents; keep: the condition on doc_id for rows whose labels may be looked at."""
     order = F.xxhash64(F.lit(7), "doc_id")
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).where(keep).select("doc_id").distinct().orderBy(order).limit(positives)
-    p = measured(texts(docs).join(F.broadcast(good), "doc_id"), "doc_id").orderBy(order).limit(positives)
-    some = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(order).limit(unlabelled).distinct()
-    u = measured(texts(docs).join(F.broadcast(some), "doc_id"), "doc_id").orderBy(order).limit(unlabelled)
-    xp, xu = (np.array([r["x"] for r in part.collect()], float) for part in (p, u))  # bounded: 22 numbers a row
-    if len(xp) < 10 or len(xu) < 10:
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).where(keep).select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
+    p = measured_rows.join(F.broadcast(good), "doc_id").orderBy(order, "doc_id").limit(positives).select("x").toArrow()  # bounded
+    xu, n = cells(measured_rows, order, many)
+    if p.num_rows < 10 or n.sum() < 10:
         return None
-    center, scale = np.median(xu, axis=0), xu.std(axis=0) + 1e-3
+    xp = np.array(p.column("x").to_pylist(), float)
+    weights = n / n.sum()
+    center = weighted_median(xu, weights)
+    scale = np.sqrt(weights @ (xu - weights @ xu) ** 2) + 1e-3
     prior = 0.5
     for _ in range(3):  # each estimate needs scores, and better scores sharpen the estimate
         rough = Network(center, scale)
-        rough.train(xp, xu, prior)
-        prior = estimate_prior(rough.logits(xp), rough.logits(xu))
+        rough.train(xp, xu, weights, prior)
+        prior = estimate_prior(rough.logits(xp), rough.logits(xu), weights, int(n.sum()))
     out = Network(center, scale)
-    out.train(xp, xu, prior)
+    out.train(xp, xu, weights, prior)
     out.prior = prior
     return out
 
 
+def feature_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id and x of every row, written once."""
+    return scratch.write(measured(texts(docs), "doc_id"), "features")
+
+
+def learn(docs: DataFrame, labels: DataFrame, keep, positives: int = POSITIVES, many: int = CELLS) -> Network | None:
+    return fit(feature_table(docs, Scratch(docs.sparkSession, "quality")), labels, keep, positives, many)
+
+
+def scored(measured_rows: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score and predicted, from features."""
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").values.to_numpy().reshape(batch.num_rows, -1)
+            out = np.ones(len(x)) if network is None else network.probability(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+
+    rows = measured_rows.select("doc_id", "x").mapInArrow(run, f"doc_id {dict(measured_rows.dtypes)['doc_id']}, score double")
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
 def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (doc_id alone if None) with score and predicted."""
     keep = keep or ["doc_id"]
@@ -196,6 +258,6 @@ def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    network = learn(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
-    return score(docs, network).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    features_ = feature_table(table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
+    network = fit(features_, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return scored(features_, network).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
