@@ -8,8 +8,10 @@ digest; positions and captions stay with their reference.
 
 Defined results: a null text or page is an empty one (its payload is 64 zero bytes); a reference
 without stored payload keeps its place with null facts; equal payloads have one digest and equal
-facts; repeated rows and null doc_ids are kept; an empty table gives no rows; further columns of
-the input are ignored.
+facts; repeated rows and null doc_ids are kept; very long texts are stored whole; references tie
+in no order, each keeps its place; a caption of a figure without media, or of none, is text, and
+one that is never closed ends with its figure or page; an empty table gives no rows; further
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ class SequenceParser(HTMLParser):
         self.run: list[str] = []
         self.silent = 0
         self.figure: list[int] | None = None  # media of the open figure
-        self.caption: list[str] | None = None
+        self.caption: list[str] | None = None  # text of the open caption
+        self.captions: list[str] = []  # of the open figure
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -56,6 +59,26 @@ class SequenceParser(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self) -> None:
+        """A caption waits for its figure's end; outside of a figure it is text."""
+        if self.caption is not None:
+            self.captions.append(" ".join("".join(self.caption).split()))
+            self.caption = None
+            if self.figure is None:
+                self.end_figure()
+
+    def end_figure(self) -> None:
+        """The figure's captions, before or after its media, belong to all of them; without media they are text."""
+        self.end_caption()
+        text = " ".join(filter(None, self.captions))
+        self.captions = []
+        if text and self.figure:
+            for k in self.figure:
+                self.items[k]["caption"] = text
+        elif text:
+            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+        self.figure = None
+
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
             self.silent += 1
@@ -70,23 +93,22 @@ class SequenceParser(HTMLParser):
         elif tag in _BLOCKS:
             self.flush()
             if tag == "figure":
+                self.end_figure()
                 self.figure = []
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
 
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for k in self.figure or ():
-                self.items[k]["caption"] = text
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in _BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = None
+                self.end_figure()
 
     def handle_data(self, data):
         if not self.silent:
@@ -98,6 +120,7 @@ def parse_sequence(page: str | None) -> list[dict]:
     parser.feed(page or "")
     parser.close()
     parser.flush()
+    parser.end_figure()
     return [{"pos": k, **item} for k, item in enumerate(parser.items)]
 
 
@@ -177,8 +200,10 @@ def resolved(sequences: DataFrame, media_facts: DataFrame, key: str) -> DataFram
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = Scratch(spark, "media")
+    scratch = Scratch(spark, "media")
     # the store: a written table, read back for pages and for payloads
-    stored = stored.write(store(table(spark, sf_dir, "documents")), "store")
-    found = resolved(interleaved(stored, "doc_id"), facts(stored), "doc_id")
+    stored = scratch.write(store(table(spark, sf_dir, "documents")), "store")
+    # its own table, so that Spark can split a payload that very many pages refer to in the join
+    known = scratch.write(facts(stored), "facts")
+    found = resolved(interleaved(stored, "doc_id"), known, "doc_id")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
