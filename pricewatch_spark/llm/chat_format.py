@@ -7,8 +7,9 @@ prefix is a running sum.  Two lanes of 40 bits make 80 bits.
 
 Defined results: rows without conv_id belong to no conversation and are left out; null role or
 text differ from the empty string while comparing and render as empty; turns are ordered by
-(turn, role, text), nulls first, repeated rows are turns of their own; gaps in turn do not
-matter; an empty table gives no rows; further columns of the input are ignored.
+(turn, role, text), nulls first, so ties make no difference; repeated rows are turns of their own;
+gaps in turn do not matter; empty and very long texts are turns like others; an empty table gives
+no rows; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""The queries of this subpackage: one for each operator and the pipeline."""
+"""The queries of this subpackage, one for each operator."""
 
 from __future__ import annotations
 
@@ -25,9 +25,3 @@ for _name in MODULES:
     QUERIES[_module.NAME] = _module.query
     if _module.ORACLE_SQL:
         ORACLES[_module.NAME] = _module.ORACLE_SQL
-
-import corpus_pipeline  # noqa: E402
-
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -17,7 +17,8 @@ their classes are counted over the salts by a 128-bit digest.
 
 Defined results: null texts are empty; texts shorter than ``length`` lose nothing; a text with a
 copy is removed whole if it is that long; repeated rows are documents of their own; null doc_ids
-are kept; an empty table gives no rows; further columns of the input are ignored.
+are kept; very long texts are taken whole; there are no ties, since every copy of a string goes; an
+empty table gives no rows; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ cancel the entries they cover.  The score is a logistic function of the matched
 by length, fitted on the same sample.
 
 Defined results: null and empty texts have no match and get the score of an unmatched text;
-repeated doc_ids are scored row by row; without labels of both classes every score is 0; an empty
-table gives no rows.
+repeated doc_ids and null ones are scored row by row; very long texts are scored whole in one task;
+overlapping matches all count but for those an exception phrase covers; without labels of both
+classes every score is 0; an empty table gives no rows; further columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
