@@ -223,9 +223,8 @@ def test_class_lm_is_a_distribution(spark, docs):
     units = model.units
     within = {e: 0.0 for e in range(class_lm.ENDINGS)}
     for r in counts.collect():
-        w = r["word"].encode()
-        if w not in units.of:
-            within[class_lm.ending(w)] += (r["c"] + class_lm.ADD) / model.inside[class_lm.ending(w)]
+        if units.find(np.array([r["h"]]).view(np.uint64))[0] < 0:
+            within[r["ending"]] += (r["c"] + class_lm.ADD) / model.inside[r["ending"]]
     for e in within:
         assert within[e] + class_lm.ADD / model.inside[e] == pytest.approx(1)
     after = 10 ** model.transition[model.classes[units.end]]
@@ -248,7 +247,7 @@ def test_class_lm_moves_less_frequent_words_until_nothing_moves(spark, monkeypat
     found = [{int(model.classes[k]) for k in units.sequence(" ".join(side))[0]} for side in sides]
     assert all(w.encode() in units.of for side in sides for w in side)
     assert [len(f) for f in found] == [1, 1] and found[0] != found[1]
-    packed = class_lm.blocks(class_lm.bigram_counts(docs, units)).cache()
+    packed = class_lm.blocks(class_lm.bigram_counts(docs, units), units.size).cache()
     nobody = np.array([units.end])
     pairs, _, _ = class_lm.contexts(packed, model.classes, 7, nobody)
     assert len(class_lm.proposals(packed, model.classes, pairs, nobody, units.end)[0]) == 0
@@ -299,6 +298,33 @@ def test_media_sequences(spark):
     assert [(r["pos"], r["n_bytes"]) for r in out] == [(1, 5), (3, None)]
 
 
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<figure><figcaption>before</figcaption><img src='a'><img src='b'></figure>x", [("img", "before"), ("img", "before"), ("x", None)]),
+        ("<figcaption>alone</figcaption><img src='a'>", [("alone", None), ("img", None)]),
+        ("<figure><figcaption>no media</figcaption></figure>", [("no media", None)]),
+        ("<figure><img src='a'><figcaption>open</figure><p>rest</p>", [("img", "open"), ("rest", None)]),
+        ("<figure><img src='a'><figcaption>open <b>to the end", [("img", "open to the end")]),
+    ],
+)
+def test_captions(html, expected):
+    assert [(i["text"] or i["kind"], i["caption"]) for i in media.parse_sequence(html)] == expected
+
+
+def test_sequences_of_real_pages(spark):
+    """All text of the given pages is kept in order."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["items"] for r in media.interleaved(pages).collect()}
+    assert set(got) == set(html) and any(got.values())
+    for i, items in got.items():
+        assert [x["pos"] for x in items] == list(range(len(items)))
+        silent = re.sub(r"(?s)<(script|style|noscript|template)\b.*?</\1>|<!--.*?-->", "", html[i] or "")
+        plain = [w for w in re.sub(r"<[^>]*>", " ", silent).split() if w.isalnum()]
+        assert {w for w in plain} <= {w for x in items if x["kind"] == "text" for w in x["text"].split()} | {w for x in items for w in (x["caption"] or "").split()}
+
+
 def test_mixing(spark, docs, texts):
     sizes = [len(WORD.findall(t or "")) for t in texts]
     rows = {r["doc_id"]: r for r in mixing.mix(spark, docs).collect()}
@@ -500,6 +526,44 @@ def test_empty_tables(spark, nothing):
     assert class_lm.scores(spark, nothing).count() == 0
     assert mixing.mix(spark, nothing).count() == 0
     assert media.store(nothing).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score(nothing, quality.learn(nothing, labels, remainder(5) != 0)).count() == 0
+    assert toxicity.score(nothing, toxicity.learn(toxicity.learning_rows(nothing, labels, "toxic", remainder(3) != 1))).count() == 0
+
+
+def test_queries_on_an_empty_corpus(spark, tmp_path):
+    """Every registered query of the subpackage, with its production parameters, on empty tables."""
+    from pricewatch_spark.llm import registry
+
+    for name in ("documents", "labels", "benchmark", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {name: q(spark, str(tmp_path)).count() for name, q in registry.QUERIES.items()} == dict.fromkeys(registry.QUERIES, 0)
+
+
+def test_very_long_texts(spark):
+    """Texts of 20,000 words and more, whole, through every operator that reads texts."""
+    r = random.Random(21)
+    words = ["".join(r.choices("abcdefghijklm", k=r.randint(2, 7))) for _ in range(3000)]
+    long = [r.choice(words) for _ in range(22_000)]
+    near = [w if k % 50 else "edited" for k, w in enumerate(long)]
+    other = [r.choice(words) for _ in range(25_000)]
+    item = " ".join(other[21_000:21_040])
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(other)), (4, " ".join(long[20_000:20_060])), (5, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    groups = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark, docs, words=4).collect()}
+    assert groups == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    cut = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in substring_dedup.substring_dedup(spark, docs).collect()}
+    assert cut[4] == (60, 60) and cut[1][1] > 15_000 and cut[3] == (25_000, 0)
+    cut = {x["doc_id"]: (x["n_bytes"], x["n_removed"]) for x in suffix_dedup.suffix_dedup(spark, docs).collect()}
+    assert cut[4][0] == cut[4][1] and cut[3] == (len(rows[2][1]), 0) and cut[1][1] > 50_000
+    benchmark = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = decontaminate.matches(docs, benchmark).collect()
+    assert [(x["doc_id"], x["item_id"], x["first_word"], x["score"]) for x in got] == [(3, 9, 21_000, 1.0)]
+    mixed = {x["doc_id"]: x["size"] for x in mixing.mix(spark, docs).collect()}
+    assert mixed == {i: len(t.split()) for i, t in rows}
+    assert {x["n_tokens"] for x in class_lm.scores(spark, docs).collect()} == {22_001, 25_001, 61, 3}
+    assert quality.score(docs, None).count() == toxicity.score(docs, toxicity.Lexicon({})).count() == 5
+    assert media.facts(media.store(docs)).agg(F.max("n_bytes")).first()[0] == max(len(t) for _, t in rows)
 
 
 def test_repeated_ids_and_null_ids(spark):
