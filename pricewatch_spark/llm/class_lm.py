@@ -5,15 +5,16 @@ seen LEAST times or more, the end, and one unit for each of ENDINGS hashes of a
 bytes, which takes the words seen less often.  Exchange clustering assigns units to CLASSES
 classes: in every round the FREQUENT most frequent words and the endings move one after another on
 the driver, then all other words at once in Spark, each to the class that raises the class bigram
-likelihood most.  Rounds end with the first that raises the log likelihood by at most TOLERANCE a
-token (0: when nothing moves).  Tasks get 8 bytes of hash and 1 of class for each unit.
+likelihood most, of the SHORT that look best to first order.  Rounds end with the first that
+raises the log likelihood by at most TOLERANCE a token (0: when nothing moves).  Tasks get 8 bytes
+of hash and 1 of class for each unit.
 
     p(word | before) = p(class | class before) * p(unit | class) * p(word | unit)
 
 Class transitions are interpolated with class frequencies; units and words are smoothed by adding
 0.1, with one unseen word a unit, so the model is a distribution over known words and one unseen
-word an ending.  Counts are over all training texts.  The most frequent words, at most
-LISTED, are sent to the tasks; the counts of all other words meet the texts in a join.
+word an ending.  Counts are over all training texts.  The counts of words without a unit meet the
+texts in a join.
 
 Defined results: null and empty texts are one end; rows with a null doc_id are scored but not
 learned from (held_out is false); repeated rows count and are scored row by row; without training
@@ -39,14 +40,15 @@ ORACLE_SQL = None
 FREQUENT = 2000
 ENDINGS = 500
 LEAST = 5  # a word seen so often is a unit of its own
-CLASSES = 96
-TOLERANCE = 1e-3  # rounds go on until one raises the log likelihood of the training texts by less, a token
+CLASSES = 64
+TOLERANCE = 2e-3  # rounds go on until one raises the log likelihood of the training texts by less, a token
 ADD = 0.1
 BACK_OFF = 0.03  # share of the class frequencies in a transition
 FLUSH = 400_000
 HELD = 2_000_000
-BLOCK = 100_000
-TOGETHER = 64
+PART = 500_000  # tokens a part of the pairs
+TOGETHER = 256
+SHORT = 6  # classes whose gain is computed exactly, besides a unit's own
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -59,14 +61,13 @@ def ending(word: bytes) -> int:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, h (its hash), ending, c: over all texts."""
+    """h (a word's hash), ending, c: over all texts."""
 
     def run(batches):
         def flush(counts):
-            kept = [w.decode("utf-8", "surrogatepass") for w in counts]
             hashes = as_long(word_hashes(raw_bytes(b" ".join(counts)))[0])
-            columns = [pa.array(kept, pa.string()), pa.array(hashes, pa.int64()), pa.array([ending(w) for w in counts], pa.int32()), pa.array([*counts.values()], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "h", "ending", "c"])
+            columns = [pa.array(hashes, pa.int64()), pa.array([ending(w) for w in counts], pa.int32()), pa.array([*counts.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["h", "ending", "c"])
 
         counts: Counter = Counter()
         for batch in batches:
@@ -77,7 +78,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     counts = Counter()
         yield flush(counts)
 
-    return docs.select("text").mapInArrow(run, "word string, h long, ending int, c long").groupBy("word", "h", "ending").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, ending int, c long").groupBy("h", "ending").agg(F.sum("c").alias("c"))
 
 
 class Units:
@@ -112,66 +113,108 @@ class Units:
         return ids, rare, hashes[rare], tails
 
 
-def bigram_counts(docs: DataFrame, units: Units) -> DataFrame:
-    """u, v, n: how often unit v follows unit u (a text begins after an end)."""
+def packed_counts(n: np.ndarray) -> bytes:
+    """In as few bytes as the largest count takes."""
+    return n.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if n.max(initial=0) <= np.iinfo(k).max)).tobytes()
+
+
+def counts_of(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(data) // max(1, size)] if size else np.int64).astype(np.int64)
+
+
+CHUNK = "part long, size long, keys binary, n binary"
+
+
+def chunks(parts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys and their counts, a row a part; keys as differences, which compress well."""
+    order = np.argsort(parts, kind="stable")
+    own, first = np.unique(parts[order], return_index=True)
+    keys, n = np.split(keys[order], first[1:]), np.split(n[order], first[1:])
+    columns = [pa.array(own, pa.int64()), pa.array([len(k) for k in keys], pa.int64()), pa.array([np.diff(k, prepend=0).tobytes() for k in keys], pa.binary()), pa.array([packed_counts(x) for x in n], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "size", "keys", "n"])
+
+
+def merged(batches):
+    """(keys, counts) of each part, whose rows come one after another; not in order."""
+    part, held = None, []
+    for batch in batches:
+        for k, size, keys, n in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "keys", "n")), strict=True):
+            if k != part and held:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+            part = k
+            held.append((np.cumsum(np.frombuffer(keys, np.int64)), counts_of(n, size)))
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part")
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
-    def run(batches):
-        def flush(keys):
-            at, n = np.unique(np.concatenate(keys), return_counts=True)
-            for k in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000], pa.int64()), pa.array(n[k : k + 100_000], pa.int64())], names=["key", "n"])
 
+def blocks(docs: DataFrame, units: Units, tokens_: int) -> DataFrame:
+    """The neighbours of each unit over all texts (a text begins after an end), whole units packed to
+    blocks: units, entries of each, other (twice the neighbour's number, one more if it comes after
+    the unit), n.
+
+    Pairs of neighbours are counted in the tasks that read texts, then by parts of the pairs, and
+    then dealt by unit to blocks; the more tokens_ there are, the more parts.  A frequent unit's
+    pairs lie in many parts, and its block gets each of its neighbours once.
+    """
+    parts = max(16, tokens_ // PART)
+
+    def count(batches):
         keys, held = [], 0
         for batch in batches:
             for text in batch.column("text"):
                 line = np.concatenate([[units.end], units.sequence(text.as_py())[0], [units.end]])
-                keys.append(line[:-1] * units.size + line[1:])
+                keys.append(line[:-1] << 31 | line[1:])
                 held += len(keys[-1])
                 if held > HELD:
-                    yield from flush(keys)
+                    found, n = np.unique(np.concatenate(keys), return_counts=True)
+                    yield chunks(part_of(found, parts), found, n)
                     keys, held = [], 0
         if keys:
-            yield from flush(keys)
+            found, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield chunks(part_of(found, parts), found, n)
 
-    pairs = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return pairs.select(F.expr(f"cast(key div {units.size} as int)").alias("u"), F.expr(f"cast(key % {units.size} as int)").alias("v"), "n")
+    def deal(batches):
+        for keys, n in merged(batches):
+            found, inverse = np.unique(keys, return_inverse=True)
+            n = np.bincount(inverse, weights=n, minlength=len(found)).astype(np.int64)
+            u, v = found >> 31, found & 0x7FFFFFFF
+            both = np.concatenate([v << 32 | u << 1, u << 32 | v << 1 | 1])
+            order = np.argsort(both)
+            yield chunks(part_of(both[order] >> 32, parts), both[order], np.concatenate([n, n])[order])
 
+    def pack(batches):
+        for keys, n in merged(batches):
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            own, sizes = np.unique(keys >> 32, return_counts=True)
+            columns = [own.astype(np.uint32).tobytes(), sizes.astype(np.uint32).tobytes(), (keys & 0xFFFFFFFF).astype(np.uint32).tobytes(), packed_counts(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], names=["units", "sizes", "other", "n"])
 
-def blocks(bigrams: DataFrame) -> DataFrame:
-    """The neighbours of each unit, whole units packed to blocks: units, entries of each, side (1: after it), other, n."""
-    side = lambda w, k, o: F.struct(F.col(w).alias("w"), F.lit(k).cast("byte").alias("side"), F.col(o).alias("other"), F.col("n").alias("n"))
-    rows = bigrams.select(F.explode(F.array(side("v", 0, "u"), side("u", 1, "v"))).alias("x")).select("x.*")
-    names = ["w", "side", "other", "n"]
+    pairs = together(docs.select("text").mapInArrow(count, CHUNK)).mapInArrow(deal, CHUNK)
+    return together(pairs).mapInArrow(pack, "units binary, sizes binary, other binary, n binary")
 
-    def run(batches):
-        def pack(parts):
-            own, sizes = np.unique(parts[0], return_counts=True)
-            columns = (own.astype(np.int32), sizes.astype(np.int64), parts[1].astype(np.int8), parts[2].astype(np.int32), parts[3].astype(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["units", "sizes", "side", "other", "n"])
-
-        held, count = [], 0
-        for batch in batches:
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-            count += batch.num_rows
-            if count > BLOCK:
-                parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut = int(np.searchsorted(parts[0], parts[0][-1]))  # the last unit may go on
-                if cut:
-                    yield pack([x[:cut] for x in parts])
-                held = [[x[cut:] for x in parts]]
-                count = len(held[0][0])
-        if count:
-            yield pack([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return rows.repartition("w").sortWithinPartitions("w").mapInArrow(run, "units binary, sizes binary, side binary, other binary, n binary")
+def rows_of_blocks(batches):
+    """units, sizes, other, n of each block."""
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in ("units", "sizes", "other", "n")), strict=True):
+            own, sizes, other = (np.frombuffer(x.as_buffer(), np.uint32) for x in row[:3])
+            yield own.astype(np.int64), sizes, other, counts_of(row[3].as_py(), len(other))
 
 
-def unpack(row: dict, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's units and the counts of the classes before and after each (units x 2 x classes)."""
-    own, sizes = np.frombuffer(row["units"], np.int32), np.frombuffer(row["sizes"], np.int64)
-    side, other, n = np.frombuffer(row["side"], np.int8), np.frombuffer(row["other"], np.int32), np.frombuffer(row["n"], np.int64)
-    key = (np.repeat(np.arange(len(own)) * 2, sizes) + side) * n_classes + classes[other]
-    return own, np.bincount(key, weights=n, minlength=len(own) * 2 * n_classes).reshape(len(own), 2, n_classes)
+def context_counts(sizes: np.ndarray, other: np.ndarray, n: np.ndarray, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """The counts of the classes before and after each unit (units x 2 x classes)."""
+    key = (np.repeat(np.arange(len(sizes)) * 2, sizes) + (other & 1)) * n_classes + classes[other >> 1]
+    return np.bincount(key, weights=n, minlength=len(sizes) * 2 * n_classes).reshape(len(sizes), 2, n_classes)
 
 
 def _entropy(x: np.ndarray) -> np.ndarray:
@@ -188,14 +231,16 @@ def contexts(packed: DataFrame, classes: np.ndarray, n_classes: int, head: np.nd
     is_head[head] = True
 
     def run(batches):
-        pairs = np.zeros((n_classes, n_classes))
-        for batch in batches:
-            for k in range(batch.num_rows):
-                own, counts = unpack(batch.slice(k, 1).to_pylist()[0], classes, n_classes)
-                np.add.at(pairs, classes[own], counts[:, 1])
-                kept = np.flatnonzero(is_head[own])
-                if len(kept):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[kept], pa.int32()), pa.array([counts[j].tobytes() for j in kept.tolist()], pa.binary())], names=["unit", "counts"])
+        pairs = np.zeros(n_classes * n_classes)
+        for own, sizes, other, n in rows_of_blocks(batches):
+            after = (other & 1).astype(bool)
+            mine = np.repeat(classes[own].astype(np.int64), sizes)[after]
+            pairs += np.bincount(mine * n_classes + classes[other[after] >> 1], weights=n[after], minlength=len(pairs))
+            kept = is_head[own]
+            if kept.any():
+                entries = np.repeat(kept, sizes)
+                counts = context_counts(sizes[kept], other[entries], n[entries], classes, n_classes)
+                yield pa.RecordBatch.from_arrays([pa.array(own[kept], pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["unit", "counts"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["unit", "counts"])
 
     got = packed.mapInArrow(run, "unit int, counts binary").toArrow()  # a row a unit in head, one a task
@@ -210,27 +255,35 @@ def contexts(packed: DataFrame, classes: np.ndarray, n_classes: int, head: np.nd
     return pairs, sides[:, 0], sides[:, 1]
 
 
-def gains(counts: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """The likelihood of each unit in each class (units x classes), itself taken out of its class ``own``."""
+def shortlist(counts: np.ndarray, own: np.ndarray, pairs: np.ndarray, fixed: int) -> np.ndarray:
+    """The SHORT classes that look best for each unit to first order, and its own as the last."""
+    logs, n = np.log(pairs + 0.5), counts[:, 1].sum(1)
+    looks = counts[:, 0] @ logs + counts[:, 1] @ logs.T - n[:, None] * (np.log(pairs.sum(1) + 0.5) + np.log(pairs.sum(0) + 0.5))
+    looks[:, fixed] = -np.inf
+    best = min(SHORT, looks.shape[1] - 1)
+    return np.column_stack([np.argpartition(-looks, best - 1, axis=1)[:, :best], own])
+
+
+def gains(counts: np.ndarray, own: np.ndarray, pairs: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """The likelihood of each unit in each class of its choice, itself taken out of its class ``own``."""
     left, right = counts[:, 0], counts[:, 1]
     units = np.arange(len(own))
+    mine_too = choice == own[:, None]
     n = right.sum(1)
-    out = np.zeros((len(own), len(pairs)))
+    out = np.zeros(choice.shape)
     for mine, other, table in ((left, right, pairs), (right, left, pairs.T)):
         w, c = np.nonzero(mine)
-        for k in range(0, len(w), 20_000):
-            u, x = w[k : k + 20_000], c[k : k + 20_000]
-            m = mine[u, x]
-            base = table[x]
-            inside = np.flatnonzero(x == own[u])
-            base[inside] -= other[u[inside]]
-            base[np.arange(len(u)), own[u]] -= m
-            np.maximum(base, 0, out=base)
-            first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-            out[u[first]] += np.add.reduceat(_entropy(base + m[:, None]) - _entropy(base), first)
+        m = mine[w, c]
+        base = table[c[:, None], choice[w]]
+        inside = np.flatnonzero(c == own[w])
+        base[inside] -= other[w[inside, None], choice[w[inside]]]
+        base -= m[:, None] * mine_too[w]
+        np.maximum(base, 0, out=base)
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        if len(w):
+            out[w[first]] += np.add.reduceat(_entropy(base + m[:, None]) - _entropy(base), first)
     for mine, total in ((left, pairs.sum(1)), (right, pairs.sum(0))):
-        rest = total[None, :] - mine
-        rest[units, own] -= n
+        rest = total[choice] - mine[units[:, None], choice] - n[:, None] * mine_too
         np.maximum(rest, 0, out=rest)
         out -= _entropy(rest + n[:, None]) - _entropy(rest)
     return out
@@ -247,24 +300,23 @@ def proposals(packed: DataFrame, classes: np.ndarray, pairs: np.ndarray, head: n
 
     def run(batches):
         table = pairs.copy()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                own, counts = unpack(batch.slice(k, 1).to_pylist()[0], classes, n_classes)
-                kept = np.flatnonzero(~is_head[own] & counts[:, 1].any(1))
-                for j in range(0, len(kept), TOGETHER):
-                    part = kept[j : j + TOGETHER]
-                    now = classes[own[part]].astype(np.int64)
-                    gain = gains(counts[part], now, table)
-                    gain[:, classes[fixed]] = -np.inf
-                    best = gain.argmax(1)
-                    at = np.arange(len(part))
-                    more = gain[at, best] - gain[at, now]
-                    moved = np.flatnonzero((best != now) & (more > 1e-9))
-                    for sign, to in ((-1, now[moved]), (1, best[moved])):
-                        np.add.at(table.T, to, sign * counts[part[moved], 0])
-                        np.add.at(table, to, sign * counts[part[moved], 1])
-                    np.maximum(table, 0, out=table)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[part[moved]], pa.int32()), pa.array(best[moved].astype(np.int16), pa.int16()), pa.array(more[moved], pa.float64())], names=["unit", "class", "gain"])
+        for own, sizes, other, n in rows_of_blocks(batches):
+            counts = context_counts(sizes, other, n, classes, n_classes)
+            kept = np.flatnonzero(~is_head[own] & counts[:, 1].any(1))
+            for j in range(0, len(kept), TOGETHER):
+                part = kept[j : j + TOGETHER]
+                now = classes[own[part]].astype(np.int64)
+                choice = shortlist(counts[part], now, table, int(classes[fixed]))
+                gain = gains(counts[part], now, table, choice)
+                at, best = np.arange(len(part)), gain.argmax(1)
+                more = gain[at, best] - gain[:, -1]
+                to = choice[at, best]
+                moved = np.flatnonzero((to != now) & (more > 1e-9))
+                for sign, place in ((-1, now[moved]), (1, to[moved])):
+                    np.add.at(table.T, place, sign * counts[part[moved], 0])
+                    np.add.at(table, place, sign * counts[part[moved], 1])
+                np.maximum(table, 0, out=table)
+                yield pa.RecordBatch.from_arrays([pa.array(own[part[moved]], pa.int32()), pa.array(to[moved].astype(np.int16), pa.int16()), pa.array(more[moved], pa.float64())], names=["unit", "class", "gain"])
 
     got = packed.mapInArrow(run, "unit int, class short, gain double").toArrow()  # 14 bytes a unit that moves
     return tuple(got.column(c).to_numpy() for c in ("unit", "class", "gain"))
@@ -382,7 +434,7 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch, n_classes: int
     for r in by_ending:
         inside[r["ending"]], kinds[r["ending"]] = r["c"], r["n"]
     unit_counts = np.concatenate([times[order], inside, [n_docs]]).astype(float)
-    packed = scratch.write(blocks(bigram_counts(docs, units)), "bigrams")
+    packed = scratch.write(blocks(docs, units, int(total)), "bigrams")
     # the end has class 0 for itself; the others begin by rank
     rank = np.empty(units.size, np.int64)
     rank[np.argsort(-unit_counts, kind="stable")] = np.arange(units.size)
