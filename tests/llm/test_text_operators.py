@@ -247,7 +247,7 @@ def test_class_lm_moves_less_frequent_words_until_nothing_moves(spark, monkeypat
     found = [{int(model.classes[k]) for k in units.sequence(" ".join(side))[0]} for side in sides]
     assert all(w.encode() in units.of for side in sides for w in side)
     assert [len(f) for f in found] == [1, 1] and found[0] != found[1]
-    packed = class_lm.blocks(class_lm.bigram_counts(docs, units), units.size).cache()
+    packed = class_lm.blocks(docs, units, 10_000).cache()
     nobody = np.array([units.end])
     pairs, _, _ = class_lm.contexts(packed, model.classes, 7, nobody)
     assert len(class_lm.proposals(packed, model.classes, pairs, nobody, units.end)[0]) == 0
