@@ -52,8 +52,8 @@ def group_new_products(rows: DataFrame, mode: str = "leader") -> DataFrame:
     """rows (pos, ean_13, identity fields) with group_key: rows of one new product.
 
     leader: rows share the identity of the first row with their barcode.  exact: within each
-    connected component of barcodes and identities the rows are replayed in order, as one
-    after the other would create and match products.
+    connected component of several identities that share barcodes the rows are replayed in order,
+    as one after the other would create and match products.
     """
     keyed = rows.withColumn("identity", identity_key())
     leaders = keyed.where("ean_13 is not null").groupBy("ean_13").agg(F.min_by("identity", "pos").alias("leader"))
@@ -89,7 +89,11 @@ def group_new_products(rows: DataFrame, mode: str = "leader") -> DataFrame:
             out.append((row.pos, key))
         return pd.DataFrame(out, columns=["pos", "group_key"])
 
-    grouped = keyed.join(component, "identity").select("component", "pos", "ean_13", "identity").groupBy("component").applyInPandas(replay, schema)
+    members = keyed.join(component, "identity").select("component", "pos", "ean_13", "identity")
+    mixed = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    # a component of one identity is one product, whatever its barcodes
+    plain = members.join(mixed, "component", "left_anti").select("pos", F.col("identity").alias("group_key"))
+    grouped = plain.unionByName(members.join(mixed, "component", "left_semi").groupBy("component").applyInPandas(replay, schema))
     return rows.join(grouped, "pos")
 
 
