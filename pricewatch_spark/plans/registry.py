@@ -1020,7 +1020,7 @@ def _(m):
         part.write.parquet(f"{root}/in/{k}")
         files = m.spark.readStream.schema(part.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
         stream.run_delta_stream(files, sources, f"{root}/out", f"{root}/check").awaitTermination()
-    last = m.spark.read.parquet(f"{root}/out/snapshot/v{k:09d}")
+    last = stream.read_snapshot(m.spark, f"{root}/out", k)
     return _whole_snapshot(last.withColumn("source_id", F.col("source_id").cast("long")))
 
 

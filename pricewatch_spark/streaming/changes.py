@@ -22,30 +22,54 @@ CHANGES = "source_id string, source_external_id string, scraped_at timestamp, ch
 STATE = "hash string, price string, availability string, seen timestamp"
 
 
-def _snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
-    """The version written by the batch before; an empty one at the start."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{version:09d}/_SUCCESS")
-    if version < 0 or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], SNAPSHOT)
-    return spark.read.schema(SNAPSHOT).parquet(f"{root}/v{version:09d}")
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, root: str, batch: int) -> dict[int, int]:
+    """Of each bucket of listings the batch that wrote it last, as that batch has noted it; empty at the start."""
+    path = f"{root}/versions/v{batch:09d}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if batch < 0 or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return {}
+    return {r["bucket"]: r["batch"] for r in spark.read.parquet(path).collect()}  # a row a bucket
+
+
+def _rows(spark: SparkSession, root: str, versions: dict[int, int]) -> DataFrame:
+    paths = [f"{root}/snapshot/v{batch:09d}/bucket={bucket}" for bucket, batch in versions.items()]
+    return spark.read.schema(SNAPSHOT).parquet(*paths) if paths else spark.createDataFrame([], SNAPSHOT)
+
+
+def read_snapshot(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """The snapshot after a batch of run_delta_stream."""
+    return _rows(spark, root, _versions(spark, root, batch))
 
 
 def run_delta_stream(raw_stream: DataFrame, sources: DataFrame, root: str, checkpoint: str, delist_minutes: int | None = None) -> StreamingQuery:
-    """Each micro-batch reads snapshot version n-1 and writes version n and its history.
+    """Each micro-batch rewrites the buckets of listings it touches and appends its history.
 
-    A batch that is run again overwrites its own version and history folder, so results stay exact.
+    So its cost follows the batch, not all listings (with delist_minutes every bucket is looked at).
+    Buckets are written into the batch's own folder and noted in its versions; a batch that is run
+    again overwrites its own folders, so results stay exact.
     """
+    bucket = F.pmod(F.xxhash64(*delta.KEY), F.lit(BUCKETS)).cast("int")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _snapshot(spark, f"{root}/snapshot", batch_id - 1)
-        changes = delta.classify_changes(delta.observe(batch, sources), before)
+        known = _versions(spark, root, batch_id - 1)
+        observed = delta.observe(batch, sources)
+        touched = {r[0] for r in observed.select(bucket).distinct().collect()}  # BUCKETS rows at most
+        before = _rows(spark, root, {b: v for b, v in known.items() if b in touched or delist_minutes is not None})
+        changes = delta.classify_changes(observed, before)
         after = delta.next_snapshot(changes, before)
         if delist_minutes is not None:
             newest = batch.agg(F.max("scraped_at")).first()[0]
             after = delta.delist_stale(after, F.lit(newest), delist_minutes) if newest else after
-        after.write.mode("overwrite").parquet(f"{root}/snapshot/v{batch_id:09d}")
+        path = f"{root}/snapshot/v{batch_id:09d}"
+        after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        written = spark.read.schema("bucket int").parquet(path).distinct().collect()
+        versions = known | {r["bucket"]: batch_id for r in written}
         delta.history_rows(changes).write.mode("overwrite").parquet(f"{root}/history/batch={batch_id:09d}")
+        spark.createDataFrame(list(versions.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{root}/versions/v{batch_id:09d}")
 
     return raw_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

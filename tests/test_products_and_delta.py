@@ -203,7 +203,7 @@ def test_stream_equals_batch(spark, sources, empty, tmp_path):
     stream.run_delta_stream(files, sources, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     batch = delta.classify_changes(delta.observe(raw_rows(spark, rows), sources), empty)
     expected = sorted((r["source_external_id"], r["current_hash"]) for r in delta.next_snapshot(batch, empty).collect())
-    last = spark.read.parquet(f"{tmp_path}/out/snapshot/v000000002")
+    last = stream.read_snapshot(spark, f"{tmp_path}/out", 2)
     assert sorted((r["source_external_id"], r["current_hash"]) for r in last.collect()) == expected
     assert spark.read.parquet(f"{tmp_path}/out/history").count() == delta.history_rows(batch).count()
 
