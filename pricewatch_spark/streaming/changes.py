@@ -22,7 +22,7 @@ CHANGES = "source_id string, source_external_id string, scraped_at timestamp, ch
 STATE = "hash string, price string, availability string, seen timestamp"
 
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def _versions(spark: SparkSession, root: str, batch: int) -> dict[int, int]:
