@@ -486,6 +486,7 @@ def scores(spark: SparkSession, docs: DataFrame, keep=None, n_classes: int = CLA
     all_docs = texts(docs).withColumn("held_out", F.coalesce(~keep, F.lit(False)))
     model, counts = train(spark, all_docs.where(keep), scratch, n_classes, tolerance)
     local = scratch.write(_local(all_docs, model).withColumn("row", F.monotonically_increasing_id()), "local")
+    scratch.clear("words", "local")
     # the rare words of the texts meet their counts; a word that was never seen finds none
     others = local.select("row", F.explode(F.arrays_zip("words", "times", "endings")).alias("x"))
     others = others.select("row", F.col("x.words").alias("h"), "x.times", "x.endings")

@@ -55,6 +55,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def clear(self, *keep: str) -> None:
+        """Delete all tables but those that a result still reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for table_ in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if table_.getPath().getName() not in keep:
+                self.drop(table_.getPath().getName())
+
+
 def remainder(n: int):
     """crc32 of the decimal doc_id, modulo n: the split between learning and held-out rows."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n

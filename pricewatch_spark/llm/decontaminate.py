@@ -218,6 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     flat = hits.select("row", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("row", F.col("x.hashes").alias("hash"), "x.at")
     met = flat.join(seeds, "hash").groupBy("row", "key").agg(F.collect_list(F.col("at") - F.col("place")).alias("begins"))
     met = scratch.write(met, "met")
+    scratch.clear("items", "hits", "met")
     pairs = met.join(hits.select("row", "doc_id", "text_hash", F.col("words").alias("of")), "row").join(items.select("key", "item_id", F.col("words").alias("item")), "key")
     kinds = dict(pairs.dtypes)
 

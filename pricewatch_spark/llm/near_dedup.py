@@ -241,6 +241,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, numera
     labels = with_component(classes.select("id", "set_a", "set_b", "first"), "id")
     names = scratch.write(labels.groupBy("component").agg(F.min("first").alias("of")), "names")
     labels = scratch.write(labels.join(names, "component").select("set_a", "set_b", "of"), "labels")
+    scratch.clear("sketches", "labels")
     name = F.when(F.col("n_shingles") > 0, F.col("of.doc_id")).otherwise(F.col("doc_id"))
     return found.join(labels, ["set_a", "set_b"], "left").select(
         "doc_id",

@@ -134,6 +134,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     asked for, kept_text."""
     scratch = Scratch(spark, "substring-dedup")
     marks = scratch.write(removals(docs, window, scratch), "marks")
+    scratch.clear("marks")
     keep = keep or ["doc_id"]
     fields = [f for f in docs.schema if f.name in keep]
     names = ["n_words", "n_removed", "kept_sha256", "kept_text"][: 4 if keep_text else 3]

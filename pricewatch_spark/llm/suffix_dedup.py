@@ -341,6 +341,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, siz
     none = F.array().cast("array<int>")
     marks = once.unionByName(copied(scratch).select("text_hash", F.lit(True).alias("whole"), none.alias("lows"), none.alias("highs")))
     marks = scratch.write(marks, "marks")
+    scratch.clear("marks")
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
