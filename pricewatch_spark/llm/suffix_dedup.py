@@ -227,11 +227,11 @@ def trimmed(rows: list[tuple[bytes, int]], size: int, length: int) -> dict[bytes
 def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
     """fragments (fp, salt, salts, digest, weight, left, body), sorted by (fp, salt) within partitions ->
     fp, digest, lows and highs (runs of starts of repeated windows); where there are salts, classes (a digest for
-    each window) and weights."""
-    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()))
+    each window) and weights, and the salt."""
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64())
 
     def batch_of(found: list[tuple]):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=["fp", "digest", "lows", "highs", "classes", "weights"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=["fp", "digest", "lows", "highs", "classes", "weights", "salt"])
 
     def salted(rows: list[tuple]):
         who, start, of = window_classes([r[6] for r in rows], length)
@@ -239,9 +239,9 @@ def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
         order = np.lexsort((start, who))
         who, start, of = who[order], start[order], of[order]
         bounds = np.searchsorted(who, np.arange(len(rows) + 1))
-        for k, (fp, _, _, digest, _, _, body) in enumerate(rows):
+        for k, (fp, salt, _, digest, _, _, body) in enumerate(rows):
             own = slice(bounds[k], bounds[k + 1])
-            yield fp, digest, [], [], [hashlib.blake2b(body[x : x + length], digest_size=16).digest() for x in start[own].tolist()], total[of[own]].tolist()
+            yield fp, digest, [], [], [hashlib.blake2b(body[x : x + length], digest_size=16).digest() for x in start[own].tolist()], total[of[own]].tolist(), salt
 
     def solved(groups: list[tuple[list[tuple], dict]]):
         """groups: (rows, pieces) of anchors; one construction over the pieces of all that have several."""
@@ -272,11 +272,11 @@ def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
         for g, (rows, _) in enumerate(groups):
             for k, (fp, _, _, digest, weight, _, body) in enumerate(rows):
                 if weight >= 2:
-                    yield fp, digest, [0], [len(body) - length + 1], None, None
+                    yield fp, digest, [0], [len(body) - length + 1], None, None, None
                 elif (g, k) in flags:
                     good = np.zeros(len(body) - length + 1, bool)
                     good[np.concatenate(flags[g, k])] = True
-                    yield fp, digest, *runs(good), None, None
+                    yield fp, digest, *runs(good), None, None, None
 
     def run(batches):
         group: list[tuple] = []
@@ -302,7 +302,7 @@ def _constructed(fragments: DataFrame, length: int, size: int) -> DataFrame:
         if waiting:
             yield batch_of(list(solved(waiting)))
 
-    return fragments.mapInArrow(run, "fp long, digest binary, lows array<int>, highs array<int>, classes array<binary>, weights array<long>")
+    return fragments.mapInArrow(run, "fp long, digest binary, lows array<int>, highs array<int>, classes array<binary>, weights array<long>, salt long")
 
 
 def repeated_strings(docs: DataFrame, length: int, scratch: Scratch, size: int = ANCHOR, group: int = GROUP) -> DataFrame:
@@ -320,7 +320,7 @@ def repeated_strings(docs: DataFrame, length: int, scratch: Scratch, size: int =
     flags = alone.select("fp", "digest", F.array(F.lit(0)).alias("lows"), F.array("windows").alias("highs"))
     flags = flags.unionByName(built.where("classes is null").select("fp", "digest", "lows", "highs"))
     # a class of a salted anchor has its weight once in each salt
-    salted = built.where("classes is not null").join(several.select("fp", "digest", "salt"), ["fp", "digest"])
+    salted = built.where("classes is not null")
     pairs = salted.select("fp", "digest", "salt", F.posexplode(F.arrays_zip("classes", "weights")).alias("start", "c")).select("fp", "digest", "salt", "start", "c.classes", "c.weights")
     by_class = pairs.groupBy("fp", "classes", "salt").agg(F.max("weights").alias("w")).groupBy("fp", "classes").agg(F.sum("w").alias("w")).where("w >= 2")
     by_class = scratch.write(by_class, "salted-classes")
