@@ -15,6 +15,7 @@ MODULES = (
     "near_dedup",
     "substring_dedup",
     "suffix_dedup",
+    "spelling",
     "vector_codes",
 )
 
