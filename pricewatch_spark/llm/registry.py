@@ -15,6 +15,7 @@ MODULES = (
     "near_dedup",
     "substring_dedup",
     "suffix_dedup",
+    "fingerprints",
     "spelling",
     "vector_codes",
 )
