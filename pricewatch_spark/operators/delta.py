@@ -61,7 +61,7 @@ def observe(raw: DataFrame, sources: DataFrame) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     rows = with_quantities(raw).join(facts, "source_id", "left").withColumns(
         {
-            "price": observed_price(F.coalesce(text("price"), F.lit(None))),
+            "price": observed_price(text("price")),
             "observed_stock": extract_stock(F.col("engine_type"), text("inventory_quantity"), text("stock_text"), text("stock")),
             "stock_confidence": stock_confidence(F.col("business_type"), text("inventory_quantity"), text("stock_text"), text("stock"), F.col("available")),
             "source_external_id": external_id(F.col("sku"), F.col("raw_title"), F.col("url")),
@@ -74,11 +74,12 @@ def observe(raw: DataFrame, sources: DataFrame) -> DataFrame:
 def classify_changes(observed: DataFrame, snapshot: DataFrame) -> DataFrame:
     """observed with change (created, changed, unchanged, failed) and the state before.
 
-    Negative stock and blank titles fail alone.  One shuffle by the listing key; the snapshot side
-    is aligned with it.
+    Negative stock and blank titles fail alone.  Rows are dealt once by the listing key, whatever
+    dealt them before (a source holds too many rows for one task): the window, the join and what
+    next_snapshot aggregates keep that partitioning.
     """
     bad = (F.trim(F.coalesce("raw_title", F.lit(""))) == "") | (F.col("observed_stock") < 0)
-    rows = observed.withColumn("failed", F.coalesce(bad, F.lit(False)))
+    rows = observed.withColumn("failed", F.coalesce(bad, F.lit(False))).repartition(*KEY)
     order = Window.partitionBy(*KEY, "failed").orderBy("scraped_at", "pos")
     rows = rows.withColumns(
         {

@@ -1024,38 +1024,79 @@ def _(m):
     return _whole_snapshot(last.withColumn("source_id", F.col("source_id").cast("long")))
 
 
-def _stream_rows(m, rows: DataFrame, name: str, of) -> DataFrame:
-    """What a stream over the rows' files has written when it has read them all."""
+def _arrivals(m, slices: list[DataFrame], name: str, of) -> DataFrame:
+    """What a stream has written when it has read the slices' files, which arrive one slice after another."""
     root = _folder(m, name)
-    rows.write.parquet(f"{root}/in")
-    files = m.spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    written = of(files).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/check")
-    written.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    for k, rows in enumerate(slices):
+        rows.write.parquet(f"{root}/in/{k}")
+        files = m.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
+        written = of(files).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/check")
+        written.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
     return m.spark.read.parquet(f"{root}/out")
 
 
+#: Days without a sighting after which the streams of the queries delist.
+_SILENT = 60
+#: Of each row that the watermark (an hour behind the last row) has passed: its predecessor's and its successor's time.
+_SEEN = """, mark AS (SELECT max(seen) - INTERVAL 1 HOUR AS reached FROM c),
+t AS (SELECT *, lag(seen) OVER v AS before, lead(seen) OVER v AS following FROM c WINDOW v AS (PARTITION BY source_id, ext ORDER BY k))
+"""
+
+
 def _change_stream(m) -> DataFrame:
-    observed = delta.observe(reduce(lambda a, b: a.unionByName(b), _slices(m)), m.sources.withColumn("source_id", F.col("source_id").cast("string")))
-    rows = observed.select("source_id", "source_external_id", F.col("scraped_at").cast("timestamp").alias("scraped_at"), "pos", "hash", "price", "availability")
-    out = _stream_rows(m, rows, "changes", stream.change_stream)
+    sources = m.sources.withColumn("source_id", F.col("source_id").cast("string"))
+    columns = ("source_id", "source_external_id", F.col("scraped_at").cast("timestamp").alias("scraped_at"), "pos", "hash", "price", "availability", "raw_title", "observed_stock")
+    slices = [delta.observe(part, sources).select(*columns) for part in _slices(m)]
+    out = _arrivals(m, slices, "changes", lambda s: stream.change_stream(s, silent_minutes=_SILENT * 1440))
     return out.withColumns({"source_id": F.col("source_id").cast("long"), "scraped_at": F.col("scraped_at").cast("timestamp_ntz")})
 
 
-@query("change_stream", _CHAIN + "SELECT source_id, ext AS source_external_id, seen AS scraped_at, change, CAST(price AS DOUBLE) AS price, availability FROM c WHERE change <> 'unchanged'")
+@query(
+    "change_stream",
+    _CHAIN.rstrip()
+    + _SEEN
+    + f"""SELECT source_id, ext AS source_external_id, seen AS scraped_at, CASE WHEN k = 1 THEN 'created' ELSE 'changed' END AS change, CAST(price AS DOUBLE) AS price, availability
+FROM t, mark WHERE seen <= reached AND (change <> 'unchanged' OR seen > before + INTERVAL {_SILENT} DAY)""",
+)
 def _(m):
+    """A listing that was delisted and is seen again is a change, also with its old state."""
     return _change_stream(m).where("change <> 'delisted'").selectExpr("source_id", "source_external_id", "scraped_at", "change", *doubles("price"), "availability")
 
 
 @query(
     "silence_stream",
-    _CHAIN + "SELECT source_id, ext AS source_external_id, max(seen) + INTERVAL 1 DAY AS scraped_at FROM c GROUP BY 1, 2 HAVING max(seen) + INTERVAL 1 DAY < (SELECT max(seen) - INTERVAL 1 HOUR FROM c)",
+    _CHAIN.rstrip()
+    + _SEEN
+    + f"""SELECT source_id, ext AS source_external_id, seen + INTERVAL {_SILENT} DAY AS scraped_at, CAST(price AS DOUBLE) AS price
+FROM t, mark WHERE seen + INTERVAL {_SILENT} DAY < reached AND (following IS NULL OR following > seen + INTERVAL {_SILENT} DAY)""",
+)
+def _(m):
+    """Silences between two sightings and after the last, of one batch and of several."""
+    return _change_stream(m).where("change = 'delisted'").selectExpr("source_id", "source_external_id", "scraped_at", *doubles("price"))
+
+
+@query(
+    "failed_in_stream",
+    """SELECT l_suppkey AS source_id, CAST(l_partkey % 20 AS VARCHAR) AS source_external_id, l_shipdate AS scraped_at, CAST(count(*) AS BIGINT) AS n FROM lineitem
+WHERE l_linenumber = 7 OR (l_returnflag = 'R' AND l_linenumber % 2 = 0) GROUP BY 1, 2, 3""",
 )
 def _(m):
-    """Listings that were silent for a day when the stream's time had passed."""
-    return _change_stream(m).where("change = 'delisted'").select("source_id", "source_external_id", "scraped_at")
+    """Rows of blank titles and of negative stock, which a stream emits at once."""
+    sources = m.sources.withColumn("source_id", F.col("source_id").cast("string"))
+    spoilt = {"raw_title": F.when(F.col("pos").substr(16, 1) == "7", F.lit("  ")).otherwise(F.col("raw_title")), "stock": F.when((F.col("stock") == "0") & (F.col("pos").substr(16, 1).cast("int") % 2 == 0), F.lit("-1")).otherwise(F.col("stock"))}
+    slices = [delta.observe(part.withColumns(spoilt), sources).withColumn("scraped_at", F.col("scraped_at").cast("timestamp")) for part in _slices(m)]
+    out = _arrivals(m, slices, "failures", stream.change_stream).where("change = 'failed'")
+    times = {"source_id": F.col("source_id").cast("long"), "scraped_at": F.col("scraped_at").cast("timestamp_ntz")}
+    return out.withColumns(times).groupBy("source_id", "source_external_id", "scraped_at").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dedup_stream", "SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    "dedup_stream",
+    "SELECT event_id, user_id, event_type, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR ts > before + INTERVAL 1 DAY",
+)
 def _(m):
-    rows = m.raw("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return _stream_rows(m, rows, "dedup", lambda s: stream.dedup_stream(s, ["user_id", "event_type"], "ts")).select("user_id", "event_type")
+    """Two arrivals, each of weeks; keys that return after more than the delay are kept in either."""
+    rows = m.raw("events").selectExpr("user_id", "event_type", "CAST(ts AS TIMESTAMP) AS ts", "event_id")
+    middle = rows.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2")).first()[0]
+    out = _arrivals(m, [rows.where(F.col("ts") < middle), rows.where(F.col("ts") >= middle)], "dedup", lambda s: stream.dedup_stream(s, ["user_id", "event_type"], "ts", "1 day"))
+    return out.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructField, StructType
 
 from pricewatch_spark.operators import delta
 
@@ -18,8 +20,8 @@ SNAPSHOT = (
     "stock_confidence string, url string, image_url string, currency string, last_confirmed_stock_at timestamp, last_seen_at timestamp, "
     "moq int, bulk_tiers array<struct<qty int, price decimal(12,2)>>, title string, last_scraped_at timestamp"
 )
-CHANGES = "source_id string, source_external_id string, scraped_at timestamp, change string, price decimal(12,2), availability string"
-STATE = "hash string, price string, availability string, seen timestamp"
+EMITTED = "source_id string, source_external_id string, at long, change string, price decimal(12,2), availability string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 BUCKETS = 32
@@ -74,46 +76,177 @@ def run_delta_stream(raw_stream: DataFrame, sources: DataFrame, root: str, check
     return raw_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _emit(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(*key, *r) for r in rows], columns=[x.split()[0] for x in CHANGES.split(", ")])
+class ListingStates(StatefulProcessor):
+    """The states of one listing in event time.
 
-
-def change_stream(observed_stream: DataFrame, delay: str = "1 hour", silent_minutes: int = 1440) -> DataFrame:
-    """Created and changed states of each listing, and DELISTED after silence.
-
-    observed_stream: source_id, source_external_id, scraped_at, pos, hash, price, availability.
-    Rows older than what the state has seen are dropped.
+    Rows wait in the listing's state until the watermark has passed them and are then played in the
+    order of (time, pos), so what is emitted does not depend on how rows fell into batches; only the
+    watermark's delay decides which rows come too late.  A timer stands at the earliest thing to do:
+    play a row, emit a silence, forget a listing.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, price, availability, seen = state.get
-            state.remove()
-            if availability != "DELISTED":
-                yield _emit(key, [(seen + pd.Timedelta(minutes=silent_minutes), "delisted", None if price is None else Decimal(price), "DELISTED")])
-            return
-        rows = pd.concat(batches).sort_values(["scraped_at", "pos"])
-        known, seen = (state.get[0], state.get[3]) if state.exists else (None, None)
-        out, last = [], None
-        for r in rows.itertuples():
-            if seen is not None and r.scraped_at < seen:
-                continue
-            if r.hash != known:
-                out.append((r.scraped_at, "created" if known is None else "changed", r.price, r.availability))
-            known, seen, last = r.hash, r.scraped_at, r
-        if last is not None:
-            state.update((known, None if pd.isna(last.price) else str(last.price), last.availability, seen))
-            due = int(pd.Timestamp(seen).timestamp() * 1000) + silent_minutes * 60_000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+    def __init__(self, silent: int, forget: int | None, revive: bool):
+        self.silent, self.forget, self.revive = silent, forget, revive
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "hash string, price string, availability string, seen long")
+        self.waiting = handle.getListState("waiting", "at long, pos string, hash string, price string, availability string")
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [r for batch in rows for r in batch[["at", "pos", "hash", "price", "availability", "failed"]].itertuples(index=False)]
+        failed = [(r.at, "failed", r.price, r.availability) for r in new if r.failed]
+        kept = [tuple(None if pd.isna(x) else x for x in r[:5]) for r in new if not r.failed]
+        if kept:
+            self.waiting.appendList(kept)
+            self._wake(-(-min(r[0] for r in kept) // 1000), False)
+        if failed:
+            yield _emitted(key, failed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.alarm.clear()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1] or ""))
+        ready = [r for r in rows if r[0] <= now]
+        known = tuple(self.known.get()) if self.known.exists() else None
+        out = []
+        for at, _, state, price, availability in ready:
+            known = self._silenced(known, at, out)
+            if known is None:
+                out.append((at, "created", price, availability))
+            elif state != known[0] or (known[2] == "DELISTED" and self.revive):
+                out.append((at, "changed", price, availability))
+            elif known[2] == "DELISTED":
+                availability = "DELISTED"
+            known = (state, price, availability, at)
+        known = self._silenced(known, now, out)
+        if ready:
+            self.waiting.put(rows[len(ready) :]) if len(rows) > len(ready) else self.waiting.clear()
+        due = [-(-r[0] // 1000) for r in rows[len(ready) : len(ready) + 1]]
+        if known and known[2] != "DELISTED":
+            due.append((known[3] + self.silent) // 1000 + 1)
+        elif known and self.forget is not None:
+            due.append((known[3] + self.silent + self.forget) // 1000 + 1)
+        self.known.update(known) if known else self.known.clear()
+        if due:
+            self._wake(min(due), True)
         if out:
-            yield _emit(key, out)
+            yield _emitted(key, out)
+
+    def _silenced(self, known: tuple | None, at: int, out: list[tuple]) -> tuple | None:
+        """known at a moment: delisted if it was silent for too long before, gone if for much longer."""
+        if known and known[2] != "DELISTED" and at > known[3] + self.silent:
+            out.append((known[3] + self.silent, "delisted", known[1], "DELISTED"))
+            known = (*known[:2], "DELISTED", known[3])
+        if known and self.forget is not None and at > known[3] + self.silent + self.forget:
+            return None
+        return known
+
+    def _wake(self, at: int, none_set: bool) -> None:
+        before = None if none_set or not self.alarm.exists() else self.alarm.get()[0]
+        if before is not None and before <= at:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+def _emitted(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    out = [(*key, at, change, None if pd.isna(price) else Decimal(price), availability) for at, change, price, availability in rows]
+    return pd.DataFrame(out, columns=[x.split()[0] for x in EMITTED.split(", ")])
 
-    timed = observed_stream.withWatermark("scraped_at", delay)
-    return timed.groupBy("source_id", "source_external_id").applyInPandasWithState(step, CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def _in_rocksdb(spark: SparkSession) -> None:
+    """Keyed state of any size is held on disk by the executors and checkpointed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def change_stream(observed_stream: DataFrame, delay: str = "1 hour", silent_minutes: int = 1440, forget_minutes: int | None = None, revive: bool = True) -> DataFrame:
+    """Created and changed states of each listing, DELISTED after silence, and rows that fail.
+
+    observed_stream: source_id, source_external_id, scraped_at, pos, hash, price, availability; with
+    raw_title or observed_stock, blank titles and negative stock fail: they are emitted at once and
+    change no state.  All other rows are emitted when the watermark has passed them; rows without a time
+    have no place among them and are left out.  A silence ends when the listing is seen again: that is a change, or with revive=False one
+    only if the state differs from the last (the listing stays delisted otherwise).  forget_minutes
+    after a delisting its state is dropped, so that state follows live listings; a return is then new.
+    """
+    _in_rocksdb(observed_stream.sparkSession)
+    failed = F.lit(False)
+    if "raw_title" in observed_stream.columns:
+        failed = failed | (F.trim(F.coalesce("raw_title", F.lit(""))) == "")
+    if "observed_stock" in observed_stream.columns:
+        failed = failed | F.coalesce(F.col("observed_stock") < 0, F.lit(False))
+    numbered = dict(observed_stream.dtypes)["pos"] in ("tinyint", "smallint", "int", "bigint")
+    rows = observed_stream.where("scraped_at is not null").withWatermark("scraped_at", delay).select(
+        "source_id",
+        "source_external_id",
+        "scraped_at",
+        F.unix_micros("scraped_at").alias("at"),
+        (F.format_string("%020d", "pos") if numbered else F.col("pos").cast("string")).alias("pos"),
+        "hash",
+        F.col("price").cast("string").alias("price"),
+        "availability",
+        failed.alias("failed"),
+    )
+    states = ListingStates(silent_minutes * 60_000_000, None if forget_minutes is None else forget_minutes * 60_000_000, revive)
+    found = rows.groupBy("source_id", "source_external_id").transformWithStateInPandas(states, EMITTED, "Append", "EventTime")
+    return found.select("source_id", "source_external_id", F.timestamp_micros("at").alias("scraped_at"), "change", "price", "availability")
+
+
+class LastSighting(StatefulProcessor):
+    """Lets a row pass if its key was not seen for a while."""
+
+    def __init__(self, gap: int, columns: list[str]):
+        self.gap, self.columns = gap, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("sighted_micros", kind="stable")
+        seen = self.seen.get()[0] if self.seen.exists() else None
+        last, keep = seen, []
+        for at in new["sighted_micros"]:
+            keep.append(last is None or at > last + self.gap)
+            last = at if last is None else max(last, at)
+        if last != seen:
+            if seen is not None:
+                self.handle.deleteTimer((seen + self.gap) // 1000 + 1)
+            self.seen.update((int(last),))
+            self.handle.registerTimer((int(last) + self.gap) // 1000 + 1)
+        if any(keep):
+            yield new.loc[np.array(keep), self.columns]
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def dedup_stream(raw_stream: DataFrame, keys: list[str], at: str = "scraped_at", delay: str = "1 hour") -> DataFrame:
-    return raw_stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    """raw_stream without the rows whose keys were seen within delay before, by event time.
+
+    Rows of one batch and of several are told apart alike; rows without a time are left out; a key's state is dropped when the watermark
+    has passed its last sighting by delay.
+    """
+    _in_rocksdb(raw_stream.sparkSession)
+    kinds = {f.name: f.dataType for f in raw_stream.schema}
+    spark = raw_stream.sparkSession
+    gap = int(spark.range(1).select(F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {delay})")).first()[0])
+    rest = [c for c in raw_stream.columns if c not in keys]
+    kept = StructType([StructField(c, kinds[c]) for c in raw_stream.columns])
+    timed = raw_stream.where(F.col(at).isNotNull()).withWatermark(at, delay).withColumn("sighted_micros", F.unix_micros(at))
+    found = timed.groupBy(*keys).transformWithStateInPandas(LastSighting(gap, [*keys, *rest]), StructType([kept[c] for c in (*keys, *rest)]), "Append", "EventTime")
+    return found.select(*raw_stream.columns)
 
 
 def run_counters_stream(events: DataFrame, at: str, by: list[str], size: str = "5 minutes", slide: str | None = None, gap: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -206,17 +206,3 @@ def test_stream_equals_batch(spark, sources, empty, tmp_path):
     last = stream.read_snapshot(spark, f"{tmp_path}/out", 2)
     assert sorted((r["source_external_id"], r["current_hash"]) for r in last.collect()) == expected
     assert spark.read.parquet(f"{tmp_path}/out/history").count() == delta.history_rows(batch).count()
-
-
-def test_keyed_state_and_dedup(spark, sources, tmp_path):
-    rows = [("a", h, "X", str(10 + h // 3), "5", "k", "") for h in range(6)] + [("a", 200, "X", "10", "5", "other", "")]
-    delta.observe(raw_rows(spark, rows), sources).select("source_id", "source_external_id", "scraped_at", "pos", "hash", "price", "availability").coalesce(1).write.parquet(f"{tmp_path}/in")
-    schema = spark.read.parquet(f"{tmp_path}/in").schema
-    read = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    q = stream.change_stream(read()).writeStream.format("memory").queryName("kept").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r["source_external_id"], r["change"]) for r in spark.sql("SELECT * FROM kept").collect())
-    assert [g for g in got if g[1] != "delisted"] == [("k", "changed"), ("k", "created"), ("other", "created")] and ("k", "delisted") in got
-    q = stream.dedup_stream(read(), ["source_external_id"]).writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.sql("SELECT * FROM once").count() == 2
