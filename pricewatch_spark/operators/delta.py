@@ -71,15 +71,22 @@ def observe(raw: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("hash", state_hash(F.col("price"), F.col("observed_stock"), F.col("availability")))
 
 
-def classify_changes(observed: DataFrame, snapshot: DataFrame) -> DataFrame:
+def spoilt() -> Column:
+    """Whether a row fails by itself: a blank title, negative stock."""
+    return F.coalesce((F.trim(F.coalesce("raw_title", F.lit(""))) == "") | (F.col("observed_stock") < 0), F.lit(False))
+
+
+def classify_changes(observed: DataFrame, snapshot: DataFrame, buckets: int | None = None) -> DataFrame:
     """observed with change (created, changed, unchanged, failed) and the state before.
 
-    Negative stock and blank titles fail alone.  Rows are dealt once by the listing key, whatever
+    Spoilt rows fail alone, as rows do whose column rejected (if there is one) says so.  Rows are dealt once by the listing key, whatever
     dealt them before (a source holds too many rows for one task): the window, the join and what
-    next_snapshot aggregates keep that partitioning.
+    next_snapshot aggregates keep that partitioning.  buckets: how many buckets a snapshot bucketed by
+    the key has; it is then read in place.
     """
-    bad = (F.trim(F.coalesce("raw_title", F.lit(""))) == "") | (F.col("observed_stock") < 0)
-    rows = observed.withColumn("failed", F.coalesce(bad, F.lit(False))).repartition(*KEY)
+    failed = spoilt() | F.coalesce("rejected", F.lit(False)) if "rejected" in observed.columns else spoilt()
+    rows = observed.withColumn("failed", failed)
+    rows = rows.repartition(buckets, *KEY) if buckets else rows.repartition(*KEY)
     order = Window.partitionBy(*KEY, "failed").orderBy("scraped_at", "pos")
     rows = rows.withColumns(
         {
@@ -110,12 +117,13 @@ def classify_changes(observed: DataFrame, snapshot: DataFrame) -> DataFrame:
     return rows.withColumn("change", change).drop("lag_hash", "lag_price", "lag_availability", "known_hash", "known_price", "known_availability", "known", "seen_before", "failed")
 
 
-def next_snapshot(changes: DataFrame, snapshot: DataFrame, reference_mode: bool = True) -> DataFrame:
+def next_snapshot(changes: DataFrame, snapshot: DataFrame, reference_mode: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """The snapshot after a batch: the last created or changed row wins; its empty values, an MOQ of 0
     and tiers without an entry keep what was known.
 
     A row with the state that was known moves last_seen_at, last_scraped_at and stock_confidence alone.
-    reference_mode: a delisted listing seen again with its old state stays delisted.
+    reference_mode: a delisted listing seen again with its old state stays delisted.  carry: further
+    columns of both that a listing keeps from the first row that has them.
     """
     changes, snapshot = with_quantities(changes), with_quantities(snapshot)
     snapshot = snapshot.withColumns({c: F.lit(None).cast(kind) for c, kind in (("title", "string"), ("last_scraped_at", "timestamp")) if c not in snapshot.columns})
@@ -133,6 +141,7 @@ def next_snapshot(changes: DataFrame, snapshot: DataFrame, reference_mode: bool
         filled("bulk_tiers", F.size("bulk_tiers") > 0).alias("n_bulk_tiers"),
         F.max("scraped_at").alias("n_seen"),
         F.max(F.when(wrote & sure, F.col("scraped_at"))).alias("n_confirmed"),
+        *(F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"n_{c}") for c in carry),
     )
     joined = snapshot.join(batch, KEY, "full_outer")
     moved = F.col("n").isNotNull()
@@ -156,6 +165,7 @@ def next_snapshot(changes: DataFrame, snapshot: DataFrame, reference_mode: bool
         F.coalesce("n_bulk_tiers", "bulk_tiers").alias("bulk_tiers"),
         put("n.raw_title", "title"),
         F.greatest("n_seen", "last_scraped_at").alias("last_scraped_at"),
+        *(F.coalesce(c, f"n_{c}").alias(c) for c in carry),
     )
 
 

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewatch_spark.functions.titles import UNKNOWN
 from pricewatch_spark.sources.tables import reliable
 
 CODES_A_PREFIX = 99_999_999
@@ -18,11 +16,6 @@ STOP_WORDS = ("de", "la", "el", "los", "las", "y", "para", "con", "en", "un", "u
 IDENTITY = ["brand", "product_name", "volume_ml", "variant"]
 
 
-def _identity(left: str, right: str) -> Column:
-    same = [F.lower(F.col(f"{left}.{c}")).eqNullSafe(F.lower(F.col(f"{right}.{c}"))) for c in ("brand", "product_name", "variant")]
-    return reduce(lambda a, b: a & b, same) & F.col(f"{left}.volume_ml").eqNullSafe(F.col(f"{right}.volume_ml"))
-
-
 def match_by_ean(rows: DataFrame, products: DataFrame) -> DataFrame:
     """rows with ean_code: the smallest code of a product that stores the row's barcode."""
     known = products.where("ean_13 is not null").groupBy("ean_13").agg(F.min("product_code").alias("ean_code"))
@@ -31,9 +24,8 @@ def match_by_ean(rows: DataFrame, products: DataFrame) -> DataFrame:
 
 def match_by_identity(rows: DataFrame, products: DataFrame) -> DataFrame:
     """rows with identity_code; the concentration is not part of the identity."""
-    lowered = [F.lower("brand").alias("brand"), F.lower("product_name").alias("product_name"), F.lower("variant").alias("variant"), F.col("volume_ml")]
-    known = products.select(*lowered, "product_code").groupBy("brand", "product_name", "variant", "volume_ml").agg(F.min("product_code").alias("identity_code"))
-    return rows.alias("r").join(known.alias("p"), _identity("r", "p"), "left").select("r.*", "p.identity_code")
+    known = products.groupBy(identity_key().alias("_identity")).agg(F.min("product_code").alias("identity_code"))
+    return rows.withColumn("_identity", identity_key()).join(known, "_identity", "left").drop("_identity")
 
 
 def match_products(rows: DataFrame, products: DataFrame) -> DataFrame:
@@ -48,53 +40,60 @@ def identity_key() -> Column:
     return F.sha2(F.concat_ws("\u0001", *(part(c) for c in IDENTITY)), 256)
 
 
+def barcode_owners(edges: DataFrame) -> DataFrame:
+    """edges (ean_13, identity, at) -> those at which a product takes its barcode.
+
+    In the order of at, a row gives its barcode to the product of its identity if neither has one yet.
+    An edge that is the first both of its barcode and of its identity, among the edges left, is taken
+    whatever else happens; all such edges are taken at once, what they settle is left out, and so on.
+    Each round is two aggregations of one row a barcode and one an identity: a barcode that very many
+    identities share, or the reverse, is settled in one round and never comes together in a task.
+    """
+    taken = []
+    left = reliable(edges)
+    while not left.isEmpty():
+        first_of = left.groupBy("ean_13").agg(F.min(F.struct("at", "identity")).alias("e")).select("ean_13", "e.identity", "e.at")
+        first_for = left.groupBy("identity").agg(F.min(F.struct("at", "ean_13")).alias("i")).select("i.ean_13", "identity")
+        now = reliable(first_of.join(first_for, ["ean_13", "identity"]))
+        taken.append(now)
+        left = reliable(left.join(now.select("ean_13"), "ean_13", "left_anti").join(now.select("identity"), "identity", "left_anti"))
+    return reduce(DataFrame.unionByName, taken) if taken else edges.limit(0)
+
+
+def resolve_products(rows: DataFrame, products: DataFrame, *order: str) -> DataFrame:
+    """rows with product_code (a known product) or group_key (equal for rows of one new product), as if
+    rows came one after the other: each matches by barcode, else by identity, else creates a product,
+    and a product without a barcode takes that of the next row that it is given.
+
+    order must tell all rows apart.
+    """
+    at = F.struct(*order)
+    by_ean = products.where("ean_13 is not null").groupBy("ean_13").agg(F.min("product_code").alias("ean_code"))
+    of = F.min_by(F.struct(F.col("product_code").alias("code"), F.col("ean_13").isNotNull().alias("has_ean")), "product_code")
+    by_identity = products.groupBy(identity_key().alias("identity")).agg(of.alias("own"))
+    known = reliable(rows.withColumn("identity", identity_key()).join(by_ean, "ean_13", "left").join(by_identity, "identity", "left"))
+    free = F.col("ean_13").isNotNull() & F.col("ean_code").isNull() & ~F.coalesce("own.has_ean", F.lit(False))
+    owners = barcode_owners(known.where(free).groupBy("ean_13", "identity").agg(F.min(at).alias("at")))
+    owners = owners.join(by_identity.select("identity", F.col("own.code").alias("owner_code")), "identity", "left").select("ean_13", F.col("identity").alias("owner"), "owner_code", F.col("at").alias("since"))
+    owned = F.col("since").isNotNull() & (at >= F.col("since"))
+    code = F.coalesce("ean_code", F.when(owned, F.col("owner_code")).otherwise(F.col("own.code")))
+    found = known.join(owners, "ean_13", "left").withColumn("product_code", code)
+    found = found.withColumn("group_key", F.when(F.col("product_code").isNull(), F.when(owned, F.col("owner")).otherwise(F.col("identity"))))
+    return found.drop("identity", "own", "ean_code", "owner", "owner_code", "since")
+
+
 def group_new_products(rows: DataFrame, mode: str = "leader") -> DataFrame:
     """rows (pos, ean_13, identity fields) with group_key: rows of one new product.
 
-    leader: rows share the identity of the first row with their barcode.  exact: within each
-    connected component of several identities that share barcodes the rows are replayed in order,
-    as one after the other would create and match products.
+    leader: rows share the identity of the first row with their barcode.  exact: as one row after the
+    other would create and match products.
     """
+    if mode == "exact":
+        nothing = rows.sparkSession.createDataFrame([], "product_code string, ean_13 string, brand string, product_name string, volume_ml int, variant string")
+        return resolve_products(rows, nothing, "pos").drop("product_code")
     keyed = rows.withColumn("identity", identity_key())
     leaders = keyed.where("ean_13 is not null").groupBy("ean_13").agg(F.min_by("identity", "pos").alias("leader"))
-    led = keyed.join(leaders, "ean_13", "left").withColumn("group_key", F.coalesce("leader", "identity")).drop("leader")
-    if mode == "leader":
-        return led.drop("identity")
-    nodes = keyed.select("identity", "ean_13").where("ean_13 is not null").distinct()
-    component = keyed.select("identity").distinct().withColumn("component", F.col("identity"))
-    while True:  # the smallest label along shared barcodes, then that label's own, until nothing moves
-        by_ean = nodes.join(component, "identity").groupBy("ean_13").agg(F.min("component").alias("low"))
-        low = nodes.join(by_ean, "ean_13").groupBy("identity").agg(F.min("low").alias("low"))
-        hop = component.join(low, "identity", "left").select("identity", F.coalesce("low", "component").alias("to"), "component")
-        over = hop.select(F.col("identity").alias("to"), F.col("to").alias("next"))
-        moved = reliable(hop.join(over, "to", "left").select("identity", F.coalesce("next", "to").alias("to"), "component"))
-        component = moved.select("identity", F.col("to").alias("component"))
-        if moved.where("to < component").isEmpty():
-            break
-    schema = f"pos {dict(rows.dtypes)['pos']}, group_key string"
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        by_ean: dict[str, str] = {}
-        by_identity: dict[str, str] = {}
-        has_ean: set[str] = set()
-        out = []
-        for row in group.sort_values("pos").itertuples():
-            ean = row.ean_13 if isinstance(row.ean_13, str) else None
-            key = (by_ean.get(ean) if ean else None) or by_identity.get(row.identity)
-            if key is None:
-                key = by_identity[row.identity] = row.identity
-            if ean and key not in has_ean:
-                by_ean.setdefault(ean, key)
-                has_ean.add(key)
-            out.append((row.pos, key))
-        return pd.DataFrame(out, columns=["pos", "group_key"])
-
-    members = keyed.join(component, "identity").select("component", "pos", "ean_13", "identity")
-    mixed = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    # a component of one identity is one product, whatever its barcodes
-    plain = members.join(mixed, "component", "left_anti").select("pos", F.col("identity").alias("group_key"))
-    grouped = plain.unionByName(members.join(mixed, "component", "left_semi").groupBy("component").applyInPandas(replay, schema))
-    return rows.join(grouped, "pos")
+    return keyed.join(leaders, "ean_13", "left").withColumn("group_key", F.coalesce("leader", "identity")).drop("leader", "identity")
 
 
 def enrich_products(products: DataFrame, rows: DataFrame) -> DataFrame:
@@ -188,8 +187,3 @@ def purge(products: DataFrame, listings: DataFrame, history: DataFrame, sources:
     out_sources = sources.where(F.col("name").like(source_pattern)).select("source_id")
     kept_listings = listings.join(kept.select("product_id"), "product_id", "left_semi").join(out_sources, "source_id", "left_anti")
     return kept, kept_listings, history.join(kept_listings.select("listing_id"), "listing_id", "left_semi")
-
-
-def unknown_brands(rows: DataFrame) -> DataFrame:
-    """Titles without a known brand, for review."""
-    return rows.where(F.col("brand") == UNKNOWN)

@@ -89,11 +89,3 @@ def upsert_sources(current: DataFrame, new: DataFrame) -> DataFrame:
 def new_sources(current: DataFrame, new: DataFrame) -> DataFrame:
     """Rows whose name isn't taken."""
     return new.join(current.select("name"), "name", "left_anti")
-
-
-def write_version(df: DataFrame, root: str, version: int, partition_by: list[str] | None = None) -> str:
-    """A new version folder; readers keep the old one until they are pointed at this."""
-    path = f"{root}/v{version:06d}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return path

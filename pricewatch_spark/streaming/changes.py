@@ -14,6 +14,8 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from pyspark.sql.types import StructField, StructType
 
 from pricewatch_spark.operators import delta
+from pricewatch_spark.sources.snapshots import SnapshotStore, upsert_version
+from pricewatch_spark.sources.tables import reliable
 
 SNAPSHOT = (
     "source_id string, source_external_id string, current_hash string, current_price decimal(12,2), current_stock int, availability string, "
@@ -24,54 +26,38 @@ EMITTED = "source_id string, source_external_id string, at long, change string,
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-BUCKETS = 32
+def read_snapshot(spark: SparkSession, root: str, batch: int | None = None) -> DataFrame:
+    """The snapshot after a batch of run_delta_stream, after the last one if None."""
+    store = SnapshotStore(spark, f"{root}/snapshot", SNAPSHOT)
+    return store.read(store.manifest(batch))
 
 
-def _versions(spark: SparkSession, root: str, batch: int) -> dict[int, int]:
-    """Of each bucket of listings the batch that wrote it last, as that batch has noted it; empty at the start."""
-    path = f"{root}/versions/v{batch:09d}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if batch < 0 or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        return {}
-    return {r["bucket"]: r["batch"] for r in spark.read.parquet(path).collect()}  # a row a bucket
+def run_delta_stream(
+    raw_stream: DataFrame, sources: DataFrame, root: str, checkpoint: str, delist_minutes: int | None = None, buckets: int = 8, rows_a_bucket: int = 1_000_000, keep: int = 3
+) -> StreamingQuery:
+    """Each micro-batch commits a version of the snapshot and writes its history.
 
-
-def _rows(spark: SparkSession, root: str, versions: dict[int, int]) -> DataFrame:
-    paths = [f"{root}/snapshot/v{batch:09d}/bucket={bucket}" for bucket, batch in versions.items()]
-    return spark.read.schema(SNAPSHOT).parquet(*paths) if paths else spark.createDataFrame([], SNAPSHOT)
-
-
-def read_snapshot(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    """The snapshot after a batch of run_delta_stream."""
-    return _rows(spark, root, _versions(spark, root, batch))
-
-
-def run_delta_stream(raw_stream: DataFrame, sources: DataFrame, root: str, checkpoint: str, delist_minutes: int | None = None) -> StreamingQuery:
-    """Each micro-batch rewrites the buckets of listings it touches and appends its history.
-
-    So its cost follows the batch, not all listings (with delist_minutes every bucket is looked at).
-    Buckets are written into the batch's own folder and noted in its versions; a batch that is run
-    again overwrites its own folders, so results stay exact.
+    Only the buckets that the batch touches are read and written, and buckets hold rows_a_bucket
+    listings at most on average, so a batch costs what it touches (with delist_minutes every bucket is
+    looked at).  The classified batch is kept in the checkpoint folder, since buckets, snapshot and
+    history all read it.  A batch that is run again starts from the version before it and overwrites
+    what it has written; versions older than the last ones are deleted.
     """
-    bucket = F.pmod(F.xxhash64(*delta.KEY), F.lit(BUCKETS)).cast("int")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _versions(spark, root, batch_id - 1)
-        observed = delta.observe(batch, sources)
-        touched = {r[0] for r in observed.select(bucket).distinct().collect()}  # BUCKETS rows at most
-        before = _rows(spark, root, {b: v for b, v in known.items() if b in touched or delist_minutes is not None})
-        changes = delta.classify_changes(observed, before)
-        after = delta.next_snapshot(changes, before)
-        if delist_minutes is not None:
-            newest = batch.agg(F.max("scraped_at")).first()[0]
-            after = delta.delist_stale(after, F.lit(newest), delist_minutes) if newest else after
-        path = f"{root}/snapshot/v{batch_id:09d}"
-        after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-        written = spark.read.schema("bucket int").parquet(path).distinct().collect()
-        versions = known | {r["bucket"]: batch_id for r in written}
-        delta.history_rows(changes).write.mode("overwrite").parquet(f"{root}/history/batch={batch_id:09d}")
-        spark.createDataFrame(list(versions.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{root}/versions/v{batch_id:09d}")
+        store = SnapshotStore(spark, f"{root}/snapshot", SNAPSHOT, buckets, rows_a_bucket)
+        observed = reliable(delta.observe(batch, sources))
+        newest = observed.agg(F.max("scraped_at")).first()[0] if delist_minutes is not None else None
+
+        def after(before: DataFrame) -> DataFrame:
+            changes = reliable(delta.classify_changes(observed, before))
+            delta.history_rows(changes).write.mode("overwrite").parquet(f"{root}/history/batch={batch_id:09d}")
+            state = delta.next_snapshot(changes, before)
+            return state if newest is None else delta.delist_stale(state, F.lit(newest), delist_minutes)
+
+        upsert_version(store, batch_id, observed, after, whole=newest is not None)
+        store.collect(keep)
 
     return raw_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

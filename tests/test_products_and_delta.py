@@ -192,7 +192,6 @@ def test_archive_export_history(spark, tmp_path):
     tables.export_catalog(raw, f"{tmp_path}/json", "json")
     tables.append_history(raw.select(F.col("scraped_at").alias("recorded_at"), "price"), f"{tmp_path}/history")
     assert spark.read.parquet(f"{tmp_path}/history").count() == 1
-    assert tables.write_version(raw, f"{tmp_path}/versions", 3).endswith("v000003")
 
 
 def test_stream_equals_batch(spark, sources, empty, tmp_path):
