@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricewatch_spark import constants as K
 from pricewatch_spark.functions import text, titles
-from pricewatch_spark.operators import compare, delta, history, products, rules, scoring
+from pricewatch_spark.operators import compare, delta, history, ingest, products, rules, scoring
 from pricewatch_spark.plans.testmap import Model, ctes
 from pricewatch_spark.sources import cards, listings, tables
 from pricewatch_spark.streaming import changes as stream
@@ -254,6 +254,96 @@ def _(m):
     return history.bulk_price(rows, 25).selectExpr("source_id", "product_id", *doubles("unit_price"))
 
 
+# --- a whole run --------------------------------------------------------------------------------
+
+_G_TYPE = "CASE g % 7 WHEN 0 THEN 'EDP' WHEN 1 THEN 'EDT' WHEN 2 THEN 'PARFUM' WHEN 3 THEN 'COLOGNE' WHEN 4 THEN 'BODY_MIST' WHEN 5 THEN 'EDP' END"
+_G_BRAND = "CASE g % 4 WHEN 0 THEN 'Dolce & Gabbana' WHEN 1 THEN 'Tom Ford' WHEN 2 THEN 'Dior' ELSE 'Unknown' END"
+_G_NAME = "concat(CASE WHEN g % 4 = 3 THEN 'Zzyzx ' ELSE '' END, 'Item', CAST(g AS VARCHAR))"
+#: Raw rows show one of two titles a listing; titles without volume or type are no perfumes, blank ones fail.
+_RUN = f"""WITH r AS (SELECT l_suppkey AS source_id, CAST(l_partkey % 90 AS VARCHAR) AS ext, l_partkey % 60 AS g, l_shipdate AS seen, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_extendedprice AS x,
+  CAST(floor(l_extendedprice / 20000) * 1000 AS BIGINT) AS price, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN NULL WHEN l_returnflag = 'R' THEN 0 ELSE 7 END AS stock FROM lineitem),
+s AS (SELECT *, CASE WHEN stock IS NULL THEN 'UNKNOWN' WHEN stock > 0 THEN 'AVAILABLE_IN_STOCK' ELSE 'OUT_OF_STOCK' END AS availability, n = 7 AS blank, g % 8 <> 0 AND g % 7 <> 6 AS good,
+  row_number() OVER (ORDER BY seen, o, n, p, x, source_id, ext) AS place FROM r),
+k AS (SELECT source_id, ext, min(place) AS start, arg_min(g, place) AS g FROM s WHERE good AND NOT blank GROUP BY 1, 2),
+made AS (SELECT g, concat('a', lpad(CAST(row_number() OVER (ORDER BY min(start)) AS VARCHAR), 8, '0')) AS product_code FROM k GROUP BY 1),
+m AS (SELECT source_id, ext, start, g, arg_min(ext, start) OVER (PARTITION BY source_id, g) AS listing FROM k),
+c AS (SELECT s.source_id, m.listing, m.g AS of, s.seen, s.price, s.stock, s.availability, s.place, row_number() OVER v AS k, lag(s.price) OVER v AS pp, lag(s.stock) OVER v AS ps, lag(s.availability) OVER v AS pa
+  FROM s JOIN m ON s.source_id = m.source_id AND s.ext = m.ext AND NOT s.blank AND s.place >= m.start WINDOW v AS (PARTITION BY s.source_id, m.listing ORDER BY s.place)),
+d AS (SELECT *, CASE WHEN k = 1 THEN 'created' WHEN price = pp AND availability = pa AND stock IS NOT DISTINCT FROM ps THEN 'unchanged' ELSE 'changed' END AS change FROM c)
+"""
+
+
+def _run_rows(m):
+    g = "l_partkey % 60"
+    title = f"""concat(CASE {g} % 4 WHEN 0 THEN 'Dolce & Gabbana' WHEN 1 THEN 'Tom Ford' WHEN 2 THEN 'Dior' ELSE 'Zzyzx' END, ' Item', {g},
+      CASE {g} % 7 WHEN 0 THEN ' Eau de Parfum' WHEN 1 THEN ' EDT' WHEN 2 THEN ' Extrait de Parfum' WHEN 3 THEN ' Cologne' WHEN 4 THEN ' body mist' WHEN 5 THEN ' EDP' ELSE '' END,
+      CASE WHEN {g} % 8 <> 0 THEN concat(' ', {g} * 5, ' ML') ELSE '' END)"""
+    line = m.chains.withColumn("l_partkey", F.col("pos.l_partkey"))
+    return line.withColumns(
+        {
+            "raw_title": F.expr(f"CASE WHEN pos.l_linenumber = 7 THEN ' ' ELSE {title} END"),
+            "sku": (F.col("l_partkey") % 90).cast("string"),
+            "vendor": F.lit(None).cast("string"),
+            "tags": F.array().cast("array<string>"),
+            "barcode": F.expr(f"CASE WHEN {g} % 3 = 0 THEN lpad(CAST({g} AS STRING), 13, '7') END"),
+        }
+    ).drop("l_partkey")
+
+
+def _run(m, times: int = 1) -> ingest.Ingested:
+    """The rows taken as one run, again on what it leaves."""
+    known = m.spark.createDataFrame([], ingest.PRODUCTS)
+    snapshot = m.spark.createDataFrame([], stream.SNAPSHOT.replace("source_id string", "source_id long") + ", product_code string, variant_signature string")
+    for _ in range(times):
+        done = ingest.ingest(_run_rows(m), m.sources, known, snapshot)
+        known, snapshot = done.products, done.listings
+    return done
+
+
+@query(
+    "ingest_listings",
+    _RUN
+    + f"""SELECT source_id, listing AS source_external_id, product_code, concat(CAST(g * 5 AS VARCHAR), 'ml-', {_G_TYPE}) AS variant_signature, current_price, current_stock, availability, last_seen_at
+FROM (SELECT source_id, listing, max(of) AS g, CAST(arg_max(price, k) AS DOUBLE) AS current_price, CAST(arg_max_null(stock, k) AS BIGINT) AS current_stock, arg_max(availability, k) AS availability, max(seen) AS last_seen_at FROM d GROUP BY 1, 2) JOIN made USING (g)""",
+)
+def _(m):
+    return _run(m).listings.selectExpr("source_id", "source_external_id", "product_code", "variant_signature", *doubles("current_price"), *longs("current_stock"), "availability", "last_seen_at")
+
+
+@query(
+    "ingest_products",
+    _RUN + f"SELECT product_code, {_G_BRAND} AS brand, {_G_NAME} AS product_name, CAST(g * 5 AS BIGINT) AS volume_ml, {_G_TYPE} AS fragrance_type, CASE WHEN g % 3 = 0 THEN lpad(CAST(g AS VARCHAR), 13, '7') END AS ean_13 FROM made",
+)
+def _(m):
+    return _run(m).products.selectExpr("product_code", "brand", "product_name", *longs("volume_ml"), "fragrance_type", "ean_13")
+
+
+@query(
+    "ingest_history",
+    _RUN + "SELECT source_id, listing AS source_external_id, seen AS recorded_at, CAST(price AS DOUBLE) AS price, availability FROM d WHERE change = 'created' OR (change = 'changed' AND (price <> pp OR availability <> pa))",
+)
+def _(m):
+    return _run(m).history.selectExpr("source_id", "source_external_id", "recorded_at", *doubles("price"), "availability")
+
+
+@query(
+    "ingest_counters",
+    _RUN
+    + """SELECT 'run' AS run_id, CAST((SELECT count(*) FROM s) AS BIGINT) AS extracted, CAST(count(*) FILTER (change <> 'unchanged') AS BIGINT) AS updated, CAST(count(*) FILTER (change = 'unchanged') AS BIGINT) AS skipped,
+  CAST((SELECT count(*) FROM s) - count(*) AS BIGINT) AS failed, CAST((SELECT count(stock) FROM s) AS BIGINT) AS items_with_stock, 'PARTIAL' AS status FROM d""",
+)
+def _(m):
+    return _run(m).counters
+
+
+@query("ingest_again", _RUN + "SELECT (SELECT CAST(count(*) AS BIGINT) FROM made) AS products, CAST(count(DISTINCT (source_id, listing)) AS BIGINT) AS listings FROM d")
+def _(m):
+    """The same run twice: the second creates neither a product nor a listing."""
+    done = _run(m, 2)
+    both = done.listings.select(F.lit(True).alias("listing")).unionAll(done.products.select(F.lit(False).alias("listing")))
+    return both.agg(F.count_if("listing").alias("listings"), F.count_if(~F.col("listing")).alias("products"))
+
+
 # --- change detection ---------------------------------------------------------------------------
 
 _CHAIN = """WITH r AS (SELECT l_suppkey AS source_id, CAST(l_partkey % 20 AS VARCHAR) AS ext, l_shipdate AS seen, l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_extendedprice AS x,
