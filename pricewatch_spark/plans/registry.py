@@ -981,6 +981,19 @@ def _(m):
     return cards.extract_cards(pages, "woocommerce").selectExpr("page_id", "raw_title", *doubles("price"), "url", "image_url", "vendor", *longs("stock"), "available", "tags[0] AS tag")
 
 
+@query(
+    "extract_cards_of_odd_pages",
+    "SELECT p_partkey AS page_id, p_name AS raw_title, CAST(p_size AS DOUBLE) AS price, concat('https://x/p/', p_partkey) AS url FROM part",
+)
+def _(m):
+    """Pages that don't follow the grammar among others: their good cards come out like any."""
+    odd = """CASE p_partkey % 8 WHEN 0 THEN '<![foo bar]>' WHEN 1 THEN '<!doctype' WHEN 2 THEN '<noscript>' WHEN 3 THEN '<![if !x]><![endif]>' WHEN 4 THEN '<!->' WHEN 5 THEN '</b></nothing><![>' WHEN 6 THEN '<a href="' ELSE '' END"""
+    after = f"CASE WHEN p_partkey % 8 IN (1, 6) THEN '' ELSE {odd} END"
+    card = f"""concat({after}, '<div class="product-card"><h3>', p_name, '</h3><a href="/p/', p_partkey, '">more</a><span class="price-value">$', p_size, '</span></div>', {odd}) AS html"""
+    pages = m.raw("part").selectExpr("p_partkey AS page_id", "'shop' AS source_id", "'https://x/' AS base_url", card)
+    return cards.extract_cards(pages, "generic").selectExpr("page_id", "raw_title", *doubles("price"), "url")
+
+
 @query(
     "extract_cards_generic",
     """SELECT p_partkey AS page_id, p_name AS raw_title, CAST(p_size AS DOUBLE) AS price, concat('https://x/p/', p_partkey) AS url, concat('c', p_size) AS sku, lpad(CAST(p_partkey AS VARCHAR), 13, '4') AS barcode,

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewatch_spark.functions.text import detect_out_of_stock, parse_price, stock_from_text, tags_from_classes, validate_ean
+from pricewatch_spark.sources.markup import TolerantParser
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -107,9 +107,9 @@ class Node:
         return next((n for p in paths for n in self.select(p)), None)
 
 
-class _Tree(HTMLParser):
+class _Tree(TolerantParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.root = self.open = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
@@ -136,8 +136,7 @@ def cards_of(html: str | None, layout: str) -> list[dict]:
     """The raw fields of each card of a page; cards without title are left out."""
     rules = LAYOUTS[layout]
     tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    tree.read(html if isinstance(html, str) else "")
     found = next((c for c in ([*tree.root.select(p)] for p in rules["card"]) if c), [])
     out = []
     for card in found:

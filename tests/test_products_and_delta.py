@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import decimal
 
 import pytest
@@ -169,6 +170,17 @@ def test_cards_layouts(spark):
     assert (g["raw_title"], g["sku"], g["barcode"], g["stock"]) == ("Solo texto", "c1", "1234567890123", None)
 
 
+def test_odd_pages(spark):
+    good = '<div class="product-card"><h3>Uno</h3><span class="price-value">$5</span></div>'
+    odd = ["<![foo bar]>", "<![", "<!", "<!doctype", "<![CDATA[ x", "<![CDATA[ x ]]>", "<!->", "<a href=", "</", "<![if gte mso 9]>x<![endif]>", "<noscript>", "&#xFFFFFFFFF;", "\x00<"]
+    pages = [(k, "s", "https://x/", f"{good}{o}") for k, o in enumerate(odd)] + [(99, "s", "https://x/", good), (98, "s", "https://x/", "<![foo bar]>" + good)]
+    r = cards.extract_cards(spark.createDataFrame(pages, "page_id long, source_id string, base_url string, html string"), "generic").collect()
+    assert sorted(x["page_id"] for x in r) == sorted(p[0] for p in pages) and {(x["raw_title"], int(x["price"])) for x in r} == {("Uno", 5)}
+    rng = random.Random(0)
+    for _ in range(3000):  # nothing that is fed ends in an error
+        cards.cards_of("".join(rng.choices(["<", ">", "!", "[", "]", "-", "/", "a", " ", "=", '"', "&", "#", "x", "<![", "<!--", "]]>", "CDATA"], k=12)), "generic")
+
+
 def test_empty_tables(spark):
     sf = "/root/testdata/sf0.001"
     from pricewatch_spark.plans.testmap import Model
