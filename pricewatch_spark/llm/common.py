@@ -144,23 +144,28 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def minimisers(hashes: np.ndarray, w: int, at: np.ndarray | None = None) -> np.ndarray:
     """For each window of w consecutive hashes, the position of its smallest (leftmost of equal).
 
-    Windows with equal content choose the same place within them.  at: the windows' starts,
-    all of them if None.
+    Windows with equal content choose the same place within them, whatever text they lie in: whole
+    hashes are compared, and of equal ones the leftmost counts.  at: the windows' starts, all if None.
     """
     count = len(hashes) - w + 1
     if count <= 0:
         return np.empty(0, np.int64)
     bits = np.uint64(max(1, int(len(hashes)).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
-    keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-    width = 1
+    # the upper bits with the place, which nearly always tell; then the windows that whole hashes decide otherwise
+    found = (_sliding_minima((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), w) & low).astype(np.int64)
+    for i in np.flatnonzero(hashes[found] != _sliding_minima(hashes, w)):
+        found[i] = i + int(hashes[i : i + w].argmin())
+    return found if at is None else found[at]
+
+
+def _sliding_minima(keys: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of each w consecutive keys."""
+    count, width = len(keys) - w + 1, 1
     while width * 2 <= w:
         keys = np.minimum(keys[: len(keys) - width], keys[width:])
         width *= 2
-    if width < w:
-        keys = np.minimum(keys[:count], keys[w - width : w - width + count])
-    found = (keys[:count] & low).astype(np.int64)
-    return found if at is None else found[at]
+    return np.minimum(keys[:count], keys[w - width : w - width + count]) if width < w else keys[:count]
 
 
 def as_long(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ Defined results: a null text or page is an empty one (its payload is 64 zero byt
 without stored payload keeps its place with null facts; equal payloads have one digest and equal
 facts; repeated rows and null doc_ids are kept; very long texts are stored whole; references tie
 in no order, each keeps its place; a caption of a figure without media, or of none, is text, and
-one that is never closed ends with its figure or page; an empty table gives no rows; further
+one that is never closed ends with its figure or page; text inside noscript and template goes, but
+stays if they are never closed; markup that doesn't follow the grammar is passed over; an empty table gives no rows; further
 columns of the input are ignored, whatever their names.
 """
 
@@ -20,7 +21,6 @@ import hashlib
 import html as escape
 import re
 import zlib
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewatch_spark.llm.common import Scratch, raw_bytes, table, texts
+from pricewatch_spark.sources.markup import TolerantParser
 
 NAME = "op6_media"
 ORACLE_SQL = None
@@ -36,19 +37,22 @@ SCHEME = "media:sha256-"
 ITEMS = "array<struct<pos: int, kind: string, text: string, digest: string, caption: string>>"
 FACTS = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _MEDIA_TAGS = {"img", "audio", "video", "source", "embed"}
-_SILENT = {"script", "style", "noscript", "template"}
+_SILENT = {"script", "style"}
+#: Elements whose text goes when they are closed; without an end they are no elements.
+_HIDDEN = {"noscript", "template"}
 _BLOCKS = {"p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "section", "article", "figure", "table", "ul", "ol", "title", "nav", "header", "footer"}
 _HEADER = re.compile(rb"P5\n# (\d+)\n64 (\d+)\n255\n")
 
 
-class SequenceParser(HTMLParser):
+class SequenceParser(TolerantParser):
     """Collects text runs and media references in reading order."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.items: list[dict] = []
         self.run: list[str] = []
         self.silent = 0
+        self.hidden: list[tuple[str, int]] = []  # open elements of _HIDDEN, and where they begin
         self.figure: list[int] | None = None  # media of the open figure
         self.caption: list[str] | None = None  # text of the open caption
         self.captions: list[str] = []  # of the open figure
@@ -82,6 +86,9 @@ class SequenceParser(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in _SILENT:
             self.silent += 1
+        elif tag in _HIDDEN:
+            self.flush()
+            self.hidden.append((tag, len(self.items)))
         elif tag in _MEDIA_TAGS:
             found = {k: v or "" for k, v in attrs}
             if source := found.get("src", ""):
@@ -103,6 +110,15 @@ class SequenceParser(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
+        elif tag in {x for x, _ in self.hidden}:
+            self.flush()
+            while self.hidden:
+                name, start = self.hidden.pop()
+                if name == tag:
+                    break
+            for item in self.items[start:]:
+                if item["kind"] == "text":
+                    item["text"] = None
         elif tag == "figcaption":
             self.end_caption()
         elif tag in _BLOCKS:
@@ -117,11 +133,11 @@ class SequenceParser(HTMLParser):
 
 def parse_sequence(page: str | None) -> list[dict]:
     parser = SequenceParser()
-    parser.feed(page or "")
-    parser.close()
+    parser.read(page or "")
     parser.flush()
     parser.end_figure()
-    return [{"pos": k, **item} for k, item in enumerate(parser.items)]
+    seen = (x for x in parser.items if x["kind"] != "text" or x["text"] is not None)
+    return [{"pos": k, **item} for k, item in enumerate(seen)]
 
 
 def interleaved(pages: DataFrame, key: str = "page_id") -> DataFrame:

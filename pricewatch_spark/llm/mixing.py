@@ -180,12 +180,32 @@ def mix(spark: SparkSession, docs: DataFrame, share: float = SHARE, shards: int
     place = lambda x: F.xxhash64(F.lit(seed + 2), "pick", x["copy"])
     drawn = F.transform("lots", lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"), place(x).alias("place")))
     mixed = joined.where("not part").select(columns).unionByName(part.select(columns)).withColumn("drawn", drawn)
-    return mixed.select(*columns[:5], "drawn", (F.col("size") * F.size("drawn")).cast("long").alias("taken"))
+    return mixed.select(*columns[:5], "pick", "drawn", (F.col("size") * F.size("drawn")).cast("long").alias("taken"))
+
+
+def with_texts(mixed: DataFrame, docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """mixed (of docs and seed) with text, and in others all further columns of docs as a struct.
+
+    Rows that share a pick and a source are equal in id and text and have one decision.
+    """
+    columns = ["doc_id", "size", "source_size", "target", "drawn", "taken"]
+    decided = mixed.groupBy(F.col("source").alias("in_source"), F.col("pick").alias("in_pick")).agg(F.first(F.struct(*columns)).alias("m"))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", "source")))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("source").cast("string").alias("source"), text.alias("text"), F.xxhash64(F.lit(seed), "doc_id", text).alias("pick"), others.alias("others"))
+    found = rows.join(decided, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("pick") == F.col("in_pick")))
+    return found.select("m.doc_id", "source", "m.size", "m.source_size", "m.target", "pick", "m.drawn", "m.taken", "text", "others")
 
 
 def shard_rows(mixed: DataFrame) -> DataFrame:
-    """doc_id, size, copy, shard, place: each shard's documents, to be ordered by place."""
-    return mixed.select("doc_id", "size", F.explode("drawn").alias("x")).select("doc_id", "size", "x.*")
+    """shard, place, copy and all columns of mixed but drawn: a row for each copy that a shard draws."""
+    return mixed.withColumn("x", F.explode("drawn")).select("x.shard", "x.place", "x.copy", *(c for c in mixed.columns if c != "drawn"))
+
+
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """Each shard's rows in a folder of its own, in the order of place."""
+    rows = shard_rows(mixed)
+    rows.repartition("shard").sortWithinPartitions("shard", "place", "pick").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,28 @@ def test_stages_on_odd_rows(spark, small, tmp_path):
     assert mix.count() == docs.count() and mix.where("doc_id is null").count() == ids["decontamination"][None]
 
 
+def test_the_corpus_holds_the_cleaned_texts(spark, small, tmp_path):
+    """Every copy that the mix draws is in its shard, in the order of place, with the text of the stage before."""
+    root, *_ = small
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, root).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    before = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    mixed = corpus_pipeline.run(spark, root)
+    rows = mixed.collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in rows) == before
+    assert {r["others"]["lang"] for r in rows if r["doc_id"] is not None} <= {"en", None} and all(r["others"]["item_id"] == "item_id" for r in rows)
+    drawn = collections.Counter((x["shard"], x["place"], r["doc_id"], r["text"]) for r in rows for x in r["drawn"])
+    assert sum(drawn.values()) > len(rows)
+    corpus_pipeline.write_corpus(spark, root, f"{tmp_path}/corpus")
+    read = spark.read.parquet(f"{tmp_path}/corpus")
+    assert collections.Counter((r["shard"], r["place"], r["doc_id"], r["text"]) for r in read.collect()) == drawn
+    for folder in tmp_path.glob("corpus/shard=*"):
+        places = [r["place"] for r in spark.read.parquet(str(folder)).coalesce(1).collect()]
+        assert places == sorted(places)
+
+
 def test_empty_documents(spark, small):
     root, *_ = small
     docs = spark.read.parquet(f"{root}/documents.parquet").limit(0)

@@ -578,3 +578,28 @@ def test_repeated_ids_and_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"], r["first"]) for r in near) == [
         (0, 46, 1, False, False), (1, 46, 1, True, True), (1, 46, 1, True, True), (2, 0, 2, True, True), (2, 1, 2, True, True)]
     assert class_lm.scores(spark, df).where(F.col("held_out").isNull()).count() == 0
+
+
+def test_minimisers_do_not_depend_on_the_text():
+    """Equal windows choose equal places in short and long texts, also if hashes differ in few bits."""
+    window = np.array([9, 8], np.uint64)
+    for after in (0, 10, 5000):
+        found = minimisers(np.concatenate([window, np.full(after, 2**60, np.uint64)]), 2)
+        assert found[0] == 1
+    r = np.random.default_rng(5)
+    for w in (1, 2, 3, 7, 16):
+        hashes = r.integers(0, 4, 300).astype(np.uint64)
+        assert minimisers(hashes, w).tolist() == [i + int(hashes[i : i + w].argmin()) for i in range(301 - w)]
+
+
+def test_malformed_pages(spark):
+    good = '<p>one</p><figure><img src="a.png"><figcaption>cap</figcaption></figure><p>two</p>'
+    whole = media.parse_sequence(good)
+    for odd in ("<![foo bar]>", "<![", "<!", "<![CDATA[ x ]]>", "<!->", "</", "<![if a]><![endif]>"):
+        assert media.parse_sequence(odd + good if odd[-1] == ">" else good + odd)[: len(whole)] == whole
+    assert [x["text"] for x in media.parse_sequence("a<![foo bar]>b")] == ["ab"]
+    # hidden text goes; what is never closed hides nothing
+    assert media.parse_sequence("<noscript><p>x</p></noscript>" + good) == whole
+    assert [x["text"] for x in media.parse_sequence("<noscript><p>x</p>" + good) if x["text"]] == ["x", "one", "two"]
+    pages = spark.createDataFrame([(1, good), (2, "p<![foo bar]>q"), (3, "<noscript>" + good), (4, None)], "page_id long, html string")
+    assert {r["page_id"]: len(r["items"]) for r in media.interleaved(pages).collect()} == {1: 3, 2: 1, 3: 3, 4: 0}
