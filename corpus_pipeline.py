@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages, each one of the operators of pricewatch_spark.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
-documents; the last returns the mix.  ``run`` writes every stage as Parquet in the shared folder
-and reads it back as the next one's input.
+documents; the last returns the mix, with the cleaned texts.  ``run`` writes every stage as Parquet in
+the shared folder and reads it back as the next one's input; ``write_corpus`` writes the result by
+shard, in the order in which each shard shuffles its documents.
 
 Every row of a stage's input is decided by itself, whatever its doc_id: rows with a null doc_id are
 scored, compared and cleaned like others.  Of a near-duplicate group the smallest doc_id stays,
@@ -60,8 +61,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, drawn, taken."""
-    return mixing.mix(spark, docs)
+    """The mix: doc_id, source, size, source_size, target, pick, drawn (the copies of the text with their
+    shards and places), taken, text, others (the further columns of documents)."""
+    return mixing.with_texts(mixing.mix(spark, docs), docs)
 
 
 STAGES = [
@@ -76,6 +78,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The corpus: a folder a shard, with a row for each copy that it draws, in the order of place."""
+    mixing.write_shards(run(spark, sf_dir), path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
