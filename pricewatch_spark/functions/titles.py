@@ -59,6 +59,46 @@ def brand_from_title(title: Column) -> Column:
     return out.otherwise(F.lit(UNKNOWN))
 
 
+def brand_table(brands: DataFrame, column: str = "brand", place: str | None = None) -> DataFrame:
+    """(key, brand, size, place) of a list of brands of any length, one row a lower-case key.
+
+    place, where the list has one, orders it: the last spelling of a key counts, at its first place; without one the
+    largest spelling counts.  Blank and null brands are left out.
+    """
+    order = F.col(place) if place else F.lit(0)
+    rows = brands.where(F.trim(F.coalesce(column, F.lit(""))) != "").select(F.lower(column).alias("key"), F.col(column).alias("brand"), order.cast("long").alias("place"))
+    plain = rows.withColumn("key", F.translate("key", "éôëè", "eoee"))
+    both = rows.withColumn("folded", F.lit(0)).unionByName(plain.join(rows.select("key", "brand"), ["key", "brand"], "left_anti").withColumn("folded", F.lit(1)))
+    one = both.groupBy("key").agg(F.max_by("brand", F.struct("place", "folded", "brand")).alias("brand"), F.min(F.struct("place", "folded")).alias("place"))
+    return one.withColumn("size", F.length("key"))
+
+
+def brands_by_table(rows: DataFrame, column: str, table: DataFrame, of_vendor: bool = False) -> DataFrame:
+    """rows with brand, found by joins to a brand_table: as brand_from_title does, or brand_from_vendor with of_vendor.
+
+    For lists too long for one branch a brand.  Each distinct title is cut into its pieces between word boundaries (a
+    vendor: into its beginnings) of the lengths that keys have; pieces meet the keys by a join, and the longest key
+    wins, then the first in the list, then the largest.  Read ahead: the distinct lengths of keys, as many as the longest has characters.
+    """
+    sizes = sorted(r[0] for r in table.select("size").distinct().collect())
+    own = F.trim(column) if of_vendor else F.col(column)
+    names = rows.select(F.col(column).alias("name")).where("name is not null").distinct().withColumn("low", F.lower(F.trim("name") if of_vendor else F.col("name")))
+    lengths = F.array(*(F.lit(n) for n in sizes)).cast("array<int>")
+    if of_vendor:
+        pieces = F.transform(F.filter(lengths, lambda n: n <= F.length("low")), lambda n: F.substring(F.col("low"), F.lit(1), n))
+    else:
+        word = F.transform(F.split("low", ""), lambda c: c.rlike(r"(?U)\w"))
+        edges = F.filter(F.sequence(F.lit(0), F.length("low")), lambda i: F.coalesce(F.get(F.col("word"), i - 1), F.lit(False)) != F.coalesce(F.get(F.col("word"), i), F.lit(False)))
+        names = names.withColumn("word", word).withColumn("edges", edges)
+        ends = lambda i: F.filter(lengths, lambda n: F.array_contains(F.col("edges"), i + n))
+        pieces = F.flatten(F.transform("edges", lambda i: F.transform(ends(i), lambda n: F.substring(F.col("low"), i + 1, n))))
+    asked = names.select("name", F.explode(F.array_distinct(pieces)).alias("key"))
+    found = asked.join(table, "key").groupBy("name").agg(F.max_by("brand", F.struct("size", -F.col("place.place"), -F.col("place.folded"), "brand")).alias("_brand"))
+    told = rows.join(found.withColumnRenamed("name", "_name"), F.col(column) == F.col("_name"), "left").drop("_name")
+    blank = F.when(F.coalesce(own, F.lit("")) == "", F.lit(None).cast("string")).otherwise(own) if of_vendor else F.lit(UNKNOWN)
+    return told.withColumn("brand", F.coalesce("_brand", blank)).drop("_brand")
+
+
 def extract_ml(title: Column) -> Column:
     ml = F.regexp_extract(title, _ci(K.VOLUME), 1).try_cast("int")
     return F.when(ml.between(1, 10000), ml)

@@ -200,11 +200,13 @@ def run_counters(changes: DataFrame, by: str = "run_id") -> DataFrame:
     return out.withColumn("status", F.when(F.col("extracted") == 0, "EMPTY").when(F.col("failed") > 0, "PARTIAL").otherwise("SUCCESS"))
 
 
-def state_periods(history: DataFrame, key: list[str], state: list[str], at: str, *tie: str) -> DataFrame:
-    """Runs of equal states as periods: key, state, valid_from, valid_to (null: still valid), points."""
+def state_periods(history: DataFrame, key: list[str], state: list[str], at: str, *tie: str, ends: bool = False) -> DataFrame:
+    """Runs of equal states as periods: key, state, valid_from, valid_to (null: still valid), points; ends: with first and last, the (at, tie) of their outer points."""
     order = Window.partitionBy(*key).orderBy(at, *tie)
     now = F.struct(*state)
     marked = history.withColumn("_new", F.when(F.lag(now).over(order).eqNullSafe(now), 0).otherwise(1))
     numbered = marked.withColumn("_period", F.sum("_new").over(order))
-    periods = numbered.groupBy(*key, "_period", *state).agg(F.min(at).alias("valid_from"), F.count(F.lit(1)).alias("points"))
+    point = F.struct(at, *tie)
+    outer = [F.min(point).alias("first"), F.max(point).alias("last")] if ends else []
+    periods = numbered.groupBy(*key, "_period", *state).agg(F.min(at).alias("valid_from"), F.count(F.lit(1)).alias("points"), *outer)
     return periods.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*key).orderBy("_period"))).withColumnRenamed("_period", "period")

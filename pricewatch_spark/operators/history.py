@@ -56,10 +56,43 @@ def states_as_of(history: DataFrame, points: DataFrame, key: list[str], at: str,
     return both.withColumn("as_of_value", F.last(value, ignorenulls=True).over(order)).where("_kind = 1").select(*key, at, "as_of_value")
 
 
+def _micros(column: str, zoned: bool) -> Column:
+    """A time as a number that keeps the order of times; no zone is applied to times that have none."""
+    if zoned:
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    at = F.col(column).cast("timestamp_ntz")
+    seconds = F.hour(at) * 3600 + F.minute(at) * 60
+    days = F.date_diff(at, F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86_400_000_000 + seconds.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+
+
 def tiers_as_of(tiers: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """points with the tiers in force: valid_from <= at < valid_to (open if null)."""
-    inside = (F.col("t.valid_from") <= F.col("p.at")) & (F.col("p.at") < F.coalesce(F.col("t.valid_to"), F.lit("9999-12-31").cast("timestamp")))
-    return points.alias("p").join(tiers.alias("t"), (F.col(f"p.{key}") == F.col(f"t.{key}")) & inside).select("p.*", "t.tier_name", "t.price", "t.valid_from")
+    """points with the tiers in force: valid_from <= at < valid_to (open if null).
+
+    A join on (key, level, bin): a tier's level is the power of two (microseconds) that its length does not exceed,
+    so it lies in one bin of that width or in two, and a point looks into one bin of each level in use.  A point
+    meets tiers about as long as the bin around it alone, so a key with very many tiers costs what it gives, and is
+    spread over its bins.  Tiers may overlap; open ones end behind the last point.  Read ahead: the first and the
+    last point, and the levels in use (64 at most).
+    """
+    zoned = "timestamp" in (dict(points.dtypes)["at"], dict(tiers.dtypes)["valid_from"], dict(tiers.dtypes)["valid_to"])
+    reach = points.agg(F.min(_micros("at", zoned)), F.max(_micros("at", zoned))).first()
+    if reach[0] is None:
+        reach = (0, 0)
+    since = _micros("valid_from", zoned)
+    until = F.least(F.coalesce(_micros("valid_to", zoned), F.lit(reach[1] + 1)), F.lit(reach[1] + 1))
+    seen = tiers.select(F.col(key).alias("t_key"), "tier_name", "price", "valid_from", "valid_to", F.greatest(since, F.lit(reach[0])).alias("since"), until.alias("until"))
+    # a power of two that the length doesn't exceed: as many bits as length - 1 has
+    leveled = seen.where("since < until").withColumn("level", F.when(F.expr("until - since = 1"), 0).otherwise(F.length(F.bin(F.expr("until - since - 1")))))
+    levels = sorted(r[0] for r in leveled.select("level").distinct().collect())
+    both = F.array_distinct(F.array(F.expr("shiftright(since, level)"), F.expr("shiftright(until - 1, level)")))
+    placed = leveled.withColumn("slot", F.explode(both)).drop("since", "until")
+    looks = F.array(*(F.struct(F.lit(n).alias("level"), F.shiftright(_micros("at", zoned), n).alias("slot")) for n in levels)).cast("array<struct<level int, slot bigint>>")
+    asked = points.select("*", F.explode(looks).alias("look")).alias("p")
+    placed = placed.alias("t")
+    inside = (F.col("t.valid_from") <= F.col("p.at")) & (F.col("t.valid_to").isNull() | (F.col("p.at") < F.col("t.valid_to")))
+    met = (F.col(f"p.{key}") == F.col("t.t_key")) & (F.col("p.look.level") == F.col("t.level")) & (F.col("p.look.slot") == F.col("t.slot"))
+    return asked.join(placed, met & inside).select(*(F.col(f"p.{c}") for c in points.columns), "t.tier_name", "t.price", "t.valid_from")
 
 
 def bulk_price(listings: DataFrame, qty: int) -> DataFrame:

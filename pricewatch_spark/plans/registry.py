@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricewatch_spark import constants as K
 from pricewatch_spark.functions import text, titles
-from pricewatch_spark.operators import compare, delta, history, ingest, products, rules, scoring
+from pricewatch_spark.operators import compare, delta, history, ingest, periods, products, rules, scoring
 from pricewatch_spark.plans.testmap import Model, ctes
 from pricewatch_spark.sources import cards, listings, tables
 from pricewatch_spark.streaming import changes as stream
@@ -240,6 +240,23 @@ def _(m):
     return history.tiers_as_of(m.tiers, points, "customer").selectExpr("event_id", "tier_name", *doubles("price"), "valid_from")
 
 
+@query(
+    "tiers_as_of_overlapping",
+    """, o AS (SELECT customer % 7 AS market, tier_name, price, valid_from, CASE WHEN customer % 11 > 0 THEN valid_from + to_days(CAST(1 + customer % 60 * (customer % 3) AS INT)) END AS valid_to FROM tiers),
+e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 7 END AS market, TIMESTAMP '1996-01-01' + to_days(CAST(event_id % 900 AS INT)) AS at FROM events)
+SELECT e.event_id, CAST(count(*) AS BIGINT) AS tiers, CAST(min(o.price) AS DOUBLE) AS cheapest, max(o.valid_from) AS newest
+FROM e JOIN o ON o.market = e.market AND o.valid_from <= e.at AND (o.valid_to IS NULL OR e.at < o.valid_to) GROUP BY 1""",
+    ("tiers",),
+)
+def _(m):
+    """Few keys with very many overlapping tiers of one to 119 days, and open ones."""
+    until = "CASE WHEN customer % 11 > 0 THEN valid_from + make_dt_interval(CAST(1 + customer % 60 * (customer % 3) AS INT)) END AS valid_to"
+    own = m.tiers.selectExpr("customer % 7 AS market", "tier_name", "price", "valid_from", until)
+    points = m.raw("events").selectExpr("event_id", "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 7 END AS market", "TIMESTAMP_NTZ '1996-01-01' + make_dt_interval(CAST(event_id % 900 AS INT)) AS at")
+    found = history.tiers_as_of(own, points, "market").groupBy("event_id").agg(F.count(F.lit(1)).alias("tiers"), F.min("price").cast("double").alias("cheapest"), F.max("valid_from").alias("newest"))
+    return found
+
+
 @query(
     "bulk_price",
     """SELECT source_id, product_id, CAST(CASE WHEN product_id % 4 > 0 AND product_id % 4 * 10 > 25 THEN NULL WHEN product_id % 3 = 0 THEN current_price
@@ -472,6 +489,25 @@ def _(m):
     return out.selectExpr("source_id", "product_id", *longs("period"), "availability", "valid_from", "valid_to", "points")
 
 
+def _late(m) -> list[DataFrame]:
+    """The history in three arrivals by time; every fortieth order's rows come an arrival late."""
+    due = F.expr(f"CASE WHEN seen_at < TIMESTAMP '1995-01-01' THEN 0 WHEN seen_at < {AS_OF} THEN 1 ELSE 2 END + CASE WHEN l_orderkey % 40 = 0 THEN 1 ELSE 0 END")
+    rows = m.history.withColumn("arrival", F.least(due, F.lit(2)))
+    return [rows.where(f"arrival = {k}").drop("arrival") for k in range(3)]
+
+
+@query("state_periods_by_increments", ORACLES["state_periods"])
+def _(m):
+    """The periods that three batches have left, late rows among them: those of the whole history."""
+    how = (_LISTING, ["availability"], *_AT)
+    arrivals = _late(m)
+    open_ = periods.no_periods(m.history, *how)
+    closed = open_
+    for k, batch in enumerate(arrivals):
+        closed, open_ = map(tables.reliable, periods.catch_up(closed, periods.advance(open_, batch, *how), reduce(DataFrame.unionByName, arrivals[: k + 1]), *how))
+    return closed.unionByName(open_).selectExpr("source_id", "product_id", *longs("period"), "availability", "valid_from", "valid_to", "points")
+
+
 @query(
     "merge_by_signature",
     """, k AS (SELECT source_id * 1000000 + product_id AS listing_id, source_id, product_id % 50 AS grp, CASE WHEN product_id % 4 > 0 THEN concat(CAST(product_id % 3 * 50 + 50 AS VARCHAR), 'ml-EDP') END AS sig, last_seen_at FROM listings)
@@ -487,6 +523,24 @@ def _(m):
 # --- titles and text ----------------------------------------------------------------------------
 
 
+@query(
+    "brands_by_table",
+    """WITH b AS (SELECT DISTINCT lower(p_brand) AS key, p_brand AS brand FROM part UNION SELECT DISTINCT lower(p_name), p_name FROM part),
+t AS (SELECT DISTINCT concat(p_name, ' x', p_name, ' ', p_brand, CASE WHEN p_size % 3 = 0 THEN '1' ELSE '' END, ' ', p_size, ' ml') AS title, concat(' ', p_brand, p_size, ' shop') AS vendor FROM part),
+f AS (SELECT title, vendor, (SELECT max({'n': length(key), 'b': brand}).b FROM b WHERE contains(lower(title), key) AND regexp_matches(lower(title), concat('\\b', regexp_escape(key), '\\b'))) AS of_title,
+  (SELECT max({'n': length(key), 'b': brand}).b FROM b WHERE starts_with(lower(trim(vendor)), key)) AS of_vendor FROM t)
+SELECT title, vendor, coalesce(of_title, 'Unknown') AS of_title, coalesce(of_vendor, trim(vendor)) AS of_vendor FROM f""",
+)
+def _(m):
+    """The parts' own brands and names as the list of brands."""
+    part = m.raw("part")
+    names = part.select(F.col("p_brand").alias("brand")).union(part.select("p_name")).distinct()
+    table = titles.brand_table(names)
+    rows = part.selectExpr("concat(p_name, ' x', p_name, ' ', p_brand, CASE WHEN p_size % 3 = 0 THEN '1' ELSE '' END, ' ', p_size, ' ml') AS title", "concat(' ', p_brand, p_size, ' shop') AS vendor").distinct()
+    found = titles.brands_by_table(rows, "title", table).withColumnRenamed("brand", "of_title")
+    return titles.brands_by_table(found, "vendor", table, of_vendor=True).withColumnRenamed("brand", "of_vendor")
+
+
 def _raw_titles(m):
     raw = F.regexp_replace(F.concat_ws(" ", "t_brand", "t_name", "t_variant", "t_type", "t_volume", "t_gender"), " +", " ")
     return m.titles.select("row_id", "t_brand", F.trim(raw).alias("raw_title"), "vendor", F.array().cast("array<string>").alias("tags"), F.col("row_id").cast("string").alias("barcode"), F.lit("A long text").alias("description"), "p_size")
@@ -750,6 +804,23 @@ def _(m):
     return scoring.catalog_summary(raw, ["source_id"])
 
 
+@query(
+    "catalog_sketches",
+    """SELECT source_id, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (current_price > 0) AS BIGINT) AS with_price, CAST(count(image_url) AS BIGINT) AS with_image,
+  CAST(count(DISTINCT brand) AS BIGINT) AS brands, TRUE AS products_near FROM listings JOIN products USING (product_id) GROUP BY ROLLUP (source_id)""",
+    ("products", "listings"),
+)
+def _(m):
+    """Daily states of each source put together; the estimate of distinct products lies within three standard errors of the count."""
+    raw = m.listings.join(m.products.select("product_id", F.col("brand").alias("vendor")), "product_id").withColumns({"price": F.col("current_price"), "day": F.to_date("last_seen_at")})
+    states = scoring.catalog_sketches(raw, ["source_id", "day"], ["vendor", "product_id"])
+    found = scoring.summary_of_sketches(states, ["vendor", "product_id"], ["source_id"]).alias("s")
+    exact = raw.rollup("source_id").agg(F.count_distinct("product_id").alias("n")).alias("x")
+    near = F.abs(F.col("s.product_id") - F.col("n")) <= F.greatest(F.lit(0.5), 3 * 1.04 / 64 * F.col("n"))
+    both = found.join(exact, F.col("s.source_id").eqNullSafe(F.col("x.source_id")))
+    return both.select("s.source_id", "items", "with_price", "with_image", F.col("vendor").alias("brands"), near.alias("products_near"))
+
+
 @query(
     "quality_report",
     """, h AS (SELECT source_id, count(*) AS history_points FROM history GROUP BY 1)
@@ -1011,6 +1082,22 @@ def _(m):
     return tables.load_table(m.spark, "part", path=m.sf_dir).select("p_partkey", "p_name", "p_size")
 
 
+@query(
+    "repeated_runs",
+    "SELECT source_id, product_id, seen_at AS recorded_at, l_orderkey, CAST(price AS DOUBLE) AS price, CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id FROM history",
+    ("history",),
+)
+def _(m):
+    """Two runs' history, the first written in part, then again as a whole: no row is there twice."""
+    path = _folder(m, "history")
+    rows = m.history.withColumnRenamed("seen_at", "recorded_at")
+    even = rows.where("l_orderkey % 2 = 0")
+    for run, part in (("even", even.where("l_linenumber < 3")), ("odd", rows.where("l_orderkey % 2 = 1")), ("even", even)):
+        tables.append_history(part, path, run)
+    return m.spark.read.parquet(path).selectExpr("source_id", "product_id", "recorded_at", "l_orderkey", *doubles("price"), "run_id")
+
+
+
 @query("archive_replay", "SELECT event_id, event_type AS source_id, ts AS scraped_at FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
 def _(m):
     """All events archived by source and day, then one source's rows replayed."""
@@ -1138,6 +1225,53 @@ def _arrivals(m, slices: list[DataFrame], name: str, of) -> DataFrame:
     return m.spark.read.parquet(f"{root}/out")
 
 
+#: Events in two arrivals, the tenth part of the first half late; the watermarks after each, a day behind.
+_LATE_EVENTS = """WITH e AS (SELECT *, ts >= TIMESTAMP '2024-01-16' OR event_id % 10 = 0 AS later FROM events),
+mark AS (SELECT date_trunc('milliseconds', max(ts) FILTER (NOT later)) - INTERVAL 1 DAY AS first, date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS last FROM e)"""
+
+
+def _late_events(m) -> list[DataFrame]:
+    rows = m.raw("events").selectExpr("event_id", "user_id", "event_type", "CAST(ts AS TIMESTAMP) AS ts", "ts >= TIMESTAMP_NTZ '2024-01-16' OR event_id % 10 = 0 AS later")
+    return [rows.where("not later").drop("later"), rows.where("later").drop("later")]
+
+
+def _windows(df: DataFrame, *by: str) -> DataFrame:
+    return df.select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")), *by, "rows")
+
+
+@query(
+    "sliding_counters_stream",
+    _LATE_EVENTS
+    + """, w AS (SELECT event_type, later, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(2 * k) AS window_start FROM e, range(3) AS s(k))
+SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, event_type, CAST(count(*) AS BIGINT) AS "rows" FROM w, mark
+WHERE window_start + INTERVAL 6 HOUR <= last AND (NOT later OR window_start + INTERVAL 6 HOUR > first) GROUP BY 1, 2, 3""",
+)
+def _(m):
+    """Windows of six hours every two; a late row counts in those of its windows that are still open."""
+    count = lambda s: stream.run_counters_stream(s, "ts", ["event_type"], "6 hours", "2 hours", delay="1 day")
+    return _windows(_arrivals(m, _late_events(m), "sliding", count), "event_type")
+
+
+_SESSIONS = """{name} AS (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, CAST(count(*) AS BIGINT) AS "rows" FROM
+  (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM {rows})) GROUP BY user_id, n)"""
+
+
+@query(
+    "session_counters_stream",
+    _LATE_EVENTS
+    + ", a AS (SELECT user_id, ts, event_id FROM e WHERE NOT later),\n"
+    + _SESSIONS.format(name="s1", rows="a")
+    + """, b AS (SELECT a.* FROM a, mark WHERE NOT EXISTS (FROM s1 WHERE s1.user_id = a.user_id AND a.ts BETWEEN s1.window_start AND s1.window_end AND s1.window_end <= mark.first)
+  UNION ALL SELECT user_id, ts, event_id FROM e, mark WHERE later AND ts + INTERVAL 6 HOUR > mark.first),\n"""
+    + _SESSIONS.format(name="s2", rows="b")
+    + """ SELECT s1.* FROM s1, mark WHERE window_end <= mark.first UNION ALL SELECT s2.* FROM s2, mark WHERE window_end <= mark.last""",
+)
+def _(m):
+    """Sessions of users, six hours apart; open ones grow by the second arrival, closed ones don't."""
+    count = lambda s: stream.run_counters_stream(s, "ts", ["user_id"], gap="6 hours", delay="1 day")
+    return _windows(_arrivals(m, _late_events(m), "sessions", count), "user_id")
+
+
 #: Days without a sighting after which the streams of the queries delist.
 _SILENT = 60
 #: Of each row that the watermark (an hour behind the last row) has passed: its predecessor's and its successor's time.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +30,39 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def load_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None) -> DataFrame:
-    """A table from parquet, or through JDBC; jdbc takes partitionColumn and its bounds."""
-    if jdbc:
-        return spark.read.format("jdbc").options(dbtable=name, **jdbc).load()
-    return spark.read.parquet(f"{path}/{name}.parquet")
+def load_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None, partition_column: str | None = None, rows_a_partition: int = 1_000_000, connections: int = 64) -> DataFrame:
+    """A table from parquet, or through JDBC (jdbc: its options).
 
+    partition_column, a number, date or timestamp, cuts the table into ranges that are read side by side: its bounds and
+    the number of rows are asked of the database, which gives a range a million rows, and at most 64 ranges since each is
+    a connection.  Rows outside of the bounds and nulls are read as well.  Filters and columns go to the database.
+    """
+    if not jdbc:
+        return spark.read.parquet(f"{path}/{name}.parquet")
+    cut = {}
+    if partition_column is not None:
+        asked = f"SELECT MIN({partition_column}) AS low, MAX({partition_column}) AS high, COUNT(*) AS n FROM {name}"
+        found = spark.read.format("jdbc").options(**jdbc).option("query", asked).load().toDF("low", "high", "n")
+        if dict(found.dtypes)["low"] not in ("date", "timestamp", "timestamp_ntz"):
+            found = found.withColumns({"low": F.floor("low"), "high": F.ceil("high")})
+        low, high, n = found.select(F.col("low").cast("string"), F.col("high").cast("string"), F.col("n").cast("long")).first()
+        parts = min(-(-n // rows_a_partition), connections)
+        if low is not None and parts > 1:
+            cut = {"partitionColumn": partition_column, "lowerBound": low, "upperBound": high, "numPartitions": parts}
+    return spark.read.format("jdbc").options(**jdbc).options(dbtable=name, **cut).load()
 
-def archive_raw(raw: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """A run's raw rows, by source and day."""
-    dated = raw.withColumn("run_date", F.to_date("scraped_at"))
-    dated.write.mode("append").partitionBy("source_id", "run_date").format(fmt).save(path)
+
+def _by_run(rows: DataFrame, path: str, run_id: str | None):
+    """Where and how a run's rows go: a folder of their own, overwritten if the run is repeated; appended without a run."""
+    if run_id is None:
+        return rows.write.mode("append"), path
+    return rows.drop("run_id").write.mode("overwrite"), f"{path}/run_id={quote(run_id, safe='')}"
+
+
+def archive_raw(raw: DataFrame, path: str, fmt: str = "parquet", run_id: str | None = None) -> None:
+    """A run's raw rows, by source and day.  With run_id, a run that is repeated takes the place of what it wrote before."""
+    writer, folder = _by_run(raw.withColumn("run_date", F.to_date("scraped_at")), path, run_id)
+    writer.partitionBy("source_id", "run_date").format(fmt).save(folder)
 
 
 def replay_raw(spark: SparkSession, path: str, source_id: str | None = None, day: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -71,9 +94,10 @@ def upsert_listings(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     return upsert(snapshot, changes, ["source_id", "source_external_id"])
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Appended by month."""
-    rows.withColumn("recorded_month", F.date_format("recorded_at", "yyyy-MM")).write.mode("append").partitionBy("recorded_month").parquet(path)
+def append_history(rows: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Appended by month.  With run_id, a run that is repeated takes the place of what it wrote before."""
+    writer, folder = _by_run(rows.withColumn("recorded_month", F.date_format("recorded_at", "yyyy-MM")), path, run_id)
+    writer.partitionBy("recorded_month").parquet(folder)
 
 
 def upsert_sources(current: DataFrame, new: DataFrame) -> DataFrame:
