@@ -122,13 +122,13 @@ def grams(of: np.ndarray, size: int) -> np.ndarray:
 
 
 def seeds_of(items: DataFrame, counts: DataFrame, mean: float, total: int) -> DataFrame:
-    """hash, key, place: the rare n-grams of each item (key, words)."""
+    """hash, key, place, n: the rare n-grams of each item (key, words), and how many words it has."""
     flat = items.select("key", F.posexplode("words").alias("p", "w")).join(counts, "w", "left")
     whole = flat.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("p", "w", F.coalesce("c", F.lit(0)).alias("c")))).alias("x"))  # an item's words
 
     def run(batches):
         for batch in batches:
-            hashes, keys, places = [], [], []
+            hashes, keys, places, lengths = [], [], [], []
             for key, own, c in zip(batch.column("key").to_pylist(), arrays(batch.column("w")), arrays(batch.column("c")), strict=True):
                 size = min(GRAM, len(own))
                 found = grams(own.view(np.uint64), size)
@@ -139,10 +139,11 @@ def seeds_of(items: DataFrame, counts: DataFrame, mean: float, total: int) -> Da
                 hashes.append(as_long(found[keep]))
                 keys.append(np.full(len(keep), key))
                 places.append(keep.astype(np.int32))
+                lengths.append(np.full(len(keep), len(own), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, keys, places)], names=["hash", "key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, keys, places, lengths)], names=["hash", "key", "place", "n"])
 
-    return whole.select("key", F.col("x.w").alias("w"), F.col("x.c").alias("c")).mapInArrow(run, "hash long, key long, place int")
+    return whole.select("key", F.col("x.w").alias("w"), F.col("x.c").alias("c")).mapInArrow(run, "hash long, key long, place int, n int")
 
 
 class Filter:
@@ -190,18 +191,15 @@ def hits_of(docs: DataFrame, may: Filter, sizes: list[int]) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, text_hash binary, words array<long>, hashes array<long>, at array<int>")
 
 
-def best_alignment(item: np.ndarray, of: np.ndarray, begins: np.ndarray) -> tuple[int, int, int, int]:
-    """(score, first word, last word, seeds) of the best alignment near where the item would begin."""
-    begins, best = np.sort(begins), None
-    # seeds that could belong to one occurrence make one stretch
-    cut = [0, *(np.flatnonzero(np.diff(begins) > len(item)) + 1).tolist(), len(begins)]
-    for a, b in zip(cut, cut[1:]):
-        low = max(0, int(begins[a]) - len(item))
-        high = min(len(of), int(begins[b - 1]) + 2 * len(item))
-        score, first, last = align(item, of[low:high])
-        if best is None or score > best[0]:
-            best = (score, low + first, low + last, b - a)
-    return best
+def stretches(begins: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(first word, number of words, seeds) of where an item of n words may stand, from where its seeds let it begin.
+
+    Seeds that could belong to one occurrence make one stretch, with room for an item before and behind.
+    """
+    begins = np.sort(begins)
+    cut = [0, *(np.flatnonzero(np.diff(begins) > n) + 1).tolist(), len(begins)]
+    spans = [(max(0, int(begins[a]) - n), int(begins[b - 1]) + 2 * n, b - a) for a, b in zip(cut, cut[1:])]
+    return [(low, high - low, k) for low, high, k in spans]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -216,25 +214,41 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     sizes = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(GRAM))).distinct().collect())  # GRAM rows at most
     hits = scratch.write(hits_of(docs, Filter(seeds, seeds.count()), sizes).withColumn("row", F.monotonically_increasing_id()), "hits")
     flat = hits.select("row", F.explode(F.arrays_zip("hashes", "at")).alias("x")).select("row", F.col("x.hashes").alias("hash"), "x.at")
-    met = flat.join(seeds, "hash").groupBy("row", "key").agg(F.collect_list(F.col("at") - F.col("place")).alias("begins"))
-    met = scratch.write(met, "met")
+    met = flat.join(seeds, "hash").groupBy("row", "key").agg(F.first("n").alias("n"), F.collect_list(F.col("at") - F.col("place")).alias("begins"))
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for row, key, n, begins in zip(*(batch.column(c).to_pylist() for c in ("row", "key", "n")), arrays(batch.column("begins")), strict=True):
+                rows += [(row, key, low, size, seeds) for low, size, seeds in stretches(begins, n)]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], x) for j, x in enumerate(types)], names=["row", "key", "low", "size", "seeds"])
+
+    met = scratch.write(met.mapInArrow(cut, "row long, key long, low int, size int, seeds long"), "met")
     scratch.clear("items", "hits", "met")
-    pairs = met.join(hits.select("row", "doc_id", "text_hash", F.col("words").alias("of")), "row").join(items.select("key", "item_id", F.col("words").alias("item")), "key")
+    # a stretch is cut out where it meets its document, so that no document goes whole to each of its items
+    words_at = hits.select("row", "doc_id", "text_hash", F.col("words").alias("all"))
+    stretch = met.join(words_at, "row").select("row", "key", "doc_id", "text_hash", "low", "seeds", F.slice("all", F.col("low") + 1, F.col("size")).alias("of"))
+    pairs = stretch.join(items.select("key", "item_id", F.col("words").alias("item")), "key")
     kinds = dict(pairs.dtypes)
 
     def run(batches):
         for batch in batches:
             rows = []
-            for k, (item, of, begins) in enumerate(zip(*(arrays(batch.column(c)) for c in ("item", "of", "begins")), strict=True)):
-                score, first, last, n = best_alignment(item, of, begins)
+            for k, (item, of, low, seeds) in enumerate(zip(*(arrays(batch.column(c)) for c in ("item", "of")), *(batch.column(c).to_pylist() for c in ("low", "seeds")), strict=True)):
+                score, first, last = align(item, of)
                 if score / (_MATCH * len(item)) >= threshold:
-                    rows.append((k, score / (_MATCH * len(item)), first, last, n))
-            chosen = batch.select(["doc_id", "text_hash", "item_id"]).take(pa.array([r[0] for r in rows], pa.int64()))
+                    rows.append((k, score / (_MATCH * len(item)), low + first, low + last, seeds))
+            chosen = batch.select(["row", "key", "doc_id", "text_hash", "item_id"]).take(pa.array([r[0] for r in rows], pa.int64()))
             columns = [pa.array([r[j] for r in rows], pa.float64() if j == 1 else pa.int64()) for j in range(1, 5)]
-            yield pa.RecordBatch.from_arrays([*chosen.columns, *columns], names=["doc_id", "text_hash", "item_id", "score", "first_word", "last_word", "seeds"])
-
-    columns = ["doc_id", "text_hash", "item_id", "item", "of", "begins"]
-    return pairs.select(columns).mapInArrow(run, f"doc_id {kinds['doc_id']}, text_hash binary, item_id {kinds['item_id']}, score double, first_word long, last_word long, seeds long")
+            yield pa.RecordBatch.from_arrays([*chosen.columns, *columns], names=["row", "key", "doc_id", "text_hash", "item_id", "score", "first_word", "last_word", "seeds"])
+
+    columns = ["row", "key", "doc_id", "text_hash", "item_id", "item", "of", "low", "seeds"]
+    found = pairs.select(columns).mapInArrow(run, f"row long, key long, doc_id {kinds['doc_id']}, text_hash binary, item_id {kinds['item_id']}, score double, first_word long, last_word long, seeds long")
+    # of a document's stretches the best, the first of equal ones
+    own = ["doc_id", "text_hash", "item_id", "score", "first_word", "last_word", "seeds"]
+    best = found.groupBy("row", "key").agg(F.max_by(F.struct(*own), F.struct("score", -F.col("first_word"))).alias("x"))
+    return best.select("x.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,4 +260,4 @@ def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     features_ = feature_table(table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
     network = fit(features_, table(spark, sf_dir, "labels"), remainder(5) != 0)
-    return scored(features_, network).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return scored(features_, network).select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

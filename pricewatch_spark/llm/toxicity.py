@@ -5,11 +5,13 @@ for letters inside words, no zero-width characters; then words of letters, one s
 Lexicon entries are whole words (" idiot ") or beginnings of words (" mor"), so one automaton
 finds both.  Their weights are smoothed log-odds of documents that hold them, toxic against
 clean, counted over a bounded sample of labelled rows (LEARN_ROWS a class).  Exception phrases
-cancel the entries they cover.  The score is a logistic function of the matched weight, raw and
+cancel the entries they cover: those given, and phrases of two or three words around a lexicon word
+that the sample's clean rows hold e times as often as its toxic ones, or more.  The score is a logistic function of the matched weight, raw and
 by length, fitted on the same sample.
 
 Defined results: null and empty texts have no match and get the score of an unmatched text;
-repeated doc_ids and null ones are scored row by row; very long texts are scored whole in one task;
+repeated doc_ids and null ones are scored row by row (of a repeated doc_id one row teaches, that of
+the smallest hash of its text; a row without doc_id teaches nothing and isn't held out); very long texts are scored whole in one task;
 overlapping matches all count but for those an exception phrase covers; without labels of both
 classes every score is 0; an empty table gives no rows; further columns of the input are ignored,
 whatever their names.
@@ -27,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch_spark.llm.common import remainder, rows_of, table, texts
+from pricewatch_spark.llm.common import Scratch, remainder, rows_of, table, texts
 
 NAME = "op5_toxicity"
 ORACLE_SQL = None
 LEARN_ROWS = 3000
-LEXICON = 4000
 THRESHOLD = 0.7
 LONGEST_PREFIX = 7
-#: Harmless phrases with words that are used as insults.
+#: Log-odds, toxic against clean, that a lexicon entry exceeds and that a learned exception stays below.
+TOXIC, HARMLESS = 1.5, -1.0
+#: Harmless phrases with words that are used as insults, besides those that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "rodeo clown", "scum of the pond", "pond scum")
 _LOOKS = str.maketrans(
     {
@@ -73,14 +76,26 @@ def entries(folded: str) -> set[str]:
     return found
 
 
+def phrases(folded: str, lexicon: dict[str, float]) -> set[str]:
+    """The phrases of two or three words around each word that the lexicon knows."""
+    words, found = folded.split(), set()
+    for i, w in enumerate(words):
+        if f" {w} " in lexicon or any(f" {w[:n]}" in lexicon for n in range(3, min(LONGEST_PREFIX, len(w) - 1) + 1)):
+            for a, b in ((i - 1, i + 1), (i, i + 2), (i - 2, i + 1), (i - 1, i + 2), (i, i + 3)):
+                if a >= 0 and b <= len(words):
+                    found.add(" ".join(words[a:b]))
+    return found
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int = LEARN_ROWS) -> DataFrame:
-    """(doc_id, text, label): at most ``rows`` labelled rows of each class, chosen by a hash."""
+    """(doc_id, text, label): at most ``rows`` labelled rows of each class, chosen by a hash; one row a doc_id."""
     own = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     own = own.where(keep)
     order = F.xxhash64(F.lit(5), "doc_id")
     picked = own.where("label = 1").orderBy(order).limit(rows).unionByName(own.where("label = 0").orderBy(order).limit(rows))
-    # at most 2 * rows ids, so they are broadcast
-    return texts(docs).join(F.broadcast(picked), "doc_id")
+    # at most 2 * rows ids, so they are broadcast; however often an id repeats, one text of it is kept
+    held = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return held.select("doc_id", "t.text", "label")
 
 
 class Lexicon:
@@ -142,34 +157,38 @@ class Lexicon:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot([*features, 1.0], self.beta)))))))
 
 
-def learn(sample: DataFrame, size: int = LEXICON, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """sample: doc_id, text, label, of a bounded number of rows."""
+def odds(sample: DataFrame, found, n: dict[int, int]) -> DataFrame:
+    """entry, t, c and w: of what found(folded text) gives, in how many toxic and clean rows it is, and its log-odds."""
 
     def counted(batches):
         both = (Counter(), Counter())
         for text, label in rows_of(batches, "text", "label"):
-            both[label].update(entries(fold(text)))
+            both[label].update(found(fold(text)))
         for label, counts in enumerate(both):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*counts], pa.string()), pa.array([label] * len(counts), pa.int32()), pa.array([*counts.values()], pa.int64())],
                 names=["entry", "label", "n"],
             )
 
+    counts = sample.select("text", "label").mapInArrow(counted, "entry string, label int, n long")
+    sums = counts.groupBy("entry").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("t"), F.sum(F.expr("if(label = 0, n, 0)")).alias("c"))
+    return sums.withColumn("w", F.log((F.col("t") + 0.2) / (n[1] + 0.4)) - F.log((F.col("c") + 0.2) / (n[0] + 0.4)))
+
+
+def learn(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """sample: doc_id, text, label, of a bounded number of rows; it is read several times.
+
+    An entry is in at least 3 toxic rows and a phrase in at least 3 clean ones (one in 400 of a larger sample), so the
+    rows that come to the driver are bounded by the sample as well.
+    """
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Lexicon({}, exceptions)
-    counts = sample.select("text", "label").mapInArrow(counted, "entry string, label int, n long")
-    odds = counts.groupBy("entry").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("t"), F.sum(F.expr("if(label = 0, n, 0)")).alias("c"))
-    weight = F.log((F.col("t") + 0.2) / (n[1] + 0.4)) - F.log((F.col("c") + 0.2) / (n[0] + 0.4))
-    chosen = (
-        odds.where(f"t >= {max(3, n[1] // 400)}")
-        .select("entry", weight.alias("w"), (weight * F.sqrt("t")).alias("gain"))
-        .where("w > 1.5")
-        .orderBy(F.desc("gain"), "entry")
-        .limit(size)
-        .collect()
-    )
-    lexicon = Lexicon({r["entry"]: r["w"] for r in chosen}, exceptions)
+    chosen = odds(sample, entries, n).where(f"t >= {max(3, n[1] // 400)} and w > {TOXIC}").select("entry", "w").orderBy("entry").collect()
+    weights = {r["entry"]: r["w"] for r in chosen}
+    harmless = odds(sample, lambda folded: phrases(folded, weights), n).where(f"c >= {max(3, n[0] // 400)} and w < {HARMLESS}")
+    learned = tuple(r["entry"] for r in harmless.select("entry").orderBy("entry").collect())
+    lexicon = Lexicon(weights, tuple(dict.fromkeys((*exceptions, *learned))))
 
     def measured(batches):
         automaton = lexicon.automaton()
@@ -205,5 +224,5 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lexicon = learn(learning_rows(docs, table(spark, sf_dir, "labels"), "toxic", remainder(3) != 1))
-    return score(docs, lexicon).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted", "matched")
+    sample = Scratch(spark, "toxicity").write(learning_rows(docs, table(spark, sf_dir, "labels"), "toxic", remainder(3) != 1), "sample")
+    return score(docs, learn(sample)).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "matched")

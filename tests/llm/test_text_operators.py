@@ -521,6 +521,49 @@ def test_folding_and_exceptions():
     assert lexicon.features(toxicity.fold("you trash"), found)[2] == 4.0
 
 
+def test_exceptions_are_learned_from_clean_rows(spark):
+    r = random.Random(4)
+    filler = lambda: " ".join(r.choices(["river", "stone", "cloud", "green", "table", "walk"], k=12))
+    rows = [(i, f"{filler()} you vermin {filler()}", 1) for i in range(60)]
+    rows += [(100 + i, f"{filler()} vermin control service {filler()}" if i % 5 == 0 else filler(), 0) for i in range(100)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, label int"), ())
+    assert " vermin " in lexicon.weights and "vermin control" in lexicon.exceptions and "you vermin" not in lexicon.exceptions
+    docs = spark.createDataFrame([(0, "a vermin control firm"), (1, "you vermin"), (2, "vermin control, you vermin"), (None, None)], "doc_id long, text string")
+    assert {x.doc_id: x.matched for x in toxicity.score(docs, lexicon).collect()}[0] == 0
+    assert {x.doc_id: x.predicted for x in toxicity.score(docs, lexicon).collect()} == {0: 0, 1: 1, 2: 1, None: 0}
+    assert toxicity.phrases(" a b c ", {}) == set() and toxicity.phrases(" b ", {" b ": 1.0}) == set()
+    assert toxicity.phrases(" a b c ", {" b ": 1.0}) == {"a b", "b c", "a b c"}
+
+
+def test_repeated_ids_teach_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(500)] + [(2, "two"), (2, None), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 1, 0), (3, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    learned = toxicity.learning_rows(docs, labels, "toxic", F.lit(True)).collect()
+    assert sorted((x.doc_id, x.label) for x in learned) == [(1, 1), (2, 0)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for module in (toxicity, quality):  # a row without id is not held out
+        found = module.query(spark, str(tmp_path))
+        assert found.count() == 503 and [x.held_out for x in found.where("doc_id is null").collect()] == [False]
+
+
+def test_stretches_of_a_document():
+    n = 10
+    assert decontaminate.stretches(np.array([30, 12, 5, 500, -3]), n) == [(0, 32, 3), (20, 30, 1), (490, 30, 1)]
+    assert decontaminate.stretches(np.array([0]), 1) == [(0, 2, 1)]
+
+
+def test_an_item_that_stands_twice_in_a_document(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    edited = " ".join(f"q{i}" if i % 6 else "z" for i in range(30))
+    gap = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, f"{edited} {gap} {item} {gap} {item}"), (2, f"{gap} {edited}"), (3, gap)], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.matches(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert set(found) == {1, 2} and found[1].score == 1.0
+    # the first of the two whole copies, the edited one before it is worse
+    assert (found[1].first_word, found[1].last_word) == (3030, 3059) and found[2].last_word == 3029
+
+
 def test_empty_tables(spark, nothing):
     assert substring_dedup.substring_dedup(spark, nothing).count() == 0
     assert suffix_dedup.suffix_dedup(spark, nothing).count() == 0
@@ -537,7 +580,7 @@ def test_queries_on_an_empty_corpus(spark, tmp_path):
     """Every registered query of the subpackage, with its production parameters, on empty tables."""
     from pricewatch_spark.llm import registry
 
-    for name in ("documents", "labels", "benchmark", "conversations"):
+    for name in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     assert {name: q(spark, str(tmp_path)).count() for name, q in registry.QUERIES.items()} == dict.fromkeys(registry.QUERIES, 0)
 
