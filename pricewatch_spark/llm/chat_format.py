@@ -3,7 +3,8 @@
 A logged conversation that is a prefix of a longer one (same roles and texts, turn by turn) adds
 nothing; of equal ones the smallest id stays.  A rolling hash of every turn prefix identifies
 them: position-dependent turn hashes are summed along the conversation, so the hash of each
-prefix is a running sum.  Two lanes of 40 bits make 80 bits.
+prefix is a running sum.  Three lanes of 40 bits make 120 bits, so that among 10**12 prefixes a false
+match has a chance below 1e-11; a lane of 40 bits sums up 2**23 turns without overflow.
 
 Defined results: rows without conv_id belong to no conversation and are left out; null role or
 text differ from the empty string while comparing and render as empty; turns are ordered by
@@ -21,6 +22,7 @@ from pricewatch_spark.llm.common import table
 
 NAME = "op1_chat_format"
 _LANE = (1 << 40) - 1
+_HASHES = ["h1", "h2", "h3"]
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -36,20 +38,18 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def prefix_hashes(of_turns: DataFrame) -> DataFrame:
-    """conv_id, pos, h1, h2 (hash of the first pos turns), n (turns of the conversation)."""
+    """conv_id, pos, h1, h2, h3 (hash of the first pos turns), last (whether the conversation ends there)."""
     fields = [F.col("pos"), F.isnull("role"), F.col("role"), F.isnull("text"), F.col("text")]
     whole = Window.partitionBy("conv_id").orderBy("pos")
     lanes = of_turns.select(
         "conv_id",
         "pos",
-        F.xxhash64(F.lit(1), *fields).bitwiseAND(F.lit(_LANE)).alias("a"),
-        F.xxhash64(F.lit(2), *fields).bitwiseAND(F.lit(_LANE)).alias("b"),
+        *(F.xxhash64(F.lit(k), *fields).bitwiseAND(F.lit(_LANE)).alias(h) for k, h in enumerate(_HASHES, 1)),
     )
     return lanes.select(
         "conv_id",
         "pos",
-        F.sum("a").over(whole).alias("h1"),
-        F.sum("b").over(whole).alias("h2"),
+        *(F.sum(h).over(whole).alias(h) for h in _HASHES),
         F.lead("pos").over(whole).isNull().alias("last"),
     )
 
@@ -58,11 +58,11 @@ def maximal(hashes: DataFrame) -> DataFrame:
     """conv_id of the conversations that are no prefix of a longer one; n_equal copies of each."""
     full = (
         hashes.where("last")
-        .groupBy("h1", "h2", F.col("pos").alias("n_turns"))
+        .groupBy(*_HASHES, F.col("pos").alias("n_turns"))
         .agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_equal"))
     )
-    inner = hashes.where(~F.col("last")).select("h1", "h2", F.col("pos").alias("n_turns")).distinct()
-    return full.join(inner, ["h1", "h2", "n_turns"], "left_anti").select("conv_id", "n_turns", "n_equal")
+    inner = hashes.where(~F.col("last")).select(*_HASHES, F.col("pos").alias("n_turns")).distinct()
+    return full.join(inner, [*_HASHES, "n_turns"], "left_anti").select("conv_id", "n_turns", "n_equal")
 
 
 def render(of_turns: DataFrame, kept: DataFrame) -> DataFrame:
