@@ -29,9 +29,10 @@ def whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    network = quality.learn(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
-    return quality.score(whole_rows(docs), network, keep=["row"]).where("predicted = 1").select("row.*")
+    """Documents that the classifier rejects go; the features are computed once, beside the rows."""
+    rows = quality.feature_table(whole_rows(docs), Scratch(spark, "quality"), "row")
+    network = quality.fit(rows, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return quality.scored(rows, network, "row").where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewatch_spark.llm.common import Scratch, fold_ascii, raw_bytes, remainder, table, texts, windows, word_hashes
+from pricewatch_spark.llm.common import Scratch, fold_ascii, raw_bytes, remainder, table, windows, word_hashes
 
 NAME = "op2_quality"
 ORACLE_SQL = None
@@ -92,15 +92,15 @@ def features(text: str | None) -> list[float]:
 
 
 def measured(rows: DataFrame, *keep: str) -> DataFrame:
-    """rows with x, the features of text, in text's place."""
-    schema = ", ".join([*(f"{c} {dict(rows.dtypes)[c]}" for c in keep), "x array<double>"])
+    """The columns in keep and x, the features of text."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for batch in batches:
-            got = [[float(v) for v in features(t)] for t in batch.column("text").to_pylist()]
+            got = [[float(v) for v in features(t)] for t in batch.column("_measured").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got, pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return rows.select(*keep, F.col("text").cast("string").alias("_measured")).mapInArrow(run, schema)
 
 
 class Network:
@@ -216,45 +216,33 @@ def fit(measured_rows: DataFrame, labels: DataFrame, keep, positives: int = POSI
     return out
 
 
-def feature_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id and x of every row, written once."""
-    return scratch.write(measured(texts(docs), "doc_id"), "features")
+def feature_table(docs: DataFrame, scratch: Scratch, *keep: str) -> DataFrame:
+    """doc_id, the columns in keep and x of every row, written once: to learn from and to score."""
+    return scratch.write(measured(docs, "doc_id", *keep), "features")
 
 
-def learn(docs: DataFrame, labels: DataFrame, keep, positives: int = POSITIVES, many: int = CELLS) -> Network | None:
-    return fit(feature_table(docs, Scratch(docs.sparkSession, "quality")), labels, keep, positives, many)
-
-
-def scored(measured_rows: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score and predicted, from features."""
+def scored(measured_rows: DataFrame, network: Network | None, *keep: str, threshold: float = THRESHOLD) -> DataFrame:
+    """The columns in keep (doc_id alone if there are none), score and predicted, from features."""
+    keep = keep or ("doc_id",)
 
     def run(batches):
         for batch in batches:
-            x = batch.column("x").values.to_numpy().reshape(batch.num_rows, -1)
-            out = np.ones(len(x)) if network is None else network.probability(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            x = batch.column("x").values.to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 0))
+            out = np.ones(len(x)) if network is None or not len(x) else network.probability(x)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.float64())], names=[*keep, "score"])
 
-    rows = measured_rows.select("doc_id", "x").mapInArrow(run, f"doc_id {dict(measured_rows.dtypes)['doc_id']}, score double")
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = T.StructType([*(measured_rows.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    return measured_rows.select(*keep, "x").mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (doc_id alone if None) with score and predicted."""
-    keep = keep or ["doc_id"]
-    fields = [f for f in docs.schema if f.name in keep]
+def learn(docs: DataFrame, labels: DataFrame, keep, positives: int = POSITIVES, many: int = CELLS) -> Network | None:
+    """For a network alone; to score the same rows too, write a feature_table and fit and score that."""
+    return fit(feature_table(docs, Scratch(docs.sparkSession, "quality")), labels, keep, positives, many)
 
-    def run(batches):
-        for batch in batches:
-            got = batch.column("_scored").to_pylist()
-            if network is None:
-                out = np.ones(len(got))
-            else:
-                out = network.probability(np.array([features(t) for t in got], float).reshape(-1, len(network.center)))
-            columns = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64())], names=[*(f.name for f in fields), "score"])
-
-    rows = docs.select(*(f.name for f in fields), F.col("text").cast("string").alias("_scored"))
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())])).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+def score(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score and predicted, of rows that a network has not seen."""
+    return scored(measured(docs, "doc_id"), network, threshold=threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
