@@ -7,7 +7,7 @@ classes: in every round the FREQUENT most frequent words and the endings move on
 the driver, then all other words at once in Spark, each to the class that raises the class bigram
 likelihood most, of the SHORT that look best to first order.  Rounds end with the first that
 raises the log likelihood by at most TOLERANCE a token (0: when nothing moves).  Tasks get 8 bytes
-of hash and 1 of class for each unit.
+of hash and 1 of class for each unit, and tell 2 to 4 more bytes of places from the hashes.
 
     p(word | before) = p(class | class before) * p(unit | class) * p(word | unit)
 
@@ -26,7 +26,6 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -46,37 +45,80 @@ ADD = 0.1
 BACK_OFF = 0.03  # share of the class frequencies in a transition
 FLUSH = 400_000
 HELD = 2_000_000
+RUN = 1 << 18  # bytes of texts whose words are told together
 PART = 500_000  # tokens a part of the pairs
 TOGETHER = 256
 SHORT = 6  # classes whose gain is computed exactly, besides a unit's own
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words, A-Z in lower case; bytes.split() splits at space and \\x09-\\x0D alone."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
+_CRC = np.array([zlib.crc32(bytes([k])) ^ zlib.crc32(b"\0") for k in range(256)], np.uint32)
+
+
+def endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ending of each word from starts to ends, as ``ending`` gives it, all at once."""
+    crc = np.full(len(starts), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1):
+        long = ends - starts >= k
+        crc = np.where(long, _CRC[(crc ^ data[np.where(long, ends - k, 0)]) & np.uint32(255)] ^ (crc >> np.uint32(8)), crc)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(ENDINGS)).astype(np.int64)
+
+
+def runs(column: pa.Array):
+    """(bytes in lower case, where each text begins) for runs of whole texts of about RUN bytes.
+
+    A line feed ends each text, so no word crosses texts; what is computed for a word costs the
+    same for many short texts as for a long one.
+    """
+    held, size = [], 0
+    for text in column.cast(pa.binary()):
+        held.append(text.as_py() or b"")
+        size += len(held[-1]) + 1
+        if size > RUN:
+            yield _run(held)
+            held, size = [], 0
+    if held:
+        yield _run(held)
+
+
+def _run(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    begins = np.cumsum([0, *(len(x) + 1 for x in held[:-1])])
+    return fold_ascii(raw_bytes(b"\n".join(held))), begins
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, endings, counts) with each hash once."""
+    hashes, tails, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    hashes, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    return hashes, tails[first], np.bincount(inverse, weights=n, minlength=len(hashes)).astype(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """h (a word's hash), ending, c: over all texts."""
 
     def run(batches):
-        def flush(counts):
-            hashes = as_long(word_hashes(raw_bytes(b" ".join(counts)))[0])
-            columns = [pa.array(hashes, pa.int64()), pa.array([ending(w) for w in counts], pa.int32()), pa.array([*counts.values()], pa.int64())]
+        def flush(hashes, tails, n):
+            columns = [pa.array(as_long(hashes), pa.int64()), pa.array(tails, pa.int32()), pa.array(n, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["h", "ending", "c"])
 
-        counts: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > FLUSH:
-                    yield flush(counts)
-                    counts = Counter()
-        yield flush(counts)
+            for data, _ in runs(batch.column("text")):
+                hashes, starts, ends = word_hashes(data)
+                hashes, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                held.append((hashes, endings(data, starts[first], ends[first]), n))
+                size += len(hashes)
+                if size > 2 * FLUSH:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > FLUSH:
+                        yield flush(*held[0])
+                        held, size = [], 0
+        if held:
+            yield flush(*summed(held))
 
     return docs.select("text").mapInArrow(run, "h long, ending int, c long").groupBy("h", "ending").agg(F.sum("c").alias("c"))
 
@@ -90,27 +132,58 @@ class Units:
         self.end = self.first_ending + ENDINGS
         self.size = self.end + 1
         self.of = self
+        self.first = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"first": None}  # each task tells it anew from the hashes
 
     def __contains__(self, word: bytes) -> bool:
         return self.find(word_hashes(raw_bytes(word))[0])[0] >= 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The words' numbers, -1 for those without a unit of their own."""
+        """The words' numbers, -1 for those without a unit of their own.
+
+        Hashes are even over their range, so their upper bits tell the place within a few steps:
+        first holds where the hashes of each value of those bits begin.
+        """
         if not len(self.hashes):
             return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def sequence(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of a text's words: numbers (an ending's if rare), the rare ones' places, hashes and endings."""
-        data = fold_ascii(raw_bytes(text))
+        bits = len(self.hashes).bit_length() - 1
+        if self.first is None:
+            n = np.bincount(self._upper(self.hashes, bits), minlength=1 << bits)
+            self.first = np.minimum(np.cumsum(n) - n, len(self.hashes) - 1).astype(np.int32)
+        at = self.first[self._upper(hashes, bits)]
+        left = np.flatnonzero(self.hashes[at] < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] < len(self.hashes)]
+            left = left[self.hashes[at[left]] < hashes[left]]
+        at = np.minimum(at, len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1).astype(np.int64)
+
+    @staticmethod
+    def _upper(hashes: np.ndarray, bits: int) -> np.ndarray:
+        return (hashes >> np.uint64(1) >> np.uint64(63 - bits)).astype(np.int64)
+
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words in data: where they begin, numbers (an ending's if rare), the rare ones' places, hashes and endings."""
         hashes, starts, ends = word_hashes(data)
         ids = self.find(hashes)
         rare = np.flatnonzero(ids < 0)
-        whole = data.tobytes()
-        tails = np.array([zlib.crc32(whole[max(i, j - 3) : j]) % ENDINGS for i, j in zip(starts[rare].tolist(), ends[rare].tolist(), strict=True)], np.int64)
+        tails = endings(data, starts[rare], ends[rare])
         ids[rare] = self.first_ending + tails
-        return ids, rare, hashes[rare], tails
+        return starts, ids, rare, hashes[rare], tails
+
+    def sequence(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a text's words: numbers (an ending's if rare), the rare ones' places, hashes and endings."""
+        return self.words(fold_ascii(raw_bytes(text)))[1:]
+
+    def line(self, ids: np.ndarray, starts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a run of texts, an end before the first and after each; the text of each word."""
+        of = np.searchsorted(begins, starts, "right") - 1
+        line = np.full(len(ids) + len(begins) + 1, self.end, np.int64)
+        line[np.arange(len(ids)) + of + 1] = ids
+        return line, of
 
 
 def packed_counts(n: np.ndarray) -> bytes:
@@ -170,8 +243,9 @@ def blocks(docs: DataFrame, units: Units, tokens_: int) -> DataFrame:
     def count(batches):
         keys, held = [], 0
         for batch in batches:
-            for text in batch.column("text"):
-                line = np.concatenate([[units.end], units.sequence(text.as_py())[0], [units.end]])
+            for data, begins in runs(batch.column("text")):
+                starts, ids, *_ = units.words(data)
+                line = units.line(ids, starts, begins)[0]
                 keys.append(line[:-1] << 31 | line[1:])
                 held += len(keys[-1])
                 if held > HELD:
@@ -233,9 +307,8 @@ def contexts(packed: DataFrame, classes: np.ndarray, n_classes: int, head: np.nd
     def run(batches):
         pairs = np.zeros(n_classes * n_classes)
         for own, sizes, other, n in rows_of_blocks(batches):
-            after = (other & 1).astype(bool)
-            mine = np.repeat(classes[own].astype(np.int64), sizes)[after]
-            pairs += np.bincount(mine * n_classes + classes[other[after] >> 1], weights=n[after], minlength=len(pairs))
+            mine = np.repeat(classes[own].astype(np.int64) * n_classes, sizes)
+            pairs += np.bincount(mine + classes[other >> 1], weights=n * (other & 1), minlength=len(pairs))
             kept = is_head[own]
             if kept.any():
                 entries = np.repeat(kept, sizes)
@@ -299,7 +372,7 @@ def proposals(packed: DataFrame, classes: np.ndarray, pairs: np.ndarray, head: n
     is_head[head] = True
 
     def run(batches):
-        table = pairs.copy()
+        table, each = pairs.copy(), np.arange(n_classes)[:, None]
         for own, sizes, other, n in rows_of_blocks(batches):
             counts = context_counts(sizes, other, n, classes, n_classes)
             kept = np.flatnonzero(~is_head[own] & counts[:, 1].any(1))
@@ -312,9 +385,9 @@ def proposals(packed: DataFrame, classes: np.ndarray, pairs: np.ndarray, head: n
                 more = gain[at, best] - gain[:, -1]
                 to = choice[at, best]
                 moved = np.flatnonzero((to != now) & (more > 1e-9))
-                for sign, place in ((-1, now[moved]), (1, to[moved])):
-                    np.add.at(table.T, place, sign * counts[part[moved], 0])
-                    np.add.at(table, place, sign * counts[part[moved], 1])
+                if len(moved):
+                    step = (to[moved] == each).astype(float) - (now[moved] == each)  # whole numbers, so sums are exact
+                    table += (counts[part[moved], 0].T @ step.T) + step @ counts[part[moved], 1]
                 np.maximum(table, 0, out=table)
                 yield pa.RecordBatch.from_arrays([pa.array(own[part[moved]], pa.int32()), pa.array(to[moved].astype(np.int16), pa.int16()), pa.array(more[moved], pa.float64())], names=["unit", "class", "gain"])
 
@@ -457,21 +530,32 @@ def _local(docs: DataFrame, model: Model) -> DataFrame:
         base = model.base(model.counts)
         known = model.counts > 0
         for batch in batches:
-            out = [[] for _ in range(7)]
-            for text in batch.column("text").to_pylist():
-                ids, rare, hashes, tails = units.sequence(text)
-                own = np.ones(len(ids) + 1, bool)
-                own[rare] = False
-                ids = np.append(ids, end)
-                of = model.classes[ids]
-                score = model.transition[np.concatenate([[model.classes[end]], of[:-1]]), of].sum() + model.unit[ids].sum()
-                words, first, times = np.unique(hashes, return_index=True, return_counts=True)
-                row = (len(ids), int(known[ids[own]].sum()), float(base[ids[own]].sum()), float(score), as_long(words), times, tails[first])
+            out = [[np.empty(0, k)] for k in (np.int64, np.int64, float, float, np.int64, np.int64, np.int32, np.int32)]
+            for data, begins in runs(batch.column("text")):
+                starts, ids, rare, hashes, tails = units.words(data)
+                line, of = units.line(ids, starts, begins)
+                n_tokens = np.bincount(of, minlength=len(begins)) + 1
+                first = np.cumsum(n_tokens) - n_tokens
+                to = line[1:]
+                place = model.classes[line].astype(np.int64)
+                score = model.transition[place[:-1], place[1:]] + model.unit[to]
+                own = np.ones(len(to), bool)
+                own[rare + of[rare]] = False
+                # the distinct rare words of each text
+                order = np.lexsort((hashes, of[rare]))
+                words, text, tails = hashes[order], of[rare][order], tails[order]
+                new = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (text[1:] != text[:-1])][: len(words)])
+                times = np.diff(new, append=len(words))
+                row = (n_tokens, np.add.reduceat(known[to] & own, first, dtype=np.int64), np.add.reduceat(np.where(own, base[to], 0.0), first))
+                row += (np.add.reduceat(score, first), np.bincount(text[new], minlength=len(begins)), as_long(words[new]), times, tails[new])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            *numbers, n_words, words, times, tails = (np.concatenate(x) for x in out)
+            ends = pa.array(np.append(0, np.cumsum(n_words)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, k)) for x, k in ((words, pa.int64()), (times, pa.int32()), (tails, pa.int32()))]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times", "endings"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(x, k) for x, k in zip(numbers, kinds, strict=True)), *lists], names=names)
 
     return docs.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>, endings array<int>")
 

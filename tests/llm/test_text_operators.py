@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +219,52 @@ def test_class_lm_scores_against_brute_force(spark, monkeypatch):
         assert got[k]["score"] == pytest.approx(p, rel=1e-9)
 
 
+def test_class_lm_tells_the_words_of_many_texts_at_once(spark, monkeypatch):
+    """2,000 short texts take a few passes, not one each, and give what each gives by itself."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcDEéñ", k=r.randint(1, 5))) for _ in range(300)]
+    texts = ["", None, " \t", *(r.choice([" ", "\n "]).join(r.choice(vocabulary) for _ in range(r.randint(0, 9))) for _ in range(1996)), ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model, _ = class_lm.train(spark, docs.where("doc_id < 600"), Scratch(spark, "test-lm"), n_classes=9)
+    calls, hashed = [], class_lm.word_hashes
+    monkeypatch.setattr(class_lm, "word_hashes", lambda data: calls.append(len(data)) or hashed(data))
+
+    class Batches:
+        dtypes = [("doc_id", "bigint")]
+
+        def __init__(self, *rows):
+            self.rows = rows
+
+        def mapInArrow(self, run, _):
+            column = lambda x, k: pa.array([row[x] for row in self.rows], k)
+            batch = pa.RecordBatch.from_arrays([column(0, pa.int64()), column(1, pa.string()), pa.array([False] * len(self.rows))], names=["doc_id", "text", "held_out"])
+            return [row for b in run(iter([batch])) for row in b.to_pylist()]
+
+    got = class_lm._local(Batches(*enumerate(texts)), model)
+    assert len(calls) <= 2 and len(got) == len(texts)
+    alone = [class_lm._local(Batches((k, t)), model)[0] for k, t in enumerate(texts)]
+    assert [x | {"base": 0, "score": 0} for x in got] == [x | {"base": 0, "score": 0} for x in alone]
+    for side in ("base", "score"):
+        assert [x[side] for x in got] == pytest.approx([x[side] for x in alone], rel=1e-12)
+    assert any(x["words"] for x in got) and any(x["n_known"] > 1 for x in got)
+
+
+def test_class_lm_finds_units_and_endings():
+    """The place by upper bits equals a search; endings told together equal those told word by word."""
+    r = np.random.default_rng(9)
+    for n in (0, 1, 2, 3, 4, 700, 1024):
+        for most in (2**20, 2**64 - 1):  # crowded in one place, even
+            hashes = np.unique(np.concatenate([r.integers(0, most, n, dtype=np.uint64), [np.uint64(0), np.uint64(2**64 - 1)][: n // 2]]).astype(np.uint64))
+            probes = np.concatenate([hashes, r.integers(0, most, 500, dtype=np.uint64), hashes + np.uint64(1)])
+            at = {int(h): k for k, h in enumerate(hashes)}
+            assert class_lm.Units(hashes).find(probes).tolist() == [at.get(int(h), -1) for h in probes]
+    words = ["a", "é", "ab", "我", "aé", "abcd", "x" * 40, "", "\x00"]
+    data = class_lm.raw_bytes("".join(words))
+    ends = np.cumsum([len(w.encode()) for w in words])
+    starts = ends - [len(w.encode()) for w in words]
+    assert class_lm.endings(data, starts, ends).tolist() == [class_lm.ending(w.encode()) for w in words]
+
+
 def test_class_lm_is_a_distribution(spark, docs):
     """After any unit the known words and one unseen word an ending share all probability."""
     scratch = Scratch(spark, "test-lm")
