@@ -67,6 +67,11 @@ def observe(raw: DataFrame, sources: DataFrame) -> DataFrame:
             "source_external_id": external_id(F.col("sku"), F.col("raw_title"), F.col("url")),
         }
     )
+    return with_state(rows)
+
+
+def with_state(rows: DataFrame) -> DataFrame:
+    """rows with availability and hash, which follow from price and observed_stock."""
     rows = rows.withColumn("availability", availability(F.col("observed_stock")))
     return rows.withColumn("hash", state_hash(F.col("price"), F.col("observed_stock"), F.col("availability")))
 
@@ -82,11 +87,13 @@ def classify_changes(observed: DataFrame, snapshot: DataFrame, buckets: int | No
     Spoilt rows fail alone, as rows do whose column rejected (if there is one) says so.  Rows are dealt once by the listing key, whatever
     dealt them before (a source holds too many rows for one task): the window, the join and what
     next_snapshot aggregates keep that partitioning.  buckets: how many buckets a snapshot bucketed by
-    the key has; it is then read in place.
+    the key has; it is then read in place.  observed may lack availability and hash, which follow from price
+    and stock: they are then told after the dealing and not dealt.
     """
     failed = spoilt() | F.coalesce("rejected", F.lit(False)) if "rejected" in observed.columns else spoilt()
     rows = observed.withColumn("failed", failed)
     rows = rows.repartition(buckets, *KEY) if buckets else rows.repartition(*KEY)
+    rows = rows if "hash" in rows.columns else with_state(rows)
     order = Window.partitionBy(*KEY, "failed").orderBy("scraped_at", "pos")
     rows = rows.withColumns(
         {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +41,7 @@ def identity_key() -> Column:
     return F.sha2(F.concat_ws("\u0001", *(part(c) for c in IDENTITY)), 256)
 
 
-def barcode_owners(edges: DataFrame) -> DataFrame:
+def barcode_owners(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = reliable) -> DataFrame:
     """edges (ean_13, identity, at) -> those at which a product takes its barcode.
 
     In the order of at, a row gives its barcode to the product of its identity if neither has one yet.
@@ -50,30 +51,30 @@ def barcode_owners(edges: DataFrame) -> DataFrame:
     identities share, or the reverse, is settled in one round and never comes together in a task.
     """
     taken = []
-    left = reliable(edges)
+    left = keep(edges)
     while not left.isEmpty():
         first_of = left.groupBy("ean_13").agg(F.min(F.struct("at", "identity")).alias("e")).select("ean_13", "e.identity", "e.at")
         first_for = left.groupBy("identity").agg(F.min(F.struct("at", "ean_13")).alias("i")).select("i.ean_13", "identity")
-        now = reliable(first_of.join(first_for, ["ean_13", "identity"]))
+        now = keep(first_of.join(first_for, ["ean_13", "identity"]))
         taken.append(now)
-        left = reliable(left.join(now.select("ean_13"), "ean_13", "left_anti").join(now.select("identity"), "identity", "left_anti"))
+        left = keep(left.join(now.select("ean_13"), "ean_13", "left_anti").join(now.select("identity"), "identity", "left_anti"))
     return reduce(DataFrame.unionByName, taken) if taken else edges.limit(0)
 
 
-def resolve_products(rows: DataFrame, products: DataFrame, *order: str) -> DataFrame:
+def resolve_products(rows: DataFrame, products: DataFrame, *order: str, keep: Callable[[DataFrame], DataFrame] = reliable) -> DataFrame:
     """rows with product_code (a known product) or group_key (equal for rows of one new product), as if
     rows came one after the other: each matches by barcode, else by identity, else creates a product,
     and a product without a barcode takes that of the next row that it is given.
 
-    order must tell all rows apart.
+    order must tell all rows apart.  keep: how what is read again is materialised.
     """
     at = F.struct(*order)
     by_ean = products.where("ean_13 is not null").groupBy("ean_13").agg(F.min("product_code").alias("ean_code"))
     of = F.min_by(F.struct(F.col("product_code").alias("code"), F.col("ean_13").isNotNull().alias("has_ean")), "product_code")
     by_identity = products.groupBy(identity_key().alias("identity")).agg(of.alias("own"))
-    known = reliable(rows.withColumn("identity", identity_key()).join(by_ean, "ean_13", "left").join(by_identity, "identity", "left"))
+    known = keep(rows.withColumn("identity", identity_key()).join(by_ean, "ean_13", "left").join(by_identity, "identity", "left"))
     free = F.col("ean_13").isNotNull() & F.col("ean_code").isNull() & ~F.coalesce("own.has_ean", F.lit(False))
-    owners = barcode_owners(known.where(free).groupBy("ean_13", "identity").agg(F.min(at).alias("at")))
+    owners = barcode_owners(known.where(free).groupBy("ean_13", "identity").agg(F.min(at).alias("at")), keep)
     owners = owners.join(by_identity.select("identity", F.col("own.code").alias("owner_code")), "identity", "left").select("ean_13", F.col("identity").alias("owner"), "owner_code", F.col("at").alias("since"))
     owned = F.col("since").isNotNull() & (at >= F.col("since"))
     code = F.coalesce("ean_code", F.when(owned, F.col("owner_code")).otherwise(F.col("own.code")))

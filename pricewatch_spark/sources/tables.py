@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,48 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one job in the checkpoint folder, by column and compressed: a fraction of what a checkpoint takes.
+
+    They stay until they are cleared; what a result reads has to stay until the result is written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.tables = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", []
+
+    def deal(self, df: DataFrame, *by: str) -> DataFrame:
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *by)
+
+    def keep(self, df: DataFrame, *by: str) -> DataFrame:
+        """df, evaluated once and read back; with by, rows that deal has dealt so are read back without an exchange."""
+        name = f"kept_{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}"
+        writer = df.write.format("parquet").option("compression", "zstd")
+        if by:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            writer.option("path", path).bucketBy(buckets, *by).sortBy(*by).saveAsTable(name)
+            found = self.spark.table(name)
+            self.spark.sql(f"DROP TABLE {name}")  # the name alone: the files are outside of the warehouse
+        else:
+            writer.save(path)
+            found = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((found, path))
+        self.release()
+        return found
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def clear(self, *but: DataFrame) -> None:
+        """Delete all tables but those that later plans read."""
+        gone = [path for found, path in self.tables if not any(found is x for x in but)]
+        self.tables = [(found, path) for found, path in self.tables if path not in gone]
+        for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, gone):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def load_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None, partition_column: str | None = None, rows_a_partition: int = 1_000_000, connections: int = 64) -> DataFrame:
     """A table from parquet, or through JDBC (jdbc: its options).
 
