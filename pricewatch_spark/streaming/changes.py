@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructField, StructType
 
+from pricewatch_spark.functions.text import MONEY
 from pricewatch_spark.operators import delta
 from pricewatch_spark.sources.snapshots import SnapshotStore, upsert_version
 from pricewatch_spark.sources.tables import reliable
@@ -22,7 +24,7 @@ SNAPSHOT = (
     "stock_confidence string, url string, image_url string, currency string, last_confirmed_stock_at timestamp, last_seen_at timestamp, "
     "moq int, bulk_tiers array<struct<qty int, price decimal(12,2)>>, title string, last_scraped_at timestamp"
 )
-EMITTED = "source_id string, source_external_id string, at long, change string, price decimal(12,2), availability string"
+EMITTED = "source_id string, source_external_id string, at long, change string, price string, availability string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -62,13 +64,49 @@ def run_delta_stream(
     return raw_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: A row of a listing as it waits or as it was last seen; tables of such rows are the state of a group of listings.
+ROW = pa.schema([("source_id", pa.string()), ("source_external_id", pa.string()), ("at", pa.int64()), ("pos", pa.string()), ("hash", pa.string()), ("price", pa.string()), ("availability", pa.string())])
+
+
+def _packed(rows: pa.Table) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(blobs: Iterator[tuple]) -> pa.Table:
+    return pa.concat_tables([ROW.empty_table(), *(pa.ipc.open_stream(bytes(x[0])).read_all() for x in blobs)])
+
+
+def _codes(*columns: pa.ChunkedArray) -> np.ndarray:
+    """Equal numbers for rows that are equal in all columns, nulls alike."""
+    out = np.zeros(len(columns[0]), "int64")
+    for c in columns:
+        one = c.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        out = np.unique(out * (int(one.max(initial=0)) + 1) + one, return_inverse=True)[1]
+    return out
+
+
+def _in_order(rows: pa.Table, at: np.ndarray, listing: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Rows by listing: what was known, then by time; pos, a long text, is only asked at equal times."""
+    order = np.lexsort((at, fresh, listing))
+    same = (np.diff(listing[order]) == 0) & (np.diff(at[order]) == 0) & (np.diff(fresh[order]) == 0)
+    tied = np.r_[same, False] | np.r_[False, same]
+    if tied.any():
+        some = order[tied]
+        place = np.unique(np.array([x or "" for x in rows["pos"].take(some).to_pylist()], object), return_inverse=True)[1]
+        order[tied] = some[np.lexsort((place, at[some], fresh[some], listing[some]))]
+    return order
+
+
 class ListingStates(StatefulProcessor):
-    """The states of one listing in event time.
+    """The states of a group of listings in event time.
 
-    Rows wait in the listing's state until the watermark has passed them and are then played in the
+    Rows wait in the group's state until the watermark has passed them and are then played in the
     order of (time, pos), so what is emitted does not depend on how rows fell into batches; only the
     watermark's delay decides which rows come too late.  A timer stands at the earliest thing to do:
-    play a row, emit a silence, forget a listing.
+    play a row, emit a silence, forget a listing.  All listings of a group are played at once, column by column.
     """
 
     def __init__(self, silent: int, forget: int | None, revive: bool):
@@ -76,58 +114,76 @@ class ListingStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "hash string, price string, availability string, seen long")
-        self.waiting = handle.getListState("waiting", "at long, pos string, hash string, price string, availability string")
+        self.known = handle.getValueState("known", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.alarm = handle.getValueState("alarm", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [r for batch in rows for r in batch[["at", "pos", "hash", "price", "availability", "failed"]].itertuples(index=False)]
-        failed = [(r.at, "failed", r.price, r.availability) for r in new if r.failed]
-        kept = [tuple(None if pd.isna(x) else x for x in r[:5]) for r in new if not r.failed]
-        if kept:
-            self.waiting.appendList(kept)
-            self._wake(-(-min(r[0] for r in kept) // 1000), False)
-        if failed:
-            yield _emitted(key, failed)
+        new = pd.concat(list(rows))
+        failed = new["failed"].to_numpy(bool)
+        if not failed.all():
+            kept = pa.Table.from_pandas(new.loc[~failed, ROW.names], ROW, preserve_index=False).replace_schema_metadata()
+            self.waiting.appendList([_packed(kept)])
+            self._wake(-(-pc.min(kept["at"]).as_py() // 1000), False)
+        if failed.any():
+            lost = pa.Table.from_pandas(new.loc[failed, ROW.names], ROW, preserve_index=False)
+            yield _emitted([(lost, lost["at"].to_numpy(), "failed")])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.alarm.clear()
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1] or ""))
-        ready = [r for r in rows if r[0] <= now]
-        known = tuple(self.known.get()) if self.known.exists() else None
-        out = []
-        for at, _, state, price, availability in ready:
-            known = self._silenced(known, at, out)
-            if known is None:
-                out.append((at, "created", price, availability))
-            elif state != known[0] or (known[2] == "DELISTED" and self.revive):
-                out.append((at, "changed", price, availability))
-            elif known[2] == "DELISTED":
-                availability = "DELISTED"
-            known = (state, price, availability, at)
-        known = self._silenced(known, now, out)
-        if ready:
-            self.waiting.put(rows[len(ready) :]) if len(rows) > len(ready) else self.waiting.clear()
-        due = [-(-r[0] // 1000) for r in rows[len(ready) : len(ready) + 1]]
-        if known and known[2] != "DELISTED":
-            due.append((known[3] + self.silent) // 1000 + 1)
-        elif known and self.forget is not None:
-            due.append((known[3] + self.silent + self.forget) // 1000 + 1)
-        self.known.update(known) if known else self.known.clear()
+        waiting = _unpacked(self.waiting.get()) if self.waiting.exists() else ROW.empty_table()
+        is_ready = pc.less_equal(waiting["at"], now)
+        ready, later = waiting.filter(is_ready), waiting.filter(pc.invert(is_ready))
+        before = _unpacked([self.known.get()] if self.known.exists() else [])
+        known, delisted, out = self._played(pa.concat_tables([before, ready]), before.num_rows, now)
+        if ready.num_rows:
+            self.waiting.put([_packed(later)]) if later.num_rows else self.waiting.clear()
+        self.known.update(_packed(known)) if known.num_rows else self.known.clear()
+        seen = known["at"].to_numpy()
+        due = [-(-pc.min(later["at"]).as_py() // 1000)] if later.num_rows else []
+        due += [(int(seen[~delisted].min()) + self.silent) // 1000 + 1] if not delisted.all() else []
+        if self.forget is not None and delisted.any():
+            due.append((int(seen[delisted].min()) + self.silent + self.forget) // 1000 + 1)
         if due:
             self._wake(min(due), True)
-        if out:
-            yield _emitted(key, out)
-
-    def _silenced(self, known: tuple | None, at: int, out: list[tuple]) -> tuple | None:
-        """known at a moment: delisted if it was silent for too long before, gone if for much longer."""
-        if known and known[2] != "DELISTED" and at > known[3] + self.silent:
-            out.append((known[3] + self.silent, "delisted", known[1], "DELISTED"))
-            known = (*known[:2], "DELISTED", known[3])
-        if known and self.forget is not None and at > known[3] + self.silent + self.forget:
-            return None
-        return known
+        if sum(rows.num_rows for rows, _, _ in out):
+            yield _emitted(out)
+
+    def _played(self, rows: pa.Table, n_known: int, now: int) -> tuple[pa.Table, np.ndarray, list]:
+        """rows: what is known of listings (the first n_known), then rows to play -> what is known after them
+        and whether it is delisted, and what is emitted: rows, times, change."""
+        at, fresh = rows["at"].to_numpy(), np.arange(rows.num_rows) >= n_known
+        listing = _codes(rows["source_id"], rows["source_external_id"])
+        order = _in_order(rows, at, listing, fresh)
+        rows, at, fresh, listing = rows.take(order), at[order], fresh[order], listing[order]
+        hash_ = _codes(rows["hash"])
+        follows = np.r_[False, listing[1:] == listing[:-1]][: len(at)]  # the row before is of the same listing
+        since = at - np.r_[at[:1], at[:-1]]
+        silent = follows & (since > self.silent)
+        gone = follows & (since > self.silent + self.forget) if self.forget is not None else np.zeros(len(at), bool)
+        lasts = follows & ~gone
+        other = np.r_[False, hash_[1:] != hash_[:-1]][: len(at)]
+        # delisted by what the row says, or since it goes on with a delisted state (which ends a chain if listings revive)
+        says = pc.fill_null(pc.equal(rows["availability"], "DELISTED"), False).to_numpy()
+        goes_on = lasts & ~other & (not self.revive)
+        marks = np.cumsum(says | (goes_on & silent))
+        chain = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(at)))) if len(at) else np.arange(0)
+        delisted = marks - marks[chain] + says[chain] > 0
+        was = np.r_[False, delisted[:-1]][: len(at)] & follows
+        back = np.arange(len(at)) - 1
+        silenced = np.flatnonzero(silent & ~was)
+        created = np.flatnonzero(fresh & ~lasts)
+        changed = np.flatnonzero(lasts & (other | ((was | silent) & self.revive)))
+        last = np.flatnonzero(np.r_[~follows[1:], True][: len(at)])
+        ended = last[~delisted[last] & (now > at[last] + self.silent)]
+        delisted[ended] = True
+        out = [(rows.take(i), at[i] + late, change) for i, late, change in ((back[silenced], self.silent, "delisted"), (ended, self.silent, "delisted"), (created, 0, "created"), (changed, 0, "changed"))]
+        if self.forget is not None:
+            last = last[now <= at[last] + self.silent + self.forget]
+        known, delisted = rows.take(last), delisted[last]
+        state = pc.if_else(pa.array(delisted), "DELISTED", known["availability"])
+        return known.set_column(ROW.get_field_index("availability"), "availability", state), delisted, out
 
     def _wake(self, at: int, none_set: bool) -> None:
         before = None if none_set or not self.alarm.exists() else self.alarm.get()[0]
@@ -142,9 +198,13 @@ class ListingStates(StatefulProcessor):
         pass
 
 
-def _emitted(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-    out = [(*key, at, change, None if pd.isna(price) else Decimal(price), availability) for at, change, price, availability in rows]
-    return pd.DataFrame(out, columns=[x.split()[0] for x in EMITTED.split(", ")])
+def _emitted(parts: list[tuple[pa.Table, np.ndarray, str]]) -> pd.DataFrame:
+    """Rows with the times and changes that they are emitted with."""
+    out = pa.concat_tables([rows.select(["source_id", "source_external_id", "price", "availability"]) for rows, _, _ in parts]).to_pandas()
+    out["at"] = np.concatenate([at for _, at, _ in parts])
+    out["change"] = np.repeat([change for _, _, change in parts], [rows.num_rows for rows, _, _ in parts]).astype(object)
+    out.loc[out["change"] == "delisted", "availability"] = "DELISTED"
+    return out[[x.split()[0] for x in EMITTED.split(", ")]]
 
 
 def _in_rocksdb(spark: SparkSession) -> None:
@@ -152,7 +212,7 @@ def _in_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def change_stream(observed_stream: DataFrame, delay: str = "1 hour", silent_minutes: int = 1440, forget_minutes: int | None = None, revive: bool = True) -> DataFrame:
+def change_stream(observed_stream: DataFrame, delay: str = "1 hour", silent_minutes: int = 1440, forget_minutes: int | None = None, revive: bool = True, groups: int = 512) -> DataFrame:
     """Created and changed states of each listing, DELISTED after silence, and rows that fail.
 
     observed_stream: source_id, source_external_id, scraped_at, pos, hash, price, availability; with
@@ -161,6 +221,9 @@ def change_stream(observed_stream: DataFrame, delay: str = "1 hour", silent_minu
     have no place among them and are left out.  A silence ends when the listing is seen again: that is a change, or with revive=False one
     only if the state differs from the last (the listing stays delisted otherwise).  forget_minutes
     after a delisting its state is dropped, so that state follows live listings; a return is then new.
+
+    State is held by group, a hash of the listing: a batch reads and writes the groups that it touches or
+    that are due whole, a group in a task's memory at a time.  groups can't change while a checkpoint lives.
     """
     _in_rocksdb(observed_stream.sparkSession)
     failed = F.lit(False)
@@ -170,8 +233,9 @@ def change_stream(observed_stream: DataFrame, delay: str = "1 hour", silent_minu
         failed = failed | F.coalesce(F.col("observed_stock") < 0, F.lit(False))
     numbered = dict(observed_stream.dtypes)["pos"] in ("tinyint", "smallint", "int", "bigint")
     rows = observed_stream.where("scraped_at is not null").withWatermark("scraped_at", delay).select(
-        "source_id",
-        "source_external_id",
+        F.pmod(F.xxhash64("source_id", "source_external_id"), F.lit(groups)).cast("int").alias("part"),
+        F.col("source_id").cast("string").alias("source_id"),
+        F.col("source_external_id").cast("string").alias("source_external_id"),
         "scraped_at",
         F.unix_micros("scraped_at").alias("at"),
         (F.format_string("%020d", "pos") if numbered else F.col("pos").cast("string")).alias("pos"),
@@ -181,8 +245,8 @@ def change_stream(observed_stream: DataFrame, delay: str = "1 hour", silent_minu
         failed.alias("failed"),
     )
     states = ListingStates(silent_minutes * 60_000_000, None if forget_minutes is None else forget_minutes * 60_000_000, revive)
-    found = rows.groupBy("source_id", "source_external_id").transformWithStateInPandas(states, EMITTED, "Append", "EventTime")
-    return found.select("source_id", "source_external_id", F.timestamp_micros("at").alias("scraped_at"), "change", "price", "availability")
+    found = rows.groupBy("part").transformWithStateInPandas(states, EMITTED, "Append", "EventTime")
+    return found.select("source_id", "source_external_id", F.timestamp_micros("at").alias("scraped_at"), "change", F.col("price").cast(MONEY).alias("price"), "availability")
 
 
 class LastSighting(StatefulProcessor):
