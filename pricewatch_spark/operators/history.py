@@ -95,6 +95,45 @@ def tiers_as_of(tiers: DataFrame, points: DataFrame, key: str) -> DataFrame:
     return asked.join(placed, met & inside).select(*(F.col(f"p.{c}") for c in points.columns), "t.tier_name", "t.price", "t.valid_from")
 
 
+#: Units of time, in microseconds, that points may have in common.
+UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
+
+
+def tiers_summary(tiers: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    """points with what tiers_as_of would join to each, summed up without joining it: how many tiers are in
+    force, their lowest price and their newest valid_from.  Points without a tier are left out.
+
+    Time is counted in the largest unit that all points have in common.  A tier covers a run of these places, cut
+    into at most two aligned pieces of each power of two; pieces that are equal are summed up once, and a point
+    sums up the pieces around its place, one a power.  Tiers and points cost a number of rows that grows with the
+    logarithm of the time spanned, however many tiers are in force at a point.  Read ahead: first point, last point, unit.
+    """
+    zoned = "timestamp" in (dict(points.dtypes)["at"], dict(tiers.dtypes)["valid_from"], dict(tiers.dtypes)["valid_to"])
+    at = _micros("at", zoned)
+    rests = [F.pmod(at, F.lit(u)) for u in UNITS]
+    reach = points.agg(F.min(at), F.max(at), *(F.min(r) == F.max(r) for r in rests)).first()
+    first, last = (reach[0], reach[1]) if reach[0] is not None else (0, 0)
+    unit = next(u for u, common in zip(UNITS, reach[2:], strict=True) if common or u == 1)
+    places = (last - first) // unit + 1
+    # the first place at or after a moment
+    reached = lambda c: F.expr(f"({c} - {first} + pmod({first} - {c}, {unit})) div {unit}")
+    run = tiers.select(F.col(key).alias("t_key"), "price", "valid_from", _micros("valid_from", zoned).alias("since"), F.coalesce(_micros("valid_to", zoned), F.lit(last + 1)).alias("until"))
+    run = run.select("t_key", "price", "valid_from", F.greatest(reached("since"), F.lit(0)).alias("low"), F.least(reached("until"), F.lit(places)).alias("high"))
+    # least and greatest pass over nulls; a tier without a start is never in force
+    facts = lambda n: (n.alias("tiers"), F.min("cheapest").alias("cheapest"), F.max("newest").alias("newest"))
+    runs = run.where("valid_from is not null and low < high").groupBy("t_key", "low", "high").agg(F.count(F.lit(1)).alias("tiers"), F.min("price").alias("cheapest"), F.max("valid_from").alias("newest"))
+    powers = places.bit_length()
+    low, high = "shiftright(low + shiftleft(1L, n) - 1, n)", "shiftright(high, n)"
+    piece = lambda end, place: f"IF({low} < {high} AND {end} % 2 = 1, named_struct('power', n, 'piece', {place}), NULL)"
+    cut = f"filter(flatten(transform(sequence(0, {powers}), n -> array({piece(low, low)}, {piece(high, high + ' - 1')}))), x -> x IS NOT NULL)"
+    pieces = runs.withColumn("x", F.explode(F.expr(cut))).groupBy("t_key", "x.power", "x.piece").agg(*facts(F.sum("tiers")))
+    placed = points.withColumn("_at", at).withColumn("_place", F.expr(f"(_at - {first}) div {unit}")).drop("_at")
+    asked = placed.where(F.col(key).isNotNull() & F.col("_place").isNotNull()).select(F.col(key).alias("t_key"), "_place").distinct()
+    looks = asked.withColumn("power", F.explode(F.expr(f"sequence(0, {powers})"))).withColumn("piece", F.expr("shiftright(_place, power)"))
+    found = looks.join(pieces, ["t_key", "power", "piece"]).groupBy("t_key", "_place").agg(*facts(F.sum("tiers")))
+    return placed.join(found.withColumnRenamed("t_key", key), [key, "_place"]).select(*points.columns, "tiers", "cheapest", "newest")
+
+
 def bulk_price(listings: DataFrame, qty: int) -> DataFrame:
     """unit_price for a quantity: the tier of the largest qty that is reached; null below the MOQ."""
     reached = F.filter("bulk_tiers", lambda t: t["qty"] <= qty)
