@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pricewatch_spark.functions.text import MONEY, external_id, state_hash
 
 KEY = ["source_id", "source_external_id"]
+#: What is needed of an observed row besides its key and order; availability and hash follow from price and stock.
+FACTS = ("price", "observed_stock", "stock_confidence", "source_currency", "raw_title", "url", "image_url", "moq", "bulk_tiers")
 TIERS = "array<struct<qty int, price decimal(12,2)>>"
 
 

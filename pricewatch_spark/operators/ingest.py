@@ -17,8 +17,6 @@ from pricewatch_spark.sources.tables import Scratch
 ORDER = ("scraped_at", "pos", *KEY)
 IDENTITY_FACTS = ("brand", "product_name", "variant", "volume_ml", "fragrance_type", "gender", "ean_13", "normalization_method", "confidence_score", "category")
 TITLED = ("raw_title", "vendor", "tags", "barcode")
-#: What the job needs of a row besides its key and order; availability and hash follow from price and stock.
-FACTS = ("run_id", "price", "observed_stock", "stock_confidence", "source_currency", "url", "image_url", "moq", "bulk_tiers", *TITLED)
 #: What a listing has besides its state.
 CARRIED = ("product_code", "variant_signature")
 PRODUCTS = "product_code string, brand string, product_name string, variant string, volume_ml int, fragrance_type string, gender string, ean_13 string, normalization_method string, confidence_score decimal(3,2), category string, normalized_name string"
@@ -83,7 +81,7 @@ def ingest(raw: DataFrame, sources: DataFrame, known: DataFrame, snapshot: DataF
     kept = Scratch(raw.sparkSession)
     observed = delta.observe(raw, F.broadcast(sources))
     is_known = snapshot.select(*KEY, F.lit(True).alias("listed"))
-    observed = kept.deal(observed.select(*ORDER, *FACTS), *KEY).join(is_known, KEY, "left").withColumn("fresh", F.col("listed").isNull()).drop("listed")
+    observed = kept.deal(observed.select(*ORDER, "run_id", *delta.FACTS, *TITLED[1:]), *KEY).join(is_known, KEY, "left").withColumn("fresh", F.col("listed").isNull()).drop("listed")
     observed = kept.keep(observed, *KEY)
     placed = products.resolve_products(first_rows(observed.where("fresh").where(~delta.spoilt())), known, *ORDER, keep=kept.keep)
     new = kept.keep(created_products(placed, known))

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 from pricewatch_spark.functions.text import MONEY
 from pricewatch_spark.operators import delta
 from pricewatch_spark.sources.snapshots import SnapshotStore, upsert_version
-from pricewatch_spark.sources.tables import reliable
+from pricewatch_spark.sources.tables import Scratch
 
 SNAPSHOT = (
     "source_id string, source_external_id string, current_hash string, current_price decimal(12,2), current_stock int, availability string, "
@@ -41,25 +41,28 @@ def run_delta_stream(
 
     Only the buckets that the batch touches are read and written, and buckets hold rows_a_bucket
     listings at most on average, so a batch costs what it touches (with delist_minutes every bucket is
-    looked at).  The classified batch is kept in the checkpoint folder, since buckets, snapshot and
-    history all read it.  A batch that is run again starts from the version before it and overwrites
-    what it has written; versions older than the last ones are deleted.
+    looked at).  The batch and its changes, dealt by listing, are kept in the checkpoint folder while the
+    batch lasts, since buckets, snapshot and history all read them.  A batch that is run again starts from
+    the version before it and overwrites what it has written; versions older than the last ones are deleted.
+    sources, a row a shop, is broadcast.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         store = SnapshotStore(spark, f"{root}/snapshot", SNAPSHOT, buckets, rows_a_bucket)
-        observed = reliable(delta.observe(batch, sources))
+        kept = Scratch(spark)
+        observed = kept.keep(delta.observe(batch, F.broadcast(sources)).select(*delta.KEY, "scraped_at", "pos", *delta.FACTS))
         newest = observed.agg(F.max("scraped_at")).first()[0] if delist_minutes is not None else None
 
         def after(before: DataFrame) -> DataFrame:
-            changes = reliable(delta.classify_changes(observed, before))
+            changes = kept.keep(delta.classify_changes(observed, before), *delta.KEY)
             delta.history_rows(changes).write.mode("overwrite").parquet(f"{root}/history/batch={batch_id:09d}")
             state = delta.next_snapshot(changes, before)
             return state if newest is None else delta.delist_stale(state, F.lit(newest), delist_minutes)
 
         upsert_version(store, batch_id, observed, after, whole=newest is not None)
         store.collect(keep)
+        kept.clear()
 
     return raw_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
