@@ -32,6 +32,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables of one job in the checkpoint folder, by column and compressed: a fraction of what a checkpoint takes.
 
@@ -58,20 +64,16 @@ class Scratch:
             writer.save(path)
             found = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((found, path))
-        self.release()
+        release(self.spark)
         return found
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def clear(self, *but: DataFrame) -> None:
         """Delete all tables but those that later plans read."""
         gone = [path for found, path in self.tables if not any(found is x for x in but)]
         self.tables = [(found, path) for found, path in self.tables if path not in gone]
         for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, gone):
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
 
 
 def load_table(spark: SparkSession, name: str, path: str | None = None, jdbc: dict | None = None, partition_column: str | None = None, rows_a_partition: int = 1_000_000, connections: int = 64) -> DataFrame:
